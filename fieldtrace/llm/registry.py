@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrace.llm import mixing, sharding, warc
+from fieldtrace.llm import bpe, mixing, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op4_sharding": sharding.op4_sharding,
+        "op7_bpe": bpe.op7_bpe,
         "op9_warc": warc.op9_warc,
     }
 
