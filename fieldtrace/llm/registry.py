@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrace.llm import bpe, mixing, sharding, warc
+from fieldtrace.llm import bpe, hnsw, mixing, neardup, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op3_hnsw": hnsw.op3_hnsw,
         "op4_sharding": sharding.op4_sharding,
+        "op5_neardup": neardup.op5_neardup,
         "op7_bpe": bpe.op7_bpe,
         "op9_warc": warc.op9_warc,
     }
