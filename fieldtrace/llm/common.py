@@ -36,6 +36,12 @@ def task_groups(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Arrow batches of at most so many rows and bytes from here on, so that tables of long texts need no more memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def packed(df: DataFrame, **computed: Column) -> DataFrame:
     """Every column of df inside the one column `row`, beside computed columns: no names can clash."""
     return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *[c.alias(n) for n, c in computed.items()])
