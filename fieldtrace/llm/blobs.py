@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 BLOBS = "route int, target int, blob binary"
 ARROW = pa.schema([("route", pa.int32()), ("target", pa.int32()), ("blob", pa.binary())])
-#: Routes of rows: to a group of keys, or on to the documents' group.
-KEYS, DOCS = 0, 1
+#: Routes of rows: to a group of keys, or on to the documents' group; edges and what is told of documents go on too.
+KEYS, DOCS, EDGES, FACTS = 0, 1, 2, 3
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 #: Bits of the fixed-size filter of document numbers, 1 MB in all.
@@ -134,9 +134,9 @@ def mapped(df: DataFrame, work: Callable[[np.ndarray, np.ndarray, list[bytes]],
     return df.mapInArrow(run, BLOBS)
 
 
-def passed(target: int, table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-    """What is on its way to the documents goes on."""
-    return ((DOCS, target, b) for b in table["blob"].to_pylist())
+def passed(route: int, target: int, table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+    """What is not for a group of keys goes on."""
+    return ((route, target, b) for b in table["blob"].to_pylist())
 
 
 def grouped(df: DataFrame, work: Callable[[pa.Table], Iterable[tuple[int, int, bytes]]]) -> DataFrame:
@@ -144,7 +144,7 @@ def grouped(df: DataFrame, work: Callable[[pa.Table], Iterable[tuple[int, int, b
 
     def run(table: pa.Table) -> pa.Table:
         route, target = table["route"][0].as_py(), table["target"][0].as_py()
-        return pa.Table.from_batches([batch(passed(target, table) if route == DOCS else work(table))])
+        return pa.Table.from_batches([batch(work(table) if route == KEYS else passed(route, target, table))])
 
     return df.groupBy("route", "target").applyInArrow(run, BLOBS)
 
@@ -154,6 +154,17 @@ def with_text(docs: DataFrame, blobs: DataFrame, work: Callable[[pa.Table, pa.Ta
     return docs.groupBy("group").cogroup(blobs.groupBy("target")).applyInArrow(work, schema)
 
 
+def unpacked_rows(df: DataFrame, kind: np.dtype, names: dict[str, str]) -> DataFrame:
+    """The records of blobs as rows of long columns: record field to column name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.frombuffer(b"".join(b.column("blob").to_pylist()), kind)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c].astype(np.int64)) for c in names], list(names.values()))
+
+    return df.mapInArrow(run, ", ".join(f"{c} long" for c in names.values()))
+
+
 def told(df: DataFrame, kind: np.dtype) -> DataFrame:
     """The documents that blobs (whose records have a field `doc`) tell of, in a filter of fixed size: bitmaps of 4 KB, at most 256."""
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrace.llm import bpe, hnsw, mixing, neardup, passages, sharding, warc
+from fieldtrace.llm import bpe, hnsw, mixing, neardup, passages, sharding, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": sharding.op4_sharding,
         "op5_neardup": neardup.op5_neardup,
         "op7_bpe": bpe.op7_bpe,
+        "op8_substrings": substrings.op8_substrings,
         "op9_warc": warc.op9_warc,
         "op10_passages": passages.op10_passages,
     }
