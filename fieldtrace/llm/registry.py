@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrace.llm import bpe, hnsw, mixing, neardup, passages, sharding, substrings, warc
+from fieldtrace.llm import bpe, hnsw, jaccard, mixing, neardup, passages, sharding, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_hnsw": hnsw.op3_hnsw,
         "op4_sharding": sharding.op4_sharding,
         "op5_neardup": neardup.op5_neardup,
+        "op6_jaccard": jaccard.op6_jaccard,
         "op7_bpe": bpe.op7_bpe,
         "op8_substrings": substrings.op8_substrings,
         "op9_warc": warc.op9_warc,
