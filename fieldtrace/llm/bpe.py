@@ -12,13 +12,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldtrace.llm.common import small_batches
+
 #: How byte-level BPE cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of Latin-1 characters alone, which the faster module can take.
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 LATIN = f" ?[{LETTERS}]+| ?[{NUMBERS}]+|'(?:[stmd]|re|ve|ll)| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Characters that one step handles, and words that a worker remembers.
-STEP, REMEMBERED = 2_000_000, 400_000
+STEP, REMEMBERED = 1_000_000, 150_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -190,6 +192,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     path is a tokenizer file with byte-level BPE. Strings of its added tokens become those tokens. Every text is
     encoded by itself, so ties, repeats and other columns play no part; a column named like ids is replaced.
     """
+    small_batches(df.sparkSession)
     v = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     @F.arrow_udf("array<int>")
@@ -209,6 +212,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df plus the column text: what the tokens stand for; bytes that are not UTF-8 become U+FFFD. Null ids give null, [] gives ''."""
+    small_batches(df.sparkSession)
     v = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     @F.arrow_udf("string")
