@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrace.llm import bpe, hnsw, jaccard, mixing, neardup, passages, sharding, substrings, warc
+from fieldtrace.llm import bpe, hnsw, jaccard, mixing, neardup, passages, sharding, substrings, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_hnsw": hnsw.op3_hnsw,
         "op4_sharding": sharding.op4_sharding,
         "op5_neardup": neardup.op5_neardup,
