@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.blobs import BLOBS, DOCS, EDGES, FACTS, KEYS, batch, dealt, grouped, joined, mapped, mixed, prime_groups, runs, split, text_slices, texts_of, told, unpacked_rows, unrowed, window_hashes, with_text
+from fieldtrace.llm.blobs import BLOBS, DOCS, EDGES, FACTS, KEYS, NO_ID, batch, dealt, doc_key, grouped, joined, mapped, mixed, prime_groups, runs, split, text_slices, texts_of, told, unpacked_rows, unrowed, window_hashes, with_text
 from fieldtrace.llm.common import components, cut, small_batches, task_groups
 from fieldtrace.llm.passages import Hashes
 from fieldtrace.llm.signatures import Tree, bitmap, close, folded, linked, pairs, width_for
@@ -100,8 +100,8 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
        by their texts. So no link between different components is lost, and no pair within one is made.
     Step 1 combines within groups of documents first and is no more than a short cut, so it sends at most 4 texts of a key from each group.
 
-    Rows with one doc_id are taken for one document in the links. A null doc_id counts as the smallest number and has a null component
-    unless it is linked. Columns of docs named like an added column are replaced. An empty table stays empty.
+    Rows with one doc_id are taken for one document in the links. A null doc_id counts as the smallest number: its component is
+    null, and so is that of what it links with. Columns of docs named like an added column are replaced. An empty table stays empty.
     """
     small_batches(docs.sparkSession)
     groups = prime_groups(task_groups(docs.sparkSession))
@@ -284,8 +284,9 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
     classes = facts.where("n_shingles > 0").groupBy(*marks).agg(F.min("doc").alias("low"))
     classes = classes.join(final.select(F.col("node").alias("low"), "component"), "low", "left").select(*marks, F.coalesce("component", "low").alias("component"))
     result = facts.join(classes, marks, "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component_id")).dropDuplicates(["doc"])
-    out = texts.select("row", "doc").join(result, "doc")
-    return unrowed(out.withColumn("component_id", F.when(F.col("component_id") != F.lit(-(1 << 63)), F.col("component_id"))), docs.columns, ADDED)
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns if c.lower() != "text"]).alias("row"), doc_key().alias("doc"), "text")
+    out = own.join(result, "doc").withColumn("component_id", F.when(F.col("component_id") != F.lit(NO_ID), F.col("component_id")))
+    return unrowed(out, docs.columns, ["text", *ADDED])
 
 
 def mixed_pair(pair: tuple[int, int]) -> int:
