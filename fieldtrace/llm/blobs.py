@@ -17,14 +17,17 @@ BLOBS = "route int, target int, blob binary"
 ARROW = pa.schema([("route", pa.int32()), ("target", pa.int32()), ("blob", pa.binary())])
 #: Routes of rows: to a group of keys, or on to the documents' group; edges and what is told of documents go on too.
 KEYS, DOCS, EDGES, FACTS = 0, 1, 2, 3
-#: Stands for a null doc_id.
-NO_ID = -(1 << 63)
+#: Documents with a null doc_id count as numbers below this, in the order of a hash of their texts.
+NO_ID = -(1 << 62)
+#: Bytes that a task gathers before it sends what it has for each target.
+HELD = 24 << 20
 #: Bits of the fixed-size filter of document numbers, 1 MB in all.
 SLOTS = 1 << 23
 
 
-def doc_key(column: str = "doc_id") -> Column:
-    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID).cast("long"))
+def doc_key() -> Column:
+    own = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
+    return F.coalesce(F.col("doc_id").cast("long"), own + F.lit(-(1 << 63)))
 
 
 def prime_groups(least: int) -> int:
@@ -128,8 +131,16 @@ def mapped(df: DataFrame, work: Callable[[np.ndarray, np.ndarray, list[bytes]],
     """work on slices of df (doc, group, text); the rows that it makes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[bytes]] = {}
+        size = 0
         for docs, groups, texts in text_slices(batches):
-            yield batch(work(docs, groups, texts))
+            for route, target, blob in work(docs, groups, texts):
+                held.setdefault((route, target), []).append(blob)
+                size += len(blob)
+            if size > HELD:
+                yield batch((r, t, b"".join(x)) for (r, t), x in held.items())
+                held, size = {}, 0
+        yield batch((r, t, b"".join(x)) for (r, t), x in held.items())
 
     return df.mapInArrow(run, BLOBS)
 
@@ -165,31 +176,36 @@ def unpacked_rows(df: DataFrame, kind: np.dtype, names: dict[str, str]) -> DataF
     return df.mapInArrow(run, ", ".join(f"{c} long" for c in names.values()))
 
 
+def slots(docs: np.ndarray) -> np.ndarray:
+    return (mixed(docs.astype(np.int64).view(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 def told(df: DataFrame, kind: np.dtype) -> DataFrame:
-    """The documents that blobs (whose records have a field `doc`) tell of, in a filter of fixed size: bitmaps of 4 KB, at most 256."""
+    """The documents that blobs (whose records have a field `doc`) tell of, in a filter of fixed size: 256 pages of 4 KB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(SLOTS, bool)
         for b in batches:
-            docs = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, kind)["doc"] for x in b.column("blob").to_pylist())]))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64())], ["doc"])
+            for x in b.column("blob").to_pylist():
+                bits[slots(np.frombuffer(x, kind)["doc"])] = True
+        pages = np.packbits(bits, bitorder="little").reshape(-1, 4096)
+        some = np.flatnonzero(pages.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([pages[k].tobytes() for k in some], pa.binary())], ["page", "bits"])
 
-    slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS)) + 1  # bitmaps count from 1
-    bits = df.mapInArrow(run, "doc long").select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("n"))
-    return bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    return df.mapInArrow(run, "page long, bits binary").groupBy("page").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
 def split(docs: DataFrame, filters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc, ...) that a filter of told() may name, and the others."""
-    bits = np.zeros(SLOTS // 8, np.uint8)
+    bits = np.zeros((SLOTS // 32768, 4096), np.uint8)
     for r in filters.collect():  # at most 256 rows of 4 KB
-        at = (r["n"] - 1) * 4096
-        bits[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[r["page"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     @F.arrow_udf("boolean")
-    def named(slot: pa.Array) -> pa.Array:
-        at = slot.to_numpy(zero_copy_only=False)
+    def named(doc: pa.Array) -> pa.Array:
+        at = slots(doc.to_numpy(zero_copy_only=False))
         return pa.array((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    marked = docs.withColumn("named", named(F.pmod(F.xxhash64("doc"), F.lit(SLOTS))))
+    marked = docs.withColumn("named", named("doc"))
     return marked.where("named").drop("named"), marked.where("NOT named").drop("named")

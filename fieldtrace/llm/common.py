@@ -33,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def task_groups(spark: SparkSession) -> int:
     """Into how many groups work is dealt: follows the shuffle partitions, which follow the input."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
