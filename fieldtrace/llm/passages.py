@@ -76,8 +76,7 @@ def result(text: str, starts: np.ndarray, window: int) -> tuple[int, int, str, l
     words = text.encode().split()
     n = len(words)
     change = np.zeros(n + 1, np.int64)
-    if len(starts) and starts[0] == COPY:
-        starts = np.arange(max(0, n - window + 1))
+    starts = np.arange(max(0, n - window + 1)) if len(starts) and starts[0] == COPY else starts[starts + window <= n]
     np.add.at(change, starts, 1)
     np.add.at(change, starts + window, -1)
     gone = np.cumsum(change[:-1]) > 0
@@ -98,8 +97,8 @@ def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     Both steps first combine what is equal within a slice or group of documents, so that a passage in many documents sends a record or two
     from each. An exact copy of an earlier text needs no windows. Only documents that a fixed-size filter names are shuffled with their text.
 
-    A null text has no words; texts shorter than a window lose none. A null doc_id counts as the smallest; rows with one doc_id
-    don't remove each other's words. Columns of docs named like an added column are replaced. An empty table stays empty.
+    A null text has no words; texts shorter than a window lose none. Null doc_ids count as smaller than any other, in the order of a hash of the
+    text. Repeated rows don't remove each other's words; that one doc_id has two different texts is not foreseen. Columns of docs named like an added column are replaced. An empty table stays empty.
     """
     if window <= PERIOD:
         raise ValueError(f"a window must have more than {PERIOD} words")
@@ -153,8 +152,9 @@ def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
             near = np.zeros(len(values) + 1, np.int64)
             for k, doc in enumerate(own):
                 at = flagged["at"][np.searchsorted(flagged["doc"], doc) : np.searchsorted(flagged["doc"], doc, "right")].astype(np.int64)
+                at = at[at < counts[k]]  # another text may have the same doc_id
                 np.add.at(near, base[k] + np.maximum(at - PERIOD + 1, 0), 1)
-                np.add.at(near, base[k] + np.minimum(at + 1, counts[k]), -1)
+                np.add.at(near, base[k] + at + 1, -1)
             text = np.repeat(np.arange(len(counts)), counts)
             at = np.arange(len(values)) - base[text]
             place = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (at + window <= counts[text]))

@@ -102,6 +102,7 @@ def repeated(pieces: list[bytes], length: int) -> list[np.ndarray]:
 
 
 def result(text: bytes, own: np.ndarray) -> tuple[int, int, int, bytes]:
+    own = own[own["start"] + own["size"] <= len(text)]
     change = np.zeros(len(text) + 1, np.int64)
     np.add.at(change, own["start"], 1)
     np.add.at(change, own["start"] + own["size"], -1)
@@ -179,7 +180,8 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
         for own, _, raw in text_slices(texts.to_batches()):
             for doc, text in zip(own, raw, strict=True):
                 for r in rows[np.searchsorted(rows["doc"], doc) : np.searchsorted(rows["doc"], doc, "right")]:
-                    if (mark := (int(r["doc"]), int(r["start"]))) not in seen:  # rows with one doc_id answer once
+                    mark = int(r["doc"]), int(r["start"])
+                    if mark not in seen and len(text) >= r["start"] + r["size"]:  # rows with one doc_id answer once
                         seen.add(mark)
                         made.setdefault(int(r["key"] % np.uint64(groups)), []).append(r.tobytes() + text[r["start"] : r["start"] + r["size"]])
         return pa.Table.from_batches([batch((KEYS, t, b"".join(x)) for t, x in made.items())])
