@@ -12,21 +12,30 @@ from pyspark.sql import functions as F
 
 from fieldtrace.llm.blobs import BLOBS, DOCS, EDGES, FACTS, KEYS, NO_ID, batch, dealt, doc_key, grouped, joined, mapped, mixed, prime_groups, runs, split, text_slices, texts_of, told, unpacked_rows, unrowed, window_hashes, with_text
 from fieldtrace.llm.common import components, cut, small_batches, task_groups
-from fieldtrace.llm.passages import Hashes
-from fieldtrace.llm.signatures import Tree, bitmap, close, folded, linked, pairs, width_for
+from fieldtrace.llm.passages import Hashes, word_hashes
+from fieldtrace.llm.signatures import Tree, bitmap, close, linked, pairs, width_for
 
 ADDED = ["n_shingles", "component_id"]
 BASE = 0x9E3779B97F4A7C15
 FACT = np.dtype([("doc", "i8"), ("size", "i8"), ("one", "i8"), ("two", "i8")])
 PREFIX = np.dtype([("key", "u8"), ("set", "u8"), ("doc", "i8"), ("size", "i4")])
 KEYED = np.dtype([("doc", "i8"), ("key", "u8"), ("size", "i4")])
-GROUPED = np.dtype([("doc", "i8"), ("key", "u8"), ("size", "i4"), ("component", "i8")])
+GROUPED = np.dtype([("doc", "i8"), ("key", "u8"), ("size", "i4"), ("component", "i8"), ("seen", "i4")])
 COMPONENT = np.dtype([("doc", "i8"), ("component", "i8")])
 EDGE = np.dtype([("doc", "i8"), ("other", "i8")])
 #: A text or bitmap on its way: its document, the key it goes to, number of shingles, component, bytes that follow.
 HEAD = np.dtype([("doc", "i8"), ("key", "u8"), ("size", "i4"), ("component", "i8"), ("length", "i4")])
+
+
+def signed(width: int) -> np.dtype:
+    """A class under one of its keys, with a bitmap of that width."""
+    return np.dtype([*GROUPED.descr, ("bits", "u8", (width // 64,))])
+
+
 #: Texts of one key that a group of documents sends to the first comparison, which is a short cut; sets of one key compared at once.
 SENT, TOGETHER = 4, 1024
+#: Up to so many sets of a key are a leaf of the tree: all pairs are tested.
+SMALL = 48
 
 
 def shingles(known: Hashes, text: bytes, n: int) -> np.ndarray:
@@ -40,6 +49,14 @@ def shingles(known: Hashes, text: bytes, n: int) -> np.ndarray:
     return np.unique(window_hashes(values, n, BASE))
 
 
+def all_shingles(known: Hashes, texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+    """shingles() of each text, hashed together."""
+    values, counts = word_hashes(known, [t.lower() for t in texts])
+    hashes = window_hashes(values, n, BASE)
+    for start, count, text in zip(np.cumsum(counts) - counts, counts, texts, strict=True):
+        yield np.unique(hashes[start : start + count - n + 1]) if count >= n else shingles(known, text, n)
+
+
 def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return int(mixed(tokens).sum(dtype=np.uint64).astype(np.int64)), int(mixed(tokens ^ np.uint64(BASE)).sum(dtype=np.uint64).astype(np.int64))
 
@@ -49,6 +66,11 @@ def bands(sizes: np.ndarray, least: int) -> np.ndarray:
     return np.floor(np.log(sizes.astype(float)) / -math.log(least / 100) + 1e-9).astype(np.int64)
 
 
+def spare(sizes: np.ndarray) -> np.ndarray:
+    """How many more of its lowest tokens a set sends than one in common would need: so many must be in common."""
+    return np.maximum(1, sizes // 20)
+
+
 def paired(key: np.ndarray, band: np.ndarray, group: np.ndarray) -> np.ndarray:
     """For rows sorted by key and band: is there a row of another group with the same key in this band or one beside it?"""
     if not len(key):
@@ -92,16 +114,17 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
     of bytes other than \\x20 and \\x09-\\x0D, with A-Z lower-cased; a document with fewer than n words has its whole sequence as
     its one shingle; without words or text it has no shingle and no link.
 
-    Equal sets are one class, told by a 128-bit fingerprint. Sets that link have one of their lowest-hashed shingles in common, the first
-    100 - least percent; such shingles in two classes of possible sizes are keys.
-    1. Short cut: each class takes its text to its first key only, where a signature tree proposes pairs and exact
-       sets decide. Whole groups of near copies come together there, without all their pairs.
-    2. The rest: keys that still hold different components get a bitmap of each class; the trees' pairs between components are decided
-       by their texts. So no link between different components is lost, and no pair within one is made.
+    Equal sets are one class, told by a 128-bit fingerprint. Of each set the lowest-hashed shingles count, 100 - least percent and 5 more. Sets
+    that link have about 5 percent of theirs among those in common. Such shingles in two classes of possible sizes are keys, and a class with fewer
+    keys than that links with nothing: a passage in common is not enough.
+    1. Short cut: each class takes its text to its lowest and its highest shingle only, where a signature tree proposes pairs and
+       exact sets decide. Whole groups of near copies come together there, without all their pairs.
+    2. The rest: keys that still hold different components, without each class's most frequent ones, get a bitmap of each class; the trees' pairs
+       between components are decided by their texts. So no link between different components is lost, and no pair within one is made.
     Step 1 combines within groups of documents first and is no more than a short cut, so it sends at most 4 texts of a key from each group.
 
-    Rows with one doc_id are taken for one document in the links. A null doc_id counts as the smallest number: its component is
-    null, and so is that of what it links with. Columns of docs named like an added column are replaced. An empty table stays empty.
+    Repeated rows are one document; that one doc_id has two different texts is not foreseen. Null doc_ids count as smaller than any
+    other: their component is null, and so is that of what they link with. Columns of docs named like an added column are replaced. An empty table stays empty.
     """
     small_batches(docs.sparkSession)
     groups = prime_groups(task_groups(docs.sparkSession))
@@ -118,14 +141,13 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
     def prefixes(own: np.ndarray, _: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         facts, made = [], [np.zeros(0, PREFIX)]
         seen: dict[tuple, int] = {}
-        for doc, text in zip(own, texts, strict=True):
-            tokens = shingles(known, text, n)
+        for doc, tokens in zip(own, all_shingles(known, texts, n), strict=True):
             marks = fingerprint(tokens)
             facts.append((doc, len(tokens), *marks))
             # Of equal sets in a slice the smallest document stands for all; a later slice may still have a smaller one.
             if len(tokens) and seen.get((len(tokens), *marks), doc + 1) > doc:
                 seen[(len(tokens), *marks)] = doc
-                most = len(tokens) - (least * len(tokens) + 99) // 100 + 1
+                most = len(tokens) - (least * len(tokens) + 99) // 100 + int(spare(np.int64(len(tokens))))
                 rows = np.empty(most, PREFIX)
                 rows["key"], rows["set"], rows["doc"], rows["size"] = tokens[:most], np.int64(marks[0]).astype(np.uint64), doc, len(tokens)
                 made.append(rows)
@@ -143,21 +165,38 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
             out[c] = keep[c]
         return by_doc(out)
 
+    def sifted(df: DataFrame, kind: np.dtype) -> DataFrame:
+        """The keys of documents that have enough of them. If the records tell how often a key is seen, the most frequent ones go, one fewer
+        than must be in common: of the keys that two sets have in common the rarest always stays."""
+
+        def run(table: pa.Table) -> pa.Table:
+            rows = np.unique(joined(table, kind))
+            if "seen" in kind.names:
+                rows = rows[np.lexsort((rows["key"], rows["seen"], rows["doc"]))]
+            first, count = runs(rows["doc"])
+            needed = spare((least * rows["size"][first].astype(np.int64) + 99) // 100)
+            keep = np.repeat(count >= needed, count)
+            if "seen" in kind.names:
+                keep &= np.arange(len(rows)) - np.repeat(first, count) < np.repeat(count - needed + 1, count)
+            return pa.Table.from_batches([batch(by_doc(rows[keep]))])
+
+        return df.groupBy("target").applyInArrow(run, BLOBS)
+
     found = cut(grouped(mapped(slim, prefixes), keys))
     facts = unpacked_rows(found.where(F.col("route") == FACTS), FACT, {"doc": "doc", "size": "n_shingles", "one": "one", "two": "two"})
-    keyed = found.where(F.col("route") == DOCS)
+    keyed = cut(sifted(found.where(F.col("route") == DOCS), KEYED))
 
-    def first_keys(texts: pa.Table, blobs: pa.Table) -> pa.Table:
-        rows = np.sort(joined(blobs, KEYED), order=["doc", "key"])
-        rows = rows[runs(rows["doc"])[0]]
+    def first_texts(texts: pa.Table, blobs: pa.Table) -> pa.Table:
+        wanted = np.unique(joined(blobs, KEYED)["doc"])
         mine: dict[int, list[tuple[int, bytes]]] = {}
         done: set[int] = set()
         for own, _, raw in text_slices(texts.to_batches()):
-            at = np.searchsorted(rows["doc"], own)
-            for k, doc, text in zip(at, own, raw, strict=True):
-                if k < len(rows) and rows["doc"][k] == doc and int(doc) not in done:
+            for doc, text in zip(own, raw, strict=True):
+                if int(doc) not in done and doc in wanted[np.searchsorted(wanted, doc) :][:1]:
                     done.add(int(doc))
-                    mine.setdefault(int(rows["key"][k]), []).append((int(doc), text))
+                    tokens = shingles(known, text, n)
+                    for key in {int(t) for t in (tokens[:1], tokens[-1:]) if len(t)}:
+                        mine.setdefault(key, []).append((int(doc), text))
         made = []
         for key, some in mine.items():
             edges = local(some)
@@ -170,6 +209,7 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
         """Edges (a, b) among documents with their texts; each b is joined to what an a stands for."""
         out: list[tuple[int, int]] = []
         sets = [shingles(known, t, n) for _, t in some]
+        some, sets = [x for x, s in zip(some, sets, strict=True) if len(s)], [s for s in sets if len(s)]
         order = np.argsort([len(s) for s in sets], kind="stable")
         for lo in range(0, len(some), TOGETHER):
             part = order[lo : lo + TOGETHER]
@@ -187,7 +227,7 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
                 yield from edges_of(local([(int(heads["doc"][k]), bodies[k]) for k in order[first : first + count]]))
 
     needed, _ = split(slim, told(keyed, KEYED))
-    near = cut(grouped(with_text(needed, keyed, first_keys, BLOBS), first_compare))
+    near = cut(grouped(with_text(needed, keyed, first_texts, BLOBS), first_compare))
     edge_rows = unpacked_rows(near.where(F.col("route") == EDGES), EDGE, {"doc": "src", "other": "dst"})
     grouped_docs = cut(components(edge_rows))
 
@@ -199,7 +239,7 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
 
     def with_components(table: pa.Table) -> pa.Table:
         rows, known_ = joined(table, KEYED, DOCS), np.sort(joined(table, COMPONENT, FACTS), order="doc")
-        out = np.empty(len(rows), GROUPED)
+        out = np.zeros(len(rows), GROUPED)
         for c in ("doc", "key", "size"):
             out[c] = rows[c]
         at = np.minimum(np.searchsorted(known_["doc"], rows["doc"]), max(0, len(known_) - 1))
@@ -209,41 +249,94 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
     def still_apart(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
         rows = joined(table, GROUPED)
         rows = rows[np.lexsort((rows["size"], rows["key"]))]
-        return by_doc(rows[paired(rows["key"], bands(rows["size"], least), rows["component"])])
+        rows = rows[paired(rows["key"], bands(rows["size"], least), rows["component"])]
+        count = runs(rows["key"])[1]
+        rows["seen"] = np.repeat(count, count)
+        return by_doc(rows)
 
     told_of = keyed.unionByName(grouped_docs.mapInArrow(as_blobs, BLOBS)).groupBy("target").applyInArrow(with_components, BLOBS)
-    apart = cut(grouped(told_of, still_apart))
+    apart = cut(sifted(grouped(told_of, still_apart), GROUPED))
 
     def send_bitmaps(texts: pa.Table, blobs: pa.Table) -> pa.Table:
         rows = np.sort(joined(blobs, GROUPED), order=["doc", "key"])
-        made: dict[int, list[bytes]] = {}
+        by_width: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         done: set[int] = set()
         for own, _, raw in text_slices(texts.to_batches()):
             for doc, text in zip(own, raw, strict=True):
                 mine = rows[np.searchsorted(rows["doc"], doc) : np.searchsorted(rows["doc"], doc, "right")]
                 if len(mine) and int(doc) not in done:
                     done.add(int(doc))
-                    bits = bitmap(shingles(known, text, n), width_for(int(mine["size"][0]))).tobytes()
-                    for r in mine:
-                        made.setdefault(int(r["key"] % np.uint64(groups)), []).append(headed(r["doc"], r["key"], r["size"], r["component"], bits))
-        return pa.Table.from_batches([batch((KEYS, t, b"".join(x)) for t, x in made.items())])
+                    width = width_for(int(mine["size"][0]))
+                    by_width.setdefault(width, []).append((mine, bitmap(shingles(known, text, n), width)))
+        made = []
+        for width, some in by_width.items():  # a blob begins with its width
+            out = np.empty(sum(len(m) for m, _ in some), signed(width))
+            own = np.concatenate([m for m, _ in some])
+            for c in GROUPED.names:
+                out[c] = own[c]
+            out["bits"] = np.repeat(np.stack([x for _, x in some]), [len(m) for m, _ in some], axis=0)
+            made += [(k, t, np.int64(width).tobytes() + x) for k, t, x in by_key(out)]
+        return pa.Table.from_batches([batch(made)])
 
     def propose(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-        heads, bodies = heads_and_bodies(table)
-        band = bands(np.maximum(heads["size"], 1), least)
+        parts: dict[int, list[np.ndarray]] = {}
+        for blob in table["blob"].to_pylist():
+            width = int(np.frombuffer(blob, np.int64, 1)[0])
+            parts.setdefault(width, []).append(np.frombuffer(blob, signed(width), offset=8))
+        if not parts:
+            return
+        signatures = {w: np.concatenate(x) for w, x in parts.items()}
+        heads = np.concatenate([x[list(GROUPED.names)].astype(GROUPED) for x in signatures.values()])
+        widths = np.concatenate([np.full(len(x), w) for w, x in signatures.items()])
+        place = np.concatenate([np.arange(len(x)) for x in signatures.values()])
         order = np.lexsort((heads["doc"], heads["size"], heads["key"]))
+        heads, widths, place = heads[order], widths[order], place[order]
+
+        def bits_of(some: np.ndarray, width: int) -> np.ndarray:
+            out = np.empty((len(some), width // 64), np.uint64)
+            for w in np.unique(widths[some]):
+                at = np.flatnonzero(widths[some] == w)
+                out[at] = np.bitwise_or.reduce(signatures[int(w)]["bits"][place[some[at]]].reshape(len(at), -1, width // 64), axis=1)
+            return out
+
+        size, component = heads["size"].astype(np.int64), heads["component"]
+        first, count = runs(heads["key"])
+        run = np.repeat(np.arange(len(first)), count)
+        small = (count <= SMALL)[run]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, SMALL):  # all pairs of the small runs
+            x = np.flatnonzero(small[:-step] & (run[:-step] == run[step:]) & (component[:-step] != component[step:]) & (100 * size[:-step] >= least * size[step:]))
+            left.append(x)
+            right.append(x + step)
+        x, y = np.concatenate(left), np.concatenate(right)
+        a, b = np.minimum(heads["doc"][x], heads["doc"][y]), np.maximum(heads["doc"][x], heads["doc"][y])
+        once = np.unique(np.stack([a, b]), axis=1, return_index=True)[1] if len(x) else x
+        x, y = x[once], y[once]
+        narrow = np.minimum(widths[x], widths[y])
         wanted: set[tuple[int, int]] = set()
-        for first, count in zip(*runs(heads["key"][order]), strict=True):
-            own = order[first : first + count]
-            for b in np.unique(band[own]):
-                some = own[(band[own] == b) | (band[own] == b + 1)]
-                if len(some) < 2 or (heads["component"][some] == heads["component"][some[0]]).all():
+        for width in np.unique(narrow):
+            i, j = x[narrow == width], y[narrow == width]
+            used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            bits = bits_of(used, int(width))
+            excess = size[used] - np.bitwise_count(bits).sum(axis=1)
+            m, n_ = at[: len(i)], at[len(i) :]
+            for lo in range(0, len(i), 1 << 14):
+                part = slice(lo, lo + (1 << 14))
+                most = np.bitwise_count(bits[m[part]] & bits[n_[part]]).sum(axis=1) + np.minimum(excess[m[part]], excess[n_[part]])
+                keep = (100 + least) * most >= least * (size[i[part]] + size[j[part]])
+                wanted.update(zip(heads["doc"][i[part]][keep].tolist(), heads["doc"][j[part]][keep].tolist(), strict=True))
+        band = bands(np.maximum(size, 1), least)
+        for f, c in zip(first[count > SMALL], count[count > SMALL], strict=True):
+            own = np.arange(f, f + c)
+            for k in np.unique(band[own]):
+                some = own[(band[own] == k) | (band[own] == k + 1)]
+                if len(some) < 2 or (component[some] == component[some[0]]).all():
                     continue
-                width = min(len(bodies[k]) * 8 for k in some)
-                bits = np.stack([folded(np.frombuffer(bodies[k], np.uint64), width) for k in some])
-                x, y = pairs(Tree(heads["size"][some].astype(np.int64), bits), least)
+                width = int(widths[some].min())
+                bits = bits_of(some, width)
+                x, y = pairs(Tree(size[some], bits), least)
                 x, y = some[x], some[y]
-                different = heads["component"][x] != heads["component"][y]
+                different = component[x] != component[y]
                 wanted.update(zip(heads["doc"][x[different]].tolist(), heads["doc"][y[different]].tolist(), strict=True))
         # Both texts go to a group that the pair names.
         rows = np.array([(d, mixed_pair(p), 0) for p in wanted for d in p], KEYED) if wanted else np.zeros(0, KEYED)
@@ -272,7 +365,7 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
             some = order[first : first + count]
             sets = [shingles(known, bodies[k], n) for k in some]
             for i in range(len(some)):  # two, unless hashes of pairs meet
-                yield from edges_of([(int(heads["doc"][some[i]]), int(heads["doc"][some[j]])) for j in range(i) if close(sets[i], sets[j], least)])
+                yield from edges_of([(int(heads["doc"][some[i]]), int(heads["doc"][some[j]])) for j in range(i) if len(sets[i]) and len(sets[j]) and close(sets[i], sets[j], least)])
 
     needed, _ = split(slim, told(asked, KEYED))
     late = cut(grouped(with_text(needed, asked, send_texts, BLOBS), decide))
@@ -285,7 +378,7 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
     classes = classes.join(final.select(F.col("node").alias("low"), "component"), "low", "left").select(*marks, F.coalesce("component", "low").alias("component"))
     result = facts.join(classes, marks, "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component_id")).dropDuplicates(["doc"])
     own = docs.select(F.struct(*[docs[c] for c in docs.columns if c.lower() != "text"]).alias("row"), doc_key().alias("doc"), "text")
-    out = own.join(result, "doc").withColumn("component_id", F.when(F.col("component_id") != F.lit(NO_ID), F.col("component_id")))
+    out = own.join(result, "doc").withColumn("component_id", F.when(F.col("component_id") > F.lit(NO_ID), F.col("component_id")))
     return unrowed(out, docs.columns, ["text", *ADDED])
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 
 from fieldtrace.llm.blobs import mixed
@@ -12,8 +10,8 @@ FANOUT = 8
 
 
 def width_for(size: int) -> int:
-    """Bits of the bitmap of a set: the power of two at twice its size, 64 to 65,536."""
-    return min(1 << 16, max(64, 1 << int(2 * size - 1).bit_length()))
+    """Bits of the bitmap of a set: the power of two from one and a half times its size, 64 to 65,536."""
+    return min(1 << 16, max(64, 1 << int(1.5 * size).bit_length()))
 
 
 def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -22,11 +20,6 @@ def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def folded(bits: np.ndarray, width: int) -> np.ndarray:
-    """A bitmap made narrower."""
-    return np.bitwise_or.reduce(bits.reshape(-1, width // 64), axis=0)
-
-
 class Tree:
     """Levels of nodes, the sets themselves first: bitmaps, smallest and largest size, and most tokens that share a bit with another."""
 
@@ -75,7 +68,7 @@ def close(a: np.ndarray, b: np.ndarray, least: int) -> bool:
     return 100 * common >= least * (len(a) + len(b) - common)
 
 
-def linked(sets: list[np.ndarray], least: int, root: np.ndarray, near: Callable | None = None) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], least: int, root: np.ndarray) -> list[tuple[int, int]]:
     """Edges that join sets which are close, as far as they are not joined already; root names the group of each set and is updated."""
     sizes = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort((np.array([s[0] for s in sets]), sizes))
