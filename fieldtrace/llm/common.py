@@ -42,9 +42,9 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def packed(df: DataFrame, **computed: Column) -> DataFrame:
-    """Every column of df inside the one column `row`, beside computed columns: no names can clash."""
-    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *[c.alias(n) for n, c in computed.items()])
+def packed(df: DataFrame, keep: Sequence[str] | None = None, **computed: Column) -> DataFrame:
+    """The columns to keep (all, unless given) of df inside the one column `row`, beside computed columns: no names can clash."""
+    return df.select(F.struct(*[df[c] for c in (df.columns if keep is None else keep)]).alias("row"), *[c.alias(n) for n, c in computed.items()])
 
 
 def unpacked(df: DataFrame, columns: Sequence[str], added: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ BUCKETS = 1024
 DRAWS = 32
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, seed: int = 7, keep: Sequence[str] | None = None) -> DataFrame:
     """How often a mix takes each document: docs (doc_id, text, source, ...) plus size, source_size, target, copies, taken.
 
     size counts the words of the text. Sources in code point order, null last, weigh `weights` in turn
@@ -26,13 +26,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3
     one document of the target; the prefix sums of expected copies, plus one random offset per source, give
     a copy at each integer they cross. The offset is the best of 32 drawn from the seed.
 
+    keep names the columns of docs to return, all unless given; texts that aren't kept are not shuffled.
     Null or empty texts have size 0 and take 0 words. A source without words gets target 0. Null sources
     form one source, null doc_ids one bucket. Repeated rows are sampled one by one. Columns of docs named
     like an added column are replaced. An empty table gives an empty table.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = packed(
-        docs, size=size, source_=F.struct(F.col("source").isNull().alias("missing"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name")),
+        docs, keep, size=size, source_=F.struct(F.col("source").isNull().alias("missing"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name")),
         bucket_=F.coalesce(F.pmod(F.col("doc_id"), F.lit(BUCKETS)), F.lit(0)), doc_=F.col("doc_id"),
     )
     counted = cut(rows.groupBy("source_", "size", "bucket_").agg(F.count(F.lit(1)).alias("n")))
@@ -63,7 +64,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3
     at = F.col("smaller") + F.col("own")
     crossed = F.floor((at + 1) * F.col("rate") + F.col("offset")) - F.floor(at * F.col("rate") + F.col("offset"))
     placed = placed.withColumn("copies", F.least(crossed, F.ceil("rate")).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return unpacked(placed, docs.columns, ADDED)
+    return unpacked(placed, docs.columns if keep is None else keep, ADDED)
 
 
 def repeated(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -73,7 +74,7 @@ def repeated(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 OP1_SQL = r"""
