@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
-from fieldtrace.operators import blocks, frames, joins, reports, tracks
+from fieldtrace.operators import blocks, evidence, frames, joins, reports, tracks
 from fieldtrace.sources import views
 from fieldtrace.streaming import windows
 
@@ -407,3 +407,78 @@ def worker_backlog(spark, d):
     arrival = F.col("job_id") % 1000 + F.row_number().over(Window.partitionBy("workflow_id").orderBy("job_id")) * 2
     chunks = jobs.select("workflow_id", "job_id", F.col("job_id").alias("index"), arrival.cast("long").alias("arrival"), F.lit(3).cast("long").alias("service"))
     return windows.backlog(chunks, ["workflow_id"]).select("workflow_id", "job_id", "finish", "wait")
+
+
+@query("motion_states", """SELECT motion_state, count(*) AS n, sum(samples)::BIGINT AS samples FROM (SELECT *, CASE WHEN v IS NULL THEN 'unknown' WHEN v < 3 THEN 'stationary' WHEN v < 12 THEN 'walking' ELSE 'running' END AS motion_state FROM (
+ SELECT count(*) OVER w AS samples, CASE WHEN clip_seconds > first(clip_seconds) OVER w THEN sqrt(pow(x - first(x) OVER w, 2) + pow(y - first(y) OVER w, 2)) / (clip_seconds - first(clip_seconds) OVER w) / ((h + first(h) OVER w) / 2) END AS v
+ FROM (SELECT *, 40.0::DOUBLE + source_frame % 5 AS h FROM pth) WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY CAST(round(clip_seconds * 1000) AS BIGINT) RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW))) GROUP BY ALL""", "pth")
+def motion_states(spark, d):
+    p = views.path(spark, d).withColumn("height", F.lit(40.0) + F.col("source_frame") % 5)
+    return evidence.motion_state(p, TRACK, 1.0, 3.0, 12.0).groupBy("motion_state").agg(F.count(F.lit(1)).alias("n"), F.sum("samples").alias("samples"))
+
+
+STEPS = "st AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) / (clip_seconds - lag(clip_seconds) OVER w) AS speed FROM pth WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY source_frame))"
+views.SQL["steps"] = STEPS
+
+
+@query("sustained_motion", "SELECT clip_id, track_id, source_frame FROM (SELECT *, count(*) FILTER (speed >= 2000) OVER (PARTITION BY clip_id, track_id ORDER BY source_frame ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS k FROM st) WHERE k >= 2", "pth", "steps")
+def sustained_motion(spark, d):
+    return evidence.sustained(views.path(spark, d), TRACK, 2000.0).select("clip_id", "track_id", "source_frame")
+
+
+@query("arrests", "SELECT clip_id, count(*) FILTER (speed <= 0.1 * peak) AS arrests, count(peak) AS steps FROM (SELECT *, max(speed) OVER (PARTITION BY clip_id, track_id ORDER BY CAST(round(clip_seconds * 1000) AS BIGINT) RANGE BETWEEN 2000 PRECEDING AND CURRENT ROW) AS peak FROM st) GROUP BY clip_id", "pth", "steps")
+def arrests(spark, d):
+    return evidence.peaks(views.path(spark, d), TRACK, 2.0, 0.1).groupBy("clip_id").agg(F.count_if("arrest").alias("arrests"), F.count("peak").alias("steps"))
+
+
+@query("approaching_tracks", "SELECT clip_id, track_id, coalesce(bool_and(r - p <= 1000), true) AS monotone, count(*) AS points FROM (SELECT *, lag(r) OVER (PARTITION BY clip_id, track_id ORDER BY source_frame) AS p FROM (SELECT *, sqrt(pow(x - 200, 2) + pow(y - 300, 2)) AS r FROM pth)) GROUP BY ALL", "pth")
+def approaching_tracks(spark, d):
+    return evidence.approaching(views.path(spark, d), TRACK, 200.0, 300.0, 1000.0)
+
+
+@query("long_tracks", "SELECT clip_id, track_id, count(*) AS n FROM pth GROUP BY ALL HAVING count(*) >= 42", "pth")
+def long_tracks(spark, d):
+    return evidence.long_tracks(views.path(spark, d), TRACK, 42).groupBy(*TRACK).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("static_tracks", "SELECT clip_id, track_id, round(coalesce(sum(step), 0), 3) AS path, round(median(step), 6) AS median_step, count(*) AS points, coalesce(coalesce(sum(step), 0) <= 40 * median(step), true) AS static FROM st GROUP BY ALL", "pth", "steps")
+def static_tracks(spark, d):
+    return evidence.moving_tracks(views.path(spark, d), TRACK, 40.0).withColumns({"path": F.round("path", 3), "median_step": F.round("median_step", 6)})
+
+
+@query("confirmed_runs", "SELECT clip_id, source_frame FROM (SELECT *, lead(source_frame, 1) OVER w AS a, lead(source_frame, 2) OVER w AS b FROM pth WHERE source_frame % 7 <> 3 WINDOW w AS (PARTITION BY clip_id ORDER BY source_frame)) WHERE a = source_frame + 1 AND b = source_frame + 2", "pth")
+def confirmed_runs(spark, d):
+    return evidence.confirmed_runs(views.path(spark, d).where("source_frame % 7 <> 3"), CLIP, 1).select("clip_id", "source_frame")
+
+
+@query("provenance_gate", "SELECT clip_id, count(*) AS states, count(*) FILTER (event_type <> 'signup') AS eligible, CASE WHEN count(*) FILTER (event_type <> 'signup') >= 0.8 * count(*) THEN 'passed' ELSE 'review_required' END AS status FROM pth GROUP BY clip_id", "pth")
+def provenance_gate(spark, d):
+    return evidence.provenance_gate(views.path(spark, d), CLIP, "event_type <> 'signup'", 0.8)
+
+
+@query("label_counts", "SELECT clip_id, event_type, count(*) AS n FROM pth GROUP BY ALL", "pth")
+def label_counts(spark, d):
+    return evidence.label_counts(views.path(spark, d), CLIP, "event_type")
+
+
+@query("missing_frames", "SELECT c.clip_id, f AS source_frame FROM (SELECT clip_id, unnest(generate_series(0, 500, 5)) AS f FROM (SELECT DISTINCT clip_id FROM pth)) c ANTI JOIN (SELECT clip_id, source_frame AS f FROM pth WHERE source_frame % 3 > 0) p USING (clip_id, f)", "pth")
+def missing_frames(spark, d):
+    p = views.path(spark, d)
+    clips = p.select("clip_id").distinct().select("clip_id", F.lit(0).cast("long").alias("first_frame"), F.lit(500).cast("long").alias("last_frame"))
+    return evidence.missing_frames(p.where("source_frame % 3 > 0"), clips, CLIP, 5)
+
+
+@query("membership_faults", "SELECT segment_id, event_key, ordinal, row_number() OVER (PARTITION BY segment_id ORDER BY ordinal) - 1 AS place, count(*) OVER (PARTITION BY segment_id, ordinal) AS repeats FROM his WHERE segment_id % 5 > 0 OR ordinal <> 1 QUALIFY place <> ordinal OR repeats > 1", "his")
+def membership_faults(spark, d):
+    log = views.history(spark, d).where("segment_id % 5 > 0 OR ordinal <> 1")
+    return evidence.membership_faults(log, ["segment_id"], "ordinal").select("segment_id", "event_key", "ordinal", "place", "repeats")
+
+
+@query("audit_sequence", "SELECT workflow_id, segment_id, ordinal, row_number() OVER (PARTITION BY workflow_id ORDER BY segment_id, ordinal) AS sequence FROM his", "his")
+def audit_sequence(spark, d):
+    return evidence.audit_sequence(views.history(spark, d), ["workflow_id"], ["segment_id", "ordinal"]).select("workflow_id", "segment_id", "ordinal", "sequence")
+
+
+@query("active_leases", "SELECT workflow_id, priority_rank, heartbeats FROM (SELECT workflow_id, priority_rank, max(created_at::DATE) AS renewed, count(*) AS heartbeats FROM job WHERE created_at::DATE <= DATE '1995-06-17' GROUP BY ALL) WHERE renewed + 2 > DATE '1995-06-17'", "job")
+def active_leases(spark, d):
+    return evidence.active_leases(views.jobs(spark, d), ["workflow_id", "priority_rank"], "1995-06-17", 2).drop("renewed")
