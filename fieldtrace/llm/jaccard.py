@@ -32,8 +32,9 @@ def signed(width: int) -> np.dtype:
     return np.dtype([*GROUPED.descr, ("bits", "u8", (width // 64,))])
 
 
-#: Texts of one key that a group of documents sends to the first comparison, which is a short cut; sets of one key compared at once.
-SENT, TOGETHER = 4, 1024
+#: Texts of one key that reach the first comparison, which is a short cut, and of each group of documents at least; sets of one key
+#: compared at once, and how many of those before them.
+SENT, SENT_EACH, TOGETHER, AGAIN = 8192, 4, 2048, 64
 #: Up to so many sets of a key are a leaf of the tree: all pairs are tested.
 SMALL = 48
 
@@ -121,7 +122,8 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
        exact sets decide. Whole groups of near copies come together there, without all their pairs.
     2. The rest: keys that still hold different components, without each class's most frequent ones, get a bitmap of each class; the trees' pairs
        between components are decided by their texts. So no link between different components is lost, and no pair within one is made.
-    Step 1 combines within groups of documents first and is no more than a short cut, so it sends at most 4 texts of a key from each group.
+    Step 1 combines within groups of documents first and is no more than a short cut, so it sends about 8,192 texts
+    of a key at most, or 4 from each group.
 
     Repeated rows are one document; that one doc_id has two different texts is not foreseen. Null doc_ids count as smaller than any
     other: their component is null, and so is that of what they link with. Columns of docs named like an added column are replaced. An empty table stays empty.
@@ -202,7 +204,7 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
             edges = local(some)
             joined_docs = {b for _, b in edges}
             made += edges_of(edges)
-            made += [(KEYS, key % groups, headed(d, key, 0, 0, t)) for d, t in [x for x in some if x[0] not in joined_docs][:SENT]]
+            made += [(KEYS, key % groups, headed(d, key, 0, 0, t)) for d, t in [x for x in some if x[0] not in joined_docs][: max(SENT_EACH, SENT // groups)]]
         return pa.Table.from_batches([batch(made)])
 
     def local(some: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
@@ -212,7 +214,7 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
         some, sets = [x for x, s in zip(some, sets, strict=True) if len(s)], [s for s in sets if len(s)]
         order = np.argsort([len(s) for s in sets], kind="stable")
         for lo in range(0, len(some), TOGETHER):
-            part = order[lo : lo + TOGETHER]
+            part = order[max(0, lo - AGAIN) : lo + TOGETHER]
             if len(part) > 1:
                 root = np.arange(len(part))
                 linked([sets[k] for k in part], least, root)
@@ -310,10 +312,12 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
             right.append(x + step)
         x, y = np.concatenate(left), np.concatenate(right)
         a, b = np.minimum(heads["doc"][x], heads["doc"][y]), np.maximum(heads["doc"][x], heads["doc"][y])
-        once = np.unique(np.stack([a, b]), axis=1, return_index=True)[1] if len(x) else x
+        by_pair = np.lexsort((b, a))
+        a, b = a[by_pair], b[by_pair]
+        once = by_pair[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])] if len(x) else x
         x, y = x[once], y[once]
         narrow = np.minimum(widths[x], widths[y])
-        wanted: set[tuple[int, int]] = set()
+        wanted = [np.zeros((2, 0), np.int64)]
         for width in np.unique(narrow):
             i, j = x[narrow == width], y[narrow == width]
             used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
@@ -324,7 +328,7 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
                 part = slice(lo, lo + (1 << 14))
                 most = np.bitwise_count(bits[m[part]] & bits[n_[part]]).sum(axis=1) + np.minimum(excess[m[part]], excess[n_[part]])
                 keep = (100 + least) * most >= least * (size[i[part]] + size[j[part]])
-                wanted.update(zip(heads["doc"][i[part]][keep].tolist(), heads["doc"][j[part]][keep].tolist(), strict=True))
+                wanted.append(np.stack([heads["doc"][i[part]][keep], heads["doc"][j[part]][keep]]))
         band = bands(np.maximum(size, 1), least)
         for f, c in zip(first[count > SMALL], count[count > SMALL], strict=True):
             own = np.arange(f, f + c)
@@ -337,9 +341,15 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
                 x, y = pairs(Tree(size[some], bits), least)
                 x, y = some[x], some[y]
                 different = component[x] != component[y]
-                wanted.update(zip(heads["doc"][x[different]].tolist(), heads["doc"][y[different]].tolist(), strict=True))
+                wanted.append(np.stack([heads["doc"][x[different]], heads["doc"][y[different]]]))
         # Both texts go to a group that the pair names.
-        rows = np.array([(d, mixed_pair(p), 0) for p in wanted for d in p], KEYED) if wanted else np.zeros(0, KEYED)
+        both = np.sort(np.concatenate(wanted, axis=1), axis=0)
+        both = both[:, np.lexsort((both[1], both[0]))]
+        if both.shape[1]:
+            both = both[:, np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(axis=0)])]
+        rows = np.zeros(2 * both.shape[1], KEYED)
+        rows["doc"] = both.ravel()
+        rows["key"] = np.tile(mixed(mixed(both[0].astype(np.uint64)) ^ both[1].astype(np.uint64)), 2)
         return by_doc(rows)
 
     needed, _ = split(slim, told(apart, GROUPED))
@@ -382,12 +392,6 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
     return unrowed(out, docs.columns, ["text", *ADDED])
 
 
-def mixed_pair(pair: tuple[int, int]) -> int:
-    a, b = sorted(pair)
-    one = mixed(np.array([a], np.int64).astype(np.uint64))
-    return int(mixed(one ^ np.array([b], np.int64).astype(np.uint64))[0])
-
-
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return link(docs, n=4, least=85).select("doc_id", *ADDED)
