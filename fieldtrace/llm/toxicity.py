@@ -1,11 +1,11 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine of whole texts over an inverted index of all terms of the examples."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,50 +17,69 @@ from fieldtrace.llm.common import cut, small_batches
 
 ADDED = ["held_out", "score", "predicted", "evidence"]
 TERM = re.compile(r"[^\W_]+")
-#: Examples of each class at most, terms at most; a term is one of the space if its share of documents differs between
-#: the classes by a factor, and clearly: by a log-likelihood ratio that one in millions of unrelated terms would reach.
-EXAMPLES, TERMS, FACTOR, CLEAR = 4000, 512, 3.0, 30.0
+#: Examples of each class at most.
+EXAMPLES = 4000
 #: Examples of a block of postings, neighbours that vote, evidence shown, distance that is added to each.
 BLOCK, NEIGHBOURS, SHOWN, NEAR = 64, 25, 3, 0.05
+#: Terms in most examples, whose weights are a dense matrix, and texts that meet it at once.
+DENSE, AT_ONCE = 512, 256
 #: Letters of the beginnings of words that are terms too.
 STEMS = (4, 5)
+FOUND = "struct<mark:bigint,own:double,places:array<int>,dots:array<double>>"
+FOUND_ARROW = pa.struct([("mark", pa.int64()), ("own", pa.float64()), ("places", pa.list_(pa.int32())), ("dots", pa.list_(pa.float64()))])
 SCORE = "struct<score:double,evidence:array<struct<doc_id:bigint,similarity:double,toxic:int>>>"
 SCORE_ARROW = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())])))])
 
 
-@dataclass
+class Lanes:
+    """Of each term the numbers of the blocks of examples that have it, or (dense) its weights in those blocks."""
+
+    def __init__(self, index: Index, dense: bool) -> None:
+        self.index, self.dense = index, dense
+
+    def __getitem__(self, t: int) -> np.ndarray:
+        at = slice(self.index.starts[t], self.index.starts[t + 1])
+        places = self.index.places[at].astype(np.int64)
+        blocks, row = np.unique(places // BLOCK, return_inverse=True)
+        if not self.dense:
+            return blocks
+        lanes = np.zeros((len(blocks), BLOCK))
+        lanes[row, places % BLOCK] = self.index.values[at]
+        return lanes
+
+
 class Index:
-    """Postings of each term in blocks: block numbers, their largest weights, and a dense row of weights for each block."""
-
-    terms: dict[str, int]
-    idf: np.ndarray
-    blocks: list[np.ndarray]
-    most: list[np.ndarray]
-    lanes: list[np.ndarray]
-    docs: np.ndarray
-    toxic: np.ndarray
-    weight: np.ndarray
-    rest: float
-    prior: float
-
-    @classmethod
-    def built(cls, terms: list[str], idf: np.ndarray, docs: np.ndarray, toxic: np.ndarray, counts: list[dict[int, int]], weight: np.ndarray, prior: float) -> Index:
-        idle = np.array([not c for c in counts], bool) if counts else np.zeros(0, bool)
-        total = weight[idle].sum()
-        rest = float((weight[idle] * toxic[idle]).sum() + prior) / float(total + 1) if len(counts) else prior
-        vectors = [cls.unit(c, idf) for c in counts]
-        # Examples with the same heaviest terms share blocks, which makes the blocks' bounds sharp.
-        order = [k for k in sorted(range(len(counts)), key=lambda k: (sorted(vectors[k], key=lambda t: -vectors[k][t])[:3], docs[k])) if counts[k]]
-        n = -(-len(order) // BLOCK)
-        dense: list[dict[int, np.ndarray]] = [{} for _ in terms]
-        for place, k in enumerate(order):
-            for t, w in vectors[k].items():
-                dense[t].setdefault(place // BLOCK, np.zeros(BLOCK))[place % BLOCK] = w
-        blocks = [np.array(sorted(d), np.int64) for d in dense]
-        lanes = [np.stack([d[b] for b in sorted(d)]) if d else np.zeros((0, BLOCK)) for d in dense]
-        pad = n * BLOCK - len(order)
-        take = lambda x, fill: np.append(x[order], np.full(pad, fill, x.dtype)) if order else x[:0]
-        return cls({t: k for k, t in enumerate(terms)}, idf, blocks, [x.max(axis=1, initial=0) for x in lanes], lanes, take(docs, np.iinfo(np.int64).max), take(toxic, 0), take(weight, 0.0), rest, prior)
+    """All terms of the examples, their weights (`idf`), and of each term its postings: places of examples and the unit vectors' weights there.
+
+    Places are padded to whole blocks. The terms that most examples have are a dense matrix, made where it is used.
+    """
+
+    def __init__(self, terms: list[str], idf: np.ndarray, docs: np.ndarray, toxic: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray, prior: float) -> None:
+        """counts: of each example its terms and how often it has each."""
+        idle = np.array([not len(c[0]) for c in counts], bool)
+        self.rest = float((weight[idle] * toxic[idle]).sum()) / float(weight[idle].sum() + 1)
+        self.terms, self.idf, self.prior = {t: k for k, t in enumerate(terms)}, idf, prior
+        order = np.flatnonzero(~idle)
+        sizes = np.array([len(counts[k][0]) for k in order], np.int64)
+        place = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
+        term = np.concatenate([np.zeros(0, np.int64), *(counts[k][0] for k in order)]).astype(np.int64)
+        raw = (1 + np.log(np.concatenate([np.zeros(0), *(counts[k][1] for k in order)]))) * idf[term]
+        length = np.sqrt(np.bincount(place, raw * raw, minlength=len(order)))
+        by_term = np.argsort(term, kind="stable")
+        self.places, self.values = place[by_term], (raw / length[place])[by_term]
+        self.starts = np.append(0, np.cumsum(np.bincount(term, minlength=len(terms))))
+        pad = -len(order) % BLOCK
+        self.docs, self.toxic, self.weight = (np.append(x[order], np.full(pad, fill, x.dtype)) for x, fill in ((docs, np.iinfo(np.int64).max), (toxic, 0), (weight, 0.0)))
+        self.common = np.argsort(-np.diff(self.starts), kind="stable")[:DENSE]
+        self.matrix = None
+
+    @property
+    def blocks(self) -> Lanes:
+        return Lanes(self, False)
+
+    @property
+    def lanes(self) -> Lanes:
+        return Lanes(self, True)
 
     @staticmethod
     def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
@@ -68,33 +87,52 @@ class Index:
         length = np.sqrt(sum(w * w for w in raw.values()))
         return {t: float(w / length) for t, w in sorted(raw.items())}
 
+    def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (1 + np.log(counts)) * self.idf[terms]
+
+    def products(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The product of each query (terms, weights) with every example."""
+        if self.matrix is None:
+            self.matrix, self.column = np.zeros((len(self.common), len(self.docs))), np.full(len(self.terms), -1)
+            self.column[self.common] = np.arange(len(self.common))
+            for k, t in enumerate(self.common):
+                at = slice(self.starts[t], self.starts[t + 1])
+                self.matrix[k, self.places[at]] = self.values[at]
+        dense, others = np.zeros((len(queries), len(self.common))), []
+        for row, (terms, weights) in zip(dense, queries, strict=True):
+            column = self.column[terms]
+            row[column[column >= 0]] = weights[column >= 0]
+            others.append((terms[column < 0], weights[column < 0]))
+        out = dense @ self.matrix
+        for row, (terms, weights) in zip(out, others, strict=True):
+            size = self.starts[terms + 1] - self.starts[terms]
+            at = np.repeat(self.starts[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            if len(at):
+                row += np.bincount(self.places[at], self.values[at] * np.repeat(weights, size), minlength=len(row))
+        return out
+
+    def best(self, products: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k largest of a query's products above 0, ties (to 12 decimals of the largest) to the smaller doc_id."""
+        k = min(k, len(products))
+        if not k or products.max() <= 0:
+            return np.zeros(0, np.int64), np.zeros(0)
+        least = np.partition(products, len(products) - k)[len(products) - k]
+        some = np.flatnonzero((products >= least - 1e-11 * products.max()) & (products > 0))
+        step = 1e-12 * products.max()
+        some = some[np.lexsort((self.docs[some], -np.round(products[some] / step)))][:k]
+        return some, products[some]
+
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest cosine, ties to the smaller doc_id, and the cosines. Blocks are read by falling bound until none can add."""
-        bound = np.zeros(len(self.docs) // BLOCK)
-        for t, w in query.items():
-            bound[self.blocks[t]] += w * self.most[t]
-        order = np.argsort(-bound, kind="stable")
-        ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        for b in order[bound[order] > 0]:
-            if len(sims) >= k and bound[b] < sims[-1] - 1e-12:
-                break
-            own = np.zeros(BLOCK)
-            for t, w in query.items():
-                at = np.searchsorted(self.blocks[t], b)
-                if at < len(self.blocks[t]) and self.blocks[t][at] == b:
-                    own += w * self.lanes[t][at]
-            some = np.flatnonzero(own > 0)
-            ids, sims = np.append(ids, b * BLOCK + some), np.append(sims, own[some])
-            best = np.lexsort((self.docs[ids], -sims))[:k]
-            ids, sims = ids[best], sims[best]
-        return ids, sims
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[dict]]:
-        if not counts:
+        """The k examples with the largest cosine, ties to the smaller doc_id, and the cosines."""
+        return self.best(self.products([(np.array(list(query), np.int64), np.array(list(query.values()), float))])[0], k)
+
+    def score(self, own: float, ids: np.ndarray, dots: np.ndarray) -> tuple[float, list[dict]]:
+        """From the length of a whole text's weights, and its products with the nearest examples."""
+        if not own:
             return self.rest, []
-        ids, sims = self.nearest(self.unit(counts, self.idf), NEIGHBOURS)
         if not len(ids):
             return self.prior, []
+        sims = np.minimum(1.0, dots / own)
         votes = self.weight[ids] / (np.maximum(0, 1 - sims) + NEAR)
         score = float(min(1.0, max(0.0, (votes @ self.toxic[ids] + self.prior) / (votes.sum() + 1))))
         return score, [{"doc_id": int(self.docs[i]), "similarity": float(s), "toxic": int(self.toxic[i])} for i, s in zip(ids[:SHOWN], sims[:SHOWN], strict=True)]
@@ -118,8 +156,23 @@ class Places(dict):
         return found
 
 
-def counted(text: str, places: Places) -> dict[int, int]:
-    return Counter(t for found in filter(None, map(places.__getitem__, TERM.findall(text.lower()))) for t in found)
+class Others(Places):
+    """Hashes of the terms that a word counts for and that no example has."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = found = tuple(xxhash.xxh3_64_intdigest(f) >> 1 for f in features(word) if f not in self.terms)
+        return found
+
+
+def counted(words: list[str], places: Places) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of words, and how often each stands there."""
+    return np.unique(np.array(list(chain.from_iterable(map(places.__getitem__, words))), np.int64), return_counts=True)
+
+
+def text_mark(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
 
 
 def copy_mark(text: str) -> int:
@@ -132,12 +185,23 @@ def texts_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
     return ((b, b.column("text").to_pylist()) for b in batches)
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
+class Fitted:
+    """An index, and of the texts that it was fitted on the squared weights of terms that no example has (mark, beside)."""
+
+    def __init__(self, index: Index, beside: DataFrame) -> None:
+        self.index, self.beside = index, beside
+
+    def __getattr__(self, name: str):
+        return getattr(self.index, name)
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
     """The index of at most `examples` labelled texts of each class (those with the smallest hashes of doc_id); all that it holds is so bounded.
 
     Only labels whose crc32(doc_id as text) mod 5 is not 0 count. Of several labels of one document the larger counts; null labels and
-    labels without a document don't. Copies and most near copies of a text are one example, that of the smallest doc_id. Terms are chosen on the examples; their document frequencies
-    are counted over all of docs.
+    labels without a document don't. Copies and most near copies of a text are one example, that of the smallest doc_id. The index holds
+    every term of the examples (words and their beginnings); a term weighs its inverse document frequency, counted over all of docs, times 1 and the
+    log-likelihood ratio of its shares in the two classes, so that terms that tell the classes apart weigh more and none is left out.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     known = cut(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
@@ -167,67 +231,104 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     per_term = texts.mapInArrow(terms_of, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     a, b, n = F.col("a"), F.col("b"), float(max(1, n1 + n0))
     surprise = lambda x, of: F.when(x > 0, x * F.log(x * n / ((a + b) * float(max(1, of))))).otherwise(0.0)
-    clear = 2 * (surprise(a, n1) + surprise(b, n0))
-    ratio = ((a + 0.5) / (n1 + 1.0)) / ((b + 0.5) / (n0 + 1.0))
-    chosen = per_term.where((clear >= CLEAR) & ((ratio >= FACTOR) | (ratio <= 1 / FACTOR))).orderBy(F.desc(clear), "term").limit(TERMS).select("term")
-    terms = sorted(r["term"] for r in chosen.collect())  # at most TERMS
-    places = {t: k for k, t in enumerate(terms)}
+    clear = F.greatest(F.lit(0.0), 2 * (surprise(a, n1) + surprise(b, n0)))
+    per_term = per_term.select("term", clear.alias("clear")).toArrow().sort_by("term")  # the vocabulary of at most 2 * examples texts
+    terms, clear = per_term["term"].to_pylist(), per_term["clear"].to_numpy()
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Places(places)
-        total = np.zeros(len(places) + 1, np.int64)
+        """(null, place, texts with it), the number of texts under the place after the last; and (mark of a text, hash of a term that no example has, how often)."""
+        known, others = Places(shared.value), Others(shared.value)
+        total = np.zeros(len(known.terms) + 1, np.int64)
+        kinds = [pa.int64()] * 3
         for _, some in texts_in(batches):
             total[-1] += len(some)
+            rows: tuple[list, list, list] = ([], [], [])
             for text in some:
-                total[list(counted(text, known))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["place", "n"])
+                words = TERM.findall(text.lower())
+                total[np.unique(np.array(list(chain.from_iterable(map(known.__getitem__, set(words)))), np.int64))] += 1
+                strange = Counter(chain.from_iterable(filter(None, map(others.__getitem__, words))))
+                if strange:
+                    rows[0].extend([text_mark(text)] * len(strange))
+                    rows[1].extend(strange)
+                    rows[2].extend(strange.values())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], ["mark", "term", "n"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(at), pa.array(total[at])], ["mark", "term", "n"])
 
     whole = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    in_docs = {r["place"]: r["n"] for r in whole.mapInArrow(frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()}
-    all_docs = in_docs.get(len(terms), 0)
-    idf = np.array([np.log((1 + all_docs) / (1 + in_docs.get(k, 0))) + 1 for k in range(len(terms))])
+    seen = cut(whole.mapInArrow(frequencies, "mark long, term long, n long"))
+    in_docs = np.zeros(len(terms) + 1, np.int64)
+    of_terms = seen.where("mark IS NULL").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    in_docs[of_terms["term"].to_numpy()] = of_terms["n"].to_numpy()
+    all_docs = int(in_docs[-1])
+    idf = (np.log((1 + all_docs) / (1 + in_docs[:-1])) + 1) * (1 + clear)
+    # Squared weights of each text's terms that no example has; equal texts are one mark.
+    strange = seen.where("mark IS NOT NULL").groupBy("mark", "term").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    strange_idf = strange.groupBy("term").agg((F.log(F.lit(1.0 + all_docs) / (1 + F.sum("texts"))) + 1).alias("idf"))
+    beside = cut(strange.join(strange_idf, "term").groupBy("mark").agg(F.sum(F.pow((1 + F.log("n")) * F.col("idf"), 2)).alias("beside")))
 
     def example_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Places(shared.value)
         for b, some in texts_in(batches):
-            counts = [counted(t, Places(places)) for t in some]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
+            counts = [counted(TERM.findall(t.lower()), known) for t in some]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *(pa.array([c[k] for c in counts], pa.list_(pa.int32())) for k in (0, 1))], ["doc_id", "toxic", "terms", "counts"])
 
-    rows = sorted(texts.mapInArrow(example_counts, "doc_id long, toxic int, terms array<int>, counts array<int>").collect(), key=lambda r: r["doc_id"])  # at most 2 * examples
-    toxic = np.array([r["toxic"] for r in rows], np.int64)
+    rows = texts.mapInArrow(example_counts, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")  # at most 2 * examples
+    toxic = rows["toxic"].to_numpy().astype(np.int64)
+    counts = [(t.values.to_numpy(), c.values.to_numpy()) for t, c in zip(rows["terms"], rows["counts"], strict=True)]
     share = {y: sizes.get(y, 0) / max(1, found.get(y, 0)) for y in (0, 1)}
-    return Index.built(terms, idf, np.array([r["doc_id"] for r in rows], np.int64), toxic, [dict(zip(r["terms"], r["counts"], strict=True)) for r in rows], np.array([share[int(y)] for y in toxic], float), prior)
+    index = Index(terms, idf, rows["doc_id"].to_numpy().astype(np.int64), toxic, counts, np.array([share[int(y)] for y in toxic], float), prior)
+    return Fitted(index, beside)
 
 
-def score(docs: DataFrame, index: Index) -> DataFrame:
+def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """docs (doc_id, text, ...) plus held_out, score (0 to 1), predicted (score >= 0.5), evidence (the nearest examples).
 
-    The whole text is compared with every example that has a term in common, by cosine of TF-IDF weights (1 + log tf) * idf over the
-    index's terms. The 25 nearest vote, weighted by 1 / (distance + 0.05) and by how many labelled documents an example stands for, with
-    the share of label 1 as one more vote. A text without any of the terms, an empty or null one among them, scores as the examples
-    without terms do. held_out tells the rows that fit() never learns from; a null doc_id is one of them. Columns of docs named like an added
+    docs are rows of the table that was fitted on. The whole text is compared with every example that has a term in common, by cosine of weights
+    (1 + log tf) * idf; terms that no example has count in the length of the text. The 25 nearest vote, weighted by 1 / (distance + 0.05) and by how many
+    labelled documents an example stands for, with the share of label 1 as one more vote. A text without any term, an empty or null one among them,
+    scores as the examples without terms do, or 0. held_out tells the rows that fit() never learns from; a null doc_id is one of them. Columns of docs named like an added
     column are replaced. Rows are scored one by one, so repeated rows get equal scores and an empty table stays empty.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted.index)
 
-    @F.arrow_udf(SCORE)
+    @F.arrow_udf(FOUND)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own, known, places = shared.value, {}, Places(shared.value.terms)
+        index, known, places = shared.value, {}, Places(shared.value.terms)
         for texts in batches:
-            out = []
-            for text in texts.to_pylist():
-                counts = counted(text, places)
-                mark = tuple(sorted(counts.items()))
-                if mark not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[mark] = own.score(counts)
-                out.append(known[mark])
+            texts = texts.to_pylist()
+            marks = [text_mark(t) for t in texts]
+            if len(known) > 20_000:
+                known.clear()
+            new = list({m: t for m, t in zip(marks, texts, strict=True) if m not in known}.items())
+            for lo in range(0, len(new), AT_ONCE):
+                some = new[lo : lo + AT_ONCE]
+                terms = [counted(TERM.findall(t.lower()), places) for _, t in some]
+                queries = [(t, index.weights(t, n)) for t, n in terms]
+                for (mark, _), (_, weights), products in zip(some, queries, index.products(queries), strict=True):
+                    ids, dots = index.best(products, NEIGHBOURS)
+                    known[mark] = float(weights @ weights), ids, dots
+            own, ids, dots = zip(*(known[m] for m in marks), strict=True) if marks else ((), (), ())
+            lists = lambda x, t: pa.array(x, pa.list_(t))
+            yield pa.StructArray.from_arrays([pa.array(marks, pa.int64()), pa.array(own, pa.float64()), lists(ids, pa.int32()), lists(dots, pa.float64())], fields=list(FOUND_ARROW))
+
+    @F.arrow_udf(SCORE)
+    def vote(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        index = shared.value
+        for own, places, dots in batches:
+            own = np.sqrt(own.to_numpy(zero_copy_only=False))
+            out = [index.score(o, p.values.to_numpy(), d.values.to_numpy(zero_copy_only=False)) for o, p, d in zip(own, places, dots, strict=True)]
             yield pa.array([{"score": s, "evidence": e} for s, e in out], SCORE_ARROW)
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
-    scored = docs.select(*[docs[c] for c in docs.columns if c.lower() not in ADDED], held_out.alias("held_out"), run(F.coalesce("text", F.lit(""))).alias("scored"))
     kept = [c for c in docs.columns if c.lower() not in ADDED]
+    near = docs.select(*[docs[c] for c in kept], held_out.alias("held_out"), run(F.coalesce("text", F.lit(""))).alias("found_"))
+    beside = fitted.beside.select(F.col("mark").alias("mark_"), F.col("beside").alias("beside_"))
+    near = near.join(beside, F.col("found_.mark") == F.col("mark_"), "left")
+    scored = near.select(*kept, "held_out", vote(F.col("found_.own") + F.coalesce("beside_", F.lit(0.0)), F.col("found_.places"), F.col("found_.dots")).alias("scored"))
     return scored.select(*kept, "held_out", F.col("scored.score").alias("score"), (F.col("scored.score") >= 0.5).cast("int").alias("predicted"), F.col("scored.evidence").alias("evidence"))
 
 

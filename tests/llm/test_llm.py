@@ -299,6 +299,21 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(5), toxicity.fit(docs.limit(0), labels)).count() == 5
 
 
+def test_toxicity_of_rare_words(spark):
+    """A word that stands in few toxic examples counts; so do all words of a text, those that no example has too."""
+    own = random.Random(8)
+    common = lambda n: " ".join("c%d" % own.randrange(60) for _ in range(n))
+    vile = [hashlib.md5(str(k).encode()).hexdigest()[:7] for k in range(20)]
+    rows = [(k, common(40) + (" " + vile[k % 40 // 2] if k % 2 else "")) for k in range(400)]
+    rows += [(1000 + k, vile[k] + " " + common(40)) for k in range(20)] + [(2000, vile[3] + " " + " ".join(f"fresh{k}" for k in range(3000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = toxicity.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int"))
+    assert {w for k, t in rows[:400] if zlib.crc32(str(k).encode()) % 5 for w in t.split()} <= set(fitted.index.terms)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, fitted).collect()}
+    assert all(got[1000 + k]["predicted"] for k in range(20))
+    assert got[2000]["evidence"][0]["similarity"] < got[1003]["evidence"][0]["similarity"] - 0.1
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
