@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fieldtrace.llm.blobs import BLOBS, DOCS, EDGES, FACTS, KEYS, NO_ID, batch, dealt, doc_key, grouped, joined, mapped, mixed, prime_groups, runs, split, text_slices, texts_of, told, unpacked_rows, unrowed, window_hashes, with_text
 from fieldtrace.llm.common import components, cut, small_batches, task_groups
 from fieldtrace.llm.passages import Hashes, word_hashes
-from fieldtrace.llm.signatures import Tree, bitmap, close, linked, pairs, width_for
+from fieldtrace.llm.signatures import Tree, bitmap, close, linked, pair_chunks, width_for
 
 ADDED = ["n_shingles", "component_id"]
 BASE = 0x9E3779B97F4A7C15
@@ -35,6 +35,10 @@ def signed(width: int) -> np.dtype:
 #: Texts of one key that reach the first comparison, which is a short cut, and of each group of documents at least; sets of one key
 #: compared at once, and how many of those before them.
 SENT, SENT_EACH, TOGETHER, AGAIN = 8192, 4, 2048, 64
+#: Bytes of texts of one key that reach the first comparison, from all groups of documents.
+SENT_BYTES = 64 << 20
+#: Classes of one key that meet in one group; of a key with more, pairs of blocks meet.
+MEET = 4096
 #: Up to so many sets of a key are a leaf of the tree: all pairs are tested.
 SMALL = 48
 
@@ -204,7 +208,9 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
             edges = local(some)
             joined_docs = {b for _, b in edges}
             made += edges_of(edges)
-            made += [(KEYS, key % groups, headed(d, key, 0, 0, t)) for d, t in [x for x in some if x[0] not in joined_docs][: max(SENT_EACH, SENT // groups)]]
+            sent = [x for x in some if x[0] not in joined_docs][: max(SENT_EACH, SENT // groups)]
+            size = np.cumsum([len(t) for _, t in sent])
+            made += [(KEYS, key % groups, headed(d, key, 0, 0, t)) for (d, t), so_far in zip(sent, size, strict=True) if so_far <= max(1, SENT_BYTES // groups)]
         return pa.Table.from_batches([batch(made)])
 
     def local(some: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
@@ -259,6 +265,23 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
     told_of = keyed.unionByName(grouped_docs.mapInArrow(as_blobs, BLOBS)).groupBy("target").applyInArrow(with_components, BLOBS)
     apart = cut(sifted(grouped(told_of, still_apart), GROUPED))
 
+    def blocks(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which records go, and the keys that they go to: a key that more than MEET classes have is split by neighbouring bands of sizes and by
+        pairs of blocks of half that many, so that any two classes of possible sizes meet under one key and no group holds all."""
+        parts = -(-rows["seen"].astype(np.int64) // (MEET // 2))
+        at, keys = [np.flatnonzero(rows["seen"] <= MEET)], [rows["key"][rows["seen"] <= MEET]]
+        band = bands(np.maximum(rows["size"], 1), least)
+        for n_parts in np.unique(parts[rows["seen"] > MEET]):
+            some = np.flatnonzero((parts == n_parts) & (rows["seen"] > MEET))
+            own = (mixed(rows["doc"][some].astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+            for step in (0, 1):
+                for other in range(n_parts):
+                    low, high = np.minimum(own, other), np.maximum(own, other)
+                    place = (((band[some] - step + 1) * n_parts + low) * n_parts + high).astype(np.uint64)
+                    at.append(some)
+                    keys.append(mixed(rows["key"][some] ^ mixed(place + np.uint64(1))))
+        return np.concatenate(at), np.concatenate(keys)
+
     def send_bitmaps(texts: pa.Table, blobs: pa.Table) -> pa.Table:
         rows = np.sort(joined(blobs, GROUPED), order=["doc", "key"])
         by_width: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -277,6 +300,9 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
             for c in GROUPED.names:
                 out[c] = own[c]
             out["bits"] = np.repeat(np.stack([x for _, x in some]), [len(m) for m, _ in some], axis=0)
+            at, meet = blocks(own)
+            out = out[at]
+            out["key"] = meet
             made += [(k, t, np.int64(width).tobytes() + x) for k, t, x in by_key(out)]
         return pa.Table.from_batches([batch(made)])
 
@@ -338,10 +364,10 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
                     continue
                 width = int(widths[some].min())
                 bits = bits_of(some, width)
-                x, y = pairs(Tree(size[some], bits), least)
-                x, y = some[x], some[y]
-                different = component[x] != component[y]
-                wanted.append(np.stack([heads["doc"][x[different]], heads["doc"][y[different]]]))
+                for x, y in pair_chunks(Tree(size[some], bits), least):
+                    x, y = some[x], some[y]
+                    different = component[x] != component[y]
+                    wanted.append(np.stack([heads["doc"][x[different]], heads["doc"][y[different]]]))
         # Both texts go to a group that the pair names.
         both = np.sort(np.concatenate(wanted, axis=1), axis=0)
         both = both[:, np.lexsort((both[1], both[0]))]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from fieldtrace.llm.blobs import mixed
 
 FANOUT = 8
+#: Pairs of nodes that are opened at once.
+CHUNK = 1 << 13
 
 
 def width_for(size: int) -> int:
@@ -32,21 +36,18 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(excess, at)))
 
 
-def pairs(tree: Tree, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets a < b whose Jaccard similarity may reach least percent: both trees of a self-join descended together.
+def pair_chunks(tree: Tree, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets a < b whose Jaccard similarity may reach least percent, in chunks: both trees of a self-join descended together, depth first.
 
     A pair of nodes goes on if the sizes allow it and the most tokens that sets below may have in common, those in
-    the common bits and those hidden behind them, are enough for the smallest sets.
+    the common bits and those hidden behind them, are enough for the smallest sets. At most CHUNK pairs of nodes open at once,
+    so what waits is bounded by the depth of the tree.
     """
-    left = right = np.zeros(1, np.int64)
-    for level in range(len(tree.levels) - 1, -1, -1):
+    child = np.arange(FANOUT)
+    waiting = [(len(tree.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while waiting:
+        level, left, right = waiting.pop()
         bits, low, high, excess = tree.levels[level]
-        if level < len(tree.levels) - 1:
-            child = np.arange(FANOUT)
-            left = np.repeat(left[:, None] * FANOUT + child, FANOUT, axis=1).ravel()
-            right = np.tile(right[:, None] * FANOUT + child, (1, FANOUT)).ravel()
-            inside = (left < len(bits)) & (right < len(bits)) & (left <= right)
-            left, right = left[inside], right[inside]
         keep = (100 * high[left] >= least * low[right]) & (100 * high[right] >= least * low[left])
         left, right = left[keep], right[keep]
         most = np.empty(len(left), np.int64)
@@ -55,8 +56,23 @@ def pairs(tree: Tree, least: int) -> tuple[np.ndarray, np.ndarray]:
             most[lo : lo + (1 << 14)] = np.bitwise_count(bits[a] & bits[b]).sum(axis=1) + np.minimum(excess[a], excess[b])
         keep = (100 + least) * most >= least * (low[left] + low[right])
         left, right = left[keep], right[keep]
-    different = left < right
-    return left[different], right[different]
+        if not level:
+            different = left < right
+            yield left[different], right[different]
+        elif len(left) > CHUNK:
+            # Checked again when they are taken up, which is cheap beside opening them.
+            waiting += [(level, left[lo : lo + CHUNK], right[lo : lo + CHUNK]) for lo in range(0, len(left), CHUNK)]
+        elif len(left):
+            left = np.repeat(left[:, None] * FANOUT + child, FANOUT, axis=1).ravel()
+            right = np.tile(right[:, None] * FANOUT + child, (1, FANOUT)).ravel()
+            inside = (left < len(tree.levels[level - 1][0])) & (right < len(tree.levels[level - 1][0])) & (left <= right)
+            waiting.append((level - 1, left[inside], right[inside]))
+
+
+def pairs(tree: Tree, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """All of pair_chunks() at once."""
+    found = list(pair_chunks(tree, least)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
 def close(a: np.ndarray, b: np.ndarray, least: int) -> bool:

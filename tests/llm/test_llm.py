@@ -161,6 +161,32 @@ def test_jaccard(spark, docs, rows, n, least):
     assert jaccard.link(empty(spark)).count() == 0
 
 
+def test_jaccard_of_a_common_line(spark, monkeypatch):
+    """Many classes share a line: the key is split, the descent is cut in chunks, and the result stays that of brute force."""
+    from fieldtrace.llm import signatures
+
+    monkeypatch.setattr(jaccard, "MEET", 60)
+    monkeypatch.setattr(jaccard, "SENT", 0)
+    monkeypatch.setattr(jaccard, "SENT_EACH", 0)
+    own = random.Random(3)
+    line = "a line of eight words that all have"
+    texts = [line + " " + " ".join("v%d" % own.randrange(3000) for _ in range(own.randrange(6, 30))) for _ in range(300)]
+    texts += [t + " more" for t in texts[:150]]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    low = list(range(len(texts)))
+    for _ in range(10):
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.link(docs, n=4, least=80).collect()} == dict(enumerate(low))
+    sizes, bits = np.full(300, 8), np.full((300, 1), 255, np.uint64)
+    a, b = signatures.pairs(signatures.Tree(sizes, bits), 80)
+    assert len(a) == len({*zip(a.tolist(), b.tolist(), strict=True)}) == 300 * 299 // 2
+    monkeypatch.setattr(signatures, "CHUNK", 16)
+    assert max(len(x) for x, _ in signatures.pair_chunks(signatures.Tree(sizes, bits), 80)) <= 16 * signatures.FANOUT**2
+
+
 def vectors():
     g = np.random.default_rng(3)
     x = g.normal(size=(1500, 16)).astype(np.float32)
