@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtrace.operators import joins
+
 
 def top(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each group; the planner limits each partition before the shuffle."""
@@ -84,3 +86,46 @@ def aligned(manual: DataFrame, predicted: DataFrame, keys: Sequence[str], tolera
 
     kinds = ", ".join(f"{k} {manual.schema[k].dataType.simpleString()}" for k in keys)
     return both.groupBy(*keys).applyInPandas(match, f"{kinds}, manual_no long, predicted_no long, difference double")
+
+
+def event_comparison(manual: DataFrame, predicted: DataFrame, keys: Sequence[str], strict: float, review: float, teams: Sequence[str], types: Sequence[str]) -> DataFrame:
+    """M1: strict alignment, then one of the rest with the wider tolerance; one row for each finding, told by `kind`.
+
+    match, review_match; unmatched_manual, unmatched_predicted (after the strict one); unresolved_manual (after both); nearby_disagreement: an unmatched manual event
+    whose nearest prediction of any type or team is within the strict tolerance; count: events of a team and type, 0 where there are none. Differences are
+    predicted less manual, to three decimals. An event_no names one event of its side in a clip.
+    """
+    sides = {"manual_no": manual, "predicted_no": predicted}
+    event = [*keys, "event_no", "seconds", "event_type", "team"]
+    named = {no: df.select(*keys, F.col("event_no").alias(no), F.col("seconds").alias(f"{no}_s"), "event_type", "team") for no, df in sides.items()}
+    rest = lambda no, pairs: sides[no].select(*event).join(pairs.select(*keys, F.col(no).alias("event_no")), [*keys, "event_no"], "left_anti").select(*event)
+    found = aligned(manual, predicted, keys, strict)
+    left = {no: rest(no, found) for no in sides}
+    later = aligned(left["manual_no"], left["predicted_no"], keys, review)
+    unresolved = left["manual_no"].join(later.select(*keys, F.col("manual_no").alias("event_no")), [*keys, "event_no"], "left_anti").select(*event)
+    near = joins.within_band(left["manual_no"].withColumnsRenamed({"event_no": "manual_no"}), predicted.select(*keys, F.col("event_no").alias("predicted_no"), F.col("seconds").alias("other_seconds")), keys, "seconds", "other_seconds", strict)
+    gap = F.col("other_seconds") - F.col("seconds")
+    near = near.groupBy(*keys, "manual_no", "event_type", "team").agg(F.min_by(F.struct("predicted_no", F.round(gap, 3).alias("difference")), F.struct(F.abs(gap), "other_seconds", "predicted_no")).alias("near"))
+
+    def row(df: DataFrame, kind: str, **given: Column) -> DataFrame:
+        kinds = {"manual_no": "long", "predicted_no": "long", "difference": "double", "n_manual": "long", "n_predicted": "long", "n_matched": "long", "n_review": "long"}
+        return df.select(*keys, F.lit(kind).alias("kind"), "team", "event_type", *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+    def pairs(df: DataFrame, kind: str) -> DataFrame:
+        both = df.select(*keys, "manual_no", "predicted_no").join(named["manual_no"], [*keys, "manual_no"]).join(named["predicted_no"].drop("event_type", "team"), [*keys, "predicted_no"])
+        return row(both, kind, manual_no=F.col("manual_no"), predicted_no=F.col("predicted_no"), difference=F.round(F.col("predicted_no_s") - F.col("manual_no_s"), 3))
+
+    matches, reviewed = pairs(found, "match"), pairs(later, "review_match")
+    # Each event counts once on its side; zero rows of all teams and types are there anyway.
+    clips = manual.select(*keys).unionByName(predicted.select(*keys)).distinct()
+    grid = clips.withColumn("team", F.explode(F.array(*map(F.lit, teams)))).withColumn("event_type", F.explode(F.array(*map(F.lit, types))))
+    sources = {"n_manual": manual, "n_predicted": predicted, "n_matched": matches, "n_review": reviewed}
+    marked = grid.withColumn("side", F.lit(None).cast("string"))
+    for side, df in sources.items():
+        marked = marked.unionByName(df.select(*keys, "team", "event_type", F.lit(side).alias("side")))
+    counts = marked.groupBy(*keys, "team", "event_type").agg(*[F.count_if(F.col("side") == c).alias(c) for c in sources])
+    out = matches.unionByName(reviewed)
+    for df, kind, no in ((left["manual_no"], "unmatched_manual", "manual_no"), (left["predicted_no"], "unmatched_predicted", "predicted_no"), (unresolved, "unresolved_manual", "manual_no")):
+        out = out.unionByName(row(df, kind, **{no: F.col("event_no")}))
+    out = out.unionByName(row(near, "nearby_disagreement", manual_no=F.col("manual_no"), predicted_no=F.col("near.predicted_no"), difference=F.col("near.difference")))
+    return out.unionByName(row(counts, "count", **{c: F.col(c) for c in sources}))

@@ -187,7 +187,7 @@ def event_comparison(spark, d):
     p = views.path(spark, d).select("clip_id", F.col("source_frame").alias("event_no"), F.col("clip_seconds").alias("seconds"), "team", "event_type")
     kind = F.when(F.col("event_type").isin("click", "purchase"), "completed_pass").otherwise("turnover")
     manual, predicted = (p.where(F.col("event_type").isin(*k)).withColumn("event_type", kind) for k in (("click", "view"), ("purchase", "signup")))
-    return reports.aligned(manual, predicted, CLIP, 1.0)
+    return reports.event_comparison(manual, predicted, CLIP, 1.0, 3.0, ["red", "black"], ["completed_pass", "turnover"])
 
 
 @query("detection_summary", """SELECT clip_id, count(*) AS frames, sum(p)::BIGINT AS persons, sum(b)::BIGINT AS balls, count(*) FILTER (p > 0) AS frames_with_person, count(*) FILTER (b > 0) AS frames_with_ball, round((count(*) FILTER (b > 0)) / count(*), 6) AS ball_coverage

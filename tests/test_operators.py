@@ -55,6 +55,22 @@ def test_comparison_of_events(spark):
     assert [(r["manual_no"], r["predicted_no"]) for r in reports.aligned(manual, predicted, K, 0.25).collect()] == [(1, 1)]
 
 
+def test_whole_comparison_of_events(spark):
+    schema = "clip_id long, event_no long, seconds double, event_type string, team string"
+    manual = [(1, 1, 5.0, "completed_pass", "red"), (1, 2, 10.0, "completed_pass", "red"), (1, 3, 20.0, "turnover", "black"), (1, 4, 40.0, "turnover", "red")]
+    predicted = [(1, 11, 5.5, "completed_pass", "red"), (1, 12, 12.5, "completed_pass", "red"), (1, 13, 20.25, "turnover", "red"), (1, 14, 60.0, "completed_pass", "black")]
+    out = reports.event_comparison(spark.createDataFrame(manual, schema), spark.createDataFrame(predicted, schema), K, 1.0, 3.0, ["red", "black"], ["completed_pass", "turnover"]).collect()
+    of = lambda kind, *columns: sorted(tuple(r[c] for c in columns) for r in out if r["kind"] == kind)
+    assert of("match", "manual_no", "predicted_no", "difference") == [(1, 11, 0.5)]
+    assert of("review_match", "manual_no", "predicted_no", "difference") == [(2, 12, 2.5)]
+    assert of("unmatched_manual", "manual_no") == [(2,), (3,), (4,)]
+    assert of("unmatched_predicted", "predicted_no") == [(12,), (13,), (14,)]
+    assert of("unresolved_manual", "manual_no") == [(3,), (4,)]
+    assert of("nearby_disagreement", "manual_no", "predicted_no", "difference") == [(3, 13, 0.25)]
+    counts = of("count", "team", "event_type", "n_manual", "n_predicted", "n_matched", "n_review")
+    assert counts == [("black", "completed_pass", 0, 1, 0, 0), ("black", "turnover", 1, 0, 0, 0), ("red", "completed_pass", 2, 2, 1, 1), ("red", "turnover", 1, 1, 0, 0)]
+
+
 def test_alignment_against_all_choices(spark):
     rng = random.Random(2)
     schema = "clip_id long, event_no long, seconds double, event_type string, team string"
