@@ -1,33 +1,38 @@
 """Packed exchange: what numpy makes of many documents travels as one binary row for each receiving group.
 
-A row is (route, target, blob); the blob holds records of one numpy type. Receivers are as many as
-common.task_groups() says, so that a receiver's share stays the same as data and partitions grow.
+A row is (route, target, blob); the blob holds records of one numpy type. Receivers are as many as the bytes of
+the texts ask for (Survey), so that a receiver's share stays the same as data grow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldtrace.llm.common import cut, task_groups
+
 BLOBS = "route int, target int, blob binary"
 ARROW = pa.schema([("route", pa.int32()), ("target", pa.int32()), ("blob", pa.binary())])
-#: Routes of rows: to a group of keys, or on to the documents' group; edges and what is told of documents go on too.
-KEYS, DOCS, EDGES, FACTS = 0, 1, 2, 3
+#: Routes of rows: to a group of keys (or of hashed windows), or on to the documents' group; edges and what is told of documents go on too.
+KEYS, DOCS, EDGES, FACTS, WINDOWS = 0, 1, 2, 3, 4
 #: Documents with a null doc_id count as numbers below this, in the order of a hash of their texts.
 NO_ID = -(1 << 62)
 #: Bytes that a task gathers before it sends what it has for each target.
-HELD = 24 << 20
-#: Bits of the fixed-size filter of document numbers, 1 MB in all.
-SLOTS = 1 << 23
+HELD = 12 << 20
+#: Bytes of text that a group gets.
+GROUP_BYTES = 16 << 20
+#: Bits of the filter of document numbers: 8 for each document between these, so that it has 16 MB at most.
+SLOTS = 1 << 20, 1 << 27
 
 
-def doc_key() -> Column:
+def doc_key(doc_id: str = "doc_id") -> Column:
     own = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
-    return F.coalesce(F.col("doc_id").cast("long"), own + F.lit(-(1 << 63)))
+    return F.coalesce(F.col(doc_id).cast("long"), own + F.lit(-(1 << 63)))
 
 
 def prime_groups(least: int) -> int:
@@ -38,10 +43,38 @@ def prime_groups(least: int) -> int:
     return n
 
 
-def texts_of(docs: DataFrame, groups: int) -> DataFrame:
-    """(row, doc, text, group) of docs (doc_id, text, ...): row has the columns other than text, doc stands for doc_id."""
+@dataclass
+class Survey:
+    """What a table of documents asks for: groups of about GROUP_BYTES, bits of filters, and the numbers that stand for several texts."""
+
+    groups: int
+    slots: int
+    repeats: bool
+    clashes: DataFrame | None
+
+
+def survey(docs: DataFrame) -> Survey:
+    """One scan and one aggregation by document number; three numbers come to the driver."""
+    own = docs.select(doc_key().alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    per_doc = own.groupBy("doc").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    found = per_doc.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.col("low") != F.col("high")).alias("clash")).first()
+    slots = min(SLOTS[1], max(SLOTS[0], 1 << (8 * int(found["n"] or 0)).bit_length()))
+    groups = prime_groups(max(task_groups(docs.sparkSession), -(-int(found["bytes"] or 0) // GROUP_BYTES)))
+    return Survey(groups, slots, found["docs"] != found["n"], cut(per_doc.where("low != high").select("doc")) if found["clash"] else None)
+
+
+def identified(docs: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """(row, doc, text): row has the columns other than text; doc stands for doc_id, or for doc_id and text where several texts have one."""
     row = F.struct(*[docs[c] for c in docs.columns if c.lower() != "text"])
     texts = docs.select(row.alias("row"), doc_key().alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    if clashes is None:
+        return texts
+    own = F.xxhash64("doc", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(-(1 << 63))
+    marked = texts.join(clashes.select(F.col("doc").alias("clash_")), F.col("doc") == F.col("clash_"), "left")
+    return marked.select("row", F.when(F.col("clash_").isNotNull(), own).otherwise(F.col("doc")).alias("doc"), "text")
+
+
+def in_groups(texts: DataFrame, groups: int) -> DataFrame:
     return texts.withColumn("group", F.pmod("doc", F.lit(groups)).cast("int"))
 
 
@@ -127,6 +160,32 @@ def text_slices(batches: Iterable[pa.RecordBatch], most: int = 2_000_000) -> Ite
             yield docs[start:], groups[start:], texts[start:]
 
 
+def pieces_of(batches: Iterable[pa.RecordBatch], overlap: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(doc, start, bytes) of texts: short ones whole, longer ones in pieces that overlap by so many bytes, about `most` bytes at a time."""
+    for docs, _, texts in text_slices(batches, most):
+        if len(texts[0]) <= most:
+            yield docs, np.zeros(len(docs), np.int64), texts
+        else:  # a long text stands alone
+            for start in range(0, max(1, len(texts[0]) - overlap), most):
+                yield docs, np.array([start]), [texts[0][start : start + most + overlap]]
+
+
+def gathered(df: DataFrame, slices: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], send: Callable[[np.ndarray], Iterable[tuple[int, int, bytes]]]) -> DataFrame:
+    """The records that slices() makes of df's batches, sent in portions of about HELD bytes, so that send() can combine what is equal in many documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for records in slices(batches):
+            held.append(records)
+            if sum(x.nbytes for x in held) > HELD:
+                yield batch(send(np.concatenate(held)))
+                held = []
+        if held:
+            yield batch(send(np.concatenate(held)))
+
+    return df.mapInArrow(run, BLOBS)
+
+
 def mapped(df: DataFrame, work: Callable[[np.ndarray, np.ndarray, list[bytes]], Iterable[tuple[int, int, bytes]]]) -> DataFrame:
     """work on slices of df (doc, group, text); the rows that it makes."""
 
@@ -150,12 +209,13 @@ def passed(route: int, target: int, table: pa.Table) -> Iterator[tuple[int, int,
     return ((route, target, b) for b in table["blob"].to_pylist())
 
 
-def grouped(df: DataFrame, work: Callable[[pa.Table], Iterable[tuple[int, int, bytes]]]) -> DataFrame:
-    """work on the blobs of each group of keys; the rows that it makes, and those that were for documents."""
+def grouped(df: DataFrame, work: Callable[[pa.Table], Iterable[tuple[int, int, bytes]]], windows: Callable[[pa.Table], Iterable[tuple[int, int, bytes]]] | None = None) -> DataFrame:
+    """work on the blobs of each group of keys (and windows on those of hashed windows); the rows that it makes, and those that were for documents."""
 
     def run(table: pa.Table) -> pa.Table:
         route, target = table["route"][0].as_py(), table["target"][0].as_py()
-        return pa.Table.from_batches([batch(work(table) if route == KEYS else passed(route, target, table))])
+        made = work(table) if route == KEYS else windows(table) if route == WINDOWS and windows else passed(route, target, table)
+        return pa.Table.from_batches([batch(made)])
 
     return df.groupBy("route", "target").applyInArrow(run, BLOBS)
 
@@ -176,35 +236,36 @@ def unpacked_rows(df: DataFrame, kind: np.dtype, names: dict[str, str]) -> DataF
     return df.mapInArrow(run, ", ".join(f"{c} long" for c in names.values()))
 
 
-def slots(docs: np.ndarray) -> np.ndarray:
-    return (mixed(docs.astype(np.int64).view(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
+def slots(docs: np.ndarray, size: int) -> np.ndarray:
+    return (mixed(docs.astype(np.int64).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
 
 
-def told(df: DataFrame, kind: np.dtype) -> DataFrame:
-    """The documents that blobs (whose records have a field `doc`) tell of, in a filter of fixed size: 256 pages of 4 KB."""
+def told(df: DataFrame, kind: np.dtype, size: int) -> DataFrame:
+    """The documents that blobs (whose records have a field `doc`) tell of, in a filter of `size` bits: pages of 4 KB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(SLOTS, bool)
+        bits = np.zeros(size // 8, np.uint8)
         for b in batches:
             for x in b.column("blob").to_pylist():
-                bits[slots(np.frombuffer(x, kind)["doc"])] = True
-        pages = np.packbits(bits, bitorder="little").reshape(-1, 4096)
+                at = slots(np.frombuffer(x, kind)["doc"], size)
+                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        pages = bits.reshape(-1, 4096)
         some = np.flatnonzero(pages.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([pages[k].tobytes() for k in some], pa.binary())], ["page", "bits"])
 
     return df.mapInArrow(run, "page long, bits binary").groupBy("page").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
-def split(docs: DataFrame, filters: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split(docs: DataFrame, filters: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """docs (doc, ...) that a filter of told() may name, and the others."""
-    bits = np.zeros((SLOTS // 32768, 4096), np.uint8)
-    for r in filters.collect():  # at most 256 rows of 4 KB
+    bits = np.zeros((size // 32768, 4096), np.uint8)
+    for r in filters.toLocalIterator():  # at most 16 MB
         bits[r["page"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     @F.arrow_udf("boolean")
     def named(doc: pa.Array) -> pa.Array:
-        at = slots(doc.to_numpy(zero_copy_only=False))
+        at = slots(doc.to_numpy(zero_copy_only=False), size)
         return pa.array((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
     marked = docs.withColumn("named", named("doc"))

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.blobs import BLOBS, DOCS, EDGES, FACTS, KEYS, NO_ID, batch, dealt, doc_key, grouped, joined, mapped, mixed, prime_groups, runs, split, text_slices, texts_of, told, unpacked_rows, unrowed, window_hashes, with_text
-from fieldtrace.llm.common import components, cut, small_batches, task_groups
+from fieldtrace.llm.blobs import BLOBS, DOCS, EDGES, FACTS, KEYS, NO_ID, Survey, batch, dealt, doc_key, grouped, identified, in_groups, joined, mapped, mixed, runs, split, survey, text_slices, told, unpacked_rows, unrowed, window_hashes, with_text
+from fieldtrace.llm.common import components, cut, small_batches
 from fieldtrace.llm.passages import Hashes, word_hashes
 from fieldtrace.llm.signatures import Tree, bitmap, close, linked, pair_chunks, width_for
 
@@ -45,12 +45,11 @@ SMALL = 48
 
 def shingles(known: Hashes, text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles of a text, A-Z lower-cased; of the whole sequence if it is shorter."""
-    words = text.lower().split()
-    values = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    if not words:
+    values = word_hashes(known, [text.lower()])[0]
+    if not len(values):
         return values
-    if len(words) < n:
-        return mixed(window_hashes(values, len(words), BASE) + np.uint64(len(words)))
+    if len(values) < n:
+        return mixed(window_hashes(values, len(values), BASE) + np.uint64(len(values)))
     return np.unique(window_hashes(values, n, BASE))
 
 
@@ -129,12 +128,34 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
     Step 1 combines within groups of documents first and is no more than a short cut, so it sends about 8,192 texts
     of a key at most, or 4 from each group.
 
-    Repeated rows are one document; that one doc_id has two different texts is not foreseen. Null doc_ids count as smaller than any
-    other: their component is null, and so is that of what they link with. Columns of docs named like an added column are replaced. An empty table stays empty.
+    Repeated rows are one document; rows with one doc_id but different texts are different documents, each with its own set and links. Null doc_ids count as
+    smaller than any other: their component is null, and so is that of what they link with. Columns of docs named like an added column are replaced. An empty table stays empty.
     """
+    plan = survey(docs)
+    out = linked_rows(docs, plan, n, least)
+    return unrowed(out.withColumn("component_id", F.when(F.col("component_id") > F.lit(NO_ID), F.col("component_id"))), docs.columns, ["text", *ADDED])
+
+
+def one_of_each(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
+    """One row of docs for each group of linked documents: that with the smallest doc_id (null counts as smallest; of rows with it, that with
+    the smallest hash of all columns). Every row without words links with nothing and stays, but for rows that repeat one with a doc_id."""
+    plan = survey(docs)
+    rows = linked_rows(docs, plan, n, least).where("doc = node")
+    if plan.repeats:
+        free = (F.col("n_shingles") == 0) & (F.col("doc") <= F.lit(NO_ID))
+        best = F.min_by(F.struct("row", "text"), F.struct(F.xxhash64("row", "text"), F.crc32(F.to_json("row").cast("binary"))))
+        once = rows.where(~free).groupBy("doc").agg(best.alias("one")).select("one.row", "one.text")
+        rows = once.unionByName(rows.where(free).select("row", "text"))
+    given = docs.columns
+    return rows.select(*[F.col("text").alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in given])
+
+
+def linked_rows(docs: DataFrame, plan: Survey, n: int, least: int) -> DataFrame:
+    """(row, text, doc, node, n_shingles, component_id): doc and node number a document and the smallest one that it is linked with; component_id
+    is the smallest number that stands for a doc_id there."""
     small_batches(docs.sparkSession)
-    groups = prime_groups(task_groups(docs.sparkSession))
-    texts = texts_of(docs, groups)
+    groups = plan.groups
+    texts = in_groups(identified(docs, plan.clashes), groups)
     slim = texts.select("doc", "group", "text")
     known = Hashes()
 
@@ -234,7 +255,7 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
             if count > 1:
                 yield from edges_of(local([(int(heads["doc"][k]), bodies[k]) for k in order[first : first + count]]))
 
-    needed, _ = split(slim, told(keyed, KEYED))
+    needed, _ = split(slim, told(keyed, KEYED, plan.slots), plan.slots)
     near = cut(grouped(with_text(needed, keyed, first_texts, BLOBS), first_compare))
     edge_rows = unpacked_rows(near.where(F.col("route") == EDGES), EDGE, {"doc": "src", "other": "dst"})
     grouped_docs = cut(components(edge_rows))
@@ -378,7 +399,7 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
         rows["key"] = np.tile(mixed(mixed(both[0].astype(np.uint64)) ^ both[1].astype(np.uint64)), 2)
         return by_doc(rows)
 
-    needed, _ = split(slim, told(apart, GROUPED))
+    needed, _ = split(slim, told(apart, GROUPED, plan.slots), plan.slots)
     asked = cut(grouped(with_text(needed, apart, send_bitmaps, BLOBS), propose))
 
     def send_texts(texts: pa.Table, blobs: pa.Table) -> pa.Table:
@@ -403,7 +424,7 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
             for i in range(len(some)):  # two, unless hashes of pairs meet
                 yield from edges_of([(int(heads["doc"][some[i]]), int(heads["doc"][some[j]])) for j in range(i) if len(sets[i]) and len(sets[j]) and close(sets[i], sets[j], least)])
 
-    needed, _ = split(slim, told(asked, KEYED))
+    needed, _ = split(slim, told(asked, KEYED, plan.slots), plan.slots)
     late = cut(grouped(with_text(needed, asked, send_texts, BLOBS), decide))
     late_rows = unpacked_rows(late.where(F.col("route") == EDGES), EDGE, {"doc": "src", "other": "dst"})
     joins = grouped_docs.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(late_rows)
@@ -412,12 +433,16 @@ def link(docs: DataFrame, n: int = 5, least: int = 80) -> DataFrame:
     marks = ["n_shingles", "one", "two"]
     classes = facts.where("n_shingles > 0").groupBy(*marks).agg(F.min("doc").alias("low"))
     classes = classes.join(final.select(F.col("node").alias("low"), "component"), "low", "left").select(*marks, F.coalesce("component", "low").alias("component"))
-    result = facts.join(classes, marks, "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component_id")).dropDuplicates(["doc"])
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns if c.lower() != "text"]).alias("row"), doc_key().alias("doc"), "text")
-    out = own.join(result, "doc").withColumn("component_id", F.when(F.col("component_id") > F.lit(NO_ID), F.col("component_id")))
-    return unrowed(out, docs.columns, ["text", *ADDED])
+    result = facts.join(classes, marks, "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("node")).dropDuplicates(["doc"])
+    row = F.struct(*[docs[c] for c in docs.columns if c.lower() != "text"])
+    if plan.clashes is None:
+        return docs.select(row.alias("row"), "text", doc_key().alias("doc")).join(result, "doc").withColumn("component_id", F.col("node"))
+    out = identified(docs, plan.clashes).join(result, "doc").withColumn("real_", doc_key("row.doc_id"))
+    smallest = out.groupBy("node").agg(F.min(F.struct("real_", "doc")).alias("low"))
+    return out.join(smallest, "node").select("row", "text", "doc", F.col("low.doc").alias("node"), "n_shingles", F.col("low.real_").alias("component_id"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by sets of four words, at 85 percent."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return link(docs, n=4, least=85).select("doc_id", *ADDED)

@@ -73,7 +73,7 @@ def doubled(names: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of data (bytes) in order; the end of data is smaller than any byte."""
+    """Starts of the suffixes of data (small numbers: bytes, or bytes and a separator) in order; the end of data is smaller than any of them."""
     n = len(data)
     if n < 2:
         return np.arange(n)
@@ -84,7 +84,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     following = change[np.minimum(np.searchsorted(change, np.arange(n)), len(change) - 1)]
     small = np.append(t[following + 1] > t[following], True)
     leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    ends = np.cumsum(np.bincount(t, minlength=257))
+    ends = np.cumsum(np.bincount(t))
     sa = induce(t, small, ends, leftmost)
     if len(leftmost) > 1:
         # Equal neighbours among the sorted substrings from one leftmost-smaller place to the next get one name.
@@ -123,21 +123,22 @@ def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray) -> tuple[np.ndarr
     counted = (before <= 0) | (at == 0)
     inner = ~counted
     counted[inner] = data[at[inner] - 1] != data[before[inner] - 1]
-    padded = np.append(data, np.zeros(8, data.dtype)).astype(np.uint64)
+    # Seven symbols of nine bits are compared at once.
+    padded = np.append(data, np.zeros(7, data.dtype)).astype(np.uint64)
     words = np.zeros(n + 1, np.uint64)
-    for k in range(8):
-        words |= padded[k : k + n + 1] << np.uint64(56 - 8 * k)
+    for k in range(7):
+        words |= padded[k : k + n + 1] << np.uint64(54 - 9 * k)
     lengths = np.zeros(n, np.int64)
     open_ = np.flatnonzero(counted & (before >= 0))
     while len(open_):
         a, b = open_ + lengths[open_], before[open_] + lengths[open_]
         room = n - np.maximum(a, b)
         different = words[np.minimum(a, n)] ^ words[np.minimum(b, n)]
-        equal = np.full(len(open_), 8, np.int64)
-        for k in range(7, -1, -1):
-            equal[different >> np.uint64(56 - 8 * k) != 0] = k
+        equal = np.full(len(open_), 7, np.int64)
+        for k in range(6, -1, -1):
+            equal[different >> np.uint64(54 - 9 * k) != 0] = k
         equal = np.minimum(equal, room)
         lengths[open_] += equal
-        open_ = open_[(equal == 8) & (room > 8)]
+        open_ = open_[(equal == 7) & (room > 7)]
     reach = np.maximum.accumulate(np.where(counted, lengths + at, 0))
     return before, np.where(before >= 0, np.maximum(reach - at, 0), 0)

@@ -122,6 +122,46 @@ def test_substrings(spark, docs, rows):
     assert substrings.dedup(empty(spark)).count() == 0
 
 
+def test_rows_with_one_doc_id(spark):
+    """Different texts with one doc_id are different documents, that lose and link only what is theirs."""
+    a, b, long = prose(130), " ".join("z%d" % k for k in range(90)), " ".join("q%d" % (k * 9973) for k in range(500_000))
+    rows = [(0, a), (1, a), (1, b), (2, long), (3, a + " end"), (4, "tail " + long + " " + b), (4, b), (4, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(long) > 5_000_000
+    gone = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in substrings.dedup(docs).collect()]
+    n = [len(x) for x in (a, b, long)]
+    assert sorted(gone) == sorted([(0, n[0], n[0], 1), (1, n[0], n[0], 1), (1, n[1], n[1], 1), (2, n[2], n[2], 1), (3, n[0] + 4, n[0], 1), (4, n[1] + n[2] + 6, n[1] + n[2], 2), (4, n[1], n[1], 1), (4, n[1], n[1], 1)])
+    kept = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in passages.dedup(docs).collect()]
+    assert sorted(kept) == sorted([(0, 130, 0), (1, 130, 130), (1, 90, 0), (2, 500_000, 0), (3, 131, 130), (4, 500_091, 500_090), (4, 90, 90), (4, 90, 90)])
+    linked = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link(docs).collect()]
+    size = len(set(zip(*[a.split()[k:] for k in range(5)], strict=False)))
+    tail = len({tuple(w[k : k + 5]) for w in [(a + " end").split()] for k in range(127)})
+    assert sorted(linked) == sorted([(0, size, 0), (1, size, 0), (1, 86, 1), (2, 499_996, 2), (3, tail, 0), (4, 500_087, 2), (4, 86, 1), (4, 86, 1)])
+    one = sorted((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect())
+    assert one == sorted([(0, a), (1, b), (2, long)])
+    again = spark.createDataFrame([(None, a), (None, a), (5, a), (None, ""), (None, None), (6, ""), (6, "")], "doc_id long, text string")
+    assert sorted(map(str, (r["doc_id"] for r in jaccard.one_of_each(again).collect()))) == ["6", "None", "None", "None"]
+
+
+def test_nul_and_hot_anchors(spark, monkeypatch):
+    assert [list(x) for x in substrings.repeated([b"ab\0cd", b"ab", b"cda", b"ab\0cdzz"], 5)] == [[0], [], [], [0]]
+    monkeypatch.setattr(substrings, "HOT", 3)
+    own = random.Random(4)
+    word = lambda n: "".join(own.choice("abcdefghij ") for _ in range(n))
+    line = word(150)
+    texts = [word(40 + k % 30) + line + word(60) for k in range(60)]
+    texts += [texts[k][5:] + word(9) for k in range(0, 40, 3)] + ["ab\0cd" * 60, "ab" + "\0cd" + "ab\0cd" * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    seen = collections.Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    for r in substrings.dedup(docs).collect():
+        t = texts[r["doc_id"]]
+        gone = bytearray(len(t))
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        assert bytes(r["kept"]).decode() == "".join(x for x, g in zip(t, gone, strict=True) if not g)
+
+
 def test_suffix_array():
     for _ in range(300):
         s = bytes(rng.choice(rng.choice([b"a", b"ab", b"abc", bytes(range(256))])) for _ in range(rng.randint(1, 60)))
