@@ -24,8 +24,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more over five words, that with the smallest doc_id."""
-    return jaccard.link(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*docs.columns)
+    """One row of each group of documents linked by a Jaccard similarity of 0.8 or more over five words: that with the smallest doc_id."""
+    return jaccard.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
