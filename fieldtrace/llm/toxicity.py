@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,37 +20,19 @@ TERM = re.compile(r"[^\W_]+")
 EXAMPLES = 4000
 #: Examples of a block of postings, neighbours that vote, evidence shown, distance that is added to each.
 BLOCK, NEIGHBOURS, SHOWN, NEAR = 64, 25, 3, 0.05
-#: Terms in most examples, whose weights are a dense matrix, and texts that meet it at once.
-DENSE, AT_ONCE = 512, 256
-#: Letters of the beginnings of words that are terms too.
-STEMS = (4, 5)
+#: Terms in most examples, whose weights are dense blocks, texts that meet them at once, and blocks that every text meets first.
+DENSE, AT_ONCE, FIRST = 512, 256, 4
 FOUND = "struct<mark:bigint,own:double,places:array<int>,dots:array<double>>"
 FOUND_ARROW = pa.struct([("mark", pa.int64()), ("own", pa.float64()), ("places", pa.list_(pa.int32())), ("dots", pa.list_(pa.float64()))])
 SCORE = "struct<score:double,evidence:array<struct<doc_id:bigint,similarity:double,toxic:int>>>"
 SCORE_ARROW = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())])))])
 
 
-class Lanes:
-    """Of each term the numbers of the blocks of examples that have it, or (dense) its weights in those blocks."""
-
-    def __init__(self, index: Index, dense: bool) -> None:
-        self.index, self.dense = index, dense
-
-    def __getitem__(self, t: int) -> np.ndarray:
-        at = slice(self.index.starts[t], self.index.starts[t + 1])
-        places = self.index.places[at].astype(np.int64)
-        blocks, row = np.unique(places // BLOCK, return_inverse=True)
-        if not self.dense:
-            return blocks
-        lanes = np.zeros((len(blocks), BLOCK))
-        lanes[row, places % BLOCK] = self.index.values[at]
-        return lanes
-
-
 class Index:
     """All terms of the examples, their weights (`idf`), and of each term its postings: places of examples and the unit vectors' weights there.
 
-    Places are padded to whole blocks. The terms that most examples have are a dense matrix, made where it is used.
+    Examples of one label and one heaviest term stand together, in blocks of BLOCK; places are padded to whole blocks. The terms that most
+    examples have are dense: of each block its weights and its largest ones, made where they are used.
     """
 
     def __init__(self, terms: list[str], idf: np.ndarray, docs: np.ndarray, toxic: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray, prior: float) -> None:
@@ -59,7 +40,9 @@ class Index:
         idle = np.array([not len(c[0]) for c in counts], bool)
         self.rest = float((weight[idle] * toxic[idle]).sum()) / float(weight[idle].sum() + 1)
         self.terms, self.idf, self.prior = {t: k for k, t in enumerate(terms)}, idf, prior
-        order = np.flatnonzero(~idle)
+        heaviest = np.array([t[np.argmax((1 + np.log(c)) * idf[t])] if len(t) else -1 for t, c in counts], np.int64)
+        order = np.lexsort((docs, heaviest, toxic))
+        order = order[~idle[order]]
         sizes = np.array([len(counts[k][0]) for k in order], np.int64)
         place = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
         term = np.concatenate([np.zeros(0, np.int64), *(counts[k][0] for k in order)]).astype(np.int64)
@@ -71,45 +54,58 @@ class Index:
         pad = -len(order) % BLOCK
         self.docs, self.toxic, self.weight = (np.append(x[order], np.full(pad, fill, x.dtype)) for x, fill in ((docs, np.iinfo(np.int64).max), (toxic, 0), (weight, 0.0)))
         self.common = np.argsort(-np.diff(self.starts), kind="stable")[:DENSE]
-        self.matrix = None
-
-    @property
-    def blocks(self) -> Lanes:
-        return Lanes(self, False)
-
-    @property
-    def lanes(self) -> Lanes:
-        return Lanes(self, True)
-
-    @staticmethod
-    def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-        raw = {t: (1 + np.log(c)) * idf[t] for t, c in counts.items()}
-        length = np.sqrt(sum(w * w for w in raw.values()))
-        return {t: float(w / length) for t, w in sorted(raw.items())}
+        self.blocks = None
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return (1 + np.log(counts)) * self.idf[terms]
 
-    def products(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The product of each query (terms, weights) with every example."""
-        if self.matrix is None:
-            self.matrix, self.column = np.zeros((len(self.common), len(self.docs))), np.full(len(self.terms), -1)
-            self.column[self.common] = np.arange(len(self.common))
-            for k, t in enumerate(self.common):
-                at = slice(self.starts[t], self.starts[t + 1])
-                self.matrix[k, self.places[at]] = self.values[at]
-        dense, others = np.zeros((len(queries), len(self.common))), []
-        for row, (terms, weights) in zip(dense, queries, strict=True):
+    def dense(self) -> None:
+        """The blocks' weights of the common terms, and the largest of each term in each block."""
+        whole = np.zeros((len(self.common), len(self.docs)))
+        self.column = np.full(len(self.terms), -1)
+        self.column[self.common] = np.arange(len(self.common))
+        for k, t in enumerate(self.common):
+            at = slice(self.starts[t], self.starts[t + 1])
+            whole[k, self.places[at]] = self.values[at]
+        whole = whole.reshape(len(self.common), -1, BLOCK)
+        self.largest = whole.max(axis=2, initial=0.0)
+        self.blocks = np.ascontiguousarray(whole.transpose(1, 0, 2))
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) the places of the k examples with the largest products, ties to the smaller doc_id, and the products.
+
+        The rarer terms' postings are summed up whole. A block's products are then at most its largest such sum and the weighted largest
+        weights of the common terms; only blocks that may reach the k-th best product so far meet the query with all their weights.
+        """
+        if not len(self.docs):
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        if self.blocks is None:
+            self.dense()
+        common, sums = np.zeros((len(queries), len(self.common))), np.zeros((len(queries), len(self.docs)))
+        for row, total, (terms, weights) in zip(common, sums, queries, strict=True):
             column = self.column[terms]
             row[column[column >= 0]] = weights[column >= 0]
-            others.append((terms[column < 0], weights[column < 0]))
-        out = dense @ self.matrix
-        for row, (terms, weights) in zip(out, others, strict=True):
+            terms, weights = terms[column < 0], weights[column < 0]
             size = self.starts[terms + 1] - self.starts[terms]
             at = np.repeat(self.starts[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             if len(at):
-                row += np.bincount(self.places[at], self.values[at] * np.repeat(weights, size), minlength=len(row))
-        return out
+                total += np.bincount(self.places[at], self.values[at] * np.repeat(weights, size), minlength=len(total))
+        sums = sums.reshape(len(queries), -1, BLOCK)
+        bound = (common @ self.largest + sums.max(axis=2)) * (1 + 1e-12)
+        out = np.full(sums.shape, -1.0)
+
+        def meet(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                rows = np.flatnonzero(wanted[:, b])
+                out[rows, b] = sums[rows, b] + common[rows] @ self.blocks[b]
+
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        meet(first)
+        flat = out.reshape(len(queries), -1)
+        so_far = np.partition(flat, flat.shape[1] - min(k, flat.shape[1]), axis=1)[:, flat.shape[1] - min(k, flat.shape[1])]
+        meet(~first & (bound > 0) & (bound >= so_far[:, None] * (1 - 1e-10)))
+        return [self.best(row, k) for row in flat]
 
     def best(self, products: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k largest of a query's products above 0, ties (to 12 decimals of the largest) to the smaller doc_id."""
@@ -122,10 +118,6 @@ class Index:
         some = some[np.lexsort((self.docs[some], -np.round(products[some] / step)))][:k]
         return some, products[some]
 
-    def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest cosine, ties to the smaller doc_id, and the cosines."""
-        return self.best(self.products([(np.array(list(query), np.int64), np.array(list(query.values()), float))])[0], k)
-
     def score(self, own: float, ids: np.ndarray, dots: np.ndarray) -> tuple[float, list[dict]]:
         """From the length of a whole text's weights, and its products with the nearest examples."""
         if not own:
@@ -138,49 +130,15 @@ class Index:
         return score, [{"doc_id": int(self.docs[i]), "similarity": float(s), "toxic": int(self.toxic[i])} for i, s in zip(ids[:SHOWN], sims[:SHOWN], strict=True)]
 
 
-def features(word: str) -> tuple[str, ...]:
-    """A word and its beginnings, which stand for its inflected and compound forms."""
-    return (word, *(f"{word[:n]}*" for n in STEMS if len(word) > n))
-
-
-class Places(dict):
-    """The places of the terms that a word counts for; remembers words."""
-
-    def __init__(self, terms: dict[str, int]) -> None:
-        self.terms = terms
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = found = tuple(self.terms[f] for f in features(word) if f in self.terms)
-        return found
-
-
-class Others(Places):
-    """Hashes of the terms that a word counts for and that no example has."""
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = found = tuple(xxhash.xxh3_64_intdigest(f) >> 1 for f in features(word) if f not in self.terms)
-        return found
-
-
-def counted(words: list[str], places: Places) -> tuple[np.ndarray, np.ndarray]:
+def counted(words: list[str], terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The terms of words, and how often each stands there."""
-    return np.unique(np.array(list(chain.from_iterable(map(places.__getitem__, words))), np.int64), return_counts=True)
+    return np.unique(np.array([t for t in map(terms.get, words) if t is not None], np.int64), return_counts=True)
 
 
 def text_mark(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def copy_mark(text: str) -> int:
-    """Lowest hash of five words in a row: near copies mostly have the same."""
-    words = TERM.findall(text.lower())
-    return min(xxhash.xxh3_64_intdigest(" ".join(words[k : k + 5])) for k in range(max(1, len(words) - 4))) >> 1
-
-
 def texts_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     return ((b, b.column("text").to_pylist()) for b in batches)
 
@@ -199,8 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
     """The index of at most `examples` labelled texts of each class (those with the smallest hashes of doc_id); all that it holds is so bounded.
 
     Only labels whose crc32(doc_id as text) mod 5 is not 0 count. Of several labels of one document the larger counts; null labels and
-    labels without a document don't. Copies and most near copies of a text are one example, that of the smallest doc_id. The index holds
-    every term of the examples (words and their beginnings); a term weighs its inverse document frequency, counted over all of docs, times 1 and the
+    labels without a document don't. Equal texts are one example with the smallest doc_id of them, labelled 1 if one of them is. The index holds
+    every term of the examples (runs of letters and digits, lower-cased); a term weighs its inverse document frequency, counted over all of docs, times 1 and the
     log-likelihood ratio of its shares in the two classes, so that terms that tell the classes apart weigh more and none is left out.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
@@ -211,12 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
     drawn = F.broadcast(cut(drawn[0].unionByName(drawn[1])))  # at most 2 * examples rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(drawn, "doc_id")
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, some in texts_in(batches):
-            yield b.append_column("mark", pa.array([copy_mark(t) for t in some], pa.int64()))
-
-    texts = texts.select("doc_id", "toxic", "text").mapInArrow(marked, "doc_id long, toxic int, text string, mark long")
-    texts = cut(texts.groupBy("mark").agg(F.min_by(F.struct("doc_id", "toxic", "text"), F.struct("doc_id", "text")).alias("one")).select("one.*"))
+    one = texts.groupBy(F.md5("text").alias("digest"), F.octet_length("text").alias("bytes")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    texts = cut(one.select("doc_id", "toxic", "text"))
     found = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n1, n0 = found.get(1, 0), found.get(0, 0)
 
@@ -224,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
         for b, some in texts_in(batches):
             seen: Counter = Counter()
             for text, toxic in zip(some, b.column("toxic").to_pylist(), strict=True):
-                seen.update((f, toxic) for f in {f for w in set(TERM.findall(text.lower())) for f in features(w)})
+                seen.update((w, toxic) for w in set(TERM.findall(text.lower())))
             words = sorted({w for w, _ in seen})
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w, 1] for w in words], pa.int64()), pa.array([seen[w, 0] for w in words], pa.int64())], ["term", "a", "b"])
 
@@ -239,20 +193,20 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(null, place, texts with it), the number of texts under the place after the last; and (mark of a text, hash of a term that no example has, how often)."""
-        known, others = Places(shared.value), Others(shared.value)
-        total = np.zeros(len(known.terms) + 1, np.int64)
+        known = shared.value
+        total = np.zeros(len(known) + 1, np.int64)
         kinds = [pa.int64()] * 3
         for _, some in texts_in(batches):
             total[-1] += len(some)
             rows: tuple[list, list, list] = ([], [], [])
             for text in some:
-                words = TERM.findall(text.lower())
-                total[np.unique(np.array(list(chain.from_iterable(map(known.__getitem__, set(words)))), np.int64))] += 1
-                strange = Counter(chain.from_iterable(filter(None, map(others.__getitem__, words))))
+                words = Counter(TERM.findall(text.lower()))
+                total[np.array([t for t in map(known.get, words) if t is not None], np.int64)] += 1
+                strange = [w for w in words if w not in known]
                 if strange:
                     rows[0].extend([text_mark(text)] * len(strange))
-                    rows[1].extend(strange)
-                    rows[2].extend(strange.values())
+                    rows[1].extend([xxhash.xxh3_64_intdigest(w) >> 1 for w in strange])
+                    rows[2].extend([words[w] for w in strange])
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], ["mark", "term", "n"])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(at), pa.array(total[at])], ["mark", "term", "n"])
@@ -270,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
     beside = cut(strange.join(strange_idf, "term").groupBy("mark").agg(F.sum(F.pow((1 + F.log("n")) * F.col("idf"), 2)).alias("beside")))
 
     def example_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Places(shared.value)
+        known = shared.value
         for b, some in texts_in(batches):
             counts = [counted(TERM.findall(t.lower()), known) for t in some]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *(pa.array([c[k] for c in counts], pa.list_(pa.int32())) for k in (0, 1))], ["doc_id", "toxic", "terms", "counts"])
@@ -297,7 +251,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
 
     @F.arrow_udf(FOUND)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index, known, places = shared.value, {}, Places(shared.value.terms)
+        index, known = shared.value, {}
         for texts in batches:
             texts = texts.to_pylist()
             marks = [text_mark(t) for t in texts]
@@ -306,10 +260,9 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
             new = list({m: t for m, t in zip(marks, texts, strict=True) if m not in known}.items())
             for lo in range(0, len(new), AT_ONCE):
                 some = new[lo : lo + AT_ONCE]
-                terms = [counted(TERM.findall(t.lower()), places) for _, t in some]
+                terms = [counted(TERM.findall(t.lower()), index.terms) for _, t in some]
                 queries = [(t, index.weights(t, n)) for t, n in terms]
-                for (mark, _), (_, weights), products in zip(some, queries, index.products(queries), strict=True):
-                    ids, dots = index.best(products, NEIGHBOURS)
+                for (mark, _), (_, weights), (ids, dots) in zip(some, queries, index.nearest(queries, NEIGHBOURS), strict=True):
                     known[mark] = float(weights @ weights), ids, dots
             own, ids, dots = zip(*(known[m] for m in marks), strict=True) if marks else ((), (), ())
             lists = lambda x, t: pa.array(x, pa.list_(t))
@@ -333,6 +286,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from the labels that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     index = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
     return score(docs, index).select("doc_id", *ADDED)

@@ -349,22 +349,55 @@ def test_toxicity(spark):
         if r["doc_id"] is not None:
             assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
             assert r["predicted"] == (r["doc_id"] % 4 == 0 and r["doc_id"] < 5000)
-    # The block-max search gives what a scan of all examples gives.
-    some = [{t: 1 + (k + t) % 3 for t in range(len(index.terms)) if (k >> t) & 1} for k in range(1, 1 << min(6, len(index.terms)))]
-    dense = np.zeros((len(index.terms), len(index.docs)))
-    for t in range(len(index.terms)):
-        for at, b in enumerate(index.blocks[t]):
-            dense[t, b * toxicity.BLOCK : (b + 1) * toxicity.BLOCK] = index.lanes[t][at]
-    for counts in some:
-        query = index.unit(counts, index.idf)
-        ids, sims = index.nearest(query, 7)
-        whole = sum(w * dense[t] for t, w in query.items())
-        assert sims == pytest.approx(np.sort(whole)[::-1][: len(sims)])
     assert toxicity.score(docs.limit(0), index).count() == 0
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("predicted = 1").count() == 0
     assert toxicity.score(docs.limit(5), toxicity.fit(docs.limit(0), labels)).count() == 5
 
 
+def test_block_max_search():
+    """Places, ties and products of the block-max search against a scan of all examples."""
+    g = np.random.default_rng(2)
+    n, v = 700, 900
+    counts = []
+    for k in range(n):
+        t = np.unique(np.minimum(g.zipf(1.3, size=g.integers(0, 40)) - 1, v - 1) if k % 5 else g.integers(0, 5, 2))
+        counts.append((t, g.integers(1, 4, len(t))))
+    idf = 1 + g.random(v) * np.where(np.arange(v) % 50 == 0, 30, 1)
+    docs, toxic = g.permutation(n).astype(np.int64), g.integers(0, 2, n)
+    index = toxicity.Index([f"t{k}" for k in range(v)], idf, docs, toxic, counts, np.ones(n), 0.1)
+    dense = np.zeros((n, v))
+    for k, (t, c) in enumerate(counts):
+        dense[k, t] = (1 + np.log(c)) * idf[t]
+    dense /= np.maximum(1e-300, np.sqrt((dense**2).sum(1)))[:, None]
+    queries = [(t, index.weights(t, c)) for t, c in counts[:200]]
+    for (terms, weights), (places, dots) in zip(queries, index.nearest(queries, 7), strict=True):
+        whole = dense[:, terms] @ weights
+        order = np.lexsort((docs, -np.round(whole / max(1e-300, whole.max()), 11)))[:7]
+        order = order[whole[order] > 0]
+        assert list(index.docs[places]) == list(docs[order]) and dots == pytest.approx(whole[order])
+    assert index.nearest([(np.zeros(0, np.int64), np.zeros(0))], 7)[0][0].size == 0
+
+
+def test_toxicity_of_given_labels(spark):
+    """Held-out quality, calibration, and labels that contradict each other."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the given tables")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
+    assert len(out) > 50 and (out.predicted == out.toxic).mean() >= 0.95
+    assert ((out.score - out.toxic) ** 2).mean() <= 0.05
+    for low, high in ((0, 0.2), (0.8, 1.01)):
+        some = out[(out.score >= low) & (out.score < high)]
+        assert len(some) == 0 or abs(some.score.mean() - some.toxic.mean()) <= 0.1
+    rows = [(k, "calm words here" if k % 2 else "same bad text") for k in range(40)]
+    fitted = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(40)], "doc_id long, toxic int"))
+    real = fitted.index.docs[fitted.index.docs < 100]
+    assert len(real) == 2 and dict(zip(real.tolist(), fitted.index.toxic[: len(real)].tolist(), strict=True)) == {min(k for k in range(40) if k % 2 == p and zlib.crc32(str(k).encode()) % 5): 1 - p for p in (0, 1)}
+
+
 def test_toxicity_of_rare_words(spark):
     """A word that stands in few toxic examples counts; so do all words of a text, those that no example has too."""
     own = random.Random(8)
