@@ -29,7 +29,8 @@ def query(name: str, sql: str | None = None, *uses: str) -> Callable[[Query], Qu
     def keep(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            SQL[name] = (f"WITH {', '.join(views.SQL[u] for u in uses)}\n" if uses else "") + sql
+            head = "WITH RECURSIVE" if any("RECURSION" in views.SQL[u] for u in uses) else "WITH"
+            SQL[name] = (f"{head} {', '.join(views.SQL[u] for u in uses)}\n" if uses else "") + sql
         return f
 
     return keep
@@ -323,11 +324,6 @@ def debounced_releases(spark, d):
     return tracks.debounced(fast.select("clip_id", "clip_seconds", "speed"), CLIP, 1.0)
 
 
-@query("boundary_intervals")
-def boundary_intervals(spark, d):
-    return tracks.boundary_intervals(views.path(spark, d), CLIP, POLYGON, 5.0, 0.04).withColumns(r6("minimum_signed_distance"))
-
-
 @query("coalesced_stoppages")
 def coalesced_stoppages(spark, d):
     return tracks.coalesced(tracks.boundary_intervals(views.path(spark, d), CLIP, POLYGON, 5.0, 0.0), CLIP, 0.2)
