@@ -94,9 +94,10 @@ def static_cells(points: DataFrame, keys: Sequence[str], size: float, occupancy:
 
 
 def track_quality(points: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
-    """Mean confidence times the root of the number of points, and the frames a track spans."""
-    out = points.groupBy(*keys, "track_id").agg(F.avg("confidence").alias("m"), F.count(F.lit(1)).alias("points"), F.min("source_frame").alias("first_frame"), F.max("source_frame").alias("last_frame"))
-    return out.where(F.col("m") >= least).withColumn("quality", F.round(F.col("m") * F.sqrt("points"), 6)).withColumn("mean_confidence", F.round("m", 6)).drop("m")
+    """Mean confidence times the root of the number of points, to six decimals (halves up), and the frames and seconds a track spans."""
+    out = points.groupBy(*keys, "track_id").agg(F.avg("confidence").alias("m"), F.count(F.lit(1)).alias("points"), F.min("source_frame").alias("first_frame"), F.max("source_frame").alias("last_frame"), (F.max("clip_seconds") - F.min("clip_seconds")).alias("duration_seconds"))
+    six = lambda c: F.floor(c * 1e6 + 0.5) / 1e6
+    return out.where(F.col("m") >= least).withColumn("quality", six(F.col("m") * F.sqrt("points"))).withColumn("mean_confidence", six(F.col("m"))).drop("m")
 
 
 def median_colors(tracks: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
@@ -34,7 +34,7 @@ def sustained(points: DataFrame, keys: Sequence[str], least: float, of: int = 3,
 
 
 def peaks(points: DataFrame, keys: Sequence[str], seconds: float, drop: float) -> DataFrame:
-    """The top speed of the last `seconds`, and whether the point is an arrest: at most `drop` of that."""
+    """The top speed of the last `seconds` at each point, and whether the point itself is slow: at most `drop` of that. (E16 with its look ahead is shots.arrests.)"""
     w = trailing(keys, seconds)
     return steps(points, keys, float("inf")).withColumn("peak", F.max("speed").over(w)).withColumn("arrest", F.col("speed") <= drop * F.col("peak"))
 
@@ -59,10 +59,12 @@ def long_tracks(points: DataFrame, keys: Sequence[str], least: int) -> DataFrame
     return points.withColumn("all_", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("all_") >= least).drop("all_")
 
 
-def moving_tracks(points: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
-    """Length of each track's path and its median step; tracks with a path of at most `least` median steps are static fragments."""
-    out = steps(points, keys, float("inf")).groupBy(*keys).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("path"), F.percentile("step", 0.5).alias("median_step"), F.count(F.lit(1)).alias("points"))
-    return out.withColumn("static", F.coalesce(F.col("path") <= least * F.col("median_step"), F.lit(True)))
+def static_fragments(points: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
+    """Length of each track's path and the median of its positive box diagonals (box_diagonal); static: three points or more, none near a player's feet (near_feet), and a path of
+    at most `least` such diagonals. Tracks without a positive diagonal are not static."""
+    usable = F.when(F.col("box_diagonal") > 0, F.col("box_diagonal"))
+    rows = steps(points, keys, float("inf")).groupBy(*keys).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("path"), F.percentile(usable, 0.5).alias("median_diagonal"), F.count(F.lit(1)).alias("points"), F.bool_or("near_feet").alias("near_"))
+    return rows.withColumn("static", F.coalesce((F.col("points") >= 3) & ~F.col("near_") & (F.col("path") <= least * F.col("median_diagonal")), F.lit(False))).drop("near_")
 
 
 def confirmed_runs(points: DataFrame, keys: Sequence[str], stride: int) -> DataFrame:
@@ -88,16 +90,22 @@ def missing_frames(points: DataFrame, clips: DataFrame, keys: Sequence[str], str
     return grid.join(points.select(*keys, "source_frame"), [*keys, "source_frame"], "left_anti")
 
 
-def membership_faults(members: DataFrame, by: Sequence[str], ordinal: str) -> DataFrame:
-    """Members whose ordinal is not their place from 0 on, or that repeat an ordinal."""
-    w = Window.partitionBy(*by).orderBy(ordinal)
+def membership_faults(members: DataFrame, by: Sequence[str], ordinal: str, tie: str) -> DataFrame:
+    """Members whose ordinal is not their place from 0 on (in order of ordinal, then of tie), or that repeat an ordinal."""
+    w = Window.partitionBy(*by).orderBy(ordinal, tie)
     members = members.withColumn("place", (F.row_number().over(w) - 1).cast("long")).withColumn("repeats", F.count(F.lit(1)).over(Window.partitionBy(*by, ordinal)))
     return members.where((F.col("place") != F.col(ordinal)) | (F.col("repeats") > 1))
 
 
-def audit_sequence(log: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """A sequence number for each entry of a workflow."""
-    return log.withColumn("sequence", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+def audit_sequence(log: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str]) -> DataFrame:
+    """A sequence number for each entry of a workflow. Entries are numbered within a bucket, which must follow the order, and the buckets' counts are summed
+    up, so that no task orders a whole workflow."""
+    rows = log.withColumn("bucket_", bucket)
+    counts = rows.groupBy(*by, "bucket_").agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy(*by).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "bucket_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    own = F.row_number().over(Window.partitionBy(*by, "bucket_").orderBy(*order))
+    return rows.withColumn("own_", own).join(starts, [*by, "bucket_"]).withColumn("sequence", (F.col("start_") + F.col("own_")).cast("long")).drop("start_", "own_", "bucket_")
 
 
 def active_leases(beats: DataFrame, by: Sequence[str], at: str, lasts_days: int) -> DataFrame:

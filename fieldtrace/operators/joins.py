@@ -57,10 +57,10 @@ def in_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at
     return points.join(intervals, [*keys, "bucket_"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("bucket_")
 
 
-def contained(inner: DataFrame, outer: DataFrame, keys: Sequence[str], margin: float) -> DataFrame:
-    """Inner intervals (start, end) that lie within an outer one (outer_start, outer_end) by a margin. Both are few to a clip."""
-    fits = (F.col("start") >= F.col("outer_start") + margin) & (F.col("end") <= F.col("outer_end") - margin)
-    return inner.join(outer, [*keys]).where(fits)
+def contained(inner: DataFrame, outer: DataFrame, keys: Sequence[str], margin: float, width: float) -> DataFrame:
+    """Inner intervals (start, end) that lie within an outer one (outer_start, outer_end) by a margin: the start meets the outer intervals of its bucket of `width`."""
+    fits = F.col("end") <= F.col("outer_end") - margin
+    return in_interval(inner, outer.withColumn("from_", F.col("outer_start") + margin).withColumn("until_", F.col("outer_end") + 1e-9), keys, "start", "from_", "until_", width).where(fits).drop("from_", "until_")
 
 
 def exists_within(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, other: str, after: float, negate: bool = False) -> DataFrame:
@@ -83,10 +83,10 @@ def covisible_pairs(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def compared(before: DataFrame, after: DataFrame, keys: Sequence[str], limit: float) -> DataFrame:
-    """C17: full outer comparison by frame of points (x, y): GAINED, MISSING, MOVED or MATCH."""
-    a, b = before.select(*keys, F.col("x").alias("ax"), F.col("y").alias("ay")), after.select(*keys, F.col("x").alias("bx"), F.col("y").alias("by"))
+    """C17: full outer comparison by frame of points (x, y, source): GAINED, MISSING, MOVED (by more than limit), PROVENANCE (another source) or MATCH."""
+    a, b = (df.select(*keys, *[F.col(c).alias(f"{p}{c}") for c in ("x", "y", "source")]) for df, p in ((before, "a"), (after, "b")))
     moved = g.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) > limit
-    status = F.when(F.col("ax").isNull(), "GAINED").when(F.col("bx").isNull(), "MISSING").when(moved, "MOVED").otherwise("MATCH")
+    status = F.when(F.col("ax").isNull(), "GAINED").when(F.col("bx").isNull(), "MISSING").when(moved, "MOVED").when(~F.col("asource").eqNullSafe(F.col("bsource")), "PROVENANCE").otherwise("MATCH")
     return a.join(b, [*keys], "full_outer").withColumn("status", status)
 
 

@@ -46,26 +46,27 @@ def box_geometry(spark, d):
     return frames.with_box_geometry(views.detections(spark, d)).withColumns(r6("diagonal")).select("clip_id", "source_frame", "l_partkey", "l_linenumber", "l_extendedprice", "center_x", "center_y", "foot_x", "foot_y", "height", "diagonal")
 
 
-@query("confident_boxes", "SELECT clip_id, class_name, count(*) AS n FROM det WHERE (class_name = 'person' AND confidence >= 0.25) OR (class_name = 'sports ball' AND confidence >= 0.1) GROUP BY ALL", "det")
+@query("confident_boxes", "SELECT clip_id, source_frame, class_name, l_partkey, l_linenumber, confidence FROM det WHERE (class_name = 'person' AND confidence >= 0.25) OR (class_name = 'sports ball' AND confidence >= 0.1)", "det")
 def confident_boxes(spark, d):
-    return frames.confident(views.detections(spark, d), 0.25, 0.1).groupBy("clip_id", "class_name").agg(F.count(F.lit(1)).alias("n"))
+    return frames.confident(views.detections(spark, d), 0.25, 0.1).select("clip_id", "source_frame", "class_name", "l_partkey", "l_linenumber", "confidence")
 
 
-@query("normalized_classes", "SELECT 'sports_ball' AS class_name, count(*) AS n FROM det WHERE class_name = 'sports ball'", "det")
+@query("normalized_classes", "SELECT p_partkey, p_brand, replace(lower(p_brand), '#', '_') AS class_name FROM part WHERE lower(p_brand) IN ('brand#2', 'brand#17', 'brand#5')")
 def normalized_classes(spark, d):
-    return frames.normalized_class(views.detections(spark, d), ["sports_ball"]).groupBy("class_name").agg(F.count(F.lit(1)).alias("n"))
+    names = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand", F.concat(F.lit("  "), "p_brand", F.lit(" ")).alias("class_name"))
+    return frames.normalized_class(names, ["brand_2", "brand_17", "brand_5"])
 
 
-@query("pitch_mask", """SELECT clip_id, count(*) AS n, sum(l_partkey)::BIGINT AS keys FROM (SELECT *, (x1 + x2) / 2 / 500 - 1 AS p FROM det)
- WHERE y2 >= 60 + 80 * p * p AND y2 <= 480 - 30 * p * p GROUP BY clip_id""", "det")
+@query("pitch_mask", """SELECT clip_id, source_frame, l_partkey, l_linenumber FROM (SELECT *, (x1 + x2) / 2 / 500 - 1 AS p FROM det)
+ WHERE y2 >= 60 + 80 * p * p AND y2 <= 480 - 30 * p * p""", "det")
 def pitch_mask(spark, d):
-    return frames.on_pitch_mask(views.detections(spark, d), 1000.0, (60.0, 80.0), (480.0, -30.0)).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("keys"))
+    return frames.on_pitch_mask(views.detections(spark, d), 1000.0, (60.0, 80.0), (480.0, -30.0)).select("clip_id", "source_frame", "l_partkey", "l_linenumber")
 
 
-@query("near_ball_players", """SELECT clip_id, count(*) AS n FROM det p WHERE class_name = 'person' AND EXISTS (SELECT 1 FROM det b WHERE b.class_name = 'sports ball' AND b.clip_id = p.clip_id AND b.source_frame = p.source_frame
- AND sqrt(pow((p.x1 + p.x2) / 2 - (b.x1 + b.x2) / 2, 2) + pow(p.y2 - (b.y1 + b.y2) / 2, 2)) <= 1.5 * greatest(1, p.y2 - p.y1)) GROUP BY clip_id""", "det")
+@query("near_ball_players", """SELECT clip_id, source_frame, l_partkey, l_linenumber FROM det p WHERE class_name = 'person' AND EXISTS (SELECT 1 FROM det b WHERE b.class_name = 'sports ball' AND b.clip_id = p.clip_id AND b.source_frame = p.source_frame
+ AND sqrt(pow((p.x1 + p.x2) / 2 - (b.x1 + b.x2) / 2, 2) + pow(p.y2 - (b.y1 + b.y2) / 2, 2)) <= 1.5 * greatest(1, p.y2 - p.y1))""", "det")
 def near_ball_players(spark, d):
-    return frames.near_ball(views.detections(spark, d), CLIP).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"))
+    return frames.near_ball(views.detections(spark, d), CLIP).select("clip_id", "source_frame", "l_partkey", "l_linenumber")
 
 
 H = HOMOGRAPHY
@@ -103,16 +104,19 @@ def track_color_names(spark, d):
 
 @query("non_maximum_suppression")
 def non_maximum_suppression(spark, d):
-    return frames.suppressed(views.detections(spark, d), CLIP, ["l_partkey", "l_linenumber"], 0.3).groupBy("clip_id", "class_name").agg(F.count(F.lit(1)).alias("kept"), F.sum("l_partkey").alias("keys"))
+    return frames.suppressed(views.detections(spark, d), CLIP, ["l_partkey", "l_linenumber"], 0.3).select("clip_id", "source_frame", "class_name", "l_partkey", "l_linenumber", "confidence")
 
 
-@query("box_overlaps", """SELECT a.clip_id, count(*) AS pairs, sum(CASE WHEN o / u >= 0.3 THEN 1 ELSE 0 END)::BIGINT AS close FROM det a JOIN det b ON a.clip_id = b.clip_id AND a.source_frame = b.source_frame AND a.class_name = 'person' AND b.class_name = 'sports ball',
- LATERAL (SELECT greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS o), LATERAL (SELECT (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - o AS u) WHERE o > 0 GROUP BY a.clip_id""", "det")
+@query("box_overlaps", """SELECT a.clip_id, a.source_frame, a.l_partkey AS person_key, a.l_linenumber AS person_line, b.l_partkey AS ball_key, b.l_linenumber AS ball_line, round(o / u, 6) AS iou, round(o / s, 6) AS of_smaller, round(sqrt(pow(greatest(a.x1 - bx, 0, bx - a.x2), 2) + pow(greatest(a.y1 - y_, 0, y_ - a.y2), 2)) / greatest(1.0, a.y2 - a.y1), 6) AS box_distance
+ FROM det a JOIN det b ON a.clip_id = b.clip_id AND a.source_frame = b.source_frame AND a.class_name = 'person' AND b.class_name = 'sports ball',
+ LATERAL (SELECT greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS o, (b.x1 + b.x2) / 2 AS bx, (b.y1 + b.y2) / 2 AS y_), LATERAL (SELECT (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - o AS u, least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) AS s)""", "det")
 def box_overlaps(spark, d):
     boxes = views.detections(spark, d)
-    sides = [boxes.where(f"class_name = '{c}'").select("clip_id", "source_frame", *[F.col(x).alias(f"{p}{x}") for x in ("x1", "y1", "x2", "y2")]) for c, p in (("person", "a"), ("sports ball", "b"))]
-    pairs = sides[0].join(sides[1], ["clip_id", "source_frame"]).where(g.overlap(g.box("a"), g.box("b")) > 0)
-    return pairs.groupBy("clip_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum((g.iou(g.box("a"), g.box("b")) >= 0.3).cast("long")).alias("close"))
+    sides = [boxes.where(f"class_name = '{c}'").select("clip_id", "source_frame", F.col("l_partkey").alias(f"{n}_key"), F.col("l_linenumber").alias(f"{n}_line"), *[F.col(x).alias(f"{n[0]}{x}") for x in ("x1", "y1", "x2", "y2")]) for c, n in (("person", "person"), ("sports ball", "ball"))]
+    pairs = sides[0].join(sides[1], ["clip_id", "source_frame"])
+    a, b = g.box("p"), g.box("b")
+    told = {"iou": F.round(g.iou(a, b), 6), "of_smaller": F.round(g.overlap_of_smaller(a, b), 6), "box_distance": F.round(g.box_distance(*g.center(b), a), 6)}
+    return pairs.select("clip_id", "source_frame", "person_key", "person_line", "ball_key", "ball_line", *[c.alias(n) for n, c in told.items()])
 
 
 @query("nearest_player", """, q AS (SELECT b.clip_id, b.source_frame, b.l_partkey AS ball_key, b.l_linenumber AS ball_line, p.l_partkey AS player_key, p.l_linenumber AS player_line,
@@ -168,12 +172,13 @@ def covisible_tracks(spark, d):
     return joins.covisible_pairs(points, CLIP).groupBy("first_track", "second_track").agg(F.sum("frames").alias("frames"))
 
 
-@query("path_changes", """SELECT status, count(*) AS n FROM (SELECT CASE WHEN a.clip_id IS NULL THEN 'GAINED' WHEN b.clip_id IS NULL THEN 'MISSING' WHEN sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) > 30 THEN 'MOVED' ELSE 'MATCH' END AS status
- FROM (SELECT * FROM pth WHERE source_frame % 3 > 0) a FULL JOIN (SELECT clip_id, source_frame, x + track_id * 5 AS x, y FROM pth WHERE source_frame % 4 > 0) b ON a.clip_id = b.clip_id AND a.source_frame = b.source_frame) GROUP BY status""", "pth")
+@query("path_changes", """SELECT clip_id, source_frame, CASE WHEN a.x IS NULL THEN 'GAINED' WHEN b.x IS NULL THEN 'MISSING' WHEN sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) > 30 THEN 'MOVED' WHEN a.src <> b.src THEN 'PROVENANCE' ELSE 'MATCH' END AS status
+ FROM (SELECT clip_id, source_frame, x, y, event_type AS src FROM pth) a FULL JOIN (SELECT clip_id, source_frame, avg((x1 + x2) / 2) AS x, avg(y2) AS y, CASE WHEN max(confidence) >= 0.5 THEN 'click' ELSE 'view' END AS src FROM det WHERE class_name = 'sports ball' GROUP BY ALL) b USING (clip_id, source_frame)""", "pth", "det")
 def path_changes(spark, d):
-    p = views.path(spark, d)
-    after = p.where("source_frame % 4 > 0").withColumn("x", F.col("x") + F.col("track_id") * 5)
-    return joins.compared(p.where("source_frame % 3 > 0"), after, ["clip_id", "source_frame"], 30.0).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """The path against the mean ball box of each frame."""
+    x, y = g.foot(g.box())
+    found = views.detections(spark, d).where("class_name = 'sports ball'").groupBy("clip_id", "source_frame").agg(F.avg(x).alias("x"), F.avg(y).alias("y"), F.when(F.max("confidence") >= 0.5, "click").otherwise("view").alias("source"))
+    return joins.compared(views.path(spark, d).withColumn("source", F.col("event_type")), found, ["clip_id", "source_frame"], 30.0).select("clip_id", "source_frame", "status")
 
 
 @query("greedy_event_matches")
@@ -272,7 +277,7 @@ def static_cells(spark, d):
     return blocks.static_cells(views.path(spark, d).withColumn("y", F.col("y") / 10), CLIP, 40.0, 0.01)
 
 
-@query("track_quality", """SELECT clip_id, track_id, count(*) AS points, min(source_frame) AS first_frame, max(source_frame) AS last_frame, round(avg(c) * sqrt(count(*)), 6) AS quality, round(avg(c), 6) AS mean_confidence
+@query("track_quality", """SELECT clip_id, track_id, count(*) AS points, min(source_frame) AS first_frame, max(source_frame) AS last_frame, max(clip_seconds) - min(clip_seconds) AS duration_seconds, floor(avg(c) * sqrt(count(*)) * 1e6 + 0.5) / 1e6 AS quality, floor(avg(c) * 1e6 + 0.5) / 1e6 AS mean_confidence
  FROM (SELECT *, floor(control_ratio * 64) / 64 AS c FROM pth) GROUP BY ALL HAVING avg(c) >= 0.1""", "pth")
 def track_quality(spark, d):
     return blocks.track_quality(views.path(spark, d).withColumn("confidence", F.floor(F.col("control_ratio") * 64) / 64.0), CLIP, 0.1)
@@ -353,10 +358,11 @@ def longest_tracks(spark, d):
     return reports.top(sizes, CLIP, [F.desc("n"), F.asc("track_id")], 5).drop("rank")
 
 
-@query("result_differences", """SELECT clip_id, source_frame, CASE WHEN sum(n) > 0 THEN 'missing' ELSE 'unexpected' END AS side, abs(sum(n))::BIGINT AS n FROM (SELECT clip_id, source_frame, 1 AS n FROM pth WHERE source_frame % 7 <> 1 UNION ALL SELECT clip_id, source_frame, -1 FROM pth WHERE source_frame % 5 <> 2) GROUP BY ALL HAVING sum(n) <> 0""", "pth")
+@query("result_differences", """SELECT clip_id, source_frame, CASE WHEN sum(n) > 0 THEN 'missing' ELSE 'unexpected' END AS side, abs(sum(n))::BIGINT AS n FROM (SELECT clip_id, source_frame, 1 AS n FROM pth UNION ALL SELECT clip_id, source_frame, -1 FROM det WHERE class_name = 'sports ball') GROUP BY ALL HAVING sum(n) <> 0""", "pth", "det")
 def result_differences(spark, d):
-    p = views.path(spark, d).select("clip_id", "source_frame")
-    return reports.differences(p.where("source_frame % 7 <> 1"), p.where("source_frame % 5 <> 2"))
+    """Frames of the path against those with a ball box."""
+    found = views.detections(spark, d).where("class_name = 'sports ball'").select("clip_id", "source_frame")
+    return reports.differences(views.path(spark, d).select("clip_id", "source_frame"), found)
 
 
 @query("event_keys", "SELECT DISTINCT clip_id, event_type || ':' || printf('%.3f', clip_seconds) || ':' || team || ':' || from_track || ':' || to_track AS event_key FROM tr", "pth", "spells")
@@ -397,20 +403,22 @@ def replay_duplicates(spark, d):
     return windows.deduplicated(events, CLIP, "event_key", 5.0, 1.0)
 
 
-@query("worker_backlog", """SELECT workflow_id, job_id, finish::BIGINT AS finish, (finish - 3 - arrival)::BIGINT AS wait FROM (SELECT *, s + max(arrival - (s - 3)) OVER w AS finish FROM (SELECT *, sum(3) OVER w AS s FROM (SELECT workflow_id, job_id, job_id % 1000 + row_number() OVER (PARTITION BY workflow_id ORDER BY job_id) * 2 AS arrival FROM job) WINDOW w AS (PARTITION BY workflow_id ORDER BY job_id)) WINDOW w AS (PARTITION BY workflow_id ORDER BY job_id))""", "job")
+@query("worker_backlog", """, j AS (SELECT o_custkey AS workflow_id, o_orderkey AS job_id, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS arrival, coalesce(n, 0) AS service FROM orders LEFT JOIN (SELECT l_orderkey, 8 * count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
+SELECT workflow_id, job_id, (s + max(arrival - (s - service)) OVER w)::BIGINT AS finish, (s + max(arrival - (s - service)) OVER w - service - arrival)::BIGINT AS wait FROM (SELECT *, sum(service) OVER (PARTITION BY workflow_id ORDER BY arrival, job_id) AS s FROM j) WINDOW w AS (PARTITION BY workflow_id ORDER BY arrival, job_id)""", "job")
 def worker_backlog(spark, d):
-    jobs = views.jobs(spark, d)
-    arrival = F.col("job_id") % 1000 + F.row_number().over(Window.partitionBy("workflow_id").orderBy("job_id")) * 2
-    chunks = jobs.select("workflow_id", "job_id", F.col("job_id").alias("index"), arrival.cast("long").alias("arrival"), F.lit(3).cast("long").alias("service"))
+    """Each customer's orders as jobs of one worker: they arrive on their day and take eight days an item."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("job_id")).agg((8 * F.count(F.lit(1))).alias("service"))
+    jobs = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("workflow_id"), F.col("o_orderkey").alias("job_id"), F.datediff("o_orderdate", F.lit("1990-01-01")).cast("long").alias("arrival"))
+    chunks = jobs.join(items, "job_id", "left").fillna(0, ["service"]).withColumn("index", F.struct("arrival", "job_id"))
     return windows.backlog(chunks, ["workflow_id"]).select("workflow_id", "job_id", "finish", "wait")
 
 
-@query("motion_states", """SELECT motion_state, count(*) AS n, sum(samples)::BIGINT AS samples FROM (SELECT *, CASE WHEN v IS NULL THEN 'unknown' WHEN v < 3 THEN 'stationary' WHEN v < 12 THEN 'walking' ELSE 'running' END AS motion_state FROM (
- SELECT count(*) OVER w AS samples, CASE WHEN clip_seconds > first(clip_seconds) OVER w THEN sqrt(pow(x - first(x) OVER w, 2) + pow(y - first(y) OVER w, 2)) / (clip_seconds - first(clip_seconds) OVER w) / ((h + first(h) OVER w) / 2) END AS v
- FROM (SELECT *, 40.0::DOUBLE + source_frame % 5 AS h FROM pth) WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY CAST(round(clip_seconds * 1000) AS BIGINT) RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW))) GROUP BY ALL""", "pth")
+@query("motion_states", """SELECT clip_id, track_id, source_frame, samples, CASE WHEN v IS NULL THEN 'unknown' WHEN v < 3 THEN 'stationary' WHEN v < 12 THEN 'walking' ELSE 'running' END AS motion_state FROM (
+ SELECT clip_id, track_id, source_frame, count(*) OVER w AS samples, CASE WHEN clip_seconds > first(clip_seconds) OVER w THEN sqrt(pow(x - first(x) OVER w, 2) + pow(y - first(y) OVER w, 2)) / (clip_seconds - first(clip_seconds) OVER w) / ((h + first(h) OVER w) / 2) END AS v
+ FROM (SELECT *, 40.0::DOUBLE + source_frame % 5 AS h FROM pth) WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY CAST(round(clip_seconds * 1000) AS BIGINT) RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW))""", "pth")
 def motion_states(spark, d):
     p = views.path(spark, d).withColumn("height", F.lit(40.0) + F.col("source_frame") % 5)
-    return evidence.motion_state(p, TRACK, 1.0, 3.0, 12.0).groupBy("motion_state").agg(F.count(F.lit(1)).alias("n"), F.sum("samples").alias("samples"))
+    return evidence.motion_state(p, TRACK, 1.0, 3.0, 12.0).select("clip_id", "track_id", "source_frame", "samples", "motion_state")
 
 
 STEPS = "st AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) / (clip_seconds - lag(clip_seconds) OVER w) AS speed FROM pth WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY source_frame))"
@@ -437,14 +445,15 @@ def long_tracks(spark, d):
     return evidence.long_tracks(views.path(spark, d), TRACK, 42).groupBy(*TRACK).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("static_tracks", "SELECT clip_id, track_id, round(coalesce(sum(step), 0), 3) AS path, round(median(step), 6) AS median_step, count(*) AS points, coalesce(coalesce(sum(step), 0) <= 40 * median(step), true) AS static FROM st GROUP BY ALL", "pth", "steps")
+@query("static_tracks", "SELECT clip_id, track_id, round(coalesce(sum(step), 0), 3) AS path, round(median(dg) FILTER (dg > 0), 6) AS median_diagonal, count(*) AS points, count(*) >= 3 AND NOT bool_or(near_feet) AND count(*) FILTER (dg > 0) > 0 AND coalesce(sum(step), 0) <= 150 * median(dg) FILTER (dg > 0) AS static FROM (SELECT *, 8.0::DOUBLE + source_frame % 9 AS dg, event_type = 'signup' AND control_ratio > 0.8 AS near_feet FROM st) GROUP BY ALL", "pth", "steps")
 def static_tracks(spark, d):
-    return evidence.moving_tracks(views.path(spark, d), TRACK, 40.0).withColumns({"path": F.round("path", 3), "median_step": F.round("median_step", 6)})
+    p = views.path(spark, d).withColumn("box_diagonal", F.lit(8.0) + F.col("source_frame") % 9).withColumn("near_feet", (F.col("event_type") == "signup") & (F.col("control_ratio") > 0.8))
+    return evidence.static_fragments(p, TRACK, 150.0).withColumns({"path": F.round("path", 3), "median_diagonal": F.round("median_diagonal", 6)})
 
 
-@query("confirmed_runs", "SELECT clip_id, source_frame FROM (SELECT *, lead(source_frame, 1) OVER w AS a, lead(source_frame, 2) OVER w AS b FROM pth WHERE source_frame % 7 <> 3 WINDOW w AS (PARTITION BY clip_id ORDER BY source_frame)) WHERE a = source_frame + 1 AND b = source_frame + 2", "pth")
+@query("confirmed_runs", "SELECT clip_id, source_frame FROM (SELECT *, lead(source_frame, 1) OVER w AS a, lead(source_frame, 2) OVER w AS b FROM pth WHERE event_type <> 'signup' WINDOW w AS (PARTITION BY clip_id ORDER BY source_frame)) WHERE a = source_frame + 1 AND b = source_frame + 2", "pth")
 def confirmed_runs(spark, d):
-    return evidence.confirmed_runs(views.path(spark, d).where("source_frame % 7 <> 3"), CLIP, 1).select("clip_id", "source_frame")
+    return evidence.confirmed_runs(views.path(spark, d).where("event_type <> 'signup'"), CLIP, 1).select("clip_id", "source_frame")
 
 
 @query("provenance_gate", "SELECT clip_id, count(*) AS states, count(*) FILTER (event_type <> 'signup') AS eligible, CASE WHEN count(*) FILTER (event_type <> 'signup') >= 0.8 * count(*) THEN 'passed' ELSE 'review_required' END AS status FROM pth GROUP BY clip_id", "pth")
@@ -457,24 +466,43 @@ def label_counts(spark, d):
     return evidence.label_counts(views.path(spark, d), CLIP, "event_type")
 
 
-@query("missing_frames", "SELECT c.clip_id, f AS source_frame FROM (SELECT clip_id, unnest(generate_series(0, 500, 5)) AS f FROM (SELECT DISTINCT clip_id FROM pth)) c ANTI JOIN (SELECT clip_id, source_frame AS f FROM pth WHERE source_frame % 3 > 0) p USING (clip_id, f)", "pth")
+@query("missing_frames", "SELECT c.clip_id, f AS source_frame FROM (SELECT clip_id, unnest(generate_series(lo, hi, 1)) AS f FROM (SELECT clip_id, min(source_frame) AS lo, max(source_frame) AS hi FROM det GROUP BY 1)) c ANTI JOIN (SELECT clip_id, source_frame AS f FROM det WHERE class_name = 'sports ball') p USING (clip_id, f)", "det")
 def missing_frames(spark, d):
-    p = views.path(spark, d)
-    clips = p.select("clip_id").distinct().select("clip_id", F.lit(0).cast("long").alias("first_frame"), F.lit(500).cast("long").alias("last_frame"))
-    return evidence.missing_frames(p.where("source_frame % 3 > 0"), clips, CLIP, 5)
+    boxes = views.detections(spark, d)
+    clips = boxes.groupBy("clip_id").agg(F.min("source_frame").alias("first_frame"), F.max("source_frame").alias("last_frame"))
+    return evidence.missing_frames(boxes.where("class_name = 'sports ball'"), clips, CLIP, 1)
 
 
-@query("membership_faults", "SELECT segment_id, event_key, ordinal, row_number() OVER (PARTITION BY segment_id ORDER BY ordinal) - 1 AS place, count(*) OVER (PARTITION BY segment_id, ordinal) AS repeats FROM his WHERE segment_id % 5 > 0 OR ordinal <> 1 QUALIFY place <> ordinal OR repeats > 1", "his")
+@query("membership_faults", "SELECT workflow_id, event_key, job_id, ordinal, place, repeats FROM (SELECT o_custkey AS workflow_id, o_orderstatus AS event_key, o_orderkey AS job_id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS ordinal, row_number() OVER (PARTITION BY o_custkey ORDER BY substr(o_orderpriority, 1, 1), o_orderkey) - 1 AS place, count(*) OVER (PARTITION BY o_custkey, substr(o_orderpriority, 1, 1)) AS repeats FROM orders) WHERE place <> ordinal OR repeats > 1")
 def membership_faults(spark, d):
-    log = views.history(spark, d).where("segment_id % 5 > 0 OR ordinal <> 1")
-    return evidence.membership_faults(log, ["segment_id"], "ordinal").select("segment_id", "event_key", "ordinal", "place", "repeats")
+    members = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_custkey AS workflow_id", "o_orderstatus AS event_key", "o_orderkey AS job_id", "CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS ordinal")
+    return evidence.membership_faults(members, ["workflow_id"], "ordinal", "job_id")
 
 
 @query("audit_sequence", "SELECT workflow_id, segment_id, ordinal, row_number() OVER (PARTITION BY workflow_id ORDER BY segment_id, ordinal) AS sequence FROM his", "his")
 def audit_sequence(spark, d):
-    return evidence.audit_sequence(views.history(spark, d), ["workflow_id"], ["segment_id", "ordinal"]).select("workflow_id", "segment_id", "ordinal", "sequence")
+    return evidence.audit_sequence(views.history(spark, d), ["workflow_id"], F.expr("segment_id DIV 64"), ["segment_id", "ordinal"]).select("workflow_id", "segment_id", "ordinal", "sequence")
 
 
 @query("active_leases", "SELECT workflow_id, priority_rank, heartbeats FROM (SELECT workflow_id, priority_rank, max(created_at::DATE) AS renewed, count(*) AS heartbeats FROM job WHERE created_at::DATE <= DATE '1995-06-17' GROUP BY ALL) WHERE renewed + 2 > DATE '1995-06-17'", "job")
 def active_leases(spark, d):
     return evidence.active_leases(views.jobs(spark, d), ["workflow_id", "priority_rank"], "1995-06-17", 2).drop("renewed")
+
+
+@query("clip_clocks", "SELECT clip_id, source_frame, CAST(source_frame AS DOUBLE) / 25 AS clip_seconds FROM det", "det")
+def clip_clocks(spark, d):
+    return frames.clip_clock(views.detections(spark, d), 25.0).select("clip_id", "source_frame", "clip_seconds")
+
+
+@query("evenly_sampled", """SELECT clip_id, track_id, source_frame FROM (SELECT *, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY clip_id, track_id) AS n FROM pth WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY source_frame)) WHERE n <= 8 OR round_even(round(p * 7 / (n - 1), 0) * (n - 1) / 7, 0) = p""", "pth")
+def evenly_sampled(spark, d):
+    return evidence.evenly_sampled(views.path(spark, d), TRACK, 8).select("clip_id", "track_id", "source_frame")
+
+
+@query("contained_spells", """, o AS (SELECT clip_id, block * 4.0::DOUBLE AS s, block * 4.0::DOUBLE + 3 AS e FROM (SELECT DISTINCT clip_id, CAST(floor(clip_seconds / 4) AS BIGINT) AS block FROM pth))
+SELECT sp.clip_id, spell_no, s AS outer_start FROM sp JOIN o ON o.clip_id = sp.clip_id AND start_seconds >= s + 0.5 AND end_seconds <= e - 0.5""", "pth", "spells")
+def contained_spells(spark, d):
+    p = views.path(spark, d)
+    inner = tracks.spells(p, CLIP, 0.64).select("clip_id", "spell_no", F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"))
+    outer = p.select("clip_id", F.floor(F.col("clip_seconds") / 4).alias("block")).distinct().select("clip_id", (F.col("block") * 4.0).alias("outer_start"), (F.col("block") * 4.0 + 3).alias("outer_end"))
+    return joins.contained(inner, outer, CLIP, 0.5, 4.0).select("clip_id", "spell_no", "outer_start")

@@ -11,7 +11,7 @@ BOX = "struct<class_name:string,confidence:double,x1:double,y1:double,x2:double,
 CACHE = f"type string, manifest_sha256 string, source_frame long, clip_seconds double, detections array<{BOX}>"
 #: Fields of a manifest that would leak what is to be predicted.
 LABELS = ("actions", "action_counts", "annotations", "events", "labels", "ball_ground_truth", "manual_reference")
-MANIFEST = "match_id string, clip_id long, fps double, start_frame long, end_frame long, half int, start_seconds double, starts_at_kickoff boolean, " + ", ".join(f"{c} array<string>" for c in LABELS)
+MANIFEST = "match_id string, clip_id long, fps double, start_frame long, end_frame long, half int, start_seconds double, starts_at_kickoff boolean, " + ", ".join(f"{c} string" for c in LABELS)
 
 
 def detection_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -27,11 +27,12 @@ def foreign(metadata: DataFrame, manifests: DataFrame) -> DataFrame:
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Manifests with the reasons to reject them, none for a valid one."""
+    """Manifests with the reasons to reject them, none for a valid one. Labels are read as text, whatever their type: only null, an empty text, list or
+    object may stand there."""
     rows = spark.read.schema(MANIFEST).json(path, multiLine=True)
     rows = rows.withColumn("starts_at_kickoff", F.coalesce("starts_at_kickoff", F.col("start_seconds") <= 5.0))
     faults = [F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in (("fps", F.col("fps") > 0), ("start_frame", F.col("start_frame") >= 0), ("end_frame", F.col("end_frame") > F.col("start_frame")))]
-    leaks = [F.when(F.size(c) > 0, F.lit(f"leak:{c}")) for c in LABELS]
+    leaks = [F.when(F.regexp_replace(c, r"\s", "").isin("", "[]", "{}") == F.lit(False), F.lit(f"leak:{c}")) for c in LABELS]
     return rows.withColumn("reasons", F.array_compact(F.array(*faults, *leaks))).drop(*LABELS)
 
 

@@ -20,7 +20,11 @@ def test_manifests(spark, tmp_path):
     good = {"match_id": "m", "clip_id": 1, "fps": 25.0, "start_frame": 0, "end_frame": 10, "start_seconds": 3.0}
     (tmp_path / "a.json").write_text(json.dumps(good, indent=1))
     (tmp_path / "b.json").write_text(json.dumps(good | {"clip_id": 2, "fps": 0.0, "end_frame": 0, "events": ["x"], "labels": []}))
+    leaks = {"action_counts": {"pass": 3}, "manual_reference": "ref-7", "actions": [{"label": "pass"}], "labels": 0, "annotations": False}
+    (tmp_path / "c.json").write_text(json.dumps(good | {"clip_id": 3} | leaks))
+    (tmp_path / "d.json").write_text(json.dumps(good | {"clip_id": 4, "action_counts": {}, "manual_reference": "", "actions": [], "events": None}))
     got = {r["clip_id"]: r for r in files.manifests(spark, str(tmp_path)).collect()}
+    assert sorted(got[3]["reasons"]) == sorted(f"leak:{c}" for c in leaks) and got[4]["reasons"] == []
     assert got[1]["reasons"] == [] and got[1]["starts_at_kickoff"] is True
     assert got[2]["reasons"] == ["fps", "end_frame", "leak:events"]
 
