@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import cut, task_groups
+from fieldtrace.llm.common import cut, task_groups, tidy, trim
 
 BLOBS = "route int, target int, blob binary"
 ARROW = pa.schema([("route", pa.int32()), ("target", pa.int32()), ("blob", pa.binary())])
@@ -182,6 +182,8 @@ def gathered(df: DataFrame, slices: Callable[[Iterator[pa.RecordBatch]], Iterato
                 held = []
         if held:
             yield batch(send(np.concatenate(held)))
+            held = []
+        tidy()
 
     return df.mapInArrow(run, BLOBS)
 
@@ -200,6 +202,8 @@ def mapped(df: DataFrame, work: Callable[[np.ndarray, np.ndarray, list[bytes]],
                 yield batch((r, t, b"".join(x)) for (r, t), x in held.items())
                 held, size = {}, 0
         yield batch((r, t, b"".join(x)) for (r, t), x in held.items())
+        held = {}
+        tidy()
 
     return df.mapInArrow(run, BLOBS)
 
@@ -215,14 +219,22 @@ def grouped(df: DataFrame, work: Callable[[pa.Table], Iterable[tuple[int, int, b
     def run(table: pa.Table) -> pa.Table:
         route, target = table["route"][0].as_py(), table["target"][0].as_py()
         made = work(table) if route == KEYS else windows(table) if route == WINDOWS and windows else passed(route, target, table)
-        return pa.Table.from_batches([batch(made)])
+        out = pa.Table.from_batches([batch(made)])
+        trim()
+        return out
 
     return df.groupBy("route", "target").applyInArrow(run, BLOBS)
 
 
 def with_text(docs: DataFrame, blobs: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """work(texts, blobs) for each group of documents, docs being (doc, group, text) and the blobs' targets those groups."""
-    return docs.groupBy("group").cogroup(blobs.groupBy("target")).applyInArrow(work, schema)
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        out = work(texts, found)
+        trim()
+        return out
+
+    return docs.groupBy("group").cogroup(blobs.groupBy("target")).applyInArrow(run, schema)
 
 
 def unpacked_rows(df: DataFrame, kind: np.dtype, names: dict[str, str]) -> DataFrame:

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import small_batches
+from fieldtrace.llm.common import small_batches, tidy
 
 #: How byte-level BPE cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -206,12 +206,15 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
                 counts.append(n)
             tokens = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             yield pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(tokens.astype(np.int32)))
+        del encoder
+        tidy()
 
     return df.withColumn(ids, run(F.coalesce(F.col(text), F.lit(""))))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """df plus the column text: what the tokens stand for; bytes that are not UTF-8 become U+FFFD. Null ids give null, [] gives ''."""
+    """df plus the column text: what the tokens stand for; bytes that are not UTF-8 become U+FFFD. Null ids give null, [] gives ''; null, negative and too large
+    numbers among the ids stand for nothing."""
     small_batches(df.sparkSession)
     v = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
@@ -221,18 +224,21 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
             if lists.null_count:
                 lists = pa.array(lists.to_pylist(), pa.list_(pa.int32()))
             ends = lists.offsets.to_numpy().astype(np.int64)
-            tokens = lists.values.to_numpy(zero_copy_only=False)
+            tokens = lists.values.fill_null(-1).to_numpy(zero_copy_only=False)
             missing = lists.is_null().to_numpy(zero_copy_only=False)
             out: list[str | None] = []
             for k in range(len(ends) - 1):
                 own = tokens[ends[k] : ends[k + 1]]
+                own = own[(own >= 0) & (own < len(v.value.starts))]
                 out.append(None if missing[k] else gathered(v.value.pool, v.value.starts[own], v.value.lengths[own]).tobytes().decode("utf-8", "replace"))
             yield pa.array(out, pa.string())
+        tidy()
 
     return df.withColumn(text, run(F.col(ids)))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and hashes of all documents' tokens, and of what they decode to."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +45,20 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def tidy() -> None:
+    """Gives memory that a task no longer uses back to the machine: Python workers outlive their tasks, and several wait beside those at work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim()
+
+
+def trim() -> None:
+    """The same for what the C library keeps, where it can."""
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
+
+
 def packed(df: DataFrame, keep: Sequence[str] | None = None, **computed: Column) -> DataFrame:
     """The columns to keep (all, unless given) of df inside the one column `row`, beside computed columns: no names can clash."""
     return df.select(F.struct(*[df[c] for c in (df.columns if keep is None else keep)]).alias("row"), *[c.alias(n) for n, c in computed.items()])

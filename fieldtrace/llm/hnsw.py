@@ -13,8 +13,9 @@ from fieldtrace.llm.common import cut
 from fieldtrace.llm.vectors import usable
 
 GRAPH = "shard long, dim int, places long, vectors binary, sizes array<int>, links binary, member_ends binary, members binary"
-#: Best unexpanded nodes that a search step follows at once; queries searched together.
-AT_ONCE, TOGETHER = 4, 512
+QUERIES = "dim int, block long, ids binary, vectors binary"
+#: Best unexpanded nodes that a search step follows at once; queries searched together, and cells of the table of what each has seen.
+AT_ONCE, TOGETHER, SEEN = 4, 512, 1 << 25
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
@@ -88,7 +89,7 @@ class Graph:
         g = cls(x, [np.full((s, 2 * degree if k == 0 else degree), -1, np.int32) for k, s in enumerate(sizes)])
         start = 1
         while start < n:
-            end = min(n, start + min(start, TOGETHER))
+            end = min(n, start + min(start, TOGETHER, max(64, SEEN // n)))
             g.insert(start, end, width)
             start = end
         return g
@@ -142,25 +143,32 @@ class Graph:
         return entry
 
 
-def index(vectors: DataFrame, shard_rows: int = 8192, degree: int = 16, width: int = 80) -> DataFrame:
+def number_of(kind: str) -> type:
+    """The type that vectors of a column are stored in, so that none loses digits."""
+    return np.float32 if "float" in kind else np.float64
+
+
+def index(vectors: DataFrame, shard_rows: int = 65_536, degree: int = 16, width: int = 80) -> DataFrame:
     """The graphs of vectors (vec_id, embedding), a row a shard: equal vectors are one node with the list of their ids.
 
-    Rows are dealt to shards of about shard_rows by a hash of vec_id, so that copies of one vector spread over all. Null
+    Rows are dealt to shards of about shard_rows by a hash of vec_id, so that copies of one vector spread over all; a shard is as large
+    as a task can hold, for each query meets each shard. Vectors are stored as they are; the graph is built and searched in single precision. Null
     vec_ids and vectors that are null, empty, zero or hold null or non-finite components are left out; of rows with one
     vec_id the smallest vector counts. Vectors of different lengths never meet. An empty table gives no graph.
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     shards = max(1, math.ceil(vectors.count() / shard_rows))
+    number = number_of(vectors.schema["embedding"].dataType.simpleString())
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
-        x = np.stack(pdf["embedding"].to_numpy()).astype(np.float32) + np.float32(0)
-        unique, inverse = np.unique(x.view([("", np.float32)] * x.shape[1]).ravel(), return_inverse=True)
+        x = np.stack(pdf["embedding"].to_numpy()).astype(number) + number(0)
+        unique, inverse = np.unique(x.view([("", number)] * x.shape[1]).ravel(), return_inverse=True)
         shuffle = np.random.default_rng(len(unique)).permutation(len(unique))
         place = np.argsort(shuffle)[inverse.ravel()]
         order = np.argsort(place, kind="stable")
-        nodes = unique.view(np.float32).reshape(len(unique), -1)[shuffle]
-        graph = Graph.built(nodes, degree, width)
+        nodes = unique.view(number).reshape(len(unique), -1)[shuffle]
+        graph = Graph.built(nodes.astype(np.float32), degree, width)
         return pd.DataFrame({
             "shard": [int(pdf["shard"].iloc[0])], "dim": [x.shape[1]], "places": [len(nodes)], "vectors": [nodes.tobytes()], "sizes": [[len(a) for a in graph.links]],
             "links": [b"".join(a.tobytes() for a in graph.links)], "member_ends": [np.cumsum(np.bincount(place)).astype(np.int64).tobytes()], "members": [pdf["vec_id"].to_numpy(np.int64)[order].tobytes()],
@@ -174,20 +182,27 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 20, width: int = 128,
     """(query_id, rank, vec_id, score) for queries (query_id, embedding): the k found in all shards with the largest inner
     products in double precision, best first, ties to the smaller vec_id, the query's own id left out.
 
-    Queries meet each graph in blocks of about 50,000, so that a task holds one graph and one block. Queries with vectors
-    that index() leaves out give no rows; with fewer than k candidates, those there are.
+    Queries are packed in blocks of about 50,000, a row each, and a block meets each graph in a task of its own, which holds the two. Queries with
+    vectors that index() leaves out give no rows; with fewer than k candidates, those there are. Embeddings of both tables have one type.
     """
+    number = number_of(queries.schema["embedding"].dataType.simpleString())
     graphs, queries = cut(graphs), queries.where(F.col("query_id").isNotNull() & usable("embedding")).groupBy("query_id").agg(F.min("embedding").alias("embedding"))
     queries = cut(queries.withColumn("dim", F.size("embedding")))
     blocks = max(1, math.ceil(queries.count() / block))
     shards = graphs.agg(F.max("shard")).first()[0] or 0
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards).cast("long"))))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.stack(pdf["embedding"].to_numpy()).astype(number)
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "block": pdf["block"].iloc[:1], "ids": [pdf["query_id"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()]})
+
+    packed = cut(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("dim", "block").applyInPandas(pack, QUERIES))
+    asked = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards).cast("long"))))
     stored = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1).cast("long"))))
 
     def find(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for r in stored.itertuples() if len(asked) else ():
-            nodes = np.frombuffer(r.vectors, np.float32).reshape(r.places, -1)
+            nodes = np.frombuffer(r.vectors, number).reshape(r.places, -1)
             ends, members = np.frombuffer(r.member_ends, np.int64), np.frombuffer(r.members, np.int64)
             starts = np.append(0, ends[:-1])
             flat, links, at = np.frombuffer(r.links, np.int32), [], 0
@@ -195,10 +210,12 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 20, width: int = 128,
                 wide = 2 * degree_of(r.sizes, len(flat)) if level == 0 else degree_of(r.sizes, len(flat))
                 links.append(flat[at : at + n * wide].reshape(n, wide))
                 at += n * wide
-            graph = Graph(nodes, links)
-            for lo in range(0, len(asked), TOGETHER):
-                some = asked.iloc[lo : lo + TOGETHER]
-                q, own = np.stack(some["embedding"].to_numpy()).astype(np.float64), some["query_id"].to_numpy(np.int64)
+            graph = Graph(nodes.astype(np.float32), links)
+            ids = np.frombuffer(asked["ids"].iloc[0], np.int64)
+            given = np.frombuffer(asked["vectors"].iloc[0], number).reshape(len(ids), -1)
+            step = max(1, min(TOGETHER, SEEN // max(1, len(nodes))))
+            for lo in range(0, len(ids), step):
+                q, own = given[lo : lo + step].astype(np.float64), ids[lo : lo + step]
                 found = graph.search(q, max(width, 2 * k))
                 row, col = np.nonzero(found >= 0)
                 node = found[row, col]
@@ -226,5 +243,6 @@ def degree_of(sizes: list[int], links: int) -> int:
 
 
 def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return search(index(vectors), vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))

@@ -17,7 +17,9 @@ from fieldtrace.llm.vectors import usable
 ADDED = ["n_links", "component_id", "kept"]
 #: Rows of the sample that the principal axes are fitted on, leading dimensions of the grid, vectors of a block and of a leaf.
 SAMPLE, LEADING, BLOCK, LEAF = 8192, 8, 2048, 256
-BLOCKS = "block long, label {label}, dim int, lo array<double>, hi array<double>, first_lo long, first_hi long, reps binary, counts binary, vectors binary"
+#: Leading dimensions whose cells are the key under which blocks meet.
+KEYED = 3
+BLOCKS = "block long, label {label}, dim int, lo array<double>, hi array<double>, cell_lo array<long>, cell_hi array<long>, reps binary, counts binary, vectors binary"
 #: Room for rounding where blocks or pairs are ruled out; exact cosines decide.
 SLACK = 1e-6
 
@@ -137,7 +139,7 @@ def link(vectors: DataFrame, least: float = 0.98) -> DataFrame:
                 p = spot(x)
                 yield pd.DataFrame({
                     "block": [TaskContext.get().partitionId() << 32 | made], "label": [own["label"].iloc[0]], "dim": [own["dim"].iloc[0]], "lo": [p.min(0)], "hi": [p.max(0)],
-                    "first_lo": [math.floor(p[:, 0].min() / width - SLACK)], "first_hi": [math.floor(p[:, 0].max() / width + SLACK)],
+                    "cell_lo": [np.floor(p.min(0)[:KEYED] / width - SLACK).astype(np.int64)], "cell_hi": [np.floor(p.max(0)[:KEYED] / width + SLACK).astype(np.int64)],
                     "reps": [own["rep"].to_numpy(np.int64).tobytes()], "counts": [own["n"].to_numpy(np.int64).tobytes()], "vectors": [x.astype(number).tobytes()],
                 })
                 made += 1
@@ -147,13 +149,18 @@ def link(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     ordered = cut(celled).repartitionByRange(parts, "label", "dim", "cells").sortWithinPartitions("label", "dim", "cells", "rep")
     stored = cut(ordered.mapInPandas(blocks, BLOCKS.format(label=label)))
 
-    near = stored.select("block", "label", "dim", "lo", "hi", "first_lo", F.explode(F.sequence("first_lo", F.col("first_hi") + 1)).alias("cell"))
+    # A block stands in each cell of the leading dimensions that it touches, and in the next one of each; two blocks meet in one cell only.
+    near = stored.select("block", "label", "dim", "lo", "hi", "cell_lo", "cell_hi")
+    for k in range(KEYED):
+        near = near.withColumn(f"cell_{k}", F.explode(F.sequence(F.coalesce(F.get("cell_lo", k), F.lit(0)), F.coalesce(F.get("cell_hi", k), F.lit(0)) + 1)))
+    near = near.withColumn("cell", F.array(*[f"cell_{k}" for k in range(KEYED)]))
     a, b = near.alias("a"), near.alias("b")
     apart = F.aggregate(
         F.zip_with(F.zip_with("a.lo", "b.hi", lambda x, y: x - y), F.zip_with("b.lo", "a.hi", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y)), F.lit(0.0), lambda s, x: s + x * x
     )
+    meet = F.array(*[F.greatest(*[F.coalesce(F.get(f"{s}.cell_lo", k), F.lit(0)) for s in "ab"]) for k in range(KEYED)])
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("label", "dim", "cell")]
-    pairs = a.join(b, [*same, F.col("a.block") <= F.col("b.block"), F.col("a.cell") == F.greatest("a.first_lo", "b.first_lo"), apart <= width * width + SLACK])
+    pairs = a.join(b, [*same, F.col("a.block") <= F.col("b.block"), F.col("a.cell") == meet, apart <= width * width + SLACK])
     pairs = pairs.select(F.col("a.block").alias("left"), F.col("b.block").alias("right"))
     sides = [stored.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("reps", "counts", "vectors")]) for s in ("left", "right")]
     pairs = pairs.join(sides[0], "left").join(sides[1], "right")
@@ -179,4 +186,5 @@ def link(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors of one label at a cosine of 0.98."""
     return link(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")).select("vec_id", *ADDED)

@@ -32,7 +32,7 @@ ARROW_RESULT = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start
 
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

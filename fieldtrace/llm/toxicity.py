@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import cut, small_batches
+from fieldtrace.llm.common import cut, small_batches, tidy
 
 ADDED = ["held_out", "score", "predicted", "evidence"]
 TERM = re.compile(r"[^\W_]+")
@@ -21,7 +21,7 @@ EXAMPLES = 4000
 #: Examples of a block of postings, neighbours that vote, evidence shown, distance that is added to each.
 BLOCK, NEIGHBOURS, SHOWN, NEAR = 64, 25, 3, 0.05
 #: Terms in most examples, whose weights are dense blocks, texts that meet them at once, and blocks that every text meets first.
-DENSE, AT_ONCE, FIRST = 512, 256, 4
+DENSE, AT_ONCE, FIRST = 512, 64, 4
 FOUND = "struct<mark:bigint,own:double,places:array<int>,dots:array<double>>"
 FOUND_ARROW = pa.struct([("mark", pa.int64()), ("own", pa.float64()), ("places", pa.list_(pa.int32())), ("dots", pa.list_(pa.float64()))])
 SCORE = "struct<score:double,evidence:array<struct<doc_id:bigint,similarity:double,toxic:int>>>"
@@ -209,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
                     rows[2].extend([words[w] for w in strange])
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], ["mark", "term", "n"])
         at = np.flatnonzero(total)
+        tidy()
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(at), pa.array(total[at])], ["mark", "term", "n"])
 
     whole = docs.select(F.coalesce("text", F.lit("")).alias("text"))
@@ -255,7 +256,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
         for texts in batches:
             texts = texts.to_pylist()
             marks = [text_mark(t) for t in texts]
-            if len(known) > 20_000:
+            if len(known) > 5_000:
                 known.clear()
             new = list({m: t for m, t in zip(marks, texts, strict=True) if m not in known}.items())
             for lo in range(0, len(new), AT_ONCE):
@@ -267,6 +268,9 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
             own, ids, dots = zip(*(known[m] for m in marks), strict=True) if marks else ((), (), ())
             lists = lambda x, t: pa.array(x, pa.list_(t))
             yield pa.StructArray.from_arrays([pa.array(marks, pa.int64()), pa.array(own, pa.float64()), lists(ids, pa.int32()), lists(dots, pa.float64())], fields=list(FOUND_ARROW))
+        index.blocks = None
+        known.clear()
+        tidy()
 
     @F.arrow_udf(SCORE)
     def vote(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:

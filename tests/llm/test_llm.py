@@ -281,6 +281,39 @@ def test_hnsw(spark):
     assert hnsw.search(hnsw.index(few), queries.where("query_id = 0")).count() == 4
 
 
+def test_hnsw_in_double(spark):
+    """Vectors that differ beyond single precision stay apart, and scores are exact; clashing columns don't matter."""
+    g = np.random.default_rng(1)
+    x = g.normal(size=(60, 8))
+    x[1] = x[0] * (1 + 1e-12)
+    df = spark.createDataFrame([(k, [float(v) for v in x[k]], "s", 7) for k in range(60)], "vec_id long, embedding array<double>, shard string, dim int")
+    queries = df.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), "embedding", F.lit(1).alias("block"))
+    for shard_rows in (20, 100):
+        for r in hnsw.search(hnsw.index(df, shard_rows=shard_rows), queries).collect():
+            assert r["score"] == pytest.approx(x[r["query_id"]] @ x[r["vec_id"]], abs=1e-15)
+
+
+def test_neardup_in_blocks(spark, monkeypatch):
+    """Many small blocks that meet by cells of several dimensions, clashing columns and repeated rows, against brute force."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "LEAF", 4)
+    g = np.random.default_rng(7)
+    x = (g.normal(size=(40, 6))[g.integers(0, 40, 500)] + g.normal(size=(500, 6)) * 0.12).astype(np.float32)
+    rows = [(k, [float(v) for v in x[k]], k % 2, "c", 1) for k in range(500)]
+    df = spark.createDataFrame([*rows, rows[4]], "vec_id long, embedding array<float>, label int, cell string, block int")
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1))[:, None]
+    link = (unit @ unit.T >= 0.98) & (np.arange(500)[:, None] % 2 == np.arange(500)[None] % 2)
+    low = np.arange(500)
+    for _ in range(60):
+        low = np.array([low[np.flatnonzero(link[i])].min() for i in range(500)])
+    out = collections.defaultdict(list)
+    for r in neardup.link(df, 0.98).collect():
+        out[r["vec_id"]].append((r["component_id"], r["n_links"], r["cell"]))
+    copies = link[:, 4].astype(int)
+    assert {i: {v[0] for v in out[i]} for i in out} == {i: {low[i]} for i in range(500)}
+    assert all(out[i][0][1:] == (link[i].sum() - 1 + copies[i], "c") for i in range(500)) and len(out[4]) == 2
+
+
 def test_bpe(spark, docs, rows):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     tokenizers = pytest.importorskip("tokenizers")
@@ -294,8 +327,8 @@ def test_bpe(spark, docs, rows):
         ids = own.encode(text, add_special_tokens=False).ids
         assert r["ids"] == ids and r["decoded"] == own.decode(ids, skip_special_tokens=False) == text
     assert bpe.encode(df.limit(0), path).count() == 0
-    some = spark.createDataFrame([(1, None), (2, []), (3, [447])], "doc_id long, ids array<int>")
-    assert [r["decoded"] for r in bpe.decode(some, path).orderBy("doc_id").collect()] == [None, "", "�"]
+    some = spark.createDataFrame([(1, None), (2, []), (3, [447]), (4, [-1, 1_000_000, None, *own.encode("ab", add_special_tokens=False).ids])], "doc_id long, ids array<int>")
+    assert [r["decoded"] for r in bpe.decode(some, path).orderBy("doc_id").collect()] == [None, "", "�", "ab"]
 
 
 def test_warc(spark):
