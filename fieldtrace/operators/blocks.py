@@ -14,12 +14,13 @@ def block_of(at: str, seconds: float) -> Column:
     return F.floor(F.col(at) / seconds)
 
 
-def detection_summary(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Frames, boxes by class, frames with a person or a ball, and coverage. One count a frame first, so no distinct count of frames."""
+def detection_summary(boxes: DataFrame, clips: DataFrame, keys: Sequence[str], stride: int) -> DataFrame:
+    """Frames, boxes by class, frames with a person or a ball, coverage, and whether all frames that the clip (frame_count) has at that stride are there. One count a frame first, so no distinct count of frames."""
     person, ball = F.col("class_name") == "person", F.col("class_name") == "sports ball"
     frames = boxes.groupBy(*keys, "source_frame").agg(F.count_if(person).alias("p"), F.count_if(ball).alias("b"))
     out = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.sum("p").alias("persons"), F.sum("b").alias("balls"), F.count_if(F.col("p") > 0).alias("frames_with_person"), F.count_if(F.col("b") > 0).alias("frames_with_ball"))
-    return out.withColumn("ball_coverage", F.round(F.col("frames_with_ball") / F.col("frames"), 6))
+    out = out.withColumn("ball_coverage", F.round(F.col("frames_with_ball") / F.col("frames"), 6)).join(clips, list(keys))
+    return out.withColumn("expected_frames", F.ceil(F.col("frame_count") / stride)).withColumn("complete", F.col("frames") >= F.col("expected_frames")).drop("frame_count")
 
 
 def micro_average(parts: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -73,10 +73,22 @@ def confirmed_runs(points: DataFrame, keys: Sequence[str], stride: int) -> DataF
     return points.withColumn("one_", F.lead("source_frame", 1).over(w)).withColumn("two_", F.lead("source_frame", 2).over(w)).where((F.col("one_") == F.col("source_frame") + stride) & (F.col("two_") == F.col("source_frame") + 2 * stride)).drop("one_", "two_")
 
 
-def provenance_gate(states: DataFrame, keys: Sequence[str], eligible: str, least: float = 0.9) -> DataFrame:
-    """Share of states that may be evidence, and whether the clip passes or needs a review."""
+def provenance_gate(states: DataFrame, keys: Sequence[str], eligible: str, least: float = 0.9, blocking: bool = True) -> DataFrame:
+    """Share of states that may be evidence, whether the clip passes or needs a review, what the pipeline does (a report alone never blocks), and states of each kind (state)."""
     out = states.groupBy(*keys).agg(F.count(F.lit(1)).alias("states"), F.count_if(F.expr(eligible)).alias("eligible"))
-    return out.withColumn("status", F.when(F.col("eligible") >= least * F.col("states"), "passed").otherwise("review_required"))
+    kinds = states.groupBy(*keys, "state").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "state", "n"))), ",").alias("by_state"))
+    passed = F.col("eligible") >= least * F.col("states")
+    out = out.withColumn("share", F.round(F.col("eligible") / F.col("states"), 6)).withColumn("status", F.when(passed, "passed").otherwise("review_required"))
+    return out.withColumn("action", F.when(passed | F.lit(not blocking), "continue").otherwise("blocked")).join(kinds, list(keys))
+
+
+def supported_tracks(points: DataFrame, keys: Sequence[str], least: int, fastest: float, sure: float = 0.2, sure_at_feet: float = 0.1, part: float = 0.075) -> DataFrame:
+    """Tracks of at least `least` points; if that is 3, also pairs of points whose speed is at least `part` of the fastest and whose mean confidence is `sure` (sure_at_feet
+    if one is near a player's feet)."""
+    rows = steps(points, keys, float("inf"))
+    per = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), F.avg("confidence").alias("mean_"), F.max("speed").alias("speed_"), F.bool_or("near_feet").alias("feet_"))
+    pair = (F.col("points") == 2) & (F.col("speed_") >= part * fastest) & ((F.col("mean_") >= sure) | (F.col("feet_") & (F.col("mean_") >= sure_at_feet)))
+    return per.where((F.col("points") >= least) | (F.lit(least == 3) & F.coalesce(pair, F.lit(False)))).select(*keys, "points")
 
 
 def label_counts(rows: DataFrame, keys: Sequence[str], label: str) -> DataFrame:

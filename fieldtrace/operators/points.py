@@ -243,3 +243,26 @@ def associated(points: DataFrame, keys: Sequence[str], pause: float, speed: floa
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
     return points.groupBy(*keys).applyInPandas(follow, f"{kinds}, track_id long")
+
+
+def temporal_neighbours(candidates: DataFrame, keys: Sequence[str], step: int, speed: float, fps: float) -> DataFrame:
+    """Candidates with neighbours: on how many sides (0 to 2) the sample `step` frames away holds a point that a ball of that speed reaches."""
+    reach = speed * step / fps
+    near = candidates.select(*keys, "source_frame", F.col("x").alias("x_"), F.col("y").alias("y_"))
+    rows = candidates.withColumn("row_", F.struct(*candidates.columns))
+    sides = None
+    for k in (-step, step):
+        hit = rows.join(near.withColumn("source_frame", F.col("source_frame") - k), [*keys, "source_frame"]).where(g.distance(F.col("x"), F.col("y"), F.col("x_"), F.col("y_")) <= reach).select("row_").distinct()
+        sides = hit if sides is None else sides.unionByName(hit)
+    counts = sides.groupBy("row_").agg(F.count(F.lit(1)).alias("n_"))
+    return rows.join(counts, "row_", "left").select(*keys, "source_frame", F.coalesce("n_", F.lit(0)).cast("int").alias("neighbours"))
+
+
+def filled(tracked: DataFrame, states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A clip's one ball track (track_id, x, y) with the states of the frames that it lacks, marked as interpolated. States that are eligible as evidence are never filled in, and a clip with
+    several tracks gets none."""
+    frame = [*keys, "source_frame"]
+    single = tracked.groupBy(*keys).agg(F.min("track_id").alias("track_id"), F.max("track_id").alias("high_")).where("track_id = high_").drop("high_")
+    missing = states.where("NOT eligible").join(tracked.select(*frame), frame, "left_anti").join(single, list(keys))
+    columns = [*frame, "track_id", "x", "y"]
+    return tracked.select(*columns, F.lit(False).alias("interpolated")).unionByName(missing.select(*columns, F.lit(True).alias("interpolated")))

@@ -80,3 +80,41 @@ def run_performance(runs: DataFrame) -> DataFrame:
         "realtime_factor": F.round(F.try_divide(wall, media), 6), "frames_per_second": F.round(F.try_divide(F.col("frames").cast("double"), wall), 6),
         "headroom_seconds": F.round(F.col("deadline_seconds") - wall, 6), "needed_speedup": F.round(F.greatest(F.lit(1.0), F.try_divide(wall, F.col("deadline_seconds"))), 6),
     })
+
+
+def best_windows(actions: DataFrame, keys: Sequence[str], seconds: float, required: Sequence[str], passes: Sequence[str], fps: float) -> DataFrame:
+    """of windows of so many seconds centred at actions of a required label (and cut at 0) that with the most required actions, then passes, then actions, then the earliest; with its
+    bounds in seconds and frames. Each window meets the actions of its buckets."""
+    if seconds <= 0:
+        raise ValueError("the duration is positive")
+    anchors = actions.where(F.col("label").isin(*required)).select(*keys, F.greatest(F.lit(0.0), F.col("clip_seconds") - seconds / 2).alias("start_")).distinct().withColumn("end_", F.col("start_") + seconds)
+    pairs = joins.in_interval(actions.select(*keys, "clip_seconds", "label"), anchors, keys, "clip_seconds", "start_", "end_", seconds)
+    counts = pairs.groupBy(*keys, "start_").agg(F.count_if(F.col("label").isin(*required)).alias("required"), F.count_if(F.col("label").isin(*passes)).alias("passes"), F.count(F.lit(1)).alias("actions"))
+    best = counts.groupBy(*keys).agg(F.max(F.struct("required", "passes", "actions", (-F.col("start_")).alias("early"))).alias("b"))
+    start = -F.col("b.early")
+    frame = lambda t: F.bround(t * fps).cast("long")
+    return best.select(*keys, F.round(start, 3).alias("start_seconds"), F.round(start + seconds, 3).alias("end_seconds"), frame(start).alias("start_frame"), frame(start + seconds).alias("end_frame"), "b.required", "b.passes", "b.actions")
+
+
+def clip_plans(asked: DataFrame, segment: float, longest: float) -> DataFrame:
+    """for clips (start_seconds, duration_seconds) of sources (source_seconds) cut into segments: the segments that cover them, and where the clip starts in them. A clip that starts
+    before 0 or after its source, or lasts 0 or more than `longest`, has no plan."""
+    start, length = F.col("start_seconds"), F.col("duration_seconds")
+    rows = asked.where((start >= 0) & (length > 0) & (length <= longest) & (start < F.col("source_seconds")))
+    first = F.floor(start / segment)
+    taken = F.least(length, F.col("source_seconds") - start)
+    plan = {"first_segment": first, "segment_count": F.ceil((start - first * segment + taken) / segment), "source_start_seconds": F.round(first * segment, 3), "clip_start_seconds": F.round(start - first * segment, 3), "duration_seconds": F.round(taken, 3)}
+    return rows.select(*[c for c in asked.columns if c != "duration_seconds"], *[c.alias(n) for n, c in plan.items()])
+
+
+def detection_changes(before: DataFrame, after: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
+    """M2: boxes (box_no, x, y) of each frame before and after: GAINED, MISSING, MATCH or CHANGED, and how many match one to one, each of before its nearest free one."""
+    frame = [*keys, "source_frame"]
+    a, b = (df.select(*frame, F.col("box_no").alias(f"{n}_no"), F.col("x").alias(f"{n}_x"), F.col("y").alias(f"{n}_y")) for df, n in ((before, "before"), (after, "after")))
+    pairs = a.join(b, frame).withColumn("far", g.distance(F.col("before_x"), F.col("before_y"), F.col("after_x"), F.col("after_y"))).where(F.col("far") <= tolerance)
+    matched = joins.greedy_matches(pairs.select(*frame, "before_no", "after_no", "far"), frame, "before_no", "after_no", "far").groupBy(*frame).agg(F.count(F.lit(1)).alias("matched"))
+    counts = [df.groupBy(*frame).agg(F.count(F.lit(1)).alias(n)) for df, n in ((before, "before"), (after, "after"))]
+    rows = counts[0].join(counts[1], frame, "full_outer").join(matched, frame, "left").fillna(0, ["before", "after", "matched"])
+    same = (F.col("matched") == F.col("before")) & (F.col("matched") == F.col("after"))
+    status = F.when(F.col("before") == 0, "GAINED").when(F.col("after") == 0, "MISSING").when(same, "MATCH").otherwise("CHANGED")
+    return rows.withColumn("status", status)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
+from fieldtrace.operators import control, joins
 from fieldtrace.operators.tracks import ordered
 
 
@@ -59,3 +60,32 @@ def summary(attempts: DataFrame, keys: Sequence[str], teams: Sequence[str]) -> D
     reasons = once.where(open_).groupBy(*keys, "reason").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "reason", "n"))), ",").alias("unresolved_reasons"))
     out = once.groupBy(*keys).agg(*[F.count_if(hit & (F.col("team") == t)).alias(f"{t}_on_target") for t in teams], F.count_if(open_).alias("unresolved"))
     return out.withColumn("analysis_status", F.when(F.col("unresolved") > 0, "partial").otherwise("complete")).join(reasons, list(keys), "left")
+
+
+def candidates(balls: DataFrame, keys: Sequence[str], width: float, height: float, fast: float, least_cosine: float, most_seconds: float = 0.8) -> DataFrame:
+    """Steps of the ball of at least `fast` that start in the outer two fifths of the picture and point at the goal of that side (its centre at 18 or 95 percent of the width and
+    27 percent of the height): their middle time, speed and side."""
+    w = ordered(keys)
+    rows = balls.withColumns({f"n_{c}": F.lead(c).over(w) for c in ("x", "y", "clip_seconds")})
+    dx, dy, took = F.col("n_x") - F.col("x"), F.col("n_y") - F.col("y"), F.col("n_clip_seconds") - F.col("clip_seconds")
+    side = F.when(F.col("x") >= 0.6 * width, "right").when(F.col("x") <= 0.4 * width, "left")
+    gx, gy = F.when(side == "right", 0.95 * width).otherwise(0.18 * width) - F.col("x"), 0.27 * height - F.col("y")
+    long, away = F.sqrt(dx * dx + dy * dy), F.sqrt(gx * gx + gy * gy)
+    rows = rows.withColumns({"speed": long / took, "side": side, "took_": took, "aim_": F.try_divide(dx * gx + dy * gy, long * away)})
+    ok = (F.col("took_") > 0) & (F.col("took_") <= most_seconds) & (F.col("speed") >= fast) & F.col("side").isNotNull() & (F.col("aim_") >= least_cosine)
+    return rows.where(ok).select(*keys, ((F.col("clip_seconds") + F.col("n_clip_seconds")) / 2).alias("clip_seconds"), "speed", "side")
+
+
+def events(debounced: DataFrame, spell_rows: DataFrame, prior: DataFrame, keys: Sequence[str], teams: Sequence[str], receiver: float = 0.8, owner: float = 3.0) -> DataFrame:
+    """Shots from debounced candidates (clip_seconds, speed): none where a spell of two observations or more starts within `receiver` seconds. The team is that of the last event of a
+    team within `owner` seconds (its receiver, else its sender, shoots), else of the spell that ended last within them."""
+    own = control.flat(spell_rows, keys)
+    taken = own.where("observations >= 2").select(*keys, F.col("start_seconds").alias("start_"))
+    near = joins.as_of(debounced, taken.withColumn("v_", F.lit(1)), keys, "clip_seconds", "start_", ["v_"], forward=True, within=receiver)
+    free = near.where("start_ IS NULL").drop("start_", "v_")
+    told = prior.where(F.col("team").isin(*teams)).select(*keys, F.col("clip_seconds").alias("event_at"), F.col("team").alias("event_team"), F.coalesce("to_track", "from_track").alias("event_track"))
+    free = joins.as_of(free, told, keys, "clip_seconds", "event_at", ["event_team", "event_track"], within=owner)
+    spells = own.select(*keys, F.col("end_seconds").alias("spell_end"), F.col("team").alias("spell_team"), F.col("track_id").alias("spell_track"))
+    free = joins.as_of(free, spells, keys, "clip_seconds", "spell_end", ["spell_team", "spell_track"], within=owner)
+    by_event = F.col("event_at").isNotNull()
+    return free.select(*keys, F.lit("shot_candidate").alias("event_type"), F.round("clip_seconds", 3).alias("clip_seconds"), F.when(by_event, F.col("event_team")).otherwise(F.col("spell_team")).alias("team"), F.when(by_event, F.col("event_track")).otherwise(F.col("spell_track")).alias("from_track"), F.round(F.least(F.lit(0.95), 0.45 + F.col("speed") / 1200), 4).alias("confidence"))

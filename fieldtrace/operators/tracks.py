@@ -61,15 +61,22 @@ def boundary_intervals(points: DataFrame, keys: Sequence[str], polygon: Sequence
     return out.where(F.col("end_seconds") - F.col("start_seconds") + 1e-9 >= least_seconds).drop("run_")
 
 
-def interpolated(points: DataFrame, keys: Sequence[str], step: int, most_frames: int) -> DataFrame:
-    """Points on the line between neighbours that are more than `step` and at most most_frames apart."""
+def interpolated(points: DataFrame, keys: Sequence[str], step: int, fps: float, most_seconds: float) -> DataFrame:
+    """Points on the line between neighbours that are more than `step` frames and at most most_seconds apart, unless the ball came from the way that it would go. They are three
+    quarters as sure as the less sure of the two."""
+    if step < 1 or fps <= 0 or most_seconds <= 0:
+        raise ValueError("step, frame rate and gap are positive")
     w = ordered(keys)
-    nxt = {c: F.lead(c).over(w) for c in ("source_frame", "x", "y")}
-    points = points.withColumns({"next_frame": nxt["source_frame"], "next_x": nxt["x"], "next_y": nxt["y"]})
-    gaps = points.where((F.col("next_frame") - F.col("source_frame") > step) & (F.col("next_frame") - F.col("source_frame") <= most_frames))
-    filled = gaps.withColumn("frame_", F.explode(F.sequence(F.col("source_frame") + step, F.col("next_frame") - 1, F.lit(step))))
-    share = (F.col("frame_") - F.col("source_frame")) / (F.col("next_frame") - F.col("source_frame"))
-    return filled.select(*keys, F.col("frame_").alias("source_frame"), (F.col("x") + (F.col("next_x") - F.col("x")) * share).alias("x"), (F.col("y") + (F.col("next_y") - F.col("y")) * share).alias("y"))
+    names = ("source_frame", "clip_seconds", "x", "y", "confidence")
+    rows = points.withColumns({f"next_{c}": F.lead(c).over(w) for c in names} | {f"last_{c}": F.lag(c).over(w) for c in ("x", "y")})
+    onward = (F.col("x") - F.col("last_x")) * (F.col("next_x") - F.col("x")) + (F.col("y") - F.col("last_y")) * (F.col("next_y") - F.col("y"))
+    frames = F.col("next_source_frame") - F.col("source_frame")
+    gaps = rows.where((frames > step) & (F.col("next_clip_seconds") - F.col("clip_seconds") <= most_seconds + 1e-6) & (F.col("last_x").isNull() | (onward > 0)))
+    filled = gaps.withColumn("frame_", F.explode(F.sequence(F.col("source_frame") + step, F.col("next_source_frame") - 1, F.lit(step).cast("long"))))
+    passed = F.col("frame_") - F.col("source_frame")
+    line = {c: (F.col(c) + (F.col(f"next_{c}") - F.col(c)) * (passed / frames)).alias(c) for c in ("x", "y")}
+    sure = F.round(F.least("confidence", "next_confidence") * 0.75, 6).alias("confidence")
+    return filled.select(*keys, F.col("frame_").alias("source_frame"), F.round(F.col("clip_seconds") + passed / fps, 3).alias("clip_seconds"), line["x"], line["y"], sure)
 
 
 def debounced(releases: DataFrame, keys: Sequence[str], gap: float) -> DataFrame:
@@ -86,15 +93,19 @@ def debounced(releases: DataFrame, keys: Sequence[str], gap: float) -> DataFrame
 
 
 def coalesced(intervals: DataFrame, keys: Sequence[str], gap: float) -> DataFrame:
-    """Stoppages (start_seconds, end_seconds, resumed_seconds, starts_outside) merged when the next starts 0..gap after the last one resumed and does not open the clip."""
-    kind = "array<struct<start_seconds:double,end_seconds:double,resumed_seconds:double,starts_outside:boolean,merged:int>>"
-    listed = intervals.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_seconds", "end_seconds", "resumed_seconds", "starts_outside", F.lit(1).alias("merged")))).alias("all_"))
+    """Stoppages (start_seconds, end_seconds, resumed_seconds, starts_outside, minimum_signed_distance) merged when the next starts 0..gap after the last one resumed and does
+    not open the clip; the farthest distance and the number of parts are kept."""
+    kind = "array<struct<start_seconds:double,end_seconds:double,resumed_seconds:double,starts_outside:boolean,minimum_signed_distance:double,merged:int>>"
+    listed = intervals.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_seconds", "end_seconds", "resumed_seconds", "starts_outside", "minimum_signed_distance", F.lit(1).alias("merged")))).alias("all_"))
 
     def fold(acc: Column, s: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         wait = s["start_seconds"] - last["resumed_seconds"]
         joins = F.coalesce((wait >= 0) & (wait <= gap) & ~s["starts_outside"], F.lit(False))
-        both = F.struct(last["start_seconds"].alias("start_seconds"), s["end_seconds"].alias("end_seconds"), s["resumed_seconds"].alias("resumed_seconds"), last["starts_outside"].alias("starts_outside"), (last["merged"] + 1).alias("merged"))
+        both = F.struct(
+            last["start_seconds"].alias("start_seconds"), s["end_seconds"].alias("end_seconds"), s["resumed_seconds"].alias("resumed_seconds"), last["starts_outside"].alias("starts_outside"),
+            F.least(last["minimum_signed_distance"], s["minimum_signed_distance"]).alias("minimum_signed_distance"), (last["merged"] + 1).alias("merged"),
+        )
         return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(s)))
 
     return listed.withColumn("one_", F.explode(F.aggregate("all_", F.array().cast(kind), fold))).select(*keys, "one_.*")
@@ -124,3 +135,16 @@ def control_changes(observations: DataFrame, keys: Sequence[str]) -> DataFrame:
     """K64, its control part: a control candidate whenever the controller is another than before."""
     w = ordered(keys)
     return observations.withColumn("previous_track", F.lag("track_id").over(w)).where("previous_track IS NULL OR previous_track <> track_id")
+
+
+def actions(frames: DataFrame, keys: Sequence[str], departure: float) -> DataFrame:
+    """Of frames with a ball (controller or null, its proximity, scaled_speed of the ball) in order: ball_control_candidate where the controller is another than in the frame
+    before, pass_or_shot_candidate where one loses a ball of at least `departure` heights a second. A loss needs a control before it, so one controller has one for each control."""
+    w = ordered(keys)
+    before = F.lag("controller").over(w)
+    rows = frames.withColumn("before_", before)
+    gained = F.col("controller").isNotNull() & ~F.col("controller").eqNullSafe(F.col("before_"))
+    lost = F.col("controller").isNull() & F.col("before_").isNotNull() & (F.col("scaled_speed") >= departure)
+    kind = F.when(gained, "ball_control_candidate").when(lost, "pass_or_shot_candidate")
+    sure = F.when(gained, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("proximity")))).otherwise(F.least(F.lit(1.0), F.col("scaled_speed") / (2 * departure)))
+    return rows.where(gained | lost).select(*keys, "source_frame", kind.alias("event_type"), F.coalesce("controller", "before_").alias("actor"), F.round(sure, 6).alias("confidence"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
-from fieldtrace.operators import blocks, evidence, frames, joins, reports, tracks
+from fieldtrace.operators import blocks, evidence, frames, history, joins, reports, tracks
 from fieldtrace.sources import views
 from fieldtrace.streaming import windows
 
@@ -196,10 +196,12 @@ def event_comparison(spark, d):
     return reports.event_comparison(manual, predicted, CLIP, 1.0, 3.0, ["red", "black"], ["completed_pass", "turnover"])
 
 
-@query("detection_summary", """SELECT clip_id, count(*) AS frames, sum(p)::BIGINT AS persons, sum(b)::BIGINT AS balls, count(*) FILTER (p > 0) AS frames_with_person, count(*) FILTER (b > 0) AS frames_with_ball, round((count(*) FILTER (b > 0)) / count(*), 6) AS ball_coverage
- FROM (SELECT clip_id, source_frame, count(*) FILTER (class_name = 'person') AS p, count(*) FILTER (class_name = 'sports ball') AS b FROM det GROUP BY ALL) GROUP BY clip_id""", "det")
+@query("detection_summary", """, c AS (SELECT clip_id, max(source_frame) + 1 AS frame_count FROM pth GROUP BY 1)
+SELECT clip_id, count(*) AS frames, sum(p)::BIGINT AS persons, sum(b)::BIGINT AS balls, count(*) FILTER (p > 0) AS frames_with_person, count(*) FILTER (b > 0) AS frames_with_ball, round((count(*) FILTER (b > 0)) / count(*), 6) AS ball_coverage, CAST(ceil(any_value(frame_count) / 2) AS BIGINT) AS expected_frames, count(*) >= ceil(any_value(frame_count) / 2) AS complete
+ FROM (SELECT clip_id, source_frame, count(*) FILTER (class_name = 'person') AS p, count(*) FILTER (class_name = 'sports ball') AS b FROM det GROUP BY ALL) JOIN c USING (clip_id) GROUP BY clip_id""", "det", "pth")
 def detection_summary(spark, d):
-    return blocks.detection_summary(views.detections(spark, d), CLIP)
+    clips = views.path(spark, d).groupBy("clip_id").agg((F.max("source_frame") + 1).alias("frame_count"))
+    return blocks.detection_summary(views.detections(spark, d), clips, CLIP, 2)
 
 
 @query("micro_average", """SELECT lang, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0), 6) AS precision, round(coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0), 6) AS recall
@@ -317,10 +319,10 @@ def control_islands(spark, d):
     return tracks.islands(views.path(spark, d), CLIP, F.col("control_ratio") <= 0.5)
 
 
-@query("gap_interpolation", """SELECT clip_id, track_id, f AS source_frame, round(x + (nx - x) * ((f - source_frame) / (nf - source_frame)), 6) AS x, round(y + (ny - y) * ((f - source_frame) / (nf - source_frame)), 6) AS y FROM (SELECT *, unnest(generate_series(source_frame + 5, nf - 1, 5)) AS f FROM (
- SELECT *, lead(source_frame) OVER w AS nf, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM pth WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY source_frame)) WHERE nf - source_frame > 5 AND nf - source_frame <= 40)""", "pth")
+@query("gap_interpolation", """SELECT clip_id, track_id, f AS source_frame, round(clip_seconds + (f - source_frame) / 25, 3) AS clip_seconds, round(x + (nx - x) * ((f - source_frame) / (nf - source_frame)), 6) AS x, round(y + (ny - y) * ((f - source_frame) / (nf - source_frame)), 6) AS y, round(least(c, nc) * 0.75, 6) AS confidence FROM (SELECT *, unnest(generate_series(source_frame + 5, nf - 1, 5)) AS f FROM (
+ SELECT *, control_ratio AS c, lead(control_ratio) OVER w AS nc, lead(source_frame) OVER w AS nf, lead(clip_seconds) OVER w AS nt, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lag(x) OVER w AS lx, lag(y) OVER w AS ly FROM pth WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY source_frame)) WHERE nf - source_frame > 5 AND nt - clip_seconds <= 1.6 + 1e-6 AND (lx IS NULL OR (x - lx) * (nx - x) + (y - ly) * (ny - y) > 0))""", "pth")
 def gap_interpolation(spark, d):
-    return tracks.interpolated(views.path(spark, d), TRACK, 5, 40).withColumns(r6("x", "y"))
+    return tracks.interpolated(views.path(spark, d).withColumn("confidence", F.col("control_ratio")), TRACK, 5, 25.0, 1.6).withColumns(r6("x", "y"))
 
 
 @query("debounced_releases")
@@ -396,11 +398,25 @@ def replay_windows(spark, d):
     return windows.replay_windows(clips, 5.0, 1.0).select("clip_id", "index", "window_start", "window_end")
 
 
-@query("replay_duplicates", """, a AS (SELECT tr.*, unnest(generate_series(greatest(0, CAST(floor((clip_seconds - 5) / 4) AS BIGINT) + 1), CAST(floor(clip_seconds / 4) AS BIGINT))) AS i FROM tr)
-SELECT clip_id, i AS index, count(*) FILTER (k = 1) AS new_events, count(*) FILTER (k > 1) AS duplicates FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, event_type || ':' || printf('%.3f', clip_seconds) || ':' || team || ':' || from_track || ':' || to_track ORDER BY i) AS k FROM a) GROUP BY ALL""", "pth", "spells")
+views.SQL["asg"] = """du AS (SELECT clip_id, max(clip_seconds) AS duration FROM pth GROUP BY 1), mw AS (SELECT *, greatest(0, CAST(ceil((duration - 5) / 4) AS BIGINT)) AS lst FROM du),
+ asg AS (SELECT tr.*, event_type || ':' || printf('%.3f', clip_seconds) || ':' || team || ':' || from_track || ':' || to_track AS event_key, unnest(generate_series(least(lst, greatest(0, CAST(floor((clip_seconds - 5) / 4) AS BIGINT) + 1)), least(lst, CAST(floor(clip_seconds / 4) AS BIGINT)))) AS i FROM tr JOIN mw USING (clip_id))"""
+
+
+def clip_durations(spark, d):
+    return views.path(spark, d).groupBy("clip_id").agg(F.max("clip_seconds").alias("duration"))
+
+
+@query("replay_duplicates", "SELECT clip_id, i AS index, count(*) FILTER (k = 1) AS new_events, count(*) FILTER (k > 1) AS duplicates FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, event_key ORDER BY i) AS k FROM asg) GROUP BY ALL", "pth", "spells", "asg")
 def replay_duplicates(spark, d):
     events = spell_events(spark, d).withColumn("event_key", reports.event_key())
-    return windows.deduplicated(events, CLIP, "event_key", 5.0, 1.0)
+    return windows.deduplicated(events, clip_durations(spark, d), CLIP, "event_key", 5.0, 1.0)
+
+
+@query("replay_progress", """, f AS (SELECT clip_id, event_key, event_type, min(i) AS i FROM asg GROUP BY ALL), w AS (SELECT clip_id, duration, lst, unnest(generate_series(0, lst)) AS i FROM mw)
+SELECT clip_id, i AS index, round(CASE WHEN least(duration, i * 4.0::DOUBLE + 5) >= duration THEN duration ELSE greatest(0, i * 4.0::DOUBLE + 4) END, 3) AS finalised_through, (SELECT count(*) FROM f WHERE f.clip_id = w.clip_id AND f.i <= w.i AND event_type = 'pass_candidate') AS pass_candidate, (SELECT count(*) FROM f WHERE f.clip_id = w.clip_id AND f.i <= w.i AND event_type = 'turnover_candidate') AS turnover_candidate FROM w""", "pth", "spells", "asg")
+def replay_progress(spark, d):
+    events = spell_events(spark, d).withColumn("event_key", reports.event_key())
+    return windows.progress(events, clip_durations(spark, d), CLIP, "event_key", ["pass_candidate", "turnover_candidate"], 5.0, 1.0)
 
 
 @query("worker_backlog", """, j AS (SELECT o_custkey AS workflow_id, o_orderkey AS job_id, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS arrival, coalesce(n, 0) AS service FROM orders LEFT JOIN (SELECT l_orderkey, 8 * count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
@@ -456,9 +472,9 @@ def confirmed_runs(spark, d):
     return evidence.confirmed_runs(views.path(spark, d).where("event_type <> 'signup'"), CLIP, 1).select("clip_id", "source_frame")
 
 
-@query("provenance_gate", "SELECT clip_id, count(*) AS states, count(*) FILTER (event_type <> 'signup') AS eligible, CASE WHEN count(*) FILTER (event_type <> 'signup') >= 0.8 * count(*) THEN 'passed' ELSE 'review_required' END AS status FROM pth GROUP BY clip_id", "pth")
+@query("provenance_gate", "SELECT clip_id, count(*) AS states, count(*) FILTER (event_type <> 'signup') AS eligible, round(count(*) FILTER (event_type <> 'signup') / count(*), 6) AS share, CASE WHEN count(*) FILTER (event_type <> 'signup') >= 0.8 * count(*) THEN 'passed' ELSE 'review_required' END AS status, CASE WHEN count(*) FILTER (event_type <> 'signup') >= 0.8 * count(*) THEN 'continue' ELSE 'blocked' END AS action, (SELECT string_agg(event_type || ':' || n, ',' ORDER BY event_type || ':' || n) FROM (SELECT event_type, count(*) AS n FROM pth q WHERE q.clip_id = p.clip_id GROUP BY 1)) AS by_state FROM pth p GROUP BY clip_id", "pth")
 def provenance_gate(spark, d):
-    return evidence.provenance_gate(views.path(spark, d), CLIP, "event_type <> 'signup'", 0.8)
+    return evidence.provenance_gate(views.path(spark, d).withColumn("state", F.col("event_type")), CLIP, "event_type <> 'signup'", 0.8)
 
 
 @query("label_counts", "SELECT clip_id, event_type, count(*) AS n FROM pth GROUP BY ALL", "pth")
@@ -506,3 +522,56 @@ def contained_spells(spark, d):
     inner = tracks.spells(p, CLIP, 0.64).select("clip_id", "spell_no", F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"))
     outer = p.select("clip_id", F.floor(F.col("clip_seconds") / 4).alias("block")).distinct().select("clip_id", (F.col("block") * 4.0).alias("outer_start"), (F.col("block") * 4.0 + 3).alias("outer_end"))
     return joins.contained(inner, outer, CLIP, 0.5, 4.0).select("clip_id", "spell_no", "outer_start")
+
+
+@query("version_conflicts", "SELECT workflow_id, segment_id, event_key, ordinal, expected_version FROM (SELECT *, coalesce(lag(ordinal) OVER (PARTITION BY workflow_id, segment_id, event_key ORDER BY ordinal), 0) + 1 AS expected_version FROM his) WHERE ordinal <> expected_version", "his")
+def version_conflicts(spark, d):
+    return history.version_conflicts(views.history(spark, d), ["workflow_id", "segment_id", "event_key"], "ordinal").select("workflow_id", "segment_id", "event_key", "ordinal", "expected_version")
+
+
+@query("reference_sets", """, s AS (SELECT o_custkey AS set_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS revision, CASE WHEN o_orderstatus = 'F' THEN 'approved' ELSE 'draft' END AS status, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS n FROM orders)
+SELECT set_id, max(revision) AS latest_revision, arg_max(status, revision) AS latest_status, nullif(max(revision) - 1, 0) AS based_on, max(revision) FILTER (status = 'approved') AS approved_revision, arg_max(n, revision) FILTER (status = 'approved') AS approved_members FROM s GROUP BY set_id""", "job")
+def reference_sets(spark, d):
+    w = Window.partitionBy("set_id").orderBy("o_orderkey")
+    sets = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_custkey AS set_id", "o_orderkey", "CASE WHEN o_orderstatus = 'F' THEN 'approved' ELSE 'draft' END AS status", "CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS n_members")
+    return history.reference_sets(sets.withColumn("revision", F.row_number().over(w).cast("long")), ["set_id"])
+
+
+@query("mapping_faults", """, m AS (SELECT l_orderkey AS set_id, l_linenumber AS line, l_suppkey % 9 AS manual_key, l_partkey % 9 AS engine_key FROM lineitem), b AS (SELECT DISTINCT l_orderkey AS set_id, (l_suppkey + l_linenumber) % 9 AS manual_key FROM lineitem)
+SELECT * FROM (SELECT m.*, count(*) OVER (PARTITION BY set_id, manual_key) AS manual_uses, count(*) OVER (PARTITION BY set_id, engine_key) AS engine_uses, EXISTS (SELECT 1 FROM b WHERE b.set_id = m.set_id AND b.manual_key = m.manual_key) AS member FROM m) WHERE manual_uses > 1 OR engine_uses > 1 OR NOT member""", "job")
+def mapping_faults(spark, d):
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    mappings = items.selectExpr("l_orderkey AS set_id", "l_linenumber AS line", "l_suppkey % 9 AS manual_key", "l_partkey % 9 AS engine_key")
+    return history.mapping_faults(mappings, items.selectExpr("l_orderkey AS set_id", "(l_suppkey + l_linenumber) % 9 AS manual_key"), ["set_id"])
+
+
+@query("import_status", """, l AS (SELECT l_orderkey AS job_id, max(l_linestatus) AS digest FROM lineitem GROUP BY 1), r AS (SELECT o_custkey AS workflow_id, o_orderkey AS job_id, o_orderstatus AS digest, CASE WHEN l.digest IS NULL THEN 'inserted' WHEN l.digest = o_orderstatus THEN 'unchanged' ELSE 'conflicting' END AS status FROM orders LEFT JOIN l ON l.job_id = o_orderkey)
+SELECT *, count(*) FILTER (status = 'conflicting') OVER (PARTITION BY workflow_id) = 0 AS applies FROM r""", "job")
+def import_status(spark, d):
+    incoming = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_custkey AS workflow_id", "o_orderkey AS job_id", "o_orderstatus AS digest")
+    ledger = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey AS job_id", "l_linestatus AS digest").join(incoming.select("workflow_id", "job_id"), "job_id")
+    return history.import_status(incoming, ledger, ["workflow_id", "job_id"], "digest")
+
+
+@query("regression_results", "SELECT l_orderkey AS run_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_quantity) - 1 AS INT) AS result_no, l_suppkey AS segment, l_quantity AS value FROM lineitem QUALIFY l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def regression_results(spark, d):
+    one = F.array_sort(F.collect_list(F.struct(F.col("l_suppkey").alias("segment"), F.col("l_quantity").alias("value"))))
+    registry = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.to_json(F.struct(one.alias("segmentResults"))).alias("payload"))
+    segments = spark.read.parquet(f"{d}/supplier.parquet").where("s_acctbal > 0").select(F.col("s_suppkey").alias("segment"))
+    return history.regression_results(registry, segments)
+
+
+@query("new_artifacts", "SELECT l_returnflag AS provider, l_partkey AS key, l_suppkey AS hash, min(l_orderkey) AS first_order FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_linenumber = 1 AND r.l_returnflag = l.l_returnflag AND r.l_partkey = l.l_partkey AND r.l_suppkey = l.l_suppkey) GROUP BY ALL")
+def new_artifacts(spark, d):
+    items = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_returnflag AS provider", "l_partkey AS key", "l_suppkey AS hash", "l_orderkey AS first_order", "l_linenumber")
+    return history.new_artifacts(items, items.where("l_linenumber = 1"), ["provider", "key", "hash"], ["first_order"])
+
+
+@query("segment_states", """, s AS (SELECT o_orderkey AS job_id, o_orderkey % 11 = 0 AS running, CASE o_orderstatus WHEN 'O' THEN 'detecting' WHEN 'P' THEN CASE WHEN o_custkey % 2 = 0 THEN 'failed' ELSE 'evidence_ready' END END AS stage, o_custkey % 5 = 0 AS has_events, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS expected, coalesce(n, 0) AS processed FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
+SELECT job_id, CASE WHEN running THEN CASE WHEN stage = 'detecting' THEN 'processing' ELSE 'building' END WHEN stage = 'failed' THEN 'failed' WHEN has_events THEN 'ready' WHEN stage = 'evidence_ready' THEN 'evidence_ready' WHEN stage IS NOT NULL AND expected > 0 AND processed >= expected THEN 'building' WHEN expected > 0 AND processed >= expected THEN 'detections_ready' WHEN processed > 0 THEN 'processing' ELSE 'prepared' END AS state FROM s""", "job")
+def segment_states(spark, d):
+    n = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("processed"))
+    s = spark.read.parquet(f"{d}/orders.parquet").join(n, "o_orderkey", "left").fillna(0, ["processed"])
+    stage = F.when(F.col("o_orderstatus") == "O", "detecting").when(F.col("o_orderstatus") == "P", F.when(F.col("o_custkey") % 2 == 0, "failed").otherwise("evidence_ready"))
+    state = history.segment_state(F.col("o_orderkey") % 11 == 0, stage, F.col("o_custkey") % 5 == 0, F.substring("o_orderpriority", 1, 1).cast("long"), F.col("processed"))
+    return s.select(F.col("o_orderkey").alias("job_id"), state.alias("state"))

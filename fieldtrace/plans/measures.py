@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
-from fieldtrace.operators import control, points, scoring, shots, state
+from fieldtrace.operators import evidence, joins, points, scoring, shots, state, tracks
 from fieldtrace.plans import play
 from fieldtrace.plans.catalog import CLIP, TRACK, query, r6
 from fieldtrace.sources import views
@@ -238,3 +239,92 @@ def shot_summary(spark, d):
     resolution = F.when(F.col("event_type") == "purchase", "on_target").when(F.col("event_type") == "click", "off_target").otherwise("unresolved")
     attempts = views.path(spark, d).select("clip_id", F.expr("source_frame DIV 8").alias("attempt_id"), F.col("source_frame").alias("order_no"), "team", resolution.alias("resolution"), F.col("event_type").alias("reason"))
     return shots.summary(attempts, CLIP, ["red", "black"])
+
+
+@query("supported_tracks", "SELECT clip_id, track_id, points FROM (SELECT clip_id, track_id, count(*) AS points, avg(control_ratio) AS m, max(speed) AS v, bool_or(event_type = 'click') AS feet FROM (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) / (clip_seconds - lag(clip_seconds) OVER w) AS speed FROM (SELECT clip_id, CAST(floor(clip_seconds * 2) AS BIGINT) * 12 + track_id AS track_id, source_frame, clip_seconds, x, y, event_type, control_ratio FROM pth) WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY source_frame)) GROUP BY ALL) WHERE points >= 3 OR (points = 2 AND v >= 75 AND (m >= 0.6 OR (feet AND m >= 0.3)))", "pth")
+def supported_tracks(spark, d):
+    """The path's tracks, cut every half second."""
+    p = views.path(spark, d).withColumn("track_id", F.floor(F.col("clip_seconds") * 2) * 12 + F.col("track_id")).withColumns({"near_feet": F.col("event_type") == "click", "confidence": F.col("control_ratio")})
+    return evidence.supported_tracks(p, TRACK, 3, 1000.0, 0.6, 0.3)
+
+
+ACTION_FRAMES = """bb AS (SELECT clip_id, source_frame, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM det WHERE class_name = 'sports ball' QUALIFY row_number() OVER (PARTITION BY clip_id, source_frame ORDER BY confidence DESC, l_partkey, l_linenumber) = 1),
+ bs AS (SELECT *, source_frame / 25 AS t, CAST(source_frame * 40 AS BIGINT) AS ms FROM bb),
+ pp2 AS (SELECT b.clip_id, b.source_frame, p.l_suppkey % 40 AS track, sqrt(pow(b.x - (p.x1 + p.x2) / 2, 2) + pow(b.y - p.y2, 2)) / greatest(1.0, p.y2 - p.y1) AS prox, greatest(1.0, p.y2 - p.y1) AS h FROM bs b JOIN det p ON p.clip_id = b.clip_id AND p.source_frame = b.source_frame AND p.class_name = 'person'),
+ ct AS (SELECT clip_id, source_frame, median(h) AS scale, arg_min(track, struct_pack(a := prox, b := track)) FILTER (prox <= 2) AS controller, min(prox) FILTER (prox <= 2) AS proximity FROM pp2 GROUP BY ALL),
+ af AS (SELECT bs.clip_id, bs.source_frame, controller, proximity, CASE WHEN t > first(t) OVER w THEN sqrt(pow(x - first(x) OVER w, 2) + pow(y - first(y) OVER w, 2)) / greatest(1.0, coalesce(scale, 1.0)) / (t - first(t) OVER w) ELSE 0 END AS speed FROM bs LEFT JOIN ct USING (clip_id, source_frame) WINDOW w AS (PARTITION BY bs.clip_id ORDER BY ms RANGE BETWEEN 600 PRECEDING AND CURRENT ROW))"""
+views.SQL["acf"] = ACTION_FRAMES
+
+
+@query("action_candidates", """SELECT clip_id, source_frame, CASE WHEN controller IS NOT NULL THEN 'ball_control_candidate' ELSE 'pass_or_shot_candidate' END AS event_type, coalesce(controller, before) AS actor, round(CASE WHEN controller IS NOT NULL THEN greatest(0, least(1, 1 - proximity)) ELSE least(1, speed / 4) END, 6) AS confidence
+ FROM (SELECT *, lag(controller) OVER (PARTITION BY clip_id ORDER BY source_frame) AS before FROM af) WHERE (controller IS NOT NULL AND controller IS DISTINCT FROM before) OR (controller IS NULL AND before IS NOT NULL AND speed >= 2)""", "det", "acf")
+def action_candidates(spark, d):
+    boxes = views.detections(spark, d)
+    x, y = g.center(g.box())
+    order = Window.partitionBy(*FRAME).orderBy(F.desc("confidence"), "l_partkey", "l_linenumber")
+    balls = boxes.where("class_name = 'sports ball'").withColumn("k", F.row_number().over(order)).where("k = 1").select(*FRAME, (F.col("source_frame") / 25).alias("clip_seconds"), x.alias("x"), y.alias("y"))
+    fx, fy = g.foot(g.box())
+    people = boxes.where("class_name = 'person'").select(*FRAME, (F.col("l_suppkey") % 40).alias("track"), fx.alias("fx"), fy.alias("fy"), g.height(g.box()).alias("h"))
+    pairs = balls.join(people, FRAME).withColumn("prox", g.distance(F.col("x"), F.col("y"), F.col("fx"), F.col("fy")) / F.col("h"))
+    near = F.when(F.col("prox") <= 2, F.struct("prox", "track"))
+    held = pairs.groupBy(*FRAME).agg(F.percentile("h", 0.5).alias("scale"), F.min(near).alias("n")).select(*FRAME, "scale", F.col("n.track").alias("controller"), F.col("n.prox").alias("proximity"))
+    rows = points.trailing_speed(balls.join(held, FRAME, "left"), CLIP, 0.6, F.coalesce("scale", F.lit(1.0)))
+    return tracks.actions(rows, CLIP, 2.0)
+
+
+SHOT_STEPS = """ss AS (SELECT clip_id, clip_seconds, lead(clip_seconds) OVER w AS nt, x, y, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM bal WINDOW w AS (PARTITION BY clip_id ORDER BY source_frame)),
+ sc AS (SELECT clip_id, (clip_seconds + nt) / 2 AS clip_seconds, sqrt(dx * dx + dy * dy) / (nt - clip_seconds) AS speed, CASE WHEN x >= 240 THEN 'right' ELSE 'left' END AS side FROM (SELECT *, CASE WHEN x >= 240 THEN 0.95 * 400 ELSE 0.18 * 400 END - x AS gx, 0.27 * 300 - y AS gy FROM ss WHERE x >= 240 OR x <= 160) WHERE nt > clip_seconds AND nt - clip_seconds <= 0.8 AND sqrt(dx * dx + dy * dy) / (nt - clip_seconds) >= 500 AND (dx * gx + dy * gy) / nullif(sqrt(dx * dx + dy * dy) * sqrt(gx * gx + gy * gy), 0) >= 0.8)"""
+views.SQL["sc"] = SHOT_STEPS
+
+
+def shot_steps(spark, d):
+    return shots.candidates(views.balls(spark, d), CLIP, 400.0, 300.0, 500.0, 0.8)
+
+
+@query("shot_candidates", "SELECT clip_id, round(clip_seconds, 3) AS clip_seconds, round(speed, 4) AS speed, side FROM sc", "bal", "sc")
+def shot_candidates(spark, d):
+    return shot_steps(spark, d).select("clip_id", F.round("clip_seconds", 3).alias("clip_seconds"), F.round("speed", 4).alias("speed"), "side")
+
+
+@query("shot_events")
+def shot_events(spark, d):
+    found = tracks.debounced(shot_steps(spark, d).select("clip_id", "clip_seconds", "speed"), CLIP, 2.0)
+    return shots.events(found, play.controlled(spark, d), play.control_transfers(spark, d), CLIP, ["red", "black"], receiver=0.1)
+
+
+@query("event_windows", """, a AS (SELECT clip_id, source_frame, clip_seconds, event_type, greatest(0, clip_seconds - 2) AS s FROM pth WHERE event_type = 'purchase'), c AS (SELECT a.clip_id, a.s, count(*) FILTER (p.event_type = 'purchase') AS required, count(*) FILTER (p.event_type = 'click') AS passes, count(*) AS actions FROM a JOIN pth p ON p.clip_id = a.clip_id AND p.clip_seconds >= a.s AND p.clip_seconds < a.s + 4 GROUP BY a.clip_id, a.s, a.source_frame)
+SELECT clip_id, round(s, 3) AS start_seconds, round(s + 4, 3) AS end_seconds, CAST(round_even(s * 25, 0) AS BIGINT) AS start_frame, CAST(round_even((s + 4) * 25, 0) AS BIGINT) AS end_frame, required, passes, actions FROM c QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY required DESC, passes DESC, actions DESC, s) = 1""", "pth")
+def event_windows(spark, d):
+    p = views.path(spark, d).select("clip_id", "source_frame", "clip_seconds", F.col("event_type").alias("label"))
+    return scoring.best_windows(p, CLIP, 4.0, ["purchase"], ["click"], 25.0)
+
+
+@query("clip_plans", """SELECT l_orderkey, l_linenumber, CAST(floor(s / 3) AS BIGINT) AS first_segment, CAST(ceil((s - floor(s / 3) * 3 + dur) / 3) AS BIGINT) AS segment_count, round(floor(s / 3) * 3, 3) AS source_start_seconds, round(s - floor(s / 3) * 3, 3) AS clip_start_seconds, round(dur, 3) AS duration_seconds FROM (SELECT *, least(l_quantity, 300.0 - s) AS dur FROM (SELECT *, CAST(l_suppkey * 7 % 400 AS DOUBLE) AS s FROM lineitem) WHERE s < 300 AND l_quantity > 0)""")
+def clip_plans(spark, d):
+    asked = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", "CAST(l_suppkey * 7 % 400 AS DOUBLE) AS start_seconds", "l_quantity AS duration_seconds", "300.0D AS source_seconds")
+    return scoring.clip_plans(asked, 3.0, 300.0).select("l_orderkey", "l_linenumber", "first_segment", "segment_count", "source_start_seconds", "clip_start_seconds", "duration_seconds")
+
+
+@query("neighbour_counts", """SELECT a.clip_id, a.source_frame, CAST(EXISTS (SELECT 1 FROM bal b WHERE b.clip_id = a.clip_id AND b.source_frame = a.source_frame - 2 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 40) AS INT) + CAST(EXISTS (SELECT 1 FROM bal b WHERE b.clip_id = a.clip_id AND b.source_frame = a.source_frame + 2 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 40) AS INT) AS neighbours FROM bal a""", "bal")
+def neighbour_counts(spark, d):
+    return points.temporal_neighbours(views.balls(spark, d).select("clip_id", "source_frame", "x", "y"), CLIP, 2, 500.0, 25.0)
+
+
+@query("detection_changes")
+def detection_changes(spark, d):
+    """Ball boxes of the sure half against those of the others, by frame."""
+    found = detected_with_key(spark, d)
+    return scoring.detection_changes(found.where("confidence < 0.5"), found.where("confidence >= 0.5"), CLIP, 60.0)
+
+
+def detected_with_key(spark, d):
+    x, y = g.center(g.box())
+    return views.detections(spark, d).where("class_name = 'sports ball'").select("clip_id", "source_frame", (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("box_no"), "confidence", x.alias("x"), y.alias("y"))
+
+
+@query("state_fill", """, k AS (SELECT clip_id, source_frame, CAST(event_id_ AS BIGINT) AS track_id, x, y, false AS interpolated FROM (SELECT *, 1 AS event_id_ FROM bal WHERE state NOT IN ('error', 'signup')))
+SELECT * FROM k UNION ALL SELECT clip_id, source_frame, 1, x, y, true FROM bal WHERE state IN ('error', 'signup') AND NOT eligible""", "bal")
+def state_fill(spark, d):
+    b = views.balls(spark, d)
+    kept = b.where("state NOT IN ('error', 'signup')").select("clip_id", "source_frame", "track_id", "x", "y")
+    return points.filled(kept, b.select("clip_id", "source_frame", "x", "y", "eligible"), CLIP)

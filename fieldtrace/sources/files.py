@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOX = "struct<class_name:string,confidence:double,x1:double,y1:double,x2:double,y2:double>"
@@ -76,3 +76,83 @@ def checksums(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
     found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("actual"))
     status = F.when(F.col("times") > 1, "duplicate").when(F.col("expected").isNull(), "unlisted").when(F.col("actual").isNull(), "absent").when(F.col("actual") != F.col("expected"), "mismatch").otherwise("ok")
     return listed.join(found, "name", "full_outer").select("name", status.alias("status"))
+
+
+STREAMS = "array<struct<camera_id:string,video:string,time_offset_seconds:double>>"
+
+
+def camera_streams(spark: SparkSession, path: str) -> DataFrame:
+    """A4: the cameras of each manifest (file), with the reasons to reject it: a blank or repeated camera_id, an offset that is no finite number, a primary camera that is not declared, an empty
+    list. A manifest without cameras has one, "primary", with its video. The primary camera is the first, unless another is named."""
+    rows = spark.read.schema(f"video string, primary_camera_id string, camera_streams {STREAMS}").json(path, multiLine=True).withColumn("file", F.col("_metadata.file_name"))
+    alone = F.array(F.struct(F.lit("primary").alias("camera_id"), F.col("video"), F.lit(0.0).alias("time_offset_seconds"))).cast(STREAMS)
+    rows = rows.withColumn("cameras", F.coalesce("camera_streams", alone))
+    named = F.transform("cameras", lambda c: F.coalesce(F.trim(c["camera_id"]), F.lit("")))
+    offsets = F.transform("cameras", lambda c: F.coalesce(c["time_offset_seconds"], F.lit(0.0)))
+    primary = F.coalesce(F.nullif(F.trim("primary_camera_id"), F.lit("")), F.get(named, 0))
+    faults = {
+        "no camera": F.size("cameras") == 0, "blank camera_id": F.array_contains(named, ""), "repeated camera_id": F.size(F.array_distinct(named)) < F.size(named),
+        "offset": F.exists(offsets, lambda o: F.isnan(o) | (F.abs(o) == float("inf"))), "primary": ~F.coalesce(F.array_contains(named, primary), F.lit(False)),
+    }
+    reasons = F.array_compact(F.array(*[F.when(f, F.lit(n)) for n, f in faults.items()]))
+    one = rows.select("file", reasons.alias("reasons"), primary.alias("primary_camera_id"), F.explode_outer("cameras").alias("c"))
+    return one.select("file", "reasons", "primary_camera_id", F.trim("c.camera_id").alias("camera_id"), "c.video", F.coalesce("c.time_offset_seconds", F.lit(0.0)).alias("time_offset_seconds"))
+
+
+def on_clip_clock(points: DataFrame, cameras: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A5: points of cameras (camera_id, clip_seconds) on the clip's clock. A clip's cameras are a handful."""
+    own = cameras.select(*keys, "camera_id", "time_offset_seconds")
+    return points.join(F.broadcast(own), [*keys, "camera_id"]).withColumn("clip_seconds", F.col("clip_seconds") + F.col("time_offset_seconds")).drop("time_offset_seconds")
+
+
+#: The labels of the annotation format.
+ACTION_LABELS = ["ball_player_block", "cross", "drive", "free_kick", "goal", "header", "high_pass", "out", "pass", "player_successful_tackle", "shot", "throw_in"]
+ACTION = "array<struct<gameTime:string,position:string,label:string,team:string,player_id:string,visibility:string>>"
+HALF_SECONDS = 45 * 60
+
+
+def normalized_label(label: Column) -> Column:
+    """H1: lower case, with one underscore for each run of other characters, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(F.trim(label)), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def labelled_actions(spark: SparkSession, path: str) -> DataFrame:
+    """Actions (or annotations) of JSON files: half, seconds on the clock, in the half and in the match, normalised label, team; with the reasons to reject one. A position in
+    the second half counts from the start of the match if it is past the first 45 minutes, else from the start of the half."""
+    rows = spark.read.schema(f"actions {ACTION}, annotations {ACTION}").json(path, multiLine=True).withColumn("file", F.col("_metadata.file_name"))
+    a = rows.select("file", F.posexplode(F.coalesce("actions", "annotations")).alias("action_no", "a")).select("file", "action_no", "a.*")
+    clock = lambda k: F.regexp_extract("gameTime", r"^\s*(\d+)\s*-\s*(\d+):(\d{2})\s*$", k).try_cast("int")
+    seconds = F.col("position").try_cast("long") / 1000
+    a = a.withColumns({"half": clock(1), "clock_seconds": clock(2) * 60 + clock(3), "seconds_": seconds, "label": normalized_label(F.coalesce("label", F.lit(""))), "team": F.lower("team")})
+    start = (F.col("half") - 1) * HALF_SECONDS
+    absolute = (F.col("half") > 1) & (F.col("seconds_") >= start)
+    a = a.withColumns({"half_seconds": F.when(absolute, F.col("seconds_") - start).otherwise(F.col("seconds_")), "match_seconds": F.when(absolute, F.col("seconds_")).otherwise(F.col("seconds_") + start)})
+    faults = {"gameTime": F.col("half").isNull(), "half": ~F.col("half").isin(1, 2), "position": F.col("seconds_").isNull() | (F.col("seconds_") < 0), "label": ~F.col("label").isin(*ACTION_LABELS), "team": ~F.col("team").isin("left", "right")}
+    return a.withColumn("reasons", F.array_compact(F.array(*[F.when(f, F.lit(n)) for n, f in faults.items()]))).drop("gameTime", "position", "seconds_")
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """Events, spells or states as Parquet in folders by match and clip."""
+    events.write.mode("append").partitionBy("match_id", "clip_id").parquet(path)
+
+
+def to_process(frames: DataFrame, written: DataFrame, settings: str) -> DataFrame:
+    """Frames (file, source_frame) that are not yet written under the same settings; those written under others don't count."""
+    done = written.where(F.col("settings") == settings).select("file", "source_frame")
+    return frames.join(done, ["file", "source_frame"], "left_anti").withColumn("settings", F.lit(settings))
+
+
+def bundles(spark: SparkSession, path: str) -> DataFrame:
+    """Segments of JSON files below a folder, by segment_id, with the reasons to reject one: an id of other characters than letters, digits, dot, dash and underscore, an absolute path or one that
+    leaves the folder, an id that another file has."""
+    rows = spark.read.schema("segment_id string, title string, paths array<string>").json(path, multiLine=True, recursiveFileLookup=True, pathGlobFilter="segment.json").withColumn("file", F.col("_metadata.file_path"))
+    times = F.count(F.lit(1)).over(Window.partitionBy("segment_id"))
+    safe = F.coalesce(F.forall("paths", lambda p: ~p.rlike(r"^/|(^|/)\.\.(/|$)|^$")), F.lit(True))
+    faults = {"segment_id": ~F.coalesce(F.col("segment_id").rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$"), F.lit(False)), "path": ~safe, "repeated": times > 1}
+    return rows.withColumn("reasons", F.array_compact(F.array(*[F.when(f, F.lit(n)) for n, f in faults.items()]))).orderBy("segment_id")
+
+
+def publishable(runs: DataFrame, published: DataFrame) -> DataFrame:
+    """Runs that may be published: cold, without reused caches or earlier artifacts, not passed without a reference, and new."""
+    cold = runs.where("cold AND NOT cache_reused AND NOT prior_artifacts AND (status <> 'passed' OR reference_id IS NOT NULL)")
+    return cold.join(published.select("run_id"), "run_id", "left_anti")

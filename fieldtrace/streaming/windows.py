@@ -16,20 +16,33 @@ def replay_windows(clips: DataFrame, length: float, overlap: float) -> DataFrame
     return out.withColumn("window_end", F.least(F.col("duration"), F.col("window_start") + length))
 
 
-def assigned(events: DataFrame, keys: Sequence[str], length: float, overlap: float) -> DataFrame:
-    """The windows that an event falls into, from its time alone: no join of events and windows."""
+def assigned(events: DataFrame, clips: DataFrame, keys: Sequence[str], length: float, overlap: float) -> DataFrame:
+    """The windows that an event falls into, from its time and the clip's duration alone: half-open, but the last one, which is closed."""
     step = length - overlap
+    rows = events.join(clips.select(*keys, F.col("duration").alias("duration_")), list(keys))
+    last = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("duration_") - length) / step))
     first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("clip_seconds") - length) / step) + 1)
-    return events.withColumn("index", F.explode(F.sequence(first, F.floor(F.col("clip_seconds") / step))))
+    return rows.withColumn("index", F.explode(F.sequence(F.least(first, last), F.least(F.floor(F.col("clip_seconds") / step), last)))).drop("duration_")
 
 
-def deduplicated(events: DataFrame, keys: Sequence[str], event: str, length: float, overlap: float) -> DataFrame:
+def deduplicated(events: DataFrame, clips: DataFrame, keys: Sequence[str], event: str, length: float, overlap: float) -> DataFrame:
     """For each window the events that are new in it and those that an earlier window had."""
-    rows = assigned(events, keys, length, overlap)
+    rows = assigned(events, clips, keys, length, overlap)
     first = F.row_number().over(Window.partitionBy(*keys, event).orderBy("index")) == 1
     return rows.withColumn("new", first).groupBy(*keys, "index").agg(F.count_if("new").alias("new_events"), F.count_if(~F.col("new")).alias("duplicates"))
 
 
+def progress(events: DataFrame, clips: DataFrame, keys: Sequence[str], event: str, types: Sequence[str], length: float, overlap: float) -> DataFrame:
+    """After each window of a clip how far its results are final (the end less the overlap; the duration after the last one), and the events of each type so far."""
+    spans = replay_windows(clips, length, overlap).withColumn("last_", F.col("window_end") >= F.col("duration"))
+    final = F.when(F.col("last_"), F.col("duration")).otherwise(F.greatest(F.lit(0.0), F.col("window_end") - overlap))
+    first = assigned(events, clips, keys, length, overlap).groupBy(*keys, event, "event_type").agg(F.min("index").alias("index"))
+    new = first.groupBy(*keys, "index").agg(*[F.count_if(F.col("event_type") == t).alias(t) for t in types])
+    w = Window.partitionBy(*keys).orderBy("index")
+    rows = spans.join(new, [*keys, "index"], "left")
+    return rows.select(*keys, "index", F.round(final, 3).alias("finalised_through"), *[F.coalesce(F.sum(t).over(w), F.lit(0)).alias(t) for t in types])
+
+
 def backlog(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Chunks (index, arrival, service) of one worker: when each is finished, and how long it waited. Finish is the running service plus the largest slack so far."""
     w = Window.partitionBy(*keys).orderBy("index")

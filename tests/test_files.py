@@ -3,6 +3,8 @@
 import hashlib
 import json
 
+from pyspark.sql import functions as F
+
 from fieldtrace.sources import files
 
 
@@ -57,3 +59,42 @@ def test_checksums(spark, tmp_path):
     (tmp_path / "SUMS").write_text(f"{sha['a']} *a\n{sha['a']} *b\n{sha['d']} *d\n# note\n")
     got = {r["name"]: r["status"] for r in files.checksums(spark, str(tmp_path / "SUMS"), str(tmp_path / "f")).collect()}
     assert got == {"a": "ok", "b": "mismatch", "c": "unlisted", "d": "absent"}
+
+
+def test_camera_streams(spark, tmp_path):
+    cams = lambda *ids: [{"camera_id": i, "video": "v", "time_offset_seconds": 0.5} for i in ids]
+    cases = {"a": {"video": "x.mp4"}, "b": {"camera_streams": cams("one", " two ")}, "c": {"camera_streams": cams("one", "one", " ")}, "d": {"camera_streams": []}, "e": {"camera_streams": cams("one"), "primary_camera_id": "three"}}
+    for name, case in cases.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(case))
+    rows = files.camera_streams(spark, str(tmp_path)).collect()
+    got = {r["file"][0]: r["reasons"] for r in rows}
+    assert got == {"a": [], "b": [], "c": ["blank camera_id", "repeated camera_id"], "d": ["no camera", "primary"], "e": ["primary"]}
+    assert [(r["camera_id"], r["primary_camera_id"], r["video"]) for r in rows if r["file"] == "a.json"] == [("primary", "primary", "x.mp4")]
+    points = spark.createDataFrame([(1, "one", 2.0)], "clip_id long, camera_id string, clip_seconds double")
+    clock = files.on_clip_clock(points, spark.createDataFrame([(1, "one", 0.5)], "clip_id long, camera_id string, time_offset_seconds double"), ["clip_id"])
+    assert clock.first()["clip_seconds"] == 2.5
+
+
+def test_labelled_actions(spark, tmp_path):
+    action = lambda **kw: {"gameTime": "1 - 00:05", "position": "5000", "label": "PASS", "team": "left"} | kw
+    (tmp_path / "a.json").write_text(json.dumps({"actions": [action(), action(gameTime="2 - 01:00", position="60000", label=" High  Pass! "), action(gameTime="2 - 01:00", position="2760000"), action(gameTime="x", label="dance", team="up", position="-1")]}))
+    (tmp_path / "b.json").write_text(json.dumps({"annotations": [action(label="goal", team=None)]}))
+    rows = files.labelled_actions(spark, str(tmp_path)).orderBy("file", "action_no").collect()
+    assert [(r["label"], r["half_seconds"], r["match_seconds"], r["clock_seconds"]) for r in rows[:3]] == [("pass", 5.0, 5.0, 5), ("high_pass", 60.0, 2760.0, 60), ("pass", 60.0, 2760.0, 60)]
+    assert [r["reasons"] for r in rows] == [[], [], [], ["gameTime", "position", "label", "team"], []]
+
+
+def test_ingest_bundles_and_runs(spark, tmp_path):
+    frames = spark.createDataFrame([("f", k) for k in range(4)], "file string, source_frame long")
+    written = spark.createDataFrame([("f", 0, "s1"), ("f", 1, "s2")], "file string, source_frame long, settings string")
+    assert sorted(r["source_frame"] for r in files.to_process(frames, written, "s1").collect()) == [1, 2, 3]
+    for folder, body in {"a": {"segment_id": "seg-1", "paths": ["x/y.json"]}, "b": {"segment_id": "seg-2", "paths": ["../out"]}, "c": {"segment_id": "seg 3"}, "d": {"segment_id": "seg-1"}}.items():
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "segment.json").write_text(json.dumps(body))
+    got = [(r["segment_id"], r["reasons"]) for r in files.bundles(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [("seg 3", ["segment_id"]), ("seg-1", ["repeated"]), ("seg-1", ["repeated"]), ("seg-2", ["path"])]
+    runs = [("r1", True, False, False, "passed", "ref"), ("r2", True, False, False, "passed", None), ("r3", True, True, False, "done", None), ("r4", True, False, False, "done", None), ("r5", True, False, False, "done", None)]
+    df = spark.createDataFrame(runs, "run_id string, cold boolean, cache_reused boolean, prior_artifacts boolean, status string, reference_id string")
+    assert sorted(r["run_id"] for r in files.publishable(df, df.where("run_id = 'r5'")).collect()) == ["r1", "r4"]
+    files.write_events(spark.range(3).select(F.lit("m").alias("match_id"), (F.col("id") % 2).alias("clip_id"), "id"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).where("clip_id = 0").count() == 2

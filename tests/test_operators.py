@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
 from fieldtrace.operators import blocks, frames, joins, reports, tracks
-from fieldtrace.streaming import windows
+from fieldtrace.streaming import replay, windows
 
 K = ["clip_id"]
 
@@ -20,7 +20,8 @@ def test_windows_of_a_minute(spark):
 
 def test_duplicates_of_overlapping_windows(spark):
     events = spark.createDataFrame([(1, "a", 19.0), (1, "b", 40.0)], "clip_id long, event_key string, clip_seconds double")
-    got = windows.deduplicated(events, K, "event_key", 20.0, 2.0).agg(F.sum("new_events"), F.sum("duplicates")).first()
+    clips = spark.createDataFrame([(1, 60.0)], "clip_id long, duration double")
+    got = windows.deduplicated(events, clips, K, "event_key", 20.0, 2.0).agg(F.sum("new_events"), F.sum("duplicates")).first()
     assert tuple(got) == (2, 1)
 
 
@@ -124,9 +125,9 @@ def test_debounce_and_coalesce(spark):
     rows = [(1, 0.0, 5.0), (1, 0.5, 9.0), (1, 1.2, 7.0), (1, 1.6, 3.0), (1, 5.0, 1.0)]
     got = tracks.debounced(spark.createDataFrame(rows, "clip_id long, clip_seconds double, speed double"), K, 1.0).collect()
     assert [(r["clip_seconds"], r["speed"]) for r in sorted(got, key=lambda r: r["clip_seconds"])] == [(0.5, 9.0), (1.6, 3.0), (5.0, 1.0)]
-    stops = [(1, 0.0, 1.0, 1.5, True), (1, 2.0, 3.0, 3.2, False), (1, 3.9, 4.0, None, False), (1, 9.0, 9.5, 9.6, False)]
-    got = tracks.coalesced(spark.createDataFrame(stops, "clip_id long, start_seconds double, end_seconds double, resumed_seconds double, starts_outside boolean"), K, 1.0).collect()
-    assert sorted((r["start_seconds"], r["end_seconds"], r["merged"]) for r in got) == [(0.0, 4.0, 3), (9.0, 9.5, 1)]
+    stops = [(1, 0.0, 1.0, 1.5, True, -8.0), (1, 2.0, 3.0, 3.2, False, -9.5), (1, 3.9, 4.0, None, False, -7.0), (1, 9.0, 9.5, 9.6, False, -6.0)]
+    got = tracks.coalesced(spark.createDataFrame(stops, "clip_id long, start_seconds double, end_seconds double, resumed_seconds double, starts_outside boolean, minimum_signed_distance double"), K, 1.0).collect()
+    assert sorted((r["start_seconds"], r["end_seconds"], r["merged"], r["minimum_signed_distance"]) for r in got) == [(0.0, 4.0, 3, -9.5), (9.0, 9.5, 1, -6.0)]
 
 
 def test_homography(spark):
@@ -146,3 +147,35 @@ def test_stream_counts_each_key_once(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("counts").outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {r["n"] for r in spark.sql("SELECT * FROM counts").collect()} == {1}
+
+
+def test_last_window_is_closed(spark):
+    clips = spark.createDataFrame([(1, 20.0)], "clip_id long, duration double")
+    events = spark.createDataFrame([(1, t) for t in (4.0, 5.0, 20.0)], "clip_id long, clip_seconds double")
+    got = sorted((r["clip_seconds"], r["index"]) for r in windows.assigned(events, clips, K, 5.0, 1.0).collect())
+    assert got == [(4.0, 0), (4.0, 1), (5.0, 1), (20.0, 4)]
+
+
+def test_replay_as_a_stream(spark, tmp_path):
+    """Chunks that overlap: the stream, ended and taken up again, gives what the batch gives; other settings start anew; the team that a chunk inherits is that of the chunk before."""
+    schema = "clip_id long, chunk_no long, start_seconds double, team string, event_time timestamp, event_key string"
+
+    def write(chunk):
+        rows = [(c, chunk, float(s), "red" if (s + c) % 3 else "black", s, f"{c}:{s}") for c in (1, 2) for s in range(chunk * 4, chunk * 4 + 5)]
+        df = spark.createDataFrame(rows, "clip_id long, chunk_no long, start_seconds double, team string, s long, event_key string")
+        df.withColumn("event_time", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s").select(*[c.split()[0] for c in schema.split(", ")]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    settings = {"length": 5, "overlap": 1}
+    for chunk in range(3):
+        write(chunk)
+        stream = replay.chunks(spark, f"{tmp_path}/in", schema)
+        replay.run(replay.once(stream, "10 seconds"), f"{tmp_path}/out", f"{tmp_path}/state", settings)
+    batch = spark.read.parquet(f"{tmp_path}/in")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == batch.select("event_key").distinct().count() < batch.count()
+    assert reports.differences(out.select("event_key"), batch.select("event_key").distinct()).count() == 0
+    assert replay.checkpoint_of("x", settings) != replay.checkpoint_of("x", settings | {"overlap": 2})
+    replay.run(replay.inherited(replay.chunks(spark, f"{tmp_path}/in", schema)), f"{tmp_path}/teams", f"{tmp_path}/state", settings | {"of": "teams"})
+    last = {(r["clip_id"], r["chunk_no"]): r["team"] for r in batch.groupBy("clip_id", "chunk_no").agg(F.max_by("team", "start_seconds").alias("team")).collect()}
+    got = {(r["clip_id"], r["chunk_no"]): r["initial_team"] for r in spark.read.parquet(f"{tmp_path}/teams").collect()}
+    assert got == {(c, k): last.get((c, k - 1)) for c, k in last}
