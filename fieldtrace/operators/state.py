@@ -223,3 +223,35 @@ def boundary_context(times: DataFrame, intervals: DataFrame, keys: Sequence[str]
 
     found = F.try_element_at(F.filter(F.transform("spans_", said), lambda x: x.isNotNull()), F.lit(1))
     return times.join(listed, list(keys), "left").withColumn("boundary_context", F.coalesce(found, F.lit("inside"))).drop("spans_")
+
+
+def continuous_flights(intervals: DataFrame, points: DataFrame, keys: Sequence[str], context: float = 0.4, fast: float = 120.0, moving: float = 80.0, ratio: float = 0.75, straight: float = 0.7, seconds: float = 2.2, depth: float = 100.0) -> DataFrame:
+    """Intervals with reason "continuous_flight" where the ball, from `context` seconds before to as much after, flies on: four steps or more, `seconds` and `depth` of the interval, a median
+    speed of `fast`, and shares of `ratio` of moving steps and of their turns that go straight on (cosine at least `straight`); with the evidence."""
+    if context < 0 or fast <= 0 or moving <= 0 or not 0 <= ratio <= 1 or not -1 <= straight <= 1 or seconds < 0 or depth < 0:
+        raise ValueError("context, seconds and depth are not negative, speeds positive, ratio in 0..1, straight in -1..1")
+    by = [*keys, "start_seconds"]
+    spans = intervals.select(*by, (F.col("start_seconds") - context).alias("from_"), (F.col("end_seconds") + context + 1e-9).alias("until_"))
+    near = joins.in_interval(points.select(*keys, "clip_seconds", "x", "y"), spans, keys, "clip_seconds", "from_", "until_", 4.0)
+    w = Window.partitionBy(*by).orderBy("clip_seconds")
+    steps = near.withColumns({"dx_": F.col("x") - F.lag("x").over(w), "dy_": F.col("y") - F.lag("y").over(w), "dt_": F.col("clip_seconds") - F.lag("clip_seconds").over(w)}).where("dt_ > 0")
+    steps = steps.withColumn("long_", F.sqrt(F.col("dx_") * F.col("dx_") + F.col("dy_") * F.col("dy_"))).withColumn("speed_", F.col("long_") / F.col("dt_"))
+    per = steps.groupBy(*by).agg(F.count(F.lit(1)).alias("steps"), F.percentile("speed_", 0.5).alias("median_speed"), F.avg((F.col("speed_") >= moving).cast("double")).alias("moving_ratio"))
+    runs = steps.where(F.col("speed_") >= moving)
+    cosine = (F.col("dx_") * F.lag("dx_").over(w) + F.col("dy_") * F.lag("dy_").over(w)) / F.nullif(F.col("long_") * F.lag("long_").over(w), F.lit(0.0))
+    turns = runs.withColumn("turn_", cosine).where("turn_ IS NOT NULL").groupBy(*by).agg(F.avg((F.col("turn_") >= straight).cast("double")).alias("straight_ratio"))
+    rows = intervals.join(per, by, "left").join(turns, by, "left").fillna(0.0, ["moving_ratio", "straight_ratio"])
+    flies = (F.col("steps") >= 4) & (F.col("end_seconds") - F.col("start_seconds") >= seconds) & (F.abs("minimum_signed_distance") >= depth) & (F.col("median_speed") >= fast) & (F.col("moving_ratio") >= ratio) & (F.col("straight_ratio") >= ratio)
+    rounded = [F.round("median_speed", 2).alias("median_speed"), F.round("moving_ratio", 4).alias("moving_ratio"), F.round("straight_ratio", 4).alias("straight_ratio")]
+    return rows.select(*intervals.columns, F.when(flies, "continuous_flight").alias("reason"), *rounded)
+
+
+def fragmented_projections(stoppages: DataFrame, spell_rows: DataFrame, keys: Sequence[str], parts: int = 3, depth: float = 60.0, margin: float = 1.0, seconds: float = 0.4) -> DataFrame:
+    """Coalesced stoppages (merged, minimum_signed_distance) with reason "competitive_possession_inside_boundary": `parts` or more, `depth` deep at most, with a spell of `seconds` at least
+    `margin` inside them; with the number of such spells and the longest."""
+    own = control.flat(spell_rows, keys).select(*keys, F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end")).where(F.col("end") - F.col("start") >= seconds)
+    outer = stoppages.select(*keys, F.col("start_seconds").alias("outer_start"), F.coalesce("resumed_seconds", "end_seconds").alias("outer_end"))
+    inside = joins.contained(own, outer, keys, margin, 4.0).groupBy(*keys, F.col("outer_start").alias("start_seconds")).agg(F.count(F.lit(1)).alias("inner_spells"), F.round(F.max(F.col("end") - F.col("start")), 3).alias("longest_spell"))
+    rows = stoppages.join(inside, [*keys, "start_seconds"], "left").fillna(0, ["inner_spells"])
+    split = (F.col("merged") >= parts) & (F.abs("minimum_signed_distance") <= depth) & (F.col("inner_spells") > 0)
+    return rows.withColumn("reason", F.when(split, "competitive_possession_inside_boundary"))

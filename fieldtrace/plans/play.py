@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
@@ -367,3 +368,22 @@ SELECT clip_id, clip_seconds, from_track, to_track, coalesce(event_type = 'pass_
 def outside_events(spark, d):
     out = state.outside_flags(control_transfers(spark, d), restarts(spark, d), observed(spark, d), CLIP)
     return out.select("clip_id", "clip_seconds", "from_track", "to_track", "released_outside", "completed_outside")
+
+
+@query("continuous_flights", """, n AS (SELECT iv.clip_id, iv.start_seconds, b.clip_seconds, b.x - lag(b.x) OVER w AS dx, b.y - lag(b.y) OVER w AS dy, b.clip_seconds - lag(b.clip_seconds) OVER w AS dt FROM iv JOIN bal b ON b.clip_id = iv.clip_id AND b.clip_seconds >= iv.start_seconds - 0.4 AND b.clip_seconds < iv.end_seconds + 0.4 + 1e-9 WINDOW w AS (PARTITION BY iv.clip_id, iv.start_seconds ORDER BY b.clip_seconds)),
+ s AS (SELECT *, sqrt(dx * dx + dy * dy) AS long, sqrt(dx * dx + dy * dy) / dt AS speed FROM n WHERE dt > 0), p AS (SELECT clip_id, start_seconds, count(*) AS steps, median(speed) AS med, avg(CASE WHEN speed >= 80 THEN 1.0::DOUBLE ELSE 0 END) AS mov FROM s GROUP BY ALL),
+ t AS (SELECT clip_id, start_seconds, avg(CASE WHEN c >= 0.7 THEN 1.0::DOUBLE ELSE 0 END) AS straight FROM (SELECT *, (dx * lag(dx) OVER w + dy * lag(dy) OVER w) / nullif(long * lag(long) OVER w, 0) AS c FROM s WHERE speed >= 80 WINDOW w AS (PARTITION BY clip_id, start_seconds ORDER BY clip_seconds)) WHERE c IS NOT NULL GROUP BY ALL)
+SELECT iv.clip_id, iv.start_seconds, CASE WHEN steps >= 4 AND end_seconds - iv.start_seconds >= 0.04 AND abs(minimum_signed_distance) >= 6 AND med >= 120 AND mov >= 0.5 AND coalesce(straight, 0) >= 0.5 THEN 'continuous_flight' END AS reason, round(med, 2) AS median_speed, round(coalesce(mov, 0), 4) AS moving_ratio, round(coalesce(straight, 0), 4) AS straight_ratio FROM iv LEFT JOIN p USING (clip_id, start_seconds) LEFT JOIN t USING (clip_id, start_seconds)""", "bal", "iv")
+def continuous_flights(spark, d):
+    out = state.continuous_flights(stoppages(spark, d), views.balls(spark, d), CLIP, ratio=0.5, seconds=0.04, depth=6.0)
+    return out.select("clip_id", "start_seconds", "reason", "median_speed", "moving_ratio", "straight_ratio")
+
+
+@query("fragmented_projections", """, st3 AS (SELECT *, start_frame % 5 AS merged, coalesce(lead(resumed_seconds, 3) OVER (PARTITION BY clip_id ORDER BY start_seconds), end_seconds) AS back FROM iv), j AS (SELECT s.clip_id, s.start_seconds, merged, minimum_signed_distance, count(p.spell_no) AS inner_spells, round(max(p.end_seconds - p.start_seconds), 3) AS longest_spell FROM st3 s LEFT JOIN spl p ON p.clip_id = s.clip_id AND p.start_seconds >= s.start_seconds + 0.5 AND p.end_seconds <= s.back - 0.5 AND p.end_seconds - p.start_seconds >= 0.08 GROUP BY ALL)
+SELECT clip_id, start_seconds, inner_spells, longest_spell, CASE WHEN merged >= 3 AND abs(minimum_signed_distance) <= 60 AND inner_spells > 0 THEN 'competitive_possession_inside_boundary' END AS reason FROM j""", *SPELL_VIEWS, "iv")
+def fragmented_projections(spark, d):
+    """Each stoppage stretched to the return of the third one after it."""
+    w = Window.partitionBy("clip_id").orderBy("start_seconds")
+    wide = stoppages(spark, d).withColumn("back", F.coalesce(F.lead("resumed_seconds", 3).over(w), F.col("end_seconds"))).withColumns({"resumed_seconds": F.col("back"), "merged": F.col("start_frame") % 5})
+    out = state.fragmented_projections(wide, controlled(spark, d), CLIP, margin=0.5, seconds=0.08)
+    return out.select("clip_id", "start_seconds", "inner_spells", "longest_spell", "reason")
