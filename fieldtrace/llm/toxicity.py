@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -238,14 +238,14 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
     return Fitted(index, beside)
 
 
-def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
+def score(docs: DataFrame, fitted: Fitted, keep: Sequence[str] | None = None) -> DataFrame:
     """docs (doc_id, text, ...) plus held_out, score (0 to 1), predicted (score >= 0.5), evidence (the nearest examples).
 
     docs are rows of the table that was fitted on. The whole text is compared with every example that has a term in common, by cosine of weights
     (1 + log tf) * idf; terms that no example has count in the length of the text. The 25 nearest vote, weighted by 1 / (distance + 0.05) and by how many
     labelled documents an example stands for, with the share of label 1 as one more vote. A text without any term, an empty or null one among them,
     scores as the examples without terms do, or 0. held_out tells the rows that fit() never learns from; a null doc_id is one of them. Columns of docs named like an added
-    column are replaced. Rows are scored one by one, so repeated rows get equal scores and an empty table stays empty.
+    column are replaced; keep names the columns of docs to return, all unless given. Rows are scored one by one, so repeated rows get equal scores and an empty table stays empty.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fitted.index)
@@ -281,7 +281,7 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
             yield pa.array([{"score": s, "evidence": e} for s, e in out], SCORE_ARROW)
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
-    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
     near = docs.select(*[docs[c] for c in kept], held_out.alias("held_out"), run(F.coalesce("text", F.lit(""))).alias("found_"))
     beside = fitted.beside.select(F.col("mark").alias("mark_"), F.col("beside").alias("beside_"))
     near = near.join(beside, F.col("found_.mark") == F.col("mark_"), "left")

@@ -87,6 +87,39 @@ def test_sharding(spark, docs, rows):
     assert max(sizes) < 1.03 * sum(sizes) / 8
 
 
+def test_mixing_at_the_cap(spark):
+    """A small source with a large weight stops at three times its size, and the rest is reshared by weight."""
+    rows = [(k, "w " * 10, "a") for k in range(60)] + [(100 + k, "w " * 10, "b") for k in range(60)] + [(200 + k, "w " * 5, "c") for k in range(4)] + [(None, "w", "a"), (None, None, None), (7, "w " * 10, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df).collect()
+    target = {r["source"]: r["target"] for r in out}
+    assert target["c"] == 60 and target["a"] + target["b"] + target["c"] + target[None] == pytest.approx(sum(r["size"] for r in out))
+    assert target["b"] == pytest.approx(2 * target["a"])
+    assert all(r["taken"] == 15 for r in out if r["source"] == "c") and len(out) == len(rows)
+
+
+def test_sharding_of_groups(spark):
+    """Equal texts stay together unless their group is large; ties, nulls and repeats have places; shards are as even as a greedy loop over all groups makes them, or nearly."""
+    own = random.Random(9)
+    texts = [f"text {k} " + "x" * own.randrange(200) for k in range(600)]
+    rows = [(k, texts[k % 600]) for k in range(1500)] + [(None, "n"), (None, "n"), (None, None), (5, texts[5]), (5, "other")]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()
+    shards = collections.defaultdict(set)
+    for r in out:
+        shards[r["text"]].add(r["shard"])
+    assert all(len(s) == 1 for s in shards.values())
+    load, greedy = collections.Counter(), [0] * 6
+    for r in out:
+        load[r["shard"]] += r["size"]
+    sizes = collections.Counter()
+    for _, t in rows:
+        sizes[t] += len((t or "").encode()) + 8
+    for n in sorted(sizes.values(), reverse=True):
+        greedy[greedy.index(min(greedy))] += n
+    assert max(load.values()) <= max(greedy) * 1.02 and len(out) == len(rows)
+    assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out))) for s in range(6))
+
+
 def test_passages(spark, docs, rows):
     out = passages.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_text").collect()
     first = {}
@@ -447,22 +480,57 @@ def test_toxicity_of_rare_words(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """Each stage against brute force on what the one before it kept; a user's columns keep their values, whatever their names."""
     import corpus_pipeline
 
-    pytest.importorskip("public_tokenizers")
-    docs = spark.createDataFrame([(*r[:4], len(r[1] or "")) for r in table()], "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(k, 0) for k in range(30)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    rows = [(*r[:4], len(r[1] or ""), 0.25, "mine") for r in table()] + [(900 + k, f"vile{k % 3} " + prose(30), "en", "a", 1, 0.25, "mine") for k in range(30)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 0) for k in range(30)] + [(900 + k, 1) for k in range(30)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
     for name, stage in corpus_pipeline.STAGES:
-        before, got = got, stage(spark, got, str(tmp_path))
+        got = stage(spark, got, str(tmp_path))
         got = spark.createDataFrame(got.collect(), got.schema)
+        kept[name] = got.collect()
         if name != "bpe":
-            assert got.columns == docs.columns
-        if name == "jaccard":
-            kept = {r["doc_id"]: r["component_id"] for r in jaccard.link(before).collect()}
-            assert {r["doc_id"] for r in got.collect()} == {i for i, c in kept.items() if i == c}
-        if name == "substrings":
-            assert got.count() == before.count()
-    assert got.count() > 0
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == got.count()
+            assert got.columns == [c.split()[0] for c in kind.split(", ")]
+            assert all((r["score"], r["kept"]) == (0.25, "mine") for r in kept[name])
+    clean = [r for r in kept["toxicity"] if r["doc_id"] is None or r["doc_id"] < 900]
+    assert len(clean) == len(rows) - 30 and len(kept["toxicity"]) <= len(clean) + 3
+    # One row of each group: the one with the smallest doc_id, null before all.
+    before = kept["toxicity"]
+    sets = []
+    for r in before:
+        w = (r["text"] or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    root = list(range(len(before)))
+    same = lambda i, j: before[i]["doc_id"] is not None and (before[i]["doc_id"], before[i]["text"]) == (before[j]["doc_id"], before[j]["text"])
+    for i in range(len(before)):
+        for j in range(i):
+            if same(i, j) or (sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    order = lambda i: (before[i]["doc_id"] is not None, before[i]["doc_id"] or 0)
+    chosen = [before[min((i for i in range(len(before)) if root[i] == g), key=order)]["doc_id"] for g in set(root)]
+    assert sorted(map(str, chosen)) == sorted(str(r["doc_id"]) for r in kept["jaccard"])
+    raw = {i: (r["text"] or "").encode() for i, r in enumerate(kept["jaccard"])}
+    seen = collections.Counter(b[k : k + 200] for b in raw.values() for k in range(len(b) - 199))
+    expected = collections.Counter()
+    for i, r in enumerate(kept["jaccard"]):
+        gone = bytearray(len(raw[i]))
+        for k in range(len(raw[i]) - 199):
+            if seen[raw[i][k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        expected[r["doc_id"], bytes(x for x, g in zip(raw[i], gone, strict=True) if not g).decode("utf-8", "replace")] += 1
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept["substrings"]) == expected
+    assert all(r["n_chars"] == len(r["text"]) for r in kept["substrings"])
+    words_of = lambda rows: sum(len(words(r["text"])) for r in rows)
+    assert abs(words_of(kept["mixing"]) - words_of(kept["substrings"])) <= 4 * max(len(words(r["text"])) for r in kept["substrings"])
+    assert {r["doc_id"] for r in kept["mixing"]} <= {r["doc_id"] for r in kept["substrings"]}
+    own = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = collections.Counter((r["doc_id"], tuple(own.encode(r["text"] or "", add_special_tokens=False).ids)) for r in kept["mixing"])
+    assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in kept["bpe"]) == tokens
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["bpe"])
