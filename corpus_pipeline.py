@@ -1,7 +1,8 @@
 """From raw documents to tokens: toxic texts go, one of each group of near copies stays, repeated passages go, sources are mixed, texts are encoded.
 
-Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and all but the last return the columns of documents.
-No stage can be written in SQL: the tests compare them with brute force.
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and all but the last return the columns of documents, others that docs has
+among them, whatever their names. Null and empty texts go through all stages; an empty table stays empty. The stages for near copies, substrings and tokens cannot be written in
+SQL, so the tests compare every stage with brute force.
 """
 
 from __future__ import annotations
@@ -18,18 +19,22 @@ ORACLE_SQL = None
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is not predicted toxic; the classifier is fitted on the labels of these documents."""
+    """Documents whose text is not predicted toxic; the classifier is fitted on the labels of these documents. Equal texts, and so repeated rows, stay or go together; without
+    labels all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return toxicity.score(docs, toxicity.fit(docs, labels)).where("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), "doc_id", "text")
+    return toxicity.score(rows, toxicity.fit(docs, labels), keep=["row_"]).where("predicted = 0").select("row_.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of documents linked by a Jaccard similarity of 0.8 or more over five words: that with the smallest doc_id."""
+    """One row of each group of documents linked by a Jaccard similarity of 0.8 or more over five words: that with the smallest doc_id, null before
+    all. Repeated rows are one document; rows with one doc_id and different texts are several, and so are those without words and without doc_id."""
     return jaccard.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 200-byte strings that start twice; n_chars follows the text. A cut character becomes U+FFFD."""
+    """Texts without the bytes of 200-byte strings that start twice; n_chars follows the text. A cut character becomes U+FFFD. Repeated rows are copies that
+    lose each other's bytes; a null text becomes an empty one."""
     kept = substrings.dedup(docs)
     text = F.make_valid_utf8(F.col("kept").cast("string"))
     computed = {"text": text, "n_chars": F.length(text).cast("long")}
@@ -37,12 +42,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it, at most three times; one of a null source belongs to a source of its own. Documents without words are taken or not like
+    others; ties in size go by doc_id, and repeated rows count one by one."""
     return mixing.repeated(mixing.mix(docs), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of each text."""
+    """The tokens of each text, row by row; none for a null or empty one."""
     import public_tokenizers
 
     encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
