@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
-from fieldtrace.operators import control, identity, joins, state, tracks
+from fieldtrace.operators import control, identity, rules, state, tracks
 from fieldtrace.plans.catalog import CLIP, POLYGON, TRACK, query, r6
 from fieldtrace.sources import views
 
@@ -387,3 +387,51 @@ def fragmented_projections(spark, d):
     wide = stoppages(spark, d).withColumn("back", F.coalesce(F.lead("resumed_seconds", 3).over(w), F.col("end_seconds"))).withColumns({"resumed_seconds": F.col("back"), "merged": F.col("start_frame") % 5})
     out = state.fragmented_projections(wide, controlled(spark, d), CLIP, margin=0.5, seconds=0.08)
     return out.select("clip_id", "start_seconds", "inner_spells", "longest_spell", "reason")
+
+
+@query("comparison_types", f"SELECT clip_id, clip_seconds, from_track, to_track, CASE event_type WHEN 'pass_candidate' THEN 'completed_pass' WHEN 'turnover_candidate' THEN 'turnover' END AS comparison_type FROM ({TRANSFERS})", *SPELL_VIEWS)
+def comparison_types(spark, d):
+    return control_transfers(spark, d).select("clip_id", "clip_seconds", "from_track", "to_track", rules.comparison_type(F.col("event_type")).alias("comparison_type"))
+
+
+LAB_PALETTE = {"black": (25, 25, 25), "blue": (170, 70, 25), "green": (45, 140, 45), "red": (35, 35, 190), "white": (220, 220, 220), "yellow": (40, 210, 220)}
+
+
+@query("lab_colors", """, l AS (SELECT track_id, CASE WHEN r / 255.0::DOUBLE <= 0.04045 THEN r / 255.0::DOUBLE / 12.92 ELSE pow((r / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END AS r, CASE WHEN g / 255.0::DOUBLE <= 0.04045 THEN g / 255.0::DOUBLE / 12.92 ELSE pow((g / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END AS g, CASE WHEN b / 255.0::DOUBLE <= 0.04045 THEN b / 255.0::DOUBLE / 12.92 ELSE pow((b / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END AS b FROM col),
+ x AS (SELECT track_id, (0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.950456 AS x, 0.212671 * r + 0.715160 * g + 0.072169 * b AS y, (0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.088754 AS z FROM l),
+ f AS (SELECT track_id, y, CASE WHEN x > 0.008856 THEN pow(x, 1.0::DOUBLE / 3) ELSE 7.787 * x + 16.0::DOUBLE / 116 END AS fx, CASE WHEN y > 0.008856 THEN pow(y, 1.0::DOUBLE / 3) ELSE 7.787 * y + 16.0::DOUBLE / 116 END AS fy, CASE WHEN z > 0.008856 THEN pow(z, 1.0::DOUBLE / 3) ELSE 7.787 * z + 16.0::DOUBLE / 116 END AS fz FROM x)
+SELECT track_id, round(CASE WHEN y > 0.008856 THEN 116 * fy - 16 ELSE 903.3 * y END * 255 / 100, 0) AS lab_l, round(500 * (fx - fy) + 128, 0) AS lab_a, round(200 * (fy - fz) + 128, 0) AS lab_b FROM f""", "col")
+def lab_colors(spark, d):
+    parts = rules.lab(*[F.col(c).cast("double") for c in ("b", "g", "r")])
+    return views.colors(spark, d).select("track_id", *[p.alias(f"lab_{n}") for p, n in zip(parts, "lab", strict=True)])
+
+
+@query("lab_color_names")
+def lab_color_names(spark, d):
+    return views.colors(spark, d).select("track_id", rules.nearest_name(*[F.col(c).cast("double") for c in ("b", "g", "r")], LAB_PALETTE).alias("color"))
+
+
+@query("uncrossed_passes", f""", e AS ({TRANSFERS}), i AS (SELECT e.clip_id, e.clip_seconds, e.from_track, e.to_track, e.completion_seconds, o.clip_seconds AS t, o.team, o.track_id, o.control_ratio FROM e JOIN ob o ON o.clip_id = e.clip_id AND o.clip_seconds > e.clip_seconds AND o.clip_seconds < e.completion_seconds AND o.team <> e.team WHERE event_type = 'pass_candidate'),
+ x AS (SELECT DISTINCT a.clip_id, a.clip_seconds, a.from_track, a.to_track FROM i a JOIN i b ON a.clip_id = b.clip_id AND a.clip_seconds = b.clip_seconds AND a.from_track = b.from_track AND a.to_track = b.to_track AND a.team = b.team AND a.track_id = b.track_id AND a.t <> b.t AND abs(a.t - b.t) <= 0.8 + 1e-9 WHERE a.control_ratio <= 0.8 AND b.control_ratio <= 1.2)
+SELECT * FROM e ANTI JOIN x USING (clip_id, clip_seconds, from_track, to_track)""", *SPELL_VIEWS)
+def uncrossed_passes(spark, d):
+    return rules.without_crossing(control_transfers(spark, d), observed(spark, d), CLIP, 0.8, 1.2, 0.8)
+
+
+@query("proven_receptions", f""", e AS ({TRANSFERS}), w AS (SELECT spl.clip_id, spl.spell_no, spl.track_id, round(spl.start_seconds, 3) AS s FROM spl JOIN ks USING (clip_id, spell_no) JOIN o2 USING (clip_id, k) LEFT JOIN mo ON mo.clip_id = o2.clip_id AND mo.source_frame = o2.source_frame GROUP BY ALL HAVING NOT bool_or(o2.control_ratio <= 0.5 OR coalesce(mo.turn <= -0.25, false)))
+SELECT e.* FROM e WHERE NOT (confidence < 0.55 AND EXISTS (SELECT 1 FROM w WHERE w.clip_id = e.clip_id AND w.track_id = e.to_track AND w.s = e.completion_seconds))""", *SPELL_VIEWS)
+def proven_receptions(spark, d):
+    numbered = control.spell_numbers(observed(spark, d), CLIP, 0.64, 0.75)
+    motion = tracks.motion(views.balls(spark, d), TRACK).select("clip_id", "source_frame", "turn_cosine")
+    return rules.without_transient(control_transfers(spark, d), control.flat(control.spells(numbered, CLIP), CLIP), motion, numbered, CLIP, sure=0.55, close=0.5)
+
+
+@query("single_receptions")
+def single_receptions(spark, d):
+    return rules.one_reception(merged_transfers(spark, d), CLIP, 0.5)
+
+
+@query("trusted_openings", f""", e AS ({TRANSFERS}), f AS (SELECT *, min(CASE WHEN confidence >= 0.6 OR event_type <> 'pass_candidate' THEN clip_seconds END) OVER (PARTITION BY clip_id) AS first_ FROM e), g AS (SELECT *, max(CASE WHEN clip_seconds < first_ THEN completion_seconds END) OVER (PARTITION BY clip_id) AS done FROM f)
+SELECT * EXCLUDE (first_, done) FROM g WHERE NOT coalesce(clip_seconds < first_ AND first_ - done >= 0.1, false)""", *SPELL_VIEWS)
+def trusted_openings(spark, d):
+    return rules.without_startup(control_transfers(spark, d), CLIP, 0.6, 0.1)
