@@ -266,3 +266,35 @@ def filled(tracked: DataFrame, states: DataFrame, keys: Sequence[str]) -> DataFr
     missing = states.where("NOT eligible").join(tracked.select(*frame), frame, "left_anti").join(single, list(keys))
     columns = [*frame, "track_id", "x", "y"]
     return tracked.select(*columns, F.lit(False).alias("interpolated")).unionByName(missing.select(*columns, F.lit(True).alias("interpolated")))
+
+
+#: Fixed values of the motion model: variances of a step's position and velocity, of a measurement, of a first position and velocity; sigmas, least and largest radius of a search.
+NOISE = {"position": 4.0, "velocity": 625.0, "measured": 16.0, "first_position": 16.0, "first_velocity": 40000.0}
+SIGMAS, LEAST_RADIUS, LARGEST_RADIUS = 2.5, 12.0, 140.0
+
+
+def predicted(frames: DataFrame, keys: Sequence[str], fps: float) -> DataFrame:
+    """Of sampled frames (source_frame; x, y where the ball was trusted, else null) those without a measurement, once there was one: where a constant-velocity Kalman filter expects the ball, and
+    the radius to search, 2.5 sigma within 12 to 140. The axes are independent and share one covariance, so the state of the fold is seven numbers."""
+    kind = "array<struct<source_frame:bigint,x:double,y:double,radius:double>>"
+    listed = frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("source_frame", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("all_"))
+    names = ("frame", "x", "vx", "y", "vy", "p", "c", "v")
+    none = F.struct(*[F.lit(None).cast("bigint" if n == "frame" else "double").alias(n) for n in names], F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, m: Column) -> Column:
+        def now(frame: Column, x: Column, vx: Column, y: Column, vy: Column, p: Column, c: Column, v: Column, out: Column) -> Column:
+            return F.struct(*[a.alias(n) for a, n in zip((frame, x, vx, y, vy, p, c, v, out), (*names, "out"), strict=True)])
+
+        zero = F.lit(0.0)
+        first = now(m["source_frame"], m["x"], zero, m["y"], zero, F.lit(NOISE["first_position"]), zero, F.lit(NOISE["first_velocity"]), acc["out"])
+        dt = (m["source_frame"] - acc["frame"]) / F.lit(fps)
+        x, y = acc["x"] + acc["vx"] * dt, acc["y"] + acc["vy"] * dt
+        p, c, v = acc["p"] + 2 * dt * acc["c"] + dt * dt * acc["v"] + NOISE["position"], acc["c"] + dt * acc["v"], acc["v"] + NOISE["velocity"]
+        gain, turn = p / (p + NOISE["measured"]), c / (p + NOISE["measured"])
+        seen = now(m["source_frame"], x + gain * (m["x"] - x), acc["vx"] + turn * (m["x"] - x), y + gain * (m["y"] - y), acc["vy"] + turn * (m["y"] - y), (1 - gain) * p, (1 - gain) * c, v - turn * c, acc["out"])
+        radius = F.least(F.lit(LARGEST_RADIUS), F.greatest(F.lit(LEAST_RADIUS), SIGMAS * F.sqrt(p)))
+        guess = F.array(F.struct(m["source_frame"].alias("source_frame"), x.alias("x"), y.alias("y"), radius.alias("radius")))
+        missed = now(m["source_frame"], x, acc["vx"], y, acc["vy"], p, c, v, F.concat(acc["out"], guess))
+        return F.when(acc["frame"].isNull(), F.when(m["x"].isNotNull(), first).otherwise(acc)).when(m["x"].isNull(), missed).otherwise(seen)
+
+    return listed.select(*keys, F.explode(F.aggregate("all_", none, step, lambda acc: acc["out"])).alias("p")).select(*keys, "p.*")

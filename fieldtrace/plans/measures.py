@@ -328,3 +328,11 @@ def state_fill(spark, d):
     b = views.balls(spark, d)
     kept = b.where("state NOT IN ('error', 'signup')").select("clip_id", "source_frame", "track_id", "x", "y")
     return points.filled(kept, b.select("clip_id", "source_frame", "x", "y", "eligible"), CLIP)
+
+
+@query("ball_predictions")
+def ball_predictions(spark, d):
+    """Every second frame; only clicks and views are trusted."""
+    b = views.balls(spark, d)
+    trusted = F.col("state").isin("click", "view")
+    return points.predicted(b.select("clip_id", "source_frame", F.when(trusted, F.col("x")).alias("x"), F.when(trusted, F.col("y")).alias("y")), CLIP, 25.0)

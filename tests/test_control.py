@@ -316,3 +316,28 @@ def test_alignment_in_stretches(spark):
                     if all(x <= 1.0 for x in gaps):
                         best = max(best, (n, -sum(gaps)))
         assert len(got) == best[0] and sum(r["difference"] for r in got) == pytest.approx(-best[1])
+
+
+def test_predictions(spark):
+    """The filter of seven numbers against one of matrices."""
+    import numpy as np
+
+    rows = [(r["source_frame"], r["x"], r["y"]) if r["state"] in ("click", "view") else (r["source_frame"], None, None) for r in measures.views.balls(spark, DATA).where("clip_id = 0").orderBy("source_frame").collect()]
+    n = points.NOISE
+    state, expected = None, []
+    for frame, x, y in rows:
+        if state is None:
+            if x is not None:
+                state, cov, last = np.array([x, y, 0, 0.0]), np.diag([n["first_position"]] * 2 + [n["first_velocity"]] * 2), frame
+            continue
+        move = np.eye(4)
+        move[0, 2] = move[1, 3] = (frame - last) / 25
+        state, cov, last = move @ state, move @ cov @ move.T + np.diag([n["position"]] * 2 + [n["velocity"]] * 2), frame
+        if x is None:
+            expected.append((frame, *state[:2], min(140.0, max(12.0, 2.5 * math.sqrt(np.linalg.eigvalsh(cov[:2, :2]).max())))))
+        else:
+            see = np.eye(2, 4)
+            gain = cov @ see.T @ np.linalg.inv(see @ cov @ see.T + np.eye(2) * n["measured"])
+            state, cov = state + gain @ (np.array([x, y]) - see @ state), (np.eye(4) - gain @ see) @ cov
+    got = [tuple(r)[1:] for r in measures.ball_predictions(spark, DATA).where("clip_id = 0").orderBy("source_frame").collect()]
+    assert len(got) > 50 and np.allclose(np.array(got), np.array(expected), atol=1e-6)
