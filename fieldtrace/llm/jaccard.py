@@ -23,6 +23,7 @@ KEYED = np.dtype([("doc", "i8"), ("key", "u8"), ("size", "i4")])
 GROUPED = np.dtype([("doc", "i8"), ("key", "u8"), ("size", "i4"), ("component", "i8"), ("seen", "i4")])
 COMPONENT = np.dtype([("doc", "i8"), ("component", "i8")])
 EDGE = np.dtype([("doc", "i8"), ("other", "i8")])
+PAIR = np.dtype([("a", "i8"), ("b", "i8")])
 #: A text or bitmap on its way: its document, the key it goes to, number of shingles, component, bytes that follow.
 HEAD = np.dtype([("doc", "i8"), ("key", "u8"), ("size", "i4"), ("component", "i8"), ("length", "i4")])
 
@@ -389,18 +390,30 @@ def linked_rows(docs: DataFrame, plan: Survey, n: int, least: int) -> DataFrame:
                     x, y = some[x], some[y]
                     different = component[x] != component[y]
                     wanted.append(np.stack([heads["doc"][x[different]], heads["doc"][y[different]]]))
-        # Both texts go to a group that the pair names.
         both = np.sort(np.concatenate(wanted, axis=1), axis=0)
-        both = both[:, np.lexsort((both[1], both[0]))]
-        if both.shape[1]:
-            both = both[:, np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(axis=0)])]
-        rows = np.zeros(2 * both.shape[1], KEYED)
-        rows["doc"] = both.ravel()
-        rows["key"] = np.tile(mixed(mixed(both[0].astype(np.uint64)) ^ both[1].astype(np.uint64)), 2)
+        pairs = np.empty(both.shape[1], PAIR)
+        pairs["a"], pairs["b"] = both
+        pairs = distinct(pairs)
+        return dealt(KEYS, (pair_key(pairs) % np.uint64(groups)).astype(np.int64), pairs)
+
+    def distinct(pairs: np.ndarray) -> np.ndarray:
+        pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+        new = np.ones(len(pairs), bool)
+        new[1:] = (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])
+        return pairs[new]
+
+    def pair_key(pairs: np.ndarray) -> np.ndarray:
+        return mixed(mixed(pairs["a"].astype(np.uint64)) ^ pairs["b"].astype(np.uint64))
+
+    def ask(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+        """Two sets have many keys in common, and each key's group names the pair: here it counts once. Both texts go to a group that the pair names."""
+        pairs = distinct(joined(table, PAIR))
+        rows = np.zeros(2 * len(pairs), KEYED)
+        rows["doc"], rows["key"] = np.concatenate([pairs["a"], pairs["b"]]), np.tile(pair_key(pairs), 2)
         return by_doc(rows)
 
     needed, _ = split(slim, told(apart, GROUPED, plan.slots), plan.slots)
-    asked = cut(grouped(with_text(needed, apart, send_bitmaps, BLOBS), propose))
+    asked = cut(grouped(grouped(with_text(needed, apart, send_bitmaps, BLOBS), propose), ask))
 
     def send_texts(texts: pa.Table, blobs: pa.Table) -> pa.Table:
         rows = np.unique(joined(blobs, KEYED))

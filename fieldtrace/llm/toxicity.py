@@ -21,7 +21,7 @@ EXAMPLES = 4000
 #: Examples of a block of postings, neighbours that vote, evidence shown, distance that is added to each.
 BLOCK, NEIGHBOURS, SHOWN, NEAR = 64, 25, 3, 0.05
 #: Terms in most examples, whose weights are dense blocks, texts that meet them at once, and blocks that every text meets first.
-DENSE, AT_ONCE, FIRST = 512, 64, 4
+DENSE, AT_ONCE, FIRST = 512, 128, 4
 FOUND = "struct<mark:bigint,own:double,places:array<int>,dots:array<double>>"
 FOUND_ARROW = pa.struct([("mark", pa.int64()), ("own", pa.float64()), ("places", pa.list_(pa.int32())), ("dots", pa.list_(pa.float64()))])
 SCORE = "struct<score:double,evidence:array<struct<doc_id:bigint,similarity:double,toxic:int>>>"
@@ -256,7 +256,7 @@ def score(docs: DataFrame, fitted: Fitted, keep: Sequence[str] | None = None) ->
         for texts in batches:
             texts = texts.to_pylist()
             marks = [text_mark(t) for t in texts]
-            if len(known) > 5_000:
+            if len(known) > 10_000:
                 known.clear()
             new = list({m: t for m, t in zip(marks, texts, strict=True) if m not in known}.items())
             for lo in range(0, len(new), AT_ONCE):
