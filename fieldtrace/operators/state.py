@@ -202,13 +202,11 @@ def state_at(times: DataFrame, stretches: DataFrame, keys: Sequence[str], at: st
 def gated(events: DataFrame, stretches: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Restart passes, turnovers just when the ball goes out of play, and events whose start and completion are both in play."""
     rows = state_at(events, stretches, keys, "clip_seconds", "start_state")
-    done = state_at(rows.where("completion_seconds IS NOT NULL"), stretches, keys, "completion_seconds", "end_state")
-    rows = done.unionByName(rows.where("completion_seconds IS NULL").withColumn("end_state", F.lit("in_play")))
-    exits = changes.where("state = 'out_of_play'").select(*keys, F.col("clip_seconds").alias("exit_")).distinct()
-    near = joins.within_band(events.where("event_type = 'turnover_candidate'").select(*keys, "clip_seconds").distinct(), exits, keys, "clip_seconds", "exit_", 1e-6).select(*keys, "clip_seconds", F.lit(True).alias("at_exit_")).distinct()
-    rows = rows.join(near, [*keys, "clip_seconds"], "left")
+    rows = state_at(rows.withColumn("done_", F.coalesce("completion_seconds", "clip_seconds")), stretches, keys, "done_", "end_state")
+    exits = changes.where("state = 'out_of_play'").select(*keys, F.col("clip_seconds").alias("exit_"), F.lit(1).alias("out_")).distinct()
+    rows = joins.as_of(rows.withColumn("until_", F.col("clip_seconds") + 1e-6), exits, keys, "until_", "exit_", ["out_"], within=2e-6)
     live = (F.col("start_state") == "in_play") & (F.col("end_state") == "in_play")
-    ok = (F.col("event_type") == "restart_pass_candidate") | (F.coalesce("at_exit_", F.lit(False)) & (F.col("event_type") == "turnover_candidate")) | live
+    ok = (F.col("event_type") == "restart_pass_candidate") | (F.col("exit_").isNotNull() & (F.col("event_type") == "turnover_candidate")) | live
     return rows.where(ok).select(*events.columns)
 
 
