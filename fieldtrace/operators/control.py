@@ -206,6 +206,21 @@ def stable(spell_rows: DataFrame, least: int, trusted: Sequence[int]) -> DataFra
     return spell_rows.where((n >= least) | ((n == 1) & F.col("spell.track_id").isin(list(trusted))))
 
 
+def with_single_touches(spell_rows: DataFrame, stable_rows: DataFrame, numbered: DataFrame, covisible: DataFrame, keys: Sequence[str], longest: float, heights: float) -> DataFrame:
+    """K6: stable spells, and single observations within 0.35 heights after which a stable spell of a co-visible teammate (first_track, second_track) has the ball: two observations of it within half a
+    height, the first of them at most `longest` seconds later and `heights` of ball travel away. numbered: the observations with their spell_no."""
+    close = numbered.where(F.col("control_ratio") <= 0.5).groupBy(*keys, "spell_no").agg(F.min_by(F.struct("clip_seconds", "ball_x", "ball_y", "height"), "clip_seconds").alias("c"), F.count(F.lit(1)).alias("n_")).where("n_ >= 2")
+    receivers = stable_rows.join(close, [*keys, "spell_no"]).select(*keys, F.col("spell.team").alias("team_"), F.col("spell.track_id").alias("receiver_"), "c", F.col("c.clip_seconds").alias("at_"))
+    others = spell_rows.join(stable_rows.select(*keys, "spell_no"), [*keys, "spell_no"], "left_anti")
+    touch = F.col("spell.last")
+    senders = others.where((F.col("spell.observations") == 1) & (touch["control_ratio"] <= 0.35)).withColumn("from_", touch["clip_seconds"]).withColumn("until_", touch["clip_seconds"] + longest + 1e-9)
+    pairs = joins.in_interval(receivers, senders, keys, "at_", "from_", "until_", max(1.0, longest)).where((F.col("team_") == F.col("spell.team")) & (F.col("receiver_") != F.col("spell.track_id")))
+    travel = g.distance(F.col("c.ball_x"), F.col("c.ball_y"), touch["ball_x"], touch["ball_y"]) / F.greatest(F.lit(1.0), (touch["height"] + F.col("c.height")) / 2)
+    both = {"first_track": F.least("receiver_", F.col("spell.track_id")), "second_track": F.greatest("receiver_", F.col("spell.track_id"))}
+    found = pairs.where(travel >= heights).withColumns(both).join(covisible.select(*keys, "first_track", "second_track"), [*keys, "first_track", "second_track"], "left_semi")
+    return stable_rows.unionByName(spell_rows.join(found.select(*keys, "spell_no").distinct(), [*keys, "spell_no"], "left_semi"))
+
+
 def next_spell(spell_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("spell_no")
     return spell_rows.withColumn("to_", F.lead("spell").over(w)).where("to_ IS NOT NULL").withColumn("gap_", F.col("to_.start_seconds") - F.col("spell.end_seconds"))

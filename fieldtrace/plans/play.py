@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
-from fieldtrace.operators import control, identity, rules, state, tracks
+from fieldtrace.operators import control, identity, joins, rules, state, tracks
 from fieldtrace.plans.catalog import CLIP, POLYGON, TRACK, query, r6
 from fieldtrace.sources import views
 
@@ -435,3 +435,14 @@ def single_receptions(spark, d):
 SELECT * EXCLUDE (first_, done) FROM g WHERE NOT coalesce(clip_seconds < first_ AND first_ - done >= 0.1, false)""", *SPELL_VIEWS)
 def trusted_openings(spark, d):
     return rules.without_startup(control_transfers(spark, d), CLIP, 0.6, 0.1)
+
+
+@query("single_touch_senders", """, cl AS (SELECT clip_id, spell_no, min(clip_seconds) AS t, arg_min(ball_x, clip_seconds) AS bx, arg_min(ball_y, clip_seconds) AS by_, arg_min(height, clip_seconds) AS h FROM o2 JOIN ks USING (clip_id, k) WHERE control_ratio <= 0.5 GROUP BY ALL HAVING count(*) >= 2),
+ sb AS (SELECT * FROM spl WHERE observations >= 2), si AS (SELECT spl.*, o2.control_ratio AS r FROM spl JOIN ks USING (clip_id, spell_no) JOIN o2 USING (clip_id, k) WHERE observations = 1 AND o2.control_ratio <= 0.35),
+ cv AS (SELECT DISTINCT a.clip_id, a.track_id AS x, b.track_id AS y FROM pla a JOIN pla b ON a.clip_id = b.clip_id AND a.source_frame = b.source_frame AND a.track_id <> b.track_id)
+SELECT clip_id, spell_no, team, track_id, observations FROM sb UNION ALL SELECT clip_id, spell_no, team, track_id, observations FROM si WHERE EXISTS (SELECT 1 FROM sb JOIN cl USING (clip_id, spell_no) JOIN cv ON cv.clip_id = sb.clip_id AND cv.y = sb.track_id WHERE sb.clip_id = si.clip_id AND sb.team = si.team AND sb.track_id <> si.track_id AND cv.x = si.track_id AND cl.t >= si.start_seconds AND cl.t < si.start_seconds + 2 + 1e-9 AND sqrt(pow(cl.bx - si.lx, 2) + pow(cl.by_ - si.ly, 2)) / greatest(1.0, (si.lh + cl.h) / 2) >= 0.3)""", *SPELL_VIEWS)
+def single_touch_senders(spark, d):
+    numbered = control.spell_numbers(observed(spark, d), CLIP, 0.64, 0.75)
+    rows = control.spells(numbered, CLIP)
+    seen = joins.covisible_pairs(views.players(spark, d), CLIP)
+    return control.flat(control.with_single_touches(rows, control.stable(rows, 2, []), numbered, seen, CLIP, 2.0, 0.3), CLIP).select("clip_id", "spell_no", "team", "track_id", "observations")
