@@ -380,6 +380,8 @@ def test_warc(spark):
     assert got == expected and back.count() == len(rows)
     only = back.where("record_type = 'revisit'")
     assert only.count() == 3
+    plan = spark._jvm.PythonSQLUtils.explainString(only._jdf.queryExecution(), "formatted")
+    assert "PushedFilters: [EqualTo(record_type,revisit)]" in plan and "= revisit" not in plan
     reader = warc.WarcReader({"path": path})
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
