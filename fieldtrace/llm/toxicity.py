@@ -35,11 +35,11 @@ class Index:
     examples have are dense: of each block its weights and its largest ones, made where they are used.
     """
 
-    def __init__(self, terms: list[str], idf: np.ndarray, docs: np.ndarray, toxic: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray, prior: float) -> None:
-        """counts: of each example its terms and how often it has each."""
+    def __init__(self, terms: dict[str, int], idf: np.ndarray, docs: np.ndarray, toxic: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray, prior: float) -> None:
+        """terms: the place of each; counts: of each example its terms and how often it has each."""
         idle = np.array([not len(c[0]) for c in counts], bool)
         self.rest = float((weight[idle] * toxic[idle]).sum()) / float(weight[idle].sum() + 1)
-        self.terms, self.idf, self.prior = {t: k for k, t in enumerate(terms)}, idf, prior
+        self.terms, self.idf, self.prior = terms, idf, prior
         heaviest = np.array([t[np.argmax((1 + np.log(c)) * idf[t])] if len(t) else -1 for t, c in counts], np.int64)
         order = np.lexsort((docs, heaviest, toxic))
         order = order[~idle[order]]
@@ -187,9 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
     surprise = lambda x, of: F.when(x > 0, x * F.log(x * n / ((a + b) * float(max(1, of))))).otherwise(0.0)
     clear = F.greatest(F.lit(0.0), 2 * (surprise(a, n1) + surprise(b, n0)))
     per_term = per_term.select("term", clear.alias("clear")).toArrow().sort_by("term")  # the vocabulary of at most 2 * examples texts
-    terms, clear = per_term["term"].to_pylist(), per_term["clear"].to_numpy()
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
+    terms, clear = {t: k for k, t in enumerate(per_term["term"].to_pylist())}, per_term["clear"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(null, place, texts with it), the number of texts under the place after the last; and (mark of a text, hash of a term that no example has, how often)."""
@@ -231,6 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *(pa.array([c[k] for c in counts], pa.list_(pa.int32())) for k in (0, 1))], ["doc_id", "toxic", "terms", "counts"])
 
     rows = texts.mapInArrow(example_counts, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow().sort_by("doc_id")  # at most 2 * examples
+    shared.unpersist()
     toxic = rows["toxic"].to_numpy().astype(np.int64)
     counts = [(t.values.to_numpy(), c.values.to_numpy()) for t, c in zip(rows["terms"], rows["counts"], strict=True)]
     share = {y: sizes.get(y, 0) / max(1, found.get(y, 0)) for y in (0, 1)}

@@ -432,7 +432,7 @@ def test_block_max_search():
         counts.append((t, g.integers(1, 4, len(t))))
     idf = 1 + g.random(v) * np.where(np.arange(v) % 50 == 0, 30, 1)
     docs, toxic = g.permutation(n).astype(np.int64), g.integers(0, 2, n)
-    index = toxicity.Index([f"t{k}" for k in range(v)], idf, docs, toxic, counts, np.ones(n), 0.1)
+    index = toxicity.Index({f"t{k}": k for k in range(v)}, idf, docs, toxic, counts, np.ones(n), 0.1)
     dense = np.zeros((n, v))
     for k, (t, c) in enumerate(counts):
         dense[k, t] = (1 + np.log(c)) * idf[t]
