@@ -15,7 +15,7 @@ from fieldtrace.operators import joins, tracks
 
 #: An observation of control, a spell of such, and what a fold over a clip carries.
 OBSERVATION = "struct<source_frame:bigint,clip_seconds:double,team:string,track_id:bigint,player_x:double,player_y:double,height:double,ball_x:double,ball_y:double,control_ratio:double>"
-SPELL = f"struct<team:string,track_id:bigint,start_seconds:double,end_seconds:double,observations:int,close:int,held:int,first:{OBSERVATION},before:{OBSERVATION},last:{OBSERVATION}>"
+SPELL = f"struct<team:string,track_id:bigint,start_seconds:double,end_seconds:double,observations:bigint,close:bigint,held:bigint,first:{OBSERVATION},before:{OBSERVATION},last:{OBSERVATION}>"
 FIELDS = [f.split(":")[0] for f in OBSERVATION[len("struct<") : -1].split(",")]
 
 

@@ -178,7 +178,7 @@ def transitions(intervals: DataFrame, clips: DataFrame, keys: Sequence[str]) ->
     made = made.withColumn("proposal_no", F.row_number().over(order)).withColumn("was_", F.coalesce(F.lag("p.state").over(order), F.col("initial_state")))
     kept = made.where(F.col("p.state") != F.col("was_"))
     time = Window.partitionBy(*keys).orderBy("p.seconds", "proposal_no")
-    return kept.select(*keys, "duration_seconds", "initial_state", F.row_number().over(time).alias("transition_no"), F.col("p.seconds").alias("clip_seconds"), F.coalesce(F.lag("p.state").over(time), F.col("initial_state")).alias("previous_state"), "p.state", "p.trigger", "p.confidence", "p.restart_type", "p.law_reference", "boundary_start_seconds")
+    return kept.select(*keys, "duration_seconds", "initial_state", F.row_number().over(time).cast("long").alias("transition_no"), F.col("p.seconds").alias("clip_seconds"), F.coalesce(F.lag("p.state").over(time), F.col("initial_state")).alias("previous_state"), "p.state", "p.trigger", "p.confidence", "p.restart_type", "p.law_reference", "boundary_start_seconds")
 
 
 def state_intervals(changes: DataFrame, clips: DataFrame, keys: Sequence[str]) -> DataFrame:
