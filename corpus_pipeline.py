@@ -35,16 +35,18 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 200-byte strings that start twice; n_chars follows the text. A cut character becomes U+FFFD. Repeated rows are copies that
     lose each other's bytes; a null text becomes an empty one."""
-    kept = substrings.dedup(docs)
+    others = F.struct(*[c for c in docs.columns if c != "text"])
+    kept = substrings.dedup(docs.select(others.alias("row_"), "doc_id", "text"))
     text = F.make_valid_utf8(F.col("kept").cast("string"))
     computed = {"text": text, "n_chars": F.length(text).cast("long")}
-    return kept.select(*[computed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return kept.select(*[computed.get(c, F.col("row_").getField(c)).alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it, at most three times; one of a null source belongs to a source of its own. Documents without words are taken or not like
     others; ties in size go by doc_id, and repeated rows count one by one."""
-    return mixing.repeated(mixing.mix(docs), docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), "doc_id", "text", "source")
+    return mixing.repeated(mixing.mix(rows, keep=["row_"]), ["row_.*"])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
