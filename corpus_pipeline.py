@@ -35,11 +35,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 200-byte strings that start twice; n_chars follows the text. A cut character becomes U+FFFD. Repeated rows are copies that
     lose each other's bytes; a null text becomes an empty one."""
-    others = F.struct(*[c for c in docs.columns if c != "text"])
-    kept = substrings.dedup(docs.select(others.alias("row_"), "doc_id", "text"))
+    kept = substrings.dedup(docs.select("doc_id", "text", *[F.col(c).alias(f"own_{c}") for c in docs.columns if c != "text"]))
     text = F.make_valid_utf8(F.col("kept").cast("string"))
     computed = {"text": text, "n_chars": F.length(text).cast("long")}
-    return kept.select(*[computed.get(c, F.col("row_").getField(c)).alias(c) for c in docs.columns])
+    return kept.select(*[computed[c].alias(c) if c in computed else F.col(f"own_{c}").alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
