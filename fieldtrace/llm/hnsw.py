@@ -153,10 +153,10 @@ def index(vectors: DataFrame, shard_rows: int = 16_384, degree: int = 16, width:
 
     Rows are dealt to shards of about shard_rows by a hash of vec_id, so that copies of one vector spread over all. Each query meets
     each shard, so that larger ones save searches; but a graph of 51,282 nodes took longer to build than four of a quarter, and lost recall. Vectors are stored as they are; the graph is built and searched in single precision. Null
-    vec_ids and vectors that are null, empty, zero or hold null or non-finite components are left out; of rows with one
-    vec_id the smallest vector counts. Vectors of different lengths never meet. An empty table gives no graph.
+    vec_ids and vectors that are null, empty, zero or hold null or non-finite components are left out; rows that
+    repeat a vec_id are members each, with their own vectors. Vectors of different lengths never meet. An empty table gives no graph.
     """
-    rows = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select("vec_id", "embedding")
     shards = max(1, math.ceil(vectors.count() / shard_rows))
     number = number_of(vectors.schema["embedding"].dataType.simpleString())
 
@@ -180,7 +180,7 @@ def index(vectors: DataFrame, shard_rows: int = 16_384, degree: int = 16, width:
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = 20, width: int = 192, block: int = 50_000) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries (query_id, embedding): the k found in all shards with the largest inner
-    products in double precision, best first, ties to the smaller vec_id, the query's own id left out.
+    products in double precision, best first, ties to the smaller vec_id, rows with the query's own id left out. Of queries with one query_id the smallest vector counts.
 
     Queries are packed in blocks of about 50,000, a row each, and a block meets each graph in a task of its own, which holds the two. Queries with
     vectors that index() leaves out give no rows; with fewer than k candidates, those there are. Embeddings of both tables have one type.
@@ -205,6 +205,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 20, width: int = 192,
             nodes = np.frombuffer(r.vectors, number).reshape(r.places, -1)
             ends, members = np.frombuffer(r.member_ends, np.int64), np.frombuffer(r.members, np.int64)
             starts = np.append(0, ends[:-1])
+            most = int(np.unique(members, return_counts=True)[1].max())
             flat, links, at = np.frombuffer(r.links, np.int32), [], 0
             for level, n in enumerate(r.sizes):
                 wide = 2 * degree_of(r.sizes, len(flat)) if level == 0 else degree_of(r.sizes, len(flat))
@@ -220,7 +221,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 20, width: int = 192,
                 row, col = np.nonzero(found >= 0)
                 node = found[row, col]
                 score = np.einsum("ij,ij->i", q[row], nodes[node].astype(np.float64))
-                counts = np.minimum(ends[node] - starts[node], k + 1)  # of equal vectors the smallest ids come first
+                counts = np.minimum(ends[node] - starts[node], k + most)  # of equal vectors the smallest ids come first
                 row, score = np.repeat(row, counts), np.repeat(score, counts)
                 member = members[np.repeat(starts[node] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
                 keep = member != own[row]

@@ -146,7 +146,7 @@ def link(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
     celled = classes.mapInPandas(with_cells, f"label {label}, embedding {kind}, rep long, n long, dim int, cells array<int>")
     parts = max(1, math.ceil(classes.count() / (4 * BLOCK)))
-    ordered = cut(celled).repartitionByRange(parts, "label", "dim", "cells").sortWithinPartitions("label", "dim", "cells", "rep")
+    ordered = cut(celled).repartitionByRange(parts, "label", "dim", "cells", "rep").sortWithinPartitions("label", "dim", "cells", "rep")
     stored = cut(ordered.mapInPandas(blocks, BLOCKS.format(label=label)))
 
     # A block stands in each cell of the leading dimensions that it touches, and in the next one of each; two blocks meet in one cell only.

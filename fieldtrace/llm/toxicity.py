@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.llm.common import cut, small_batches, tidy
@@ -18,6 +18,8 @@ ADDED = ["held_out", "score", "predicted", "evidence"]
 TERM = re.compile(r"[^\W_]+")
 #: Examples of each class at most.
 EXAMPLES = 4000
+#: Bytes of all examples' texts together.
+EXAMPLE_BYTES = 64 << 20
 #: Examples of a block of postings, neighbours that vote, evidence shown, distance that is added to each.
 BLOCK, NEIGHBOURS, SHOWN, NEAR = 64, 25, 3, 0.05
 #: Terms in most examples, whose weights are dense blocks, texts that meet them at once, and blocks that every text meets first.
@@ -153,15 +155,16 @@ class Fitted:
         return getattr(self.index, name)
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, example_bytes: int = EXAMPLE_BYTES) -> Fitted:
     """The index of at most `examples` labelled texts of each class (those with the smallest hashes of doc_id); all that it holds is so bounded.
 
-    Only labels whose crc32(doc_id as text) mod 5 is not 0 count. Of several labels of one document the larger counts; null labels and
+    Of the texts drawn, those count that stand, in the order of their hashes, before example_bytes bytes are used up, in all; so neither rows nor bytes
+    of the driver grow with the corpus. Labels are 0 or 1, of any type that casts to a number, or booleans. Only labels whose crc32(doc_id as text) mod 5 is not 0 count. Of several labels of one document the larger counts; null labels and
     labels without a document don't. Equal texts are one example with the smallest doc_id of them, labelled 1 if one of them is. The index holds
     every term of the examples (runs of letters and digits, lower-cased); a term weighs its inverse document frequency, counted over all of docs, times 1 and the
     log-likelihood ratio of its shares in the two classes, so that terms that tell the classes apart weigh more and none is left out.
     """
-    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    known = labels.select("doc_id", F.expr("try_cast(toxic AS double)").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     known = cut(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
@@ -170,7 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(drawn, "doc_id")
 
     one = texts.groupBy(F.md5("text").alias("digest"), F.octet_length("text").alias("bytes")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
-    texts = cut(one.select("doc_id", "toxic", "text"))
+    one = cut(one)
+    before = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most 2 * examples rows of two numbers
+    within = F.broadcast(one.select("doc_id", before.alias("used")).where(F.col("used") <= example_bytes).select("doc_id"))
+    texts = cut(one.join(within, "doc_id").select("doc_id", "toxic", "text"))
     found = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n1, n0 = found.get(1, 0), found.get(0, 0)
 
@@ -282,11 +288,12 @@ def score(docs: DataFrame, fitted: Fitted, keep: Sequence[str] | None = None) ->
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
-    near = docs.select(*[docs[c] for c in kept], held_out.alias("held_out"), run(F.coalesce("text", F.lit(""))).alias("found_"))
+    row = F.struct(*[docs[c] for c in kept]) if kept else F.lit(0)
+    near = docs.select(row.alias("row"), held_out.alias("held_out"), run(F.coalesce("text", F.lit(""))).alias("found_"))
     beside = fitted.beside.select(F.col("mark").alias("mark_"), F.col("beside").alias("beside_"))
     near = near.join(beside, F.col("found_.mark") == F.col("mark_"), "left")
-    scored = near.select(*kept, "held_out", vote(F.col("found_.own") + F.coalesce("beside_", F.lit(0.0)), F.col("found_.places"), F.col("found_.dots")).alias("scored"))
-    return scored.select(*kept, "held_out", F.col("scored.score").alias("score"), (F.col("scored.score") >= 0.5).cast("int").alias("predicted"), F.col("scored.evidence").alias("evidence"))
+    scored = near.select("row", "held_out", vote(F.col("found_.own") + F.coalesce("beside_", F.lit(0.0)), F.col("found_.places"), F.col("found_.dots")).alias("scored"))
+    return scored.select(*[F.col("row").getField(c).alias(c) for c in kept], "held_out", F.col("scored.score").alias("score"), (F.col("scored.score") >= 0.5).cast("int").alias("predicted"), F.col("scored.evidence").alias("evidence"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import base64
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,6 +24,8 @@ SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest
 MANIFEST = "_manifest-"
 #: A gzip member's head with the extra field "sl", and its length.
 MEMBER, HEAD = "<4sIBBHccHII", 24
+#: Bytes that are read at a time, and bytes of a skippable member that are inflated at a time.
+PIECE, STEP = 1 << 16, 1 << 12
 
 
 def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -103,65 +105,146 @@ def parsed(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
 
 
-class Member:
-    """A record that is inflated only as far as it is asked for."""
+class Record:
+    """A record that is taken from its stream only as far as it is asked for: more() gives further bytes, none at the end."""
 
-    def __init__(self, body: bytes) -> None:
-        self.inflate, self.rest, self.data = zlib.decompressobj(-15), body, b""
+    def __init__(self, more: Callable[[], bytes], data: bytes = b"") -> None:
+        self.more, self.data = more, bytearray(data)
 
-    def headers(self) -> dict[str, str]:
-        while (end := self.data.find(b"\r\n\r\n")) < 0:
-            more = self.inflate.decompress(self.rest, 1024)
-            self.rest = self.inflate.unconsumed_tail
-            if not more:
-                raise ValueError("a record ends in its headers")
-            self.data += more
-        self.start = end + 4
-        return parsed(self.data[:end])
-
-    def block(self, length: int) -> bytes:
-        self.data += self.inflate.decompress(self.rest)
-        return self.data[self.start : self.start + length]
-
-
-class Plain(Member):
-    def __init__(self, data: bytes) -> None:
-        self.data = data
-
-    def block(self, length: int) -> bytes:
-        return self.data[self.start : self.start + length]
+    def begins(self) -> bool:
+        """Whether the stream has a record left; empty lines before it are passed over."""
+        while not (rest := self.data.lstrip(b"\r\n")):
+            piece = self.more()
+            if not piece:
+                return False
+            self.data = bytearray(piece)
+        self.data = rest
+        return True
 
+    def upto(self, start: int, most: int | None = None) -> int:
+        """Where the first empty line after start ends; -1 without one (among `most` bytes)."""
+        while (end := self.data.find(b"\r\n\r\n", start)) < 0:
+            if most is not None and len(self.data) - start >= most or not (piece := self.more()):
+                return -1
+            self.data += piece
+        return end + 4
 
-def members(fs: arrow_fs.FileSystem, path: str) -> Iterator[Member]:
-    """The records of a file. Members of other writers, which don't tell their length, are inflated to find their end."""
+    def headers(self) -> dict[str, str]:
+        self.start = self.upto(0)
+        if self.start < 0:
+            raise ValueError("a record ends in its headers")
+        head = parsed(bytes(self.data[: self.start - 4]))
+        self.length = int(head.get("content-length", "0"))
+        return head
+
+    def http(self) -> bytes:
+        """The HTTP headers at the head of the block, with the empty line that ends them."""
+        end = self.upto(self.start, self.length)
+        return bytes(self.data[self.start : end]) if 0 <= end <= self.start + self.length else b""
+
+    def block(self) -> bytes:
+        while len(self.data) < self.start + self.length and (piece := self.more()):
+            self.data += piece
+        return bytes(self.data[self.start : self.start + self.length])
+
+    def rest(self) -> bytes:
+        """What has been read of the stream after the block; the block's own bytes are passed over piece by piece."""
+        need = self.start + self.length
+        while need > len(self.data) and (piece := self.more()):
+            need -= len(self.data)
+            self.data = bytearray(piece)
+        return bytes(self.data[need:])
+
+
+def run_of(more: Callable[[], bytes]) -> Iterator[Record]:
+    """The records of one stream, each read to its end before the next; all headers of a record must be read."""
+    rest = b""
+    while (r := Record(more, rest)).begins():
+        yield r
+        rest = r.rest()
+
+
+def own_length(head: bytes) -> int | None:
+    """The length of a gzip member that tells it in its extra field."""
+    magic, _, _, _, extra, a, b, n, length, _ = struct.unpack(MEMBER, head.ljust(HEAD, b"\0"))
+    return length if (magic, extra, a + b, n) == (b"\x1f\x8b\x08\x04", 12, b"sl", 8) else None
+
+
+class Stream:
+    """A file of gzip members, read once from front to back."""
+
+    def __init__(self, f: arrow_fs.NativeFile) -> None:
+        self.f, self.left = f, b""
+
+    def take(self, n: int) -> bytes:
+        """At most n bytes; none at the end of the file."""
+        got, self.left = (self.left[:n], self.left[n:]) if self.left else (self.f.read(n), b"")
+        return got
+
+    def head(self) -> bytes:
+        while len(self.left) < HEAD and (piece := self.f.read(HEAD - len(self.left))):
+            self.left += piece
+        return self.left[:HEAD]
+
+    def own(self, length: int) -> Iterator[Record]:
+        """The one record of a member of this module's writer, whose length is known: only what is asked for is inflated."""
+        left = length
+        inflate = zlib.decompressobj(31)
+
+        def more() -> bytes:
+            nonlocal left
+            while not inflate.eof:
+                source = inflate.unconsumed_tail
+                if not source:
+                    source = self.take(min(left, PIECE))
+                    left -= len(source)
+                piece = inflate.decompress(source, STEP)
+                if piece or not source:
+                    return piece
+            return b""
+
+        first = Record(more)
+        if first.begins():
+            yield first
+        while left > 0 and (piece := self.take(min(left, PIECE))):
+            left -= len(piece)
+
+    def others(self) -> Iterator[Record]:
+        """The records of members that don't tell their length, up to the next that does: one stream, whether a member holds one record, several or a part of one."""
+        inflate = zlib.decompressobj(31)
+
+        def more() -> bytes:
+            nonlocal inflate
+            while True:
+                if inflate.eof:
+                    self.left = inflate.unused_data + self.left
+                    head = self.head()
+                    if not head.startswith(b"\x1f\x8b") or own_length(head) is not None:
+                        return b""
+                    inflate = zlib.decompressobj(31)
+                source = inflate.unconsumed_tail or self.take(PIECE)
+                piece = inflate.decompress(source, PIECE)
+                if piece or not source:
+                    return piece
+
+        yield from run_of(more)
+
+
+def records_of(fs: arrow_fs.FileSystem, path: str) -> Iterator[Record]:
+    """The records of a file, in pieces: no record is held whole unless its block is asked for."""
     with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as f:
         if not path.endswith(".gz"):
-            data = b""
-            while True:
-                while (end := data.find(b"\r\n\r\n")) < 0 and (more := f.read(1 << 16)):
-                    data += more
-                if end < 0:
-                    return
-                need = end + 4 + int(parsed(data[:end])["content-length"]) + 4
-                while len(data) < need and (more := f.read(max(1 << 16, need - len(data)))):
-                    data += more
-                yield Plain(data[:need])
-                data = data[need:]
-        left = b""
-        while head := left[: HEAD] + f.read(max(0, HEAD - len(left))):
-            left = left[HEAD :]
-            magic, _, _, _, extra, a, b, n, length, _ = struct.unpack(MEMBER, head.ljust(HEAD, b"\0"))
-            if (magic, extra, a + b, n) == (b"\x1f\x8b\x08\x04", 12, b"sl", 8):
-                own = left[: length - HEAD]
-                left = left[length - HEAD :]
-                yield Member(own + f.read(length - HEAD - len(own)))
-                continue
-            inflate, data, rest = zlib.decompressobj(31), [], head + left
-            while not inflate.eof and (rest or (rest := f.read(1 << 16))):
-                data.append(inflate.decompress(rest))
-                rest = b""
-            left = inflate.unused_data
-            yield Plain(b"".join(data))
+            yield from run_of(lambda: f.read(PIECE))
+            return
+        stream = Stream(f)
+        while head := stream.head():
+            length = own_length(head)
+            if length is not None:
+                yield from stream.own(length)
+            elif head.startswith(b"\x1f\x8b"):
+                yield from stream.others()
+            else:
+                raise ValueError(f"no gzip member: {head[:4]!r}")
 
 
 @dataclass
@@ -212,7 +295,7 @@ class WarcReader(DataSourceReader):
         size = 0
         single = fs.get_file_info(root).is_file
         for path in partition.paths:
-            for m in members(fs, root if single else f"{root}/{path}"):
+            for m in records_of(fs, root if single else f"{root}/{path}"):
                 head = m.headers()
                 row = {c: head.get(h.lower()) for c, h in HEADERS.items()}
                 for c in ("record_id", "refers_to"):
@@ -221,13 +304,12 @@ class WarcReader(DataSourceReader):
                     row["payload_digest"] = base64.b32decode(digest[5:].upper()).hex()
                 if any(row[c] not in values for c, values in self.wanted.items()):
                     continue
-                block_length = int(head.get("content-length", "0"))
-                if self.payload or row["record_type"] == "revisit":
-                    block = m.block(block_length)
-                    http, _, body = block.partition(b"\r\n\r\n") if head.get("content-type", "").startswith("application/http") else (b"", b"", block)
-                    told = [x[15:].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                    row["payload_length"] = int(told[0]) if told and row["record_type"] == "revisit" else len(body)
-                    row["payload"] = body if self.payload and row["record_type"] != "revisit" else None
+                http = m.http() if head.get("content-type", "").startswith("application/http") else b""
+                told = [x[15:].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                revisit = row["record_type"] == "revisit"
+                row["payload_length"] = int(told[0]) if told and revisit else m.length - len(http)
+                if self.payload and not revisit:
+                    body = row["payload"] = m.block()[len(http) :]
                     size += len(body)
                 rows.append(row)
                 if len(rows) >= 2000 or size > 16 << 20:

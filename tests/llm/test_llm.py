@@ -542,3 +542,52 @@ def test_pipeline(spark, tmp_path):
     tokens = collections.Counter((r["doc_id"], tuple(own.encode(r["text"] or "", add_special_tokens=False).ids)) for r in kept["mixing"])
     assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in kept["bpe"]) == tokens
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["bpe"])
+
+
+def test_warc_members_of_several_records(spark, tmp_path):
+    """One gzip member with three records, the second larger than what is read at a time; records of several members; skippable members between others."""
+    import gzip
+
+    sizes = [3, 500_000, 7]
+    data = [warc.record("response", f"urn:x:{k}", "http://h/", None, None, n, bytes(rng.getrandbits(8) for _ in range(n)), "2020-01-01T00:00:00Z") for k, n in enumerate(sizes)]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(data)))
+    whole = b"".join(data)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(whole[:1000]) + gzip.compress(whole[1000:]))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(data[0]) + warc.member(data[1], 4) + gzip.compress(data[2] + data[0]))
+    (tmp_path / "d.warc").write_bytes(whole)
+    back = warc.read(spark, str(tmp_path)).collect()
+    assert sorted(len(r["payload"]) for r in back) == sorted(sizes * 4 + [3]) and all(r["payload_length"] == len(r["payload"]) for r in back)
+    assert {hashlib.sha1(r["payload"]).hexdigest() for r in back} == {hashlib.sha1(d.split(b"\r\n\r\n", 2)[2][:n]).hexdigest() for d, n in zip(data, sizes, strict=True)}
+    heads = warc.read(spark, str(tmp_path), payload=False).collect()
+    assert sorted(r["payload_length"] for r in heads) == sorted(sizes * 4 + [3]) and all(r["payload"] is None for r in heads)
+
+
+def test_toxicity_keeps_columns_of_any_name(spark, docs):
+    labels = spark.createDataFrame([(k, k % 2 == 0) for k in range(60)], "doc_id long, toxic boolean")
+    named = docs.select("doc_id", "text", *[F.lit(c).alias(c) for c in ("found_", "mark_", "beside_", "scored", "row", "Held_Out")])
+    out = toxicity.score(named, toxicity.fit(docs, labels)).collect()
+    assert len(out) == named.count() and all((r["found_"], r["mark_"], r["beside_"], r["scored"], r["row"]) == ("found_", "mark_", "beside_", "scored", "row") for r in out)
+    assert all(isinstance(r["held_out"], bool) for r in out)
+    few, all_of_them = (int((toxicity.fit(docs, labels, example_bytes=n).index.docs < np.iinfo(np.int64).max).sum()) for n in (3000, 64 << 20))
+    assert 0 < few < all_of_them
+
+
+def test_neardup_spreads_a_cell(spark):
+    """A cell with nearly all vectors is ranged by vec_id too."""
+    near = np.random.default_rng(3)
+    spread = near.normal(size=(300, 16))
+    close = spread[0] + near.normal(size=(9000, 16)) * 1e-4
+    rows = [(k, [float(v) for v in x], "a") for k, x in enumerate(np.concatenate([close, spread]))]
+    out = neardup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    links = {r["vec_id"]: r["n_links"] for r in out.collect()}
+    assert all(links[k] == 9000 for k in range(9000))
+
+
+def test_hnsw_keeps_repeated_ids(spark):
+    points = np.random.default_rng(4).normal(size=(40, 6))
+    rows = [(k % 30, [float(v) for v in x]) for k, x in enumerate(points)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = hnsw.search(hnsw.index(vectors), vectors.where("vec_id = 29").select(F.col("vec_id").alias("query_id"), "embedding"), k=50).collect()
+    asked = points[29]
+    want = sorted(((-float(points[k] @ asked), k % 30) for k in range(40) if k % 30 != 29))
+    assert [(r["vec_id"], round(r["score"], 9)) for r in sorted(found, key=lambda r: r["rank"])] == [(v, round(-s, 9)) for s, v in want]
