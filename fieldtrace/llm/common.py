@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -35,6 +36,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+WRITTEN: list[str] = []
+
+
+def stored(df: DataFrame, name: str, times: int = 1) -> DataFrame | list[DataFrame]:
+    """df, written once as a table in the shared folder and read from there: smaller than a checkpoint, and pruned by column. release() deletes it.
+
+    With times above 1 as many frames that read it, which can be cogrouped with each other.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    WRITTEN.append(path)
+    read = [df.sparkSession.read.schema(df.schema).parquet(path) for _ in range(times)]
+    return read[0] if times == 1 else read
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what stored() has written in this session; for use when the results made of it have been read."""
+    while WRITTEN:
+        delete(spark, WRITTEN.pop())
+
+
 def task_groups(spark: SparkSession) -> int:
     """Into how many groups work is dealt: follows the shuffle partitions, which follow the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
