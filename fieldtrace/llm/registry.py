@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrace.llm import bpe, divergence, hnsw, jaccard, mixing, neardup, passages, sharding, substrings, toxicity, warc
+from fieldtrace.llm import bpe, divergence, hnsw, jaccard, lines, mixing, neardup, passages, sharding, substrings, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": warc.op9_warc,
         "op10_passages": passages.op10_passages,
         "op12_divergence": divergence.op12_divergence,
+        "op13_lines": lines.op13_lines,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op9_warc": warc.OP9_SQL, "op12_divergence": divergence.OP12_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op9_warc": warc.OP9_SQL, "op12_divergence": divergence.OP12_SQL, "op13_lines": lines.OP13_SQL}
