@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrace.llm import bpe, divergence, hnsw, jaccard, lines, mixing, neardup, passages, sharding, substrings, toxicity, warc
+from fieldtrace.llm import bpe, crosstoken, divergence, hnsw, jaccard, lines, mixing, neardup, passages, sharding, substrings, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": substrings.op8_substrings,
         "op9_warc": warc.op9_warc,
         "op10_passages": passages.op10_passages,
+        "op11_crosstoken": crosstoken.op11_crosstoken,
         "op12_divergence": divergence.op12_divergence,
         "op13_lines": lines.op13_lines,
     }
