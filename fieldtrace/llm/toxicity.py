@@ -300,4 +300,4 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, learned from the labels that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     index = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    return score(docs, index).select("doc_id", *ADDED)
+    return score(docs, index, keep=["doc_id"]).select("doc_id", *ADDED)
