@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from fieldtrace.plans import catalog, measures, play  # noqa: F401
+from fieldtrace.plans import catalog, measures, paths, play  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
