@@ -1,10 +1,10 @@
-"""Queries of the ball's trajectory, and the same in SQL."""
+"""Queries of the ball's trajectory and of a match's first seconds, and the same in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.operators import trajectory
+from fieldtrace.operators import initial, trajectory
 from fieldtrace.plans.catalog import CLIP, query
 from fieldtrace.sources import views
 
@@ -132,3 +132,35 @@ def direction_cones(spark, d):
         "20.0D + l_linenumber * 10 AS player_height", "0.2D + CAST(l_suppkey % 8 AS DOUBLE) / 10 AS cone_confidence",
     )
     return trajectory.converging(points(spark, d).select("clip_id", "source_frame", "track_id", "x", "y"), cones, CLIP).withColumn("convergence", F.round("convergence", 6))
+
+
+def opening_tracks(spark, d):
+    """Tracked players with colours and places on the pitch: two teams, a keeper at each goal, an official; some clips have kits too much alike."""
+    near = "CAST(l_partkey % 100 AS DOUBLE) / 100"
+    rows = views.detections(spark, d).withColumn("clip_seconds", F.col("source_frame") / 25).withColumn("k", F.expr("(l_partkey + l_suppkey) % 13")).withColumn("alike", F.expr("clip_id % 7 = 3"))
+    rows = rows.selectExpr(
+        "clip_id", "k AS track_id", "clip_seconds", f"CASE WHEN k = 10 THEN 0.05 + {near} / 12 WHEN k = 11 THEN 0.95 - {near} / 12 WHEN k = 12 THEN 0.3 + {near} / 3 WHEN k % 2 = 0 THEN 0.1 + {near} / 2 ELSE 0.45 + {near} / 2 END AS x", "CAST(l_suppkey % 50 AS DOUBLE) / 50 AS y",
+        "CAST(l_linenumber * 4 + CASE WHEN k = 12 THEN 200 WHEN k >= 10 THEN 40 WHEN k % 2 = 0 OR alike THEN 25 ELSE 160 END AS INT) AS b", "CAST(l_linenumber * 3 + CASE WHEN k >= 10 THEN 190 WHEN k % 2 = 0 OR alike THEN 25 ELSE 60 END AS INT) AS g",
+        "CAST(l_linenumber * 2 + CASE WHEN k = 10 THEN 30 WHEN k >= 10 THEN 210 WHEN k % 2 = 0 OR alike THEN 180 ELSE 20 END AS INT) AS r",
+    )
+    return initial.evidence(rows, CLIP)
+
+
+def opened(spark, d):
+    tracks = opening_tracks(spark, d)
+    clips = tracks.select("clip_id").distinct().selectExpr("clip_id", "CAST(clip_id % 2 + 1 AS INT) AS half", "0.0D AS source_start_seconds", "clip_id % 5 <> 4 AS starts_at_kickoff")
+    return initial.initialization(clips, tracks, CLIP)
+
+
+@query("match_initialization")
+def match_initialization(spark, d):
+    """Results as text, team by team and keeper by keeper."""
+    return opened(spark, d).withColumns({c: F.to_json(c) for c in ("teams", "official_track_ids", "goalkeepers", "directions", "abstention_reasons")})
+
+
+@query("side_switches")
+def side_switches(spark, d):
+    """Two clips after one another are the halves of a match; one in three changes sides, seen as a mirrored pitch."""
+    mirrored = opening_tracks(spark, d).withColumn("positions", F.when((F.col("clip_id") % 2 == 1) & (F.col("clip_id") % 3 == 1), F.transform("positions", lambda p: F.struct((1 - p["x"]).alias("x"), p["y"].alias("y")))).otherwise(F.col("positions")))
+    clips = mirrored.select("clip_id").distinct().selectExpr("clip_id", "CAST(clip_id % 2 + 1 AS INT) AS half", "0.0D AS source_start_seconds", "true AS starts_at_kickoff")
+    return initial.side_switch(initial.initialization(clips, mirrored, CLIP).withColumn("match_id", F.expr("clip_id DIV 2")), ["match_id"])
