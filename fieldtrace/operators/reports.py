@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtrace.functions.storage import once
 from fieldtrace.operators import joins
 
 
@@ -99,15 +100,17 @@ def event_comparison(manual: DataFrame, predicted: DataFrame, keys: Sequence[str
 
     match, review_match; unmatched_manual, unmatched_predicted (after the strict one); unresolved_manual (after both); nearby_disagreement: an unmatched manual event
     whose nearest prediction of any type or team is within the strict tolerance; count: events of a team and type, 0 where there are none. Differences are
-    predicted less manual, to three decimals. An event_no names one event of its side in a clip.
+    predicted less manual, to three decimals. Events and both alignments are computed once and kept, for all kinds read them. An event_no names one event of its side in a clip.
     """
     sides = {"manual_no": manual, "predicted_no": predicted}
     event = [*keys, "event_no", "seconds", "event_type", "team"]
     named = {no: df.select(*keys, F.col("event_no").alias(no), F.col("seconds").alias(f"{no}_s"), "event_type", "team") for no, df in sides.items()}
     rest = lambda no, pairs: sides[no].select(*event).join(pairs.select(*keys, F.col(no).alias("event_no")), [*keys, "event_no"], "left_anti").select(*event)
-    found = aligned(manual, predicted, keys, strict)
+    manual, predicted = once(manual), once(predicted)
+    found = once(aligned(manual, predicted, keys, strict))
     left = {no: rest(no, found) for no in sides}
-    later = aligned(left["manual_no"], left["predicted_no"], keys, review)
+    left = {no: once(df) for no, df in left.items()}
+    later = once(aligned(left["manual_no"], left["predicted_no"], keys, review))
     unresolved = left["manual_no"].join(later.select(*keys, F.col("manual_no").alias("event_no")), [*keys, "event_no"], "left_anti").select(*event)
     near = joins.within_band(left["manual_no"].withColumnsRenamed({"event_no": "manual_no"}), predicted.select(*keys, F.col("event_no").alias("predicted_no"), F.col("seconds").alias("other_seconds")), keys, "seconds", "other_seconds", strict)
     gap = F.col("other_seconds") - F.col("seconds")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
-from fieldtrace.operators import control, identity, joins, rules, state, tracks
+from fieldtrace.operators import chain, control, identity, joins, rules, state, tracks
+from fieldtrace.operators import restarts as still
 from fieldtrace.plans.catalog import CLIP, POLYGON, TRACK, query, r6
 from fieldtrace.sources import views
 
@@ -123,9 +124,31 @@ def slowed_transfers(spark, d):
     return control.decelerations(controlled(spark, d), points_of(spark, d), CLIP, 100.0, 0.9, 1.0, 8.0, 0.1)
 
 
+def shared(spark, d) -> chain.Inputs:
+    """What the rules share, each computed once."""
+    return chain.Inputs({
+        "observations": lambda t: observed(spark, d),
+        "numbered": lambda t: control.spell_numbers(t["observations"], CLIP, 0.64, 0.75),
+        "spells": lambda t: control.spells(t["numbered"], CLIP),
+        "transfers": lambda t: control.transfers(t["spells"], CLIP, 3.0, 0.5),
+        "motion": lambda t: tracks.motion(views.balls(spark, d), TRACK).select("clip_id", "source_frame", "turn_cosine"),
+        "restarts": lambda t: restarts(spark, d),
+        "durations": lambda t: durations(spark, d),
+        "changes": lambda t: state.transitions(t["restarts"].selectExpr("*", *[f"{v} AS {k}" for k, v in RULES.items()]), t["durations"], CLIP),
+        "states": lambda t: state.state_intervals(t["changes"], t["durations"], CLIP),
+        "labels": lambda t: labelled(spark, d).select("clip_id", "track_id", "clip_seconds", F.when(F.col("label").isin("red", "black"), F.col("label")).alias("label")),
+    })
+
+
+def merged(spark, d, t: chain.Inputs):
+    """Flights and turns, which come first, and transfers between spells where neither is near."""
+    first = control.flights(released(spark, d), t["spells"], CLIP, 1.0, 3.0).unionByName(control.direction_changes(t["spells"], points_of(spark, d), CLIP, 3.0, 100.0))
+    return control.with_fallback(first, t["transfers"], CLIP, 0.5)
+
+
 @query("merged_transfers")
 def merged_transfers(spark, d):
-    return control.with_fallback(flight_transfers(spark, d).unionByName(turning_transfers(spark, d)), control_transfers(spark, d), CLIP, 0.5)
+    return merged(spark, d, shared(spark, d))
 
 
 @query("startup_guarded", f"""SELECT * FROM ({TRANSFERS}) e WHERE NOT (completion_seconds <= 5 AND coalesce((SELECT min(control_ratio) FROM ob o WHERE o.clip_id = e.clip_id AND o.track_id = e.to_track AND abs(o.clip_seconds - e.completion_seconds) <= 0.25), 0) > 0.5)""", *SPELL_VIEWS)
@@ -348,7 +371,8 @@ SELECT e.* FROM e WHERE (event_type = 'turnover_candidate' AND EXISTS (SELECT 1
  OR (EXISTS (SELECT 1 FROM b WHERE b.clip_id = e.clip_id AND b.state = 'in_play' AND e.clip_seconds >= b.start_seconds AND (e.clip_seconds < b.end_seconds OR (b.end_seconds = lst AND e.clip_seconds <= b.end_seconds)))
   AND EXISTS (SELECT 1 FROM b WHERE b.clip_id = e.clip_id AND b.state = 'in_play' AND e.completion_seconds >= b.start_seconds AND (e.completion_seconds < b.end_seconds OR (b.end_seconds = lst AND e.completion_seconds <= b.end_seconds))))""", *SPELL_VIEWS, "iv", "rel", "tl")
 def gated_events(spark, d):
-    return state.gated(control_transfers(spark, d), state_intervals(spark, d), changes_of(spark, d), CLIP)
+    t = shared(spark, d)
+    return state.gated(t["transfers"], t["states"], t["changes"], CLIP)
 
 
 @query("boundary_contexts", """SELECT a.clip_id, a.event_no, coalesce((SELECT arg_min(c, start_seconds) FROM (SELECT start_seconds, CASE WHEN a.at BETWEEN start_seconds AND end_seconds THEN 'possible_out' WHEN resumed_seconds <= a.at AND a.at < resumed_seconds + 0.5 THEN 'recently_resumed' END AS c FROM iv WHERE iv.clip_id = a.clip_id) WHERE c IS NOT NULL), 'inside') AS boundary_context FROM ask a""", "bal", "iv", "pth", "ask")
@@ -358,8 +382,12 @@ def boundary_contexts(spark, d):
 
 @query("boundary_turnovers")
 def boundary_turnovers(spark, d):
-    intervals = restarts(spark, d).withColumn("stoppage_kind", F.lit(None).cast("string"))
-    return state.boundary_turnovers(intervals, controlled(spark, d), control_transfers(spark, d), CLIP, apart=0.5, startup=2.0)
+    return lost_outside(shared(spark, d))
+
+
+def lost_outside(t: chain.Inputs, prior=None):
+    intervals = t["restarts"].withColumn("stoppage_kind", F.lit(None).cast("string"))
+    return state.boundary_turnovers(intervals, t["spells"], t["transfers"] if prior is None else prior, CLIP, apart=0.5, startup=2.0)
 
 
 @query("outside_events", f""", e AS ({TRANSFERS}), h AS (SELECT e.*, (SELECT arg_min(struct_pack(r := resumed_seconds, ok := true), start_seconds) FROM rel WHERE rel.clip_id = e.clip_id AND NOT starts_outside AND start_seconds <= e.clip_seconds AND e.clip_seconds <= coalesce(play_resumed_seconds, resumed_seconds, 1e9)) AS hit,
@@ -446,3 +474,65 @@ def single_touch_senders(spark, d):
     rows = control.spells(numbered, CLIP)
     seen = joins.covisible_pairs(views.players(spark, d), CLIP)
     return control.flat(control.with_single_touches(rows, control.stable(rows, 2, []), numbered, seen, CLIP, 2.0, 0.3), CLIP).select("clip_id", "spell_no", "team", "track_id", "observations")
+
+
+def numbered(events):
+    return events.withColumn("event_no", F.row_number().over(Window.partitionBy("clip_id").orderBy("clip_seconds", "completion_seconds", "from_track", "to_track", "event_type")).cast("bigint"))
+
+
+def follow_shirts(events, t):
+    return still.identity_switches(numbered(events), t["labels"], CLIP, ("red", "black"), 4.0).drop("event_no", "corrected")
+
+
+#: The rules that are built, in order: what guards the start, what the stoppages add, who wears which shirt, what drops events, and what the state of play lets through.
+RULE_CHAIN = [
+    [chain.Rule("startup_guard", lambda e, t: control.startup_guarded(e, t["observations"], CLIP, 5.0, 0.5))],
+    [chain.Rule("boundary_turnovers", lambda e, t: e.unionByName(lost_outside(t, e)), ("startup_guard",))],
+    [chain.Rule("identity_switches", follow_shirts, ("boundary_turnovers",)), chain.Rule("one_reception", lambda e, t: rules.one_reception(e, CLIP, 0.5), ("identity_switches",))],
+    [chain.Rule("crossing_control", lambda e, t: rules.without_crossing(e, t["observations"], CLIP, 0.8, 1.2, 0.8), ("one_reception",)),
+     chain.Rule("transient_receptions", lambda e, t: rules.without_transient(e, control.flat(t["spells"], CLIP), t["motion"], t["numbered"], CLIP, sure=0.55, close=0.5), ("one_reception",)),
+     chain.Rule("startup_chain", lambda e, t: rules.without_startup(e, CLIP, 0.6, 0.1), ("transient_receptions",))],
+    [chain.Rule("state_gate", lambda e, t: state.gated(e, t["states"], t["changes"], CLIP), ("startup_chain", "boundary_turnovers"))],
+]
+
+
+@query("rule_chain")
+def rule_chain(spark, d):
+    """All rules over the merged transfers, with inputs computed once."""
+    t = shared(spark, d)
+    return chain.run(merged(spark, d, t), RULE_CHAIN, t)
+
+
+@query("identity_switches")
+def identity_switches(spark, d):
+    t = shared(spark, d)
+    return still.identity_switches(numbered(t["transfers"]), t["labels"], CLIP, ("red", "black"), 4.0)
+
+
+def dead_ball(spark, d):
+    """A ball that lies still for a second and is kicked, over and over; at times it is not seen."""
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id DIV 500 AS clip_id", "event_id % 500 AS i", "user_id", "value", "event_type")
+    e = e.withColumn("phase", F.expr("i % 60")).withColumn("moved", F.expr("i DIV 60 * 31 + greatest(phase - 26, 0)"))
+    return e.where("event_type <> 'signup' OR user_id % 3 > 0").selectExpr("clip_id", "CAST(i AS DOUBLE) / 25 AS clip_seconds", "CAST(moved * 18 % 700 AS DOUBLE) + CAST(user_id % 2 AS DOUBLE) / 2 AS x", "300.0D + CASE WHEN event_type = 'error' AND user_id % 5 = 0 THEN 9 ELSE 0 END AS y", "value / 400 AS confidence")
+
+
+def standing_players(spark, d):
+    """Ten players around the ball who stand while it lies still and run when it is kicked."""
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id DIV 500 AS clip_id", "event_id % 500 AS i", "user_id", "explode(sequence(0, 9)) AS k")
+    e = e.withColumn("phase", F.expr("i % 60")).withColumn("moved", F.expr("i DIV 60 * 31 + greatest(phase - 26, 0)")).where("(user_id + k) % 11 > 0")
+    e = e.withColumn("cx", F.expr("CAST(moved * 18 % 700 AS DOUBLE) + k * 30 - 150 + CASE WHEN phase >= 24 THEN (phase - 24) * (2 + k % 3) ELSE 0 END + CASE WHEN (user_id + i + k) % 9 = 0 THEN 3 ELSE 0 END"))
+    return e.selectExpr("clip_id", "k AS track_id", "CAST(i AS DOUBLE) / 25 AS clip_seconds", "cx - 10 AS x1", "260.0D AS y1", "cx + 10 AS x2", "300.0D + k AS y2")
+
+
+@query("stationary_restarts")
+def stationary_restarts(spark, d):
+    return still.stationary_restarts(dead_ball(spark, d), standing_players(spark, d), CLIP)
+
+
+@query("restart_states")
+def restart_states(spark, d):
+    """Changes of state through the restarts that the still ball shows."""
+    found = still.stationary_restarts(dead_ball(spark, d), standing_players(spark, d), CLIP)
+    nothing = {c: F.lit(None).cast(t) for c, t in {"law_event": "string", "advantage_applied": "boolean", "continued_seconds": "double", "confirmed_seconds": "double", "continuation_confidence": "double", "confirmation_confidence": "double"}.items()}
+    clips = dead_ball(spark, d).groupBy("clip_id").agg(F.max("clip_seconds").alias("duration_seconds"))
+    return state.transitions(found.drop("duration_seconds").withColumns(nothing), clips, CLIP).drop("duration_seconds", "initial_state")
