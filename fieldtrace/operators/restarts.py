@@ -72,8 +72,9 @@ def stationary_restarts(
     runs = joins.as_of(runs, releases, keys, "from_", "release", ["release_speed"], forward=True).where(F.col("release") - F.col("still_end") <= delay + TINY)
     moves = player_motion(players, balls, keys, radius)
     run = [*keys, "still_start", "still_end", "release", "release_speed"]
-    spans = runs.select(*run, F.explode(F.array(F.struct(F.lit("setup").alias("part"), F.col("still_start").alias("lo"), (F.col("still_end") + TINY).alias("hi")), F.struct(F.lit("reaction").alias("part"), (F.col("release") - AROUND).alias("lo"), (F.col("release") + AROUND + TINY).alias("hi")))).alias("s"))
-    near = joins.in_interval(moves, spans.select(*run, "s.part", "s.lo", "s.hi"), keys, "seconds", "lo", "hi", 2.0)
+    spans = runs.select(*run, F.explode(F.array(F.struct(F.lit("setup").alias("part"), F.col("still_start").alias("lo"), F.col("still_end").alias("hi")), F.struct(F.lit("reaction").alias("part"), (F.col("release") - AROUND).alias("lo"), (F.col("release") + AROUND).alias("hi")))).alias("s"))
+    spans = spans.select(*run, "s.part", "s.lo", "s.hi").withColumn("until_", F.col("hi") + TINY)
+    near = joins.in_interval(moves, spans, keys, "seconds", "lo", "until_", 2.0).where(F.col("seconds") <= F.col("hi"))
     moving = F.col("speed") >= active
     part = lambda p: F.col("part") == p
     per = near.groupBy(*run).agg(
