@@ -9,7 +9,7 @@ from fieldtrace.functions import geometry as g
 from fieldtrace.operators import evidence, joins, points, scoring, shots, state, tracks
 from fieldtrace.plans import play
 from fieldtrace.plans.catalog import CLIP, TRACK, query, r6
-from fieldtrace.sources import views
+from fieldtrace.sources import reviews, views
 
 SPELLS = play.SPELL_VIEWS
 FRAME = ["clip_id", "source_frame"]
@@ -336,3 +336,32 @@ def ball_predictions(spark, d):
     b = views.balls(spark, d)
     trusted = F.col("state").isin("click", "view")
     return points.predicted(b.select("clip_id", "source_frame", F.when(trusted, F.col("x")).alias("x"), F.when(trusted, F.col("y")).alias("y")), CLIP, 25.0)
+
+
+def saved_states(spark, d):
+    """A review state for each conversation: user's turns as proposals (every third without a key of its own), others as predictions and verdicts."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet").withColumn("n", F.expr("concat(CASE WHEN turn % 3 = 2 THEN 'x' WHEN role = 'user' THEN 'C' ELSE 'E' END, turn + 1)"))
+    user = F.col("role") == "user"
+    at = lambda some, what: F.transform(F.array_sort(F.collect_list(F.when(some, F.struct("turn", what.alias("v"))))), lambda x: x["v"])
+    named = lambda some, what: F.map_from_entries(F.array_sort(F.collect_list(F.when(some, F.struct(F.col("turn").cast("string").alias("k"), what.alias("v"))))))
+    parts = {
+        "additionalProposals": at(user, F.struct(F.col("n").alias("id"), "text")), "engineAfter": F.struct(at(~user, F.struct(F.col("n").alias("eventKey"), F.length("text").alias("length"))).alias("predictions")),
+        "decisions": named(user, F.struct(F.when(F.col("turn") % 2 == 0, "accepted").alias("status"))), "engineEventReviews": named(~user, F.struct(F.lit("seen").alias("status"), "text")), "conversation": at(F.lit(True), F.struct("role", "text")),
+    }
+    per = rows.groupBy("conv_id").agg(*[v.alias(k) for k, v in parts.items()])
+    return per.select("conv_id", F.parse_json(F.to_json(F.struct(*parts))).alias("state"))
+
+
+@query("history_records", """SELECT conv_id, 'C' AS stream, place, 'C' || (turn + 1) AS event_key, NULL AS proposal_key, NULL AS type FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations WHERE role = 'user') WHERE turn % 3 <> 2
+ UNION ALL SELECT conv_id, 'E', place, 'E' || (turn + 1), NULL, NULL FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations WHERE role <> 'user') WHERE turn % 3 <> 2
+ UNION ALL SELECT conv_id, 'decision', row_number() OVER (PARTITION BY conv_id ORDER BY turn::VARCHAR) - 1, NULL, 'decision-index:' || turn, CASE WHEN turn % 2 = 0 THEN 'accepted' ELSE 'decision' END FROM conversations WHERE role = 'user'
+ UNION ALL SELECT conv_id, 'verdict', row_number() OVER (PARTITION BY conv_id ORDER BY turn::VARCHAR) - 1, turn::VARCHAR, NULL, 'seen' FROM conversations WHERE role <> 'user'
+ UNION ALL SELECT conv_id, 'activity', row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1, NULL, NULL, 'conversation' FROM conversations""")
+def history_records(spark, d):
+    return reviews.history_records(saved_states(spark, d), ["conv_id"]).drop("payload", "fingerprint")
+
+
+@query("record_fingerprints", """SELECT conv_id, stream, sha256('{"imported":true,"role":' || to_json(role) || ',"text":' || to_json(text) || ',"type":"conversation"}') AS fingerprint, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM (SELECT *, 'activity' AS stream FROM conversations)""")
+def record_fingerprints(spark, d):
+    """Of the conversations' messages; the same text and digest as any writer of sorted JSON without spaces gives."""
+    return reviews.history_records(saved_states(spark, d), ["conv_id"]).where("stream = 'activity'").select("conv_id", "stream", "fingerprint", "place")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,10 +71,13 @@ def write_rows(objects: DataFrame, path: str) -> None:
 
 
 def checksums(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
-    """Files of a folder against lines `sha256 *path`: ok, mismatch, absent or unlisted; a path listed twice is a duplicate."""
-    listed = spark.read.text(manifest).select(F.regexp_extract("value", r"^([0-9a-f]{64}) [ *](.+)$", 1).alias("expected"), F.regexp_extract("value", r"^([0-9a-f]{64}) [ *](.+)$", 2).alias("name")).where("expected != ''")
+    """Files of a folder, and of those in it, against lines `sha256 *path`, path being that under the folder: ok, mismatch, absent or unlisted; a path listed twice is a duplicate.
+    Files of one name in two folders are two files. A file is read into one cell."""
+    line = r"^([0-9a-f]{64}) [ *](?:\./)?(.+)$"
+    listed = spark.read.text(manifest).select(F.regexp_extract("value", line, 1).alias("expected"), F.regexp_extract("value", line, 2).alias("name")).where("expected != ''")
     listed = listed.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("name")))
-    found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("actual"))
+    base = re.escape(re.sub("^[a-z]+:/*", "/", folder.rstrip("/")))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", f"^.*?{base}/", "").alias("name"), F.sha2("content", 256).alias("actual"))
     status = F.when(F.col("times") > 1, "duplicate").when(F.col("expected").isNull(), "unlisted").when(F.col("actual").isNull(), "absent").when(F.col("actual") != F.col("expected"), "mismatch").otherwise("ok")
     return listed.join(found, "name", "full_outer").select("name", status.alias("status"))
 
@@ -100,9 +104,9 @@ def camera_streams(spark: SparkSession, path: str) -> DataFrame:
 
 
 def on_clip_clock(points: DataFrame, cameras: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A5: points of cameras (camera_id, clip_seconds) on the clip's clock. A clip's cameras are a handful."""
+    """A5: points of cameras (camera_id, clip_seconds) on the clip's clock."""
     own = cameras.select(*keys, "camera_id", "time_offset_seconds")
-    return points.join(F.broadcast(own), [*keys, "camera_id"]).withColumn("clip_seconds", F.col("clip_seconds") + F.col("time_offset_seconds")).drop("time_offset_seconds")
+    return points.join(own, [*keys, "camera_id"]).withColumn("clip_seconds", F.col("clip_seconds") + F.col("time_offset_seconds")).drop("time_offset_seconds")
 
 
 #: The labels of the annotation format.

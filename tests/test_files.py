@@ -59,6 +59,11 @@ def test_checksums(spark, tmp_path):
     (tmp_path / "SUMS").write_text(f"{sha['a']} *a\n{sha['a']} *b\n{sha['d']} *d\n# note\n")
     got = {r["name"]: r["status"] for r in files.checksums(spark, str(tmp_path / "SUMS"), str(tmp_path / "f")).collect()}
     assert got == {"a": "ok", "b": "mismatch", "c": "unlisted", "d": "absent"}
+    (tmp_path / "f" / "in").mkdir()
+    (tmp_path / "f" / "in" / "a").write_text("b")
+    (tmp_path / "SUMS").write_text(f"{sha['a']} *a\n{sha['b']} *./in/a\n")
+    got = {r["name"]: r["status"] for r in files.checksums(spark, str(tmp_path / "SUMS"), str(tmp_path / "f")).collect()}
+    assert got == {"a": "ok", "in/a": "ok", "b": "unlisted", "c": "unlisted"}
 
 
 def test_camera_streams(spark, tmp_path):
