@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.operators import initial, trajectory
+from fieldtrace.operators import goals, initial, trajectory
 from fieldtrace.plans.catalog import CLIP, query
 from fieldtrace.sources import views
 
@@ -164,3 +164,29 @@ def side_switches(spark, d):
     mirrored = opening_tracks(spark, d).withColumn("positions", F.when((F.col("clip_id") % 2 == 1) & (F.col("clip_id") % 3 == 1), F.transform("positions", lambda p: F.struct((1 - p["x"]).alias("x"), p["y"].alias("y")))).otherwise(F.col("positions")))
     clips = mirrored.select("clip_id").distinct().selectExpr("clip_id", "CAST(clip_id % 2 + 1 AS INT) AS half", "0.0D AS source_start_seconds", "true AS starts_at_kickoff")
     return initial.side_switch(initial.initialization(clips, mirrored, CLIP).withColumn("match_id", F.expr("clip_id DIV 2")), ["match_id"])
+
+
+def cameras(spark, d):
+    """A camera for each supplier and side: goals in perspective, some with corners that don't fit."""
+    rows = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey AS camera_id", "explode(array('left', 'right')) AS side")
+    rows = rows.selectExpr("*", "300.0D + camera_id % 50 * 3 AS x0", "260.0D + camera_id % 20 * 2 AS y0", "camera_id % 17 AS odd", "CASE WHEN side = 'left' THEN 1.0D ELSE -1.0D END AS way")
+    at = lambda x, y: f"named_struct('x', {x}, 'y', {y})"
+    # Posts' bases on the line, the farther one higher in the image and its post shorter.
+    far, near = ("x0", "y0"), ("x0 + way * (40 + camera_id % 9)", "y0 + 70 + camera_id % 11")
+    corners = [at(f"{near[0]} + CASE WHEN odd = 5 THEN way * 60 ELSE 0 END", near[1]), at(far[0], f"{far[1]} - 34"), at(f"{near[0]} + 2", f"{near[1]} - CASE WHEN odd = 7 THEN -9 ELSE 52 END"), at(*far)]
+    line = [at("x0 - way * 60", "y0 - 110"), at(*far), at("x0 + way * (60 + camera_id % 9)", "y0 + 110")]
+    return rows.selectExpr("camera_id", "side", f"CASE WHEN odd = 3 THEN array({', '.join(corners[:3])}) ELSE array({', '.join(corners)}) END AS polygon", f"array({', '.join(line)}) AS goal_line")
+
+
+@query("goal_calibrations")
+def goal_calibrations(spark, d):
+    out = goals.goal_faces(cameras(spark, d))
+    return out.select("camera_id", "side", "goal_line_x", "post_low", "post_high", F.round("uncertainty", 6).alias("uncertainty"), F.to_json("corners").alias("corners"), "rejected_as")
+
+
+@query("calibrated_faces")
+def calibrated_faces(spark, d):
+    """The ball's points on the face of one camera a clip, as its calibration sees them."""
+    left = cameras(spark, d).where("side = 'left'")
+    balls = points(spark, d).selectExpr("clip_id", "clip_id % 10 + 1 AS camera_id", "source_frame", "290 + x / 8 AS x", "200 + y / 3 AS y")
+    return goals.on_faces(balls, goals.goal_faces(left).drop("side"), ["camera_id"]).select("clip_id", "source_frame", "camera_id", *[F.round(c, 6).alias(c) for c in ("goal_y", "goal_z", "image_distance")], "face")
