@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -58,7 +59,8 @@ class Pieces:
         found = [ids if s != " " else [self.alone] for s, ids in zip(new, self.model.encode([s[1:] for s in new], num_threads=1), strict=True)]
         counts = np.array([len(x) for x in found], np.int64)
         self.at = np.concatenate([self.at, len(self.tokens) + np.cumsum(counts) - counts])
-        self.tokens = np.concatenate([self.tokens, *(np.array(x, np.int32) for x in (sum(found[k : k + 1000], []) for k in range(0, len(found), 1000)))])
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(counts.sum()))
+        self.tokens = np.concatenate([self.tokens, flat])
         self.counts = np.concatenate([self.counts, counts])
 
     def batch(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,22 +168,22 @@ class Aligner:
         marks = ends_of(ends_a, ends_b)
         # Between two ends next to each other lie bytes of one token of each: a link.
         ends = np.flatnonzero(marks)
-        link_a, link_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        of_a, of_b, of_both = (marks[ends] & 1).astype(bool), (marks[ends] & 2).astype(bool), marks[ends] == 3
+        link_a, link_b, group = (np.cumsum(x) - x for x in (of_a, of_b, of_both))
         self.links.append(a[link_a].astype(np.int64) << 32 | b[link_b])
-        shared = np.flatnonzero(marks == 3)
         of = lambda x: np.bincount(x, minlength=len(new))
-        counts = np.stack([of(in_a), of(in_b), of(in_a[np.searchsorted(ends_a, shared)]), of(in_a[link_a])])
+        counts = np.stack([of(in_a), of(in_b), of(in_a[link_a[of_both]]), of(in_a[link_a])])
         self.per_window = np.concatenate([self.per_window, counts], axis=1)
         self.seen = np.append(self.seen, np.zeros(len(new), np.int64))
 
-        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
-        in_group_a, in_group_b = np.bincount(group_a, minlength=len(shared)), np.bincount(group_b, minlength=len(shared))
+        group_a, group_b, groups = group[of_a], group[of_b], int(of_both.sum())
+        in_group_a, in_group_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
         at_a = np.arange(len(a)) + (np.cumsum(in_group_b) - in_group_b)[group_a]
         at_b = np.arange(len(b)) + np.cumsum(in_group_a)[group_b]
         ids, after = np.empty(len(flat), np.int64), np.zeros(len(flat), np.int64)
         ids[at_a], ids[at_b] = a, b
-        after[at_a[marks[ends_a] == 3]] = 1
-        last = at_b[marks[ends_b] == 3]
+        after[at_a[of_both[of_a]]] = 1
+        last = at_b[of_both[of_b]]
         after[last] = 2
         after[at_b[np.append(in_b[1:] != in_b[:-1], True)]] = 3
         out = [""] * (2 * len(flat))
