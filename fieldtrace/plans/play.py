@@ -536,3 +536,28 @@ def restart_states(spark, d):
     nothing = {c: F.lit(None).cast(t) for c, t in {"law_event": "string", "advantage_applied": "boolean", "continued_seconds": "double", "confirmed_seconds": "double", "continuation_confidence": "double", "confirmation_confidence": "double"}.items()}
     clips = dead_ball(spark, d).groupBy("clip_id").agg(F.max("clip_seconds").alias("duration_seconds"))
     return state.transitions(found.drop("duration_seconds").withColumns(nothing), clips, CLIP).drop("duration_seconds", "initial_state")
+
+
+def passed_ball(spark, d):
+    """The ball that lies still and is kicked, over and over, by frames."""
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id DIV 500 AS clip_id", "event_id % 500 AS source_frame", "user_id")
+    e = e.withColumn("phase", F.expr("source_frame % 60")).withColumn("moved", F.expr("source_frame DIV 60 * 31 + greatest(phase - 26, 0)"))
+    return e.selectExpr("clip_id", "source_frame", "CAST(source_frame AS DOUBLE) / 25 AS clip_seconds", "1L AS track_id", "CAST(moved * 18 % 700 AS DOUBLE) + CAST(user_id % 3 AS DOUBLE) / 2 AS x", "300.0D AS y", "phase", "user_id")
+
+
+def passing_players(spark, d):
+    """Two of a team who have the ball in turn: one before it comes to rest, one after it flies again."""
+    k = passed_ball(spark, d).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    k = k.withColumn("dy", F.expr("CASE WHEN phase BETWEEN 56 - 10 * k AND 60 - 10 * k AND user_id % 5 > 0 THEN 2.0D ELSE 3000.0D END"))
+    return k.selectExpr("clip_id", "source_frame", "clip_seconds", "CAST(k AS BIGINT) AS track_id", "'red' AS team", "x - 10 AS x1", "y + dy - 40 AS y1", "x + 10 AS x2", "y + dy AS y2")
+
+
+def passed_spells(spark, d):
+    seen = control.control_observations(passing_players(spark, d), passed_ball(spark, d), CLIP, 1.2, ground=0.9, flyby_speed=700.0)
+    return control.spells(control.spell_numbers(seen, CLIP, 0.64, 0.75), CLIP)
+
+
+@query("slowed_flights")
+def slowed_flights(spark, d):
+    """Passes whose flight a ball at rest interrupts."""
+    return control.decelerations(passed_spells(spark, d), control.triples(passed_ball(spark, d), CLIP), CLIP, 100.0, 0.9, 1.0, 8.0, 0.1)

@@ -135,9 +135,9 @@ def test_flights(spark, spells):
     assert len(expected) > 5 and keyed(play.flight_transfers(spark, DATA).collect(), *NAMES) == keyed(expected, *NAMES)
 
 
-def test_decelerations(spark, spells, path):
+def slowed_by_hand(spells, path):
     expected = []
-    for clip, rows in spells[1].items():
+    for clip, rows in spells.items():
         own = []
         for s, r in zip(rows, rows[1:], strict=False):
             found = []
@@ -149,7 +149,18 @@ def test_decelerations(spark, spells, path):
             if found:
                 own.append(made(clip, "pass_candidate", s["end_seconds"], s, None, 0.6, max(found)[1]))
         expected += deduplicated(own)
-    assert keyed(play.slowed_transfers(spark, DATA).collect(), *NAMES) == keyed(expected, *NAMES)
+    return expected
+
+
+def test_decelerations(spark, spells, path):
+    assert keyed(play.slowed_transfers(spark, DATA).collect(), *NAMES) == keyed(slowed_by_hand(spells[1], path), *NAMES)
+    own, points = collections.defaultdict(list), collections.defaultdict(list)
+    for r in play.passed_spells(spark, DATA).orderBy("clip_id", "spell_no").collect():
+        own[r["clip_id"]].append(r["spell"].asDict(recursive=True))
+    for r in play.passed_ball(spark, DATA).orderBy("clip_id", "source_frame").collect():
+        points[r["clip_id"]].append((r["clip_seconds"], r["x"], r["y"]))
+    expected = slowed_by_hand(own, points)
+    assert keyed(play.slowed_flights(spark, DATA).collect(), *NAMES) == keyed(expected, *NAMES) and len(expected) > 5
 
 
 def test_with_fallback(spark):
