@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.operators import goals, initial, trajectory
+from fieldtrace.operators import consensus, goals, initial, trajectory
 from fieldtrace.plans.catalog import CLIP, query
 from fieldtrace.sources import views
 
@@ -190,3 +190,50 @@ def calibrated_faces(spark, d):
     left = cameras(spark, d).where("side = 'left'")
     balls = points(spark, d).selectExpr("clip_id", "clip_id % 10 + 1 AS camera_id", "source_frame", "290 + x / 8 AS x", "200 + y / 3 AS y")
     return goals.on_faces(balls, goals.goal_faces(left).drop("side"), ["camera_id"]).select("clip_id", "source_frame", "camera_id", *[F.round(c, 6).alias(c) for c in ("goal_y", "goal_z", "image_distance")], "face")
+
+
+def spots(spark, d):
+    """The moving spots of each sample as detections of several variants."""
+    rows = candidates(spark, d).withColumn("sample", F.expr("source_frame DIV 5")).withColumn("no", F.expr("source_frame % 5 * 3 + candidate_no"))
+    return rows.selectExpr("clip_id", "sample", "no", "CAST(no % 5 AS STRING) AS variant", "x", "y", "visual_score AS score", "abs(sample * 23.0D % 1600 - 800) - 6 AS expected_x", "abs(sample * 11.0D % 1000 - 500) AS expected_y", "6.0D AS diameter", "9.0D AS radius")
+
+
+@query("variant_consensus")
+def variant_consensus(spark, d):
+    return consensus.variant_consensus(spots(spark, d), ["clip_id", "sample"]).select("clip_id", "sample", "no", "variant", "x", "y", "score")
+
+
+@query("weighted_consensus")
+def weighted_consensus(spark, d):
+    return consensus.weighted_consensus(spots(spark, d).drop("variant"), ["clip_id", "sample"]).select("clip_id", "sample", "no", "x", "y", "score")
+
+
+MODES = f""", t AS (SELECT clip_id, source_frame, x, y, lag(source_frame) OVER w AS zf, lag(x) OVER w AS zx, lag(y) OVER w AS zy FROM pts WHERE event_type IN ('click', 'view') WINDOW w AS (PARTITION BY clip_id ORDER BY source_frame)),
+ c AS (SELECT clip_id, source_frame, track_id, x, y FROM pts WHERE event_type <> 'signup'), j AS (SELECT c.*, a AS a, b AS b FROM c ASOF LEFT JOIN t a ON a.clip_id = c.clip_id AND a.source_frame < c.source_frame ASOF LEFT JOIN t b ON b.clip_id = c.clip_id AND b.source_frame > c.source_frame),
+ k AS (SELECT *, source_frame - a.source_frame <= 20 AND b.source_frame - source_frame <= 20 AS mid, a.source_frame - a.zf = 5 AND source_frame - a.source_frame <= 20 AS onward FROM j),
+ p AS (SELECT clip_id, source_frame, track_id, x, y, CASE WHEN mid THEN a.x + (b.x - a.x) * ((source_frame - a.source_frame) / (b.source_frame - a.source_frame)) WHEN onward THEN a.x + (a.x - a.zx) * ((source_frame - a.source_frame) / 5) END AS px,
+  CASE WHEN mid THEN a.y + (b.y - a.y) * ((source_frame - a.source_frame) / (b.source_frame - a.source_frame)) WHEN onward THEN a.y + (a.y - a.zy) * ((source_frame - a.source_frame) / 5) END AS py FROM k),
+ q AS (SELECT *, sqrt((x - px) ** 2 + (y - py) ** 2) AS far, EXISTS (SELECT 1 FROM det d WHERE d.clip_id = p.clip_id AND d.source_frame * 5 = p.source_frame AND class_name = 'person' AND confidence >= 0.25 AND p.x BETWEEN x1 - 40 AND x2 + 40 AND p.y BETWEEN y1 + (y2 - y1) * 0.72 AND y2) AS feet FROM p)
+SELECT clip_id, source_frame, track_id, x, y, round(px, 6) AS predicted_x, round(py, 6) AS predicted_y, round(coalesce(greatest(0, 1 - far / 36), 0), 6) AS trajectory_score, CASE WHEN feet THEN 'near_feet' WHEN far <= 15 THEN 'trajectory_corridor' ELSE 'global_fallback' END AS mode FROM q"""
+
+
+@query("search_modes", MODES, "pts", "det")
+def search_modes(spark, d):
+    p = points(spark, d)
+    people = views.detections(spark, d).where("class_name = 'person'").withColumns({"source_frame": F.col("source_frame") * 5, "x1": F.col("x1") - 40, "x2": F.col("x2") + 40})
+    out = consensus.search_modes(p.select("clip_id", "source_frame", "track_id", "x", "y"), p.where("direct"), people, CLIP, STEP, 6.0)
+    return out.withColumns({c: F.round(c, 6) for c in ("predicted_x", "predicted_y", "trajectory_score")})
+
+
+def detector_spots(spark, d):
+    """What the detector saw, often at a few places, some of them at a player's feet."""
+    return all_points(spark, d).where("event_type <> 'view' OR track_id >= 100").selectExpr("clip_id", "source_frame", "track_id", "CASE WHEN user_id % 3 = 0 THEN 200.0D + user_id % 2 * 100 ELSE x END AS x", "CASE WHEN user_id % 3 = 0 THEN 100.0D ELSE y END AS y", "user_id % 3 = 0 AND event_type <> 'error' AS near_feet")
+
+
+def trusted_spots(spark, d):
+    return points(spark, d).where("event_type IN ('view', 'click')").withColumns({"x": F.expr("CASE WHEN user_id % 5 = 0 AND event_type = 'view' THEN 202.0D ELSE x END"), "y": F.expr("CASE WHEN user_id % 5 = 0 AND event_type = 'view' THEN 101.0D ELSE y END")}).where("event_type = 'view' OR user_id % 2 = 0")
+
+
+@query("restored_points")
+def restored_points(spark, d):
+    return consensus.restored(detector_spots(spark, d), trusted_spots(spark, d), CLIP, STEP, FPS, SPEED)
