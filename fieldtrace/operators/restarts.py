@@ -93,6 +93,43 @@ def stationary_restarts(
     )
 
 
+def through_setup(
+    intervals: DataFrame, spells: DataFrame, balls: DataFrame, keys: Sequence[str], delay: float = 2.0, control: float = 1.0, slow: float = 100.0, settled: float = 0.4, kick: float = 200.0, search: float = 2.0,
+) -> DataFrame:
+    """Stoppages whose release only moved the ball to where it is set up: after a still-ball restart's release a player controls it for `control` seconds or more, starting within `delay`. Play then resumes with the last kick (a step of
+    `kick` that two of three steps sustain) of a ball that had settled for `settled` seconds, up to `search` seconds after that control, or with its end. Adds discarded_release_seconds, setup_start_seconds and setup_end_seconds, null where
+    nothing changed. spells: start_seconds, end_seconds.
+
+    Settled runs are islands among the steps of one stoppage's search, so stoppages are partitions of a window.
+    """
+    rows = intervals.withColumn("no_", F.struct(*keys, "start_seconds", "play_resumed_seconds")).withColumn("from_", F.when(F.col("stoppage_kind") == "stationary_ball_restart", F.col("play_resumed_seconds")))
+    long = spells.where(F.col("end_seconds") - F.col("start_seconds") >= control).select(*keys, F.col("start_seconds").alias("setup_start"), F.col("end_seconds").alias("setup_end"))
+    asked = rows.where("from_ IS NOT NULL").select(*keys, "no_", "from_").join(long, list(keys)).where((F.col("setup_start") > F.col("from_")) & (F.col("setup_start") <= F.col("from_") + delay))
+    first = asked.groupBy(*keys, "no_").agg(F.min(F.struct("setup_start", "setup_end")).alias("s")).select(*keys, "no_", "s.*")
+
+    steps = ball_steps(balls, keys)
+    w = Window.partitionBy(*keys).orderBy("start_seconds")
+    sustained = sum(F.coalesce((F.lead("speed", k).over(w) >= slow).cast("int"), F.lit(0)) for k in (0, 1, 2)) >= 2
+    steps = steps.withColumn("kick_", (F.col("speed") >= kick) & sustained).withColumnsRenamed({"start_seconds": "at_", "end_seconds": "to_"})
+    spans = first.withColumns({"lo_": F.col("setup_start") - TINY, "hi_": F.col("setup_end") + search + TINY}).withColumn("until_", F.col("hi_") + STEP + 1)
+    near = joins.in_interval(steps, spans, keys, "to_", "lo_", "until_", 4.0).where(F.col("at_") <= F.col("hi_"))
+    own = Window.partitionBy(*keys, "no_").orderBy("at_")
+    still = F.col("speed") <= slow
+    apart = F.coalesce(F.col("at_") - F.lag("to_").over(own) > STEP, F.lit(True))
+    near = near.withColumns({"still_": still, "new_": F.when(still & F.coalesce(F.lag(still).over(own), F.lit(False)) & ~apart, 0).otherwise(1)}).withColumn("run_", F.sum("new_").over(own)).withColumn("apart_", apart)
+    near = near.withColumn("since_", F.min("at_").over(Window.partitionBy(*keys, "no_", "run_")))
+    was = F.coalesce(F.lag("still_").over(own), F.lit(False)) & ~F.col("apart_") & (F.lag("to_").over(own) - F.lag("since_").over(own) >= settled - TINY)
+    last = near.withColumn("ok_", F.col("kick_") & ~F.col("still_") & was).groupBy("no_").agg(F.max(F.when(F.col("ok_"), F.col("at_"))).alias("again_"))
+    found = first.join(last, "no_", "left").select("no_", "setup_start", "setup_end", F.round(F.coalesce("again_", "setup_end"), 3).alias("resumed_"))
+    rows = rows.join(found, "no_", "left")
+    new = {
+        "play_resumed_seconds": F.coalesce("resumed_", "play_resumed_seconds"), "end_seconds": F.coalesce("resumed_", "end_seconds"), "duration_seconds": F.coalesce(F.round(F.col("resumed_") - F.col("start_seconds"), 3), F.col("duration_seconds")),
+        "release_confidence": F.when(F.col("resumed_").isNotNull(), F.least(F.coalesce("release_confidence", F.lit(RELEASED)), F.lit(0.75))).otherwise(F.col("release_confidence")),
+    }
+    told = [F.round(F.when(F.col("resumed_").isNotNull(), F.col("from_")), 3).alias("discarded_release_seconds"), F.round("setup_start", 3).alias("setup_start_seconds"), F.round("setup_end", 3).alias("setup_end_seconds")]
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in intervals.columns], *told)
+
+
 PASSES = ("pass_candidate", "restart_pass_candidate")
 
 

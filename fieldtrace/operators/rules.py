@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtrace.functions import geometry as g
 from fieldtrace.operators import joins
 from fieldtrace.operators.control import EVENT, NAMES
 
@@ -96,3 +97,24 @@ def without_startup(events: DataFrame, keys: Sequence[str], low: float = 0.55, g
     opening = F.col("clip_seconds") < F.col("first_")
     rows = rows.withColumn("done_", F.max(F.when(opening, F.coalesce("completion_seconds", "clip_seconds"))).over(w))
     return rows.where(~F.coalesce(opening & (F.col("first_") - F.col("done_") >= gap), F.lit(False))).select(*events.columns)
+
+
+def without_handoffs(events: DataFrame, boxes: DataFrame, keys: Sequence[str], before: float = 0.41, overlap: float = 0.9) -> DataFrame:
+    """Events without passes between two tracks of one player: in a frame from `before` seconds before the pass to its completion the boxes (track_id, source_frame, clip_seconds, team, x1 .. y2) of sender and receiver cover each other (by `overlap` of the
+    smaller), and the sender's track ends where the receiver's begins, or the receiver wears another team there."""
+    passes = events.where("event_type = 'pass_candidate' AND team IS NOT NULL AND completion_seconds IS NOT NULL AND from_track IS NOT NULL AND to_track IS NOT NULL").distinct()
+    spans = passes.withColumn("event_", F.struct(*events.columns)).select(*keys, "from_track", "to_track", F.col("team").alias("event_team"), "event_", (F.col("clip_seconds") - before).alias("lo_"), (F.col("completion_seconds") + 1e-9).alias("hi_")).withColumn("until_", F.col("hi_") + 1e-9)
+    bounds = boxes.groupBy(*keys, "track_id").agg(F.min("source_frame").alias("first_"), F.max("source_frame").alias("last_"))
+    corners = ["x1", "y1", "x2", "y2"]
+    mine = boxes.select(*keys, F.col("track_id").alias("to_track"), "source_frame", F.col("clip_seconds").alias("at_"), F.col("team").alias("worn_"), *[F.col(c).alias(f"r_{c}") for c in corners])
+    near = joins.in_interval(mine, spans, [*keys, "to_track"], "at_", "lo_", "until_", 4.0).where(F.col("at_") <= F.col("hi_"))
+    theirs = boxes.select(*keys, F.col("track_id").alias("from_track"), "source_frame", *[F.col(c).alias(f"s_{c}") for c in corners])
+    both = near.join(theirs, [*keys, "from_track", "source_frame"])
+    a, b = (g.box(f"{n}_") for n in "rs")
+    area = lambda x: F.greatest(F.lit(1.0), (x[2] - x[0]) * (x[3] - x[1]))
+    both = both.where(g.overlap(a, b) / F.least(area(a), area(b)) >= overlap)
+    both = both.join(bounds.select(*keys, F.col("track_id").alias("from_track"), "last_"), [*keys, "from_track"]).join(bounds.select(*keys, F.col("track_id").alias("to_track"), "first_"), [*keys, "to_track"])
+    handed = (F.col("last_") == F.col("source_frame")) & (F.col("first_") == F.col("source_frame"))
+    other = F.coalesce(~F.col("worn_").isin("unknown") & (F.col("worn_") != F.col("event_team")), F.lit(False))
+    gone = both.where(handed | other).select("event_").distinct()
+    return events.withColumn("event_", F.struct(*events.columns)).join(gone, "event_", "left_anti").select(*events.columns)

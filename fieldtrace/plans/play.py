@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
+from fieldtrace.functions.storage import once
 from fieldtrace.operators import chain, control, identity, joins, rules, state, tracks
 from fieldtrace.operators import restarts as still
 from fieldtrace.plans.catalog import CLIP, POLYGON, TRACK, query, r6
@@ -561,3 +562,24 @@ def passed_spells(spark, d):
 def slowed_flights(spark, d):
     """Passes whose flight a ball at rest interrupts."""
     return control.decelerations(passed_spells(spark, d), control.triples(passed_ball(spark, d), CLIP), CLIP, 100.0, 0.9, 1.0, 8.0, 0.1)
+
+
+@query("restarts_through_setup")
+def restarts_through_setup(spark, d):
+    """Still-ball restarts after which a player carries the ball for a while, in some cycles."""
+    balls = dead_ball(spark, d)
+    carried = balls.withColumn("i", F.round(F.col("clip_seconds") * 25).cast("long")).where("i % 60 BETWEEN 30 AND 58 AND i DIV 60 % 3 > 0").groupBy("clip_id", F.expr("i DIV 60").alias("cycle")).agg(F.min("clip_seconds").alias("start_seconds"), F.max("clip_seconds").alias("end_seconds"))
+    found = once(still.stationary_restarts(balls, standing_players(spark, d), CLIP))
+    return still.through_setup(found, carried.drop("cycle"), balls, CLIP)
+
+
+@query("handoff_free_passes", f""", b AS (SELECT clip_id, track_id, source_frame, clip_seconds, CASE WHEN track_id % 5 = 0 THEN 'black' ELSE team END AS worn, x1, y1, x2, y2 FROM pla QUALIFY row_number() OVER (PARTITION BY clip_id, track_id, source_frame ORDER BY l_partkey, l_linenumber) = 1),
+ n AS (SELECT clip_id, track_id, min(source_frame) AS f, max(source_frame) AS l FROM b GROUP BY ALL), e AS ({TRANSFERS})
+SELECT e.* FROM e WHERE NOT (event_type = 'pass_candidate' AND EXISTS (SELECT 1 FROM b r JOIN b s ON s.clip_id = r.clip_id AND s.source_frame = r.source_frame JOIN n x ON x.clip_id = s.clip_id AND x.track_id = s.track_id JOIN n y ON y.clip_id = r.clip_id AND y.track_id = r.track_id
+ WHERE r.clip_id = e.clip_id AND r.track_id = e.to_track AND s.track_id = e.from_track AND r.clip_seconds >= e.clip_seconds - 0.41 AND r.clip_seconds <= e.completion_seconds + 1e-9
+ AND greatest(0, least(r.x2, s.x2) - greatest(r.x1, s.x1)) * greatest(0, least(r.y2, s.y2) - greatest(r.y1, s.y1)) / least(greatest(1, (r.x2 - r.x1) * (r.y2 - r.y1)), greatest(1, (s.x2 - s.x1) * (s.y2 - s.y1))) >= 0.3 AND ((x.l = r.source_frame AND y.f = r.source_frame) OR r.worn <> e.team)))""", *SPELL_VIEWS)
+def handoff_free_passes(spark, d):
+    """Transfers without those between two tracks of one player; of a track's boxes in a frame the first counts."""
+    first = Window.partitionBy("clip_id", "track_id", "source_frame").orderBy("l_partkey", "l_linenumber")
+    boxes = views.players(spark, d).withColumn("k", F.row_number().over(first)).where("k = 1").select("clip_id", "track_id", "source_frame", "clip_seconds", F.when(F.col("track_id") % 5 == 0, "black").otherwise(F.col("team")).alias("team"), "x1", "y1", "x2", "y2")
+    return rules.without_handoffs(control_transfers(spark, d), boxes, CLIP, overlap=0.3)

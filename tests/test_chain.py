@@ -180,3 +180,61 @@ def test_identity_switches(spark, span, least):
     got = {(r["clip_id"], r["event_no"]): (r["event_type"], r["team"], r["corrected"]) for r in restarts.identity_switches(a, b, CLIP, ("red", "black"), span, 0.8, least).collect()}
     count = collections.Counter(v[2] for v in want.values())
     assert got == want and count["identity"] > 5 and count["continuity"] > 5
+
+
+def setups_by_hand(found, spells, balls):
+    best = {}
+    for b in balls:
+        if b["clip_seconds"] not in best or b["confidence"] > best[b["clip_seconds"]]["confidence"]:
+            best[b["clip_seconds"]] = b
+    seen = [best[t] for t in sorted(best)]
+    steps = [(p["clip_seconds"], q["clip_seconds"], math.hypot(p["x"] - q["x"], p["y"] - q["y"]) / (q["clip_seconds"] - p["clip_seconds"])) for p, q in zip(seen, seen[1:], strict=False) if q["clip_seconds"] - p["clip_seconds"] <= 0.3]
+    out = {}
+    for r in found:
+        release = r["play_resumed_seconds"]
+        own = sorted(s for s in spells if release < s[0] <= release + 2 and s[1] - s[0] >= 1) if r["stoppage_kind"] == "stationary_ball_restart" and release is not None else []
+        if not own:
+            out[r["start_seconds"]] = (release, None)
+            continue
+        latest, start, end = None, None, None
+        for k, (a, b, v) in enumerate(steps):
+            if b < own[0][0] - 1e-9 or a > own[0][1] + 2 + 1e-9:
+                continue
+            if end is not None and a - end > 0.3:
+                start = end = None
+            if v <= 100:
+                start, end = a if start is None else start, b
+                continue
+            if start is not None and end - start >= 0.4 - 1e-9 and v >= 200 and sum(x[2] >= 100 for x in steps[k : k + 3]) >= 2:
+                latest = a
+            start = end = None
+        out[r["start_seconds"]] = (round(latest if latest is not None else own[0][1], 3), release)
+    return out
+
+
+def test_restarts_through_setup(spark):
+    balls = play.dead_ball(spark, DATA).cache()
+    found = restarts.stationary_restarts(balls, play.standing_players(spark, DATA), CLIP).cache()
+    spells = [(c, s, round(s + rng.uniform(0.5, 2.5), 2)) for c in (0, 1) for s in [round(rng.uniform(0, 20), 2) for _ in range(14)]]
+    table = spark.createDataFrame(spells, "clip_id long, start_seconds double, end_seconds double")
+    mixed = found.unionByName(found.where("start_seconds < 3").withColumns({"stoppage_kind": F.lit(None).cast("string"), "start_seconds": F.col("start_seconds") + 0.001}))
+    got = {(r["clip_id"], r["start_seconds"]): r for r in restarts.through_setup(mixed, table, balls, CLIP).collect()}
+    own = clips(balls)
+    want = {(c, k): v for c, rows in clips(mixed).items() for k, v in setups_by_hand(rows, [s[1:] for s in spells if s[0] == c], own[c]).items()}
+    assert {k: (r["play_resumed_seconds"], r["discarded_release_seconds"]) for k, r in got.items()} == want and len(got) == mixed.count()
+    changed = [r for r in got.values() if r["discarded_release_seconds"] is not None]
+    assert 3 < len(changed) < len(got) and all(r["release_confidence"] == 0.75 and r["duration_seconds"] == pytest.approx(r["play_resumed_seconds"] - r["start_seconds"], abs=1e-6) for r in changed)
+    assert any(r["play_resumed_seconds"] > r["setup_end_seconds"] for r in changed)
+
+
+def test_handoffs(spark):
+    """Boxes on each other: one track ends where the other begins; another team's shirt; tracks that only meet; boxes apart."""
+    box = lambda t, f, x, team="red": (1, t, f, f / 10, team, x, 0.0, x + 10.0, 20.0)
+    boxes = [box(1, f, 0.0) for f in (8, 9, 10)] + [box(2, f, 0.5) for f in (10, 11)] + [box(3, f, 100.0) for f in (10, 11, 12)] + [box(4, f, 100.5, "black" if f == 11 else "red") for f in (10, 11)] + [box(5, f, 200.0) for f in (10, 11)] + [box(6, f, 200.0, "unknown") for f in (10, 11)] + [box(7, 10, 300.0), box(8, 10, 306.0)]
+    table = spark.createDataFrame(boxes, "clip_id long, track_id long, source_frame long, clip_seconds double, team string, x1 double, y1 double, x2 double, y2 double")
+    kind = "clip_id long, clip_seconds double, completion_seconds double, event_type string, team string, from_track long, to_track long, confidence double"
+    p = "pass_candidate"
+    rows = [(1, 1.0, 1.2, p, "red", 1, 2, 0.5), (1, 2.0, 2.2, p, "red", 1, 2, 0.5), (1, 1.0, 1.2, "turnover_candidate", "red", 1, 2, 0.5), (1, 1.2, 1.3, p, "red", 3, 4, 0.5), (1, 1.0, 1.1, p, "red", 5, 6, 0.5), (1, 1.0, 1.1, p, "red", 7, 8, 0.5), (1, 1.0, None, p, "red", 1, 2, 0.5)]
+    got = sorted((r["clip_seconds"], str(r["completion_seconds"]), r["event_type"], r["from_track"]) for r in rules.without_handoffs(spark.createDataFrame(rows, kind), table, CLIP).collect())
+    assert got == sorted((r[1], str(r[2]), r[3], r[5]) for k, r in enumerate(rows) if k not in (0, 3))
+    assert 0 < play.handoff_free_passes(spark, DATA).count() <= play.control_transfers(spark, DATA).count()
