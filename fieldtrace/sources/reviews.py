@@ -128,3 +128,38 @@ def history_records(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     payload = F.parse_json(F.to_json(F.map_concat(own, F.col("added"))))
     rows = rows.withColumn("added", added).withColumn("body", payload)
     return rows.select(*keys, "stream", "place", "event_key", "proposal_key", "type", canonical(F.col("body")).alias("payload"), canonical_hash(F.col("body")).alias("fingerprint"))
+
+
+#: How an import of one file can end.
+STATUSES = ("inserted", "unchanged", "conflicting", "rejected")
+
+
+def regression_registries(spark: SparkSession, root: str, sums: str, registries: dict[str, str], ledger: DataFrame) -> DataFrame:
+    """The registry files under root that `registries` names (path: workflow): workflow_id, logical_key, digest, n_bytes, registry (variant), fingerprint (of its canonical JSON), verified (the manifest lists it), status (inserted, unchanged or
+    rejected) and reason, null unless it is rejected.
+
+    A registry is a JSON list, or an object that names its workflow; the manifest need not list it, but must not contradict it. It is unchanged if the ledger (workflow_id, logical_key, digest, status) has it inserted. A file that is
+    not there is rejected.
+    """
+    base = root.rstrip("/")
+    wanted = spark.createDataFrame([(k, w) for k, w in registries.items()], "logical_key string, workflow_id string")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    found = read.select(F.regexp_replace("path", f"^.*?{re.escape(re.sub('^[a-z]+:/*', '/', base))}/", "").alias("logical_key"), "content", F.col("length").alias("n_bytes"))
+    rows = wanted.join(found.where(F.col("logical_key").isin(*registries)), "logical_key", "left").join(manifest(spark, sums), "logical_key", "left").withColumn("digest", F.sha2("content", 256))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    rows = rows.withColumn("registry", F.try_parse_json(text)).withColumn("kind", kind_of(F.col("registry")))
+    reason = (
+        F.when(F.col("content").isNull(), "cannot be read").when(F.col("expected") != F.col("digest"), "checksum mismatch").when(F.col("registry").isNull(), "invalid JSON").when(~F.col("kind").isin("OBJECT", "ARRAY"), "neither an object nor a list")
+        .when((F.col("kind") == "OBJECT") & ~F.coalesce(text_at(F.col("registry"), "workflow") == F.col("workflow_id"), F.lit(False)), "workflow mismatch")
+    )
+    known = ledger.where("status = 'inserted'").select("workflow_id", "logical_key", "digest").distinct().withColumn("known", F.lit(True))
+    rows = rows.withColumn("reason", reason).join(known, ["workflow_id", "logical_key", "digest"], "left")
+    status = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("known"), "unchanged").otherwise("inserted")
+    kept = F.when(F.col("reason").isNull(), F.col("registry"))
+    return rows.select("workflow_id", "logical_key", "digest", "n_bytes", kept.alias("registry"), F.when(F.col("reason").isNull(), canonical_hash(F.col("registry"))).alias("fingerprint"), (F.col("expected").isNotNull() & F.col("reason").isNull()).alias("verified"), status.alias("status"), "reason")
+
+
+def import_report(outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Outcomes (status) of imports as one row: how many of each status, 0 where there are none, and whether none is conflicting or rejected."""
+    counts = outcomes.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
+    return counts.withColumn("succeeded", (F.col("conflicting") == 0) & (F.col("rejected") == 0))

@@ -89,3 +89,26 @@ def test_review_states(spark, tmp_path):
     assert got["base/one/list"]["state"] is None
     faults = {(r["fault"], r["line"]) for r in reviews.manifest_faults(spark, str(tmp_path / "sums.txt")).collect()}
     assert faults == {("no entry", "nonsense"), ("listed twice", "base/two/twice-review-state.json")}
+
+
+def test_regression_registries(spark, tmp_path):
+    cases = {"a.json": ({"workflow": "w", "runs": [1]}, "w"), "b.json": ([{"run": 1}], "v"), "c.json": ({"workflow": "v"}, "w"), "d.json": ("text", "w"), "e.json": ({"workflow": "w"}, "w"), "in/f.json": ({"workflow": "w", "n": 2}, "w")}
+    digests = {}
+    for name, (value, _) in cases.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(value))
+        digests[name] = hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()
+    (tmp_path / "bad.json").write_text("{")
+    (tmp_path / "sums.txt").write_text(f"{digests['a.json']}  a.json\n{'0' * 64}  e.json\n")
+    ledger = spark.createDataFrame([("w", "in/f.json", digests["in/f.json"], "inserted"), ("v", "b.json", digests["b.json"], "rejected"), ("w", "a.json", "0" * 64, "inserted")], "workflow_id string, logical_key string, digest string, status string")
+    asked = {name: w for name, (_, w) in cases.items()} | {"bad.json": "w", "none.json": "w"}
+    out = reviews.regression_registries(spark, str(tmp_path), str(tmp_path / "sums.txt"), asked, ledger).cache()
+    got = {r["logical_key"]: (r["status"], r["reason"], r["verified"]) for r in out.collect()}
+    assert got == {
+        "a.json": ("inserted", None, True), "b.json": ("inserted", None, False), "c.json": ("rejected", "workflow mismatch", False), "d.json": ("rejected", "neither an object nor a list", False), "e.json": ("rejected", "checksum mismatch", False),
+        "in/f.json": ("unchanged", None, False), "bad.json": ("rejected", "invalid JSON", False), "none.json": ("rejected", "cannot be read", False),
+    }
+    prints = {r["logical_key"]: r["fingerprint"] for r in out.collect()}
+    assert prints["a.json"] == hashlib.sha256(json.dumps(cases["a.json"][0], sort_keys=True, separators=(",", ":")).encode()).hexdigest() and prints["c.json"] is None
+    report = {r["workflow_id"]: r.asDict() for r in reviews.import_report(out, ["workflow_id"]).collect()}
+    assert report["v"] == {"workflow_id": "v", "inserted": 1, "unchanged": 0, "conflicting": 0, "rejected": 0, "succeeded": True} and (report["w"]["rejected"], report["w"]["succeeded"]) == (5, False)
