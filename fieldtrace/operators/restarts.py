@@ -130,9 +130,6 @@ def through_setup(
     return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in intervals.columns], *told)
 
 
-PASSES = ("pass_candidate", "restart_pass_candidate")
-
-
 def receiver_teams(events: DataFrame, labels: DataFrame, keys: Sequence[str], seconds: float, least: int, share: float = 0.6) -> DataFrame:
     """events with local_team: what most labels (track_id, clip_seconds, label; null for those of no team) of the receiver's track say within `seconds` of the completion, at least `least` of them and `share` of all; else null."""
     rows = events.withColumn("event_", F.struct(*events.columns)).where("to_track IS NOT NULL AND completion_seconds IS NOT NULL")
