@@ -176,3 +176,32 @@ def identity_switches(events: DataFrame, labels: DataFrame, keys: Sequence[str],
     start = F.struct(F.array().cast(anchor).alias("anchors"), F.array().cast(made).alias("out"))
     found = listed.select(*keys, F.explode(F.aggregate("all_", start, step, lambda acc: acc["out"])).alias("e")).select(*keys, "e.*")
     return events.drop("event_type", "team").join(found, [*keys, "event_no"]).select(*events.columns, "corrected")
+
+
+def controlled_turnovers(events: DataFrame, players: DataFrame, balls: DataFrame, keys: Sequence[str], heights: float = 0.25, continuity: float = 2.0) -> DataFrame:
+    """Events without turnovers at whose completion only the sender's own team is within so many heights of the ball; the next pass of another team, within `continuity` seconds of such a one, is the retained team's (`retained` tells it).
+
+    events: event_no, event_type, clip_seconds, team, to_track, completion_seconds. The ball's frame is the first within 0.04 s of the completion. Which pass is next depends on what was dropped before, so a clip's events are one fold in the JVM,
+    whose state is a team and a time.
+    """
+    near = players.select(*keys, "source_frame", "team", "x1", "y1", "x2", "y2").join(balls.select(*keys, "source_frame", F.col("x").alias("bx_"), F.col("y").alias("by_")), [*keys, "source_frame"])
+    near = near.where(g.box_distance(F.col("bx_"), F.col("by_"), g.box()) <= heights).groupBy(*keys, "source_frame").agg(F.array_sort(F.collect_set("team")).alias("near_"))
+    seen = balls.select(*keys, "source_frame", F.col("clip_seconds").alias("ball_at_")).join(near, [*keys, "source_frame"], "left").withColumn("near_", F.coalesce("near_", F.array().cast("array<string>")))
+    asked = events.withColumn("from_", F.col("completion_seconds") - 0.04)
+    rows = joins.as_of(asked, seen, keys, "from_", "ball_at_", ["near_"], forward=True, within=0.08)
+    parts = F.struct("clip_seconds", "event_no", "event_type", "team", "to_track", "completion_seconds", "near_")
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(parts)).alias("all_"))
+    kind = "array<struct<event_no:bigint,team:string,retained:boolean>>"
+
+    def step(acc: Column, e: Column) -> Column:
+        again = F.coalesce(acc["team"].isNotNull() & (e["event_type"] == "pass_candidate") & ~e["team"].eqNullSafe(acc["team"]) & (e["clip_seconds"] - acc["at"] <= continuity), F.lit(False))
+        team = F.when(again, acc["team"]).otherwise(e["team"])
+        gone = F.coalesce((e["event_type"] == "turnover_candidate") & e["to_track"].isNotNull() & e["completion_seconds"].isNotNull() & (e["near_"] == F.array(e["team"])), F.lit(False))
+        out = F.concat(acc["out"], F.array(F.struct(e["event_no"].alias("event_no"), team.alias("team"), again.alias("retained")))).cast(kind)
+        kept = F.struct(F.when(~again, acc["team"]).alias("team"), F.when(~again, acc["at"]).alias("at"), out.alias("out"))
+        dropped = F.struct(e["team"].alias("team"), e["completion_seconds"].alias("at"), acc["out"].alias("out"))
+        return F.when(gone, dropped).otherwise(kept)
+
+    start = F.struct(F.lit(None).cast("string").alias("team"), F.lit(None).cast("double").alias("at"), F.array().cast(kind).alias("out"))
+    found = listed.select(*keys, F.explode(F.aggregate("all_", start, step, lambda acc: acc["out"])).alias("e")).select(*keys, "e.*")
+    return events.drop("team").join(found, [*keys, "event_no"]).select(*events.columns, "retained")

@@ -583,3 +583,9 @@ def handoff_free_passes(spark, d):
     first = Window.partitionBy("clip_id", "track_id", "source_frame").orderBy("l_partkey", "l_linenumber")
     boxes = views.players(spark, d).withColumn("k", F.row_number().over(first)).where("k = 1").select("clip_id", "track_id", "source_frame", "clip_seconds", F.when(F.col("track_id") % 5 == 0, "black").otherwise(F.col("team")).alias("team"), "x1", "y1", "x2", "y2")
     return rules.without_handoffs(control_transfers(spark, d), boxes, CLIP, overlap=0.3)
+
+
+@query("controlled_turnovers")
+def controlled_turnovers(spark, d):
+    """Transfers, at whose completion the other team is near enough."""
+    return still.controlled_turnovers(numbered(control_transfers(spark, d)), views.players(spark, d), views.balls(spark, d), CLIP, heights=0.6)

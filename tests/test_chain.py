@@ -238,3 +238,37 @@ def test_handoffs(spark):
     got = sorted((r["clip_seconds"], str(r["completion_seconds"]), r["event_type"], r["from_track"]) for r in rules.without_handoffs(spark.createDataFrame(rows, kind), table, CLIP).collect())
     assert got == sorted((r[1], str(r[2]), r[3], r[5]) for k, r in enumerate(rows) if k not in (0, 3))
     assert 0 < play.handoff_free_passes(spark, DATA).count() <= play.control_transfers(spark, DATA).count()
+
+
+def test_controlled_turnovers(spark):
+    """The clips' own transfers, and made ones where many turnovers have just the sender's team at the ball."""
+    events, boxes, balls = [], [], []
+    for clip in range(10):
+        balls += [(clip, f, f / 25, float(rng.randint(0, 50)), 100.0) for f in range(0, 500) if rng.random() < 0.9]
+        at = {f: x for c, f, _, x, _ in balls if c == clip}
+        boxes += [(clip, f, rng.choice(["red", "red", "black"]), at[f] + dx - 5, 80.0, at[f] + dx + 5, 100.0) for f in at for dx in rng.choices([0.0, 200.0], k=2)]
+        t = 0.0
+        for n in range(25):
+            t += rng.uniform(0.1, 1.2)
+            events.append((clip, n, rng.choice(["turnover_candidate", "turnover_candidate", "pass_candidate"]), round(t, 3), rng.choice(["red", "black", None]), None if rng.random() < 0.1 else 5, None if rng.random() < 0.1 else round(t + 0.3, 3)))
+    e = spark.createDataFrame(events, "clip_id long, event_no long, event_type string, clip_seconds double, team string, to_track long, completion_seconds double").cache()
+    p = spark.createDataFrame(boxes, "clip_id long, source_frame long, team string, x1 double, y1 double, x2 double, y2 double").cache()
+    b = spark.createDataFrame(balls, "clip_id long, source_frame long, clip_seconds double, x double, y double").cache()
+    own, who, where = clips(e), clips(p), clips(b)
+    want = set()
+    for c, rows in own.items():
+        team = at = None
+        for r in sorted(rows, key=lambda r: (r["clip_seconds"], r["event_no"])):
+            mine, again = r["team"], False
+            if team is not None and r["event_type"] == "pass_candidate" and mine != team and r["clip_seconds"] - at <= 2:
+                mine, again, team, at = team, True, None, None
+            ball = next((x for x in sorted(where[c], key=lambda x: x["source_frame"]) if r["completion_seconds"] is not None and 0 <= x["clip_seconds"] - (r["completion_seconds"] - 0.04) <= 0.08), None)
+            if r["event_type"] == "turnover_candidate" and r["to_track"] is not None and ball is not None:
+                near = {x["team"] for x in who[c] if x["source_frame"] == ball["source_frame"] and math.hypot(max(x["x1"] - ball["x"], 0, ball["x"] - x["x2"]), max(x["y1"] - ball["y"], 0, ball["y"] - x["y2"])) / max(1.0, x["y2"] - x["y1"]) <= 0.25}
+                if near == {r["team"]}:
+                    team, at = r["team"], r["completion_seconds"]
+                    continue
+            want.add((c, r["event_no"], mine, again))
+    got = {(r["clip_id"], r["event_no"], r["team"], r["retained"]) for r in restarts.controlled_turnovers(e, p, b, CLIP).collect()}
+    assert got == want and sum(w[3] for w in want) > 3 and len(want) < len(events) - 10
+    assert 0 < play.controlled_turnovers(spark, DATA).count() <= play.control_transfers(spark, DATA).count()
