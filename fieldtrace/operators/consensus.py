@@ -19,7 +19,7 @@ GROUPS = "array<struct<sx:double,sy:double,w:double,score:double,members:array<s
 
 
 def grouped(detections: DataFrame, keys: Sequence[str], radius: Column, weighted: bool, rank: Callable[[Column], list[Column]], valid: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(keys, no) of the detections (no, variant, x, y, score) of the best group: in order of score, each joins the first group whose centre is within the radius, or starts one; rank orders groups, the first of equal ones counts.
+    """(keys, nos_): the numbers of the detections (no, variant, x, y, score) of the best group: in order of score, each joins the first group whose centre is within the radius, or starts one; rank orders groups, the first of equal ones counts.
 
     A group's centre moves with each member, so that a frame's detections, which are few, are one fold in the JVM.
     """
@@ -33,13 +33,19 @@ def grouped(detections: DataFrame, keys: Sequence[str], radius: Column, weighted
         me = F.struct(d["no"].alias("no"), d["variant"].alias("variant"), d["x"].alias("x"), d["y"].alias("y"), d["score"].alias("score"))
         new = F.struct((d["x"] * w).alias("sx"), (d["y"] * w).alias("sy"), w.alias("w"), d["score"].alias("score"), F.array(me).alias("members"))
         more = lambda p: F.struct((p["sx"] + d["x"] * w).alias("sx"), (p["sy"] + d["y"] * w).alias("sy"), (p["w"] + w).alias("w"), (p["score"] + d["score"]).alias("score"), F.concat(p["members"], F.array(me)).alias("members"))
-        return F.when(place == 0, F.concat(acc, F.array(new)).cast(GROUPS)).otherwise(F.transform(acc, lambda p, k: F.when(k + 1 == place, more(p)).otherwise(p)).cast(GROUPS))
+        grown = lambda place: F.when(place == 0, F.concat(acc, F.array(new)).cast(GROUPS)).otherwise(F.transform(acc, lambda p, k: F.when(k + 1 == place, more(p)).otherwise(p)).cast(GROUPS))
+        return F.element_at(F.transform(F.array(place), grown), 1)  # the place is looked for once, not for each group
 
     made = listed.withColumn("groups_", F.aggregate("all_", F.array().cast(GROUPS), step))
     if valid is not None:
         made = made.withColumn("groups_", F.filter("groups_", valid))
     ranked = F.transform("groups_", lambda p, k: F.struct(*[c.alias(f"r{n}") for n, c in enumerate(rank(p))], (-k).alias("k"), p["members"].alias("members")))
-    return made.withColumn("best_", F.array_max(ranked)).select(*keys, F.explode("best_.members").alias("m")).select(*keys, "m.no")
+    return made.withColumn("best_", F.array_max(ranked)).select(*keys, F.transform("best_.members", lambda m: m["no"]).alias("nos_")).where("nos_ IS NOT NULL")
+
+
+def of_groups(detections: DataFrame, kept: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Detections of the groups kept. Estimates of exploded rows are too small for Spark to choose a broadcast by, so that the join is told to shuffle; the groups already lie by their keys."""
+    return detections.join(kept.hint("merge"), list(keys)).where(F.array_contains("nos_", F.col("no"))).drop("nos_")
 
 
 def variants_of(group: Column) -> Column:
@@ -51,16 +57,16 @@ def variant_consensus(detections: DataFrame, keys: Sequence[str]) -> DataFrame:
     more variants, then with more score. Expected place and diameter belong to the keys."""
     near = g.distance(F.col("x"), F.col("y"), F.col("expected_x"), F.col("expected_y")) <= F.col("diameter") * REACH
     rows = detections.where((F.col("diameter") > 0) & near)
-    at = rows.groupBy(*keys).agg(F.first("expected_x").alias("ex_"), F.first("expected_y").alias("ey_"))
-    moved = rows.join(at, list(keys)).withColumns({"x": F.col("x") - F.col("ex_"), "y": F.col("y") - F.col("ey_")})  # so that the expected place is 0, 0 within a fold
+    moved = rows.withColumns({"x": F.col("x") - F.col("expected_x"), "y": F.col("y") - F.col("expected_y")})  # so that the expected place is 0, 0 within a fold
     away = lambda p: -F.sqrt(p["sx"] * p["sx"] + p["sy"] * p["sy"]) / p["w"]
     kept = grouped(moved, keys, F.col("diameter") * RADIUS, False, lambda p: [away(p), variants_of(p), p["score"]], lambda p: variants_of(p) >= VARIANTS)
-    return detections.join(kept, [*keys, "no"])
+    return of_groups(detections, kept, keys)
 
 
 def weighted_consensus(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Matches (no, x, y, score, radius) of the largest group around a mean weighted by score, then of that with more score."""
-    return matches.join(grouped(matches.withColumn("variant", F.lit(None).cast("string")), keys, F.col("radius"), True, lambda p: [F.size(p["members"]), p["score"]]), [*keys, "no"])
+    kept = grouped(matches.withColumn("variant", F.lit(None).cast("string")), keys, F.col("radius"), True, lambda p: [F.size(p["members"]), p["score"]])
+    return of_groups(matches, kept, keys)
 
 
 def predicted_places(points: DataFrame, trusted: DataFrame, keys: Sequence[str], step: int, most: int = SAMPLES) -> DataFrame:
