@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fieldtrace.functions import geometry as g
 from fieldtrace.operators import joins
@@ -82,20 +85,39 @@ def near_ball_teams(players: DataFrame, balls: DataFrame, keys: Sequence[str], h
 
 def causal_labels(points: DataFrame, keys: Sequence[str], size: int = 7) -> DataFrame:
     """At each point of a track the label most common among its last `size` known ones; the label before it stays while it is one of the most
-    common, else the one of them seen last; "unknown" before the first. The state is so small that the track is folded in the JVM."""
-    listed = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("source_frame", "label"))).alias("all_"))
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit("unknown").alias("now"), F.array().cast("array<struct<source_frame:bigint,label:string>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        seen = F.when(p["label"] == "unknown", acc["seen"]).otherwise(F.slice(F.concat(acc["seen"], F.array(p["label"])), -size, size))
-        seen = F.when((p["label"] != "unknown") & (F.size(acc["seen"]) < size), F.concat(acc["seen"], F.array(p["label"]))).otherwise(seen)
-        count = lambda s: lambda t: F.size(F.filter(s, lambda u: u == t))
-        most = F.array_max(F.transform(seen, count(seen)))
-        leaders = F.filter(seen, lambda t: count(seen)(t) == most)
-        now = F.when((F.size(seen) == 0) | F.array_contains(leaders, acc["now"]), acc["now"]).otherwise(F.element_at(leaders, -1))
-        return F.struct(seen.alias("seen"), now.alias("now"), F.concat(acc["out"], F.array(F.struct(p["source_frame"].alias("source_frame"), now.alias("label")))).alias("out"))
-
-    return listed.select(*keys, F.explode(F.aggregate("all_", start, step, lambda acc: acc["out"])).alias("p")).select(*keys, "p.source_frame", F.col("p.label").alias("stable_label"))
+    common, else the one of them seen last; "unknown" before the first. keys end with the track's.
+
+    A label depends on the one before, so that the tracks of a clip are a loop over its points; what follows from one state, of which there are few, is worked out once.
+    """
+    kinds = {f.name: f for f in points.schema}
+    schema = StructType([*[kinds[k] for k in (*keys, "source_frame")], StructField("stable_label", StringType())])
+    fields = [*keys, "source_frame"]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*fields, "label"], kind="stable", na_position="first").reset_index(drop=True)
+        track = pdf.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy()
+        after: dict[tuple, str] = {}
+        at, out = -1, []
+        for t, label in zip(track.tolist(), pdf["label"].tolist(), strict=True):
+            if t != at:
+                at, seen, now = t, (), "unknown"
+            if label != "unknown":
+                seen = (*seen, label)[-size:]
+            if seen:
+                if (seen, now) not in after:
+                    after[seen, now] = leading(seen, now)
+                now = after[seen, now]
+            out.append(now)
+        return pdf[fields].assign(stable_label=pd.Series(out, dtype=object))
+
+    return points.select(*fields, "label").groupBy(*(keys[:-1] or keys)).applyInPandas(fold, schema)
+
+
+def leading(seen: Sequence[str], now: str) -> str:
+    """The label after those seen: the one before, if none is more common, else the last of the most common."""
+    count = collections.Counter(seen)
+    most = max(count.values())
+    return now if count[now] == most else next(s for s in reversed(seen) if count[s] == most)
 
 
 def by_region(tracks: DataFrame, regions: DataFrame) -> DataFrame:
