@@ -273,10 +273,11 @@ def gaps(points: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
 
 
 def in_gaps(candidates: DataFrame, found: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    """Candidates between the ends of a gap. Gaps stand in each bucket of `width` frames that they touch."""
+    """Candidates between the ends of a gap. Gaps stand in each bucket of `width` frames that they touch. Spark's estimates don't tell exploded rows, of which
+    candidates are made, so that neither side is left to be broadcast."""
     start, end = F.col("a.source_frame"), F.col("b.source_frame")
     near = found.withColumn("bucket_", F.explode(F.sequence(F.floor(start / width), F.floor(end / width))))
-    rows = candidates.withColumn("bucket_", F.floor(F.col("source_frame") / width)).join(near, [*keys, "bucket_"])
+    rows = candidates.withColumn("bucket_", F.floor(F.col("source_frame") / width)).join(near.hint("merge"), [*keys, "bucket_"])
     return rows.where((F.col("source_frame") > start) & (F.col("source_frame") < end)).drop("bucket_")
 
 
@@ -300,9 +301,10 @@ def bridged(candidates: DataFrame, found: DataFrame, keys: Sequence[str], step:
     plausible path with the best sum of scores, less a cost for each change of mode, if no other comes near.
 
     Whether a path may go on depends on its last two candidates, so that the two best paths to each such pair are enough, whatever the number of samples: all combinations are judged
-    without being listed. A gap is a group of at most `rule.options` candidates a frame, and gaps run in parallel.
+    without being listed. A clip is a group whose gaps have at most `rule.options` candidates a frame; gaps with too few missing samples don't meet candidates at all.
     """
-    short = found.where(F.col("b.source_frame") - F.col("a.source_frame") <= rule.most_frames)
+    span = F.col("b.source_frame") - F.col("a.source_frame")
+    short = found.where((span <= rule.most_frames) & (F.ceil(span / step) - 1 >= rule.least_points))
     rows = in_gaps(candidates.where(F.col("score") >= rule.least_score), short, keys, rule.most_frames)
     rows = rows.where((F.col("source_frame") - F.col("a.source_frame")) % step == 0).withColumn("worth_", F.col("score") + rule.attention * F.col("attention"))
     rows = rows.select(*keys, "gap_no", "source_frame", "candidate_no", "x", "y", "mode", "worth_", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("source_frame", "x", "y", "box_diagonal")])
@@ -310,50 +312,65 @@ def bridged(candidates: DataFrame, found: DataFrame, keys: Sequence[str], step:
     schema = StructType([*[kinds[k] for k in keys], kinds["gap_no"], kinds["source_frame"], kinds["candidate_no"], StructField("x", DoubleType()), StructField("y", DoubleType()), StructField("path_score", DoubleType())])
 
     def bridge(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        path = best_bridge(pdf, step, fps, speed, acceleration, rule)
-        if path is None:
-            return pd.DataFrame(columns=schema.names)
-        score, chosen = path
-        return pdf.loc[chosen, ["source_frame", "candidate_no", "x", "y"]].assign(**{k: head[k] for k in (*keys, "gap_no")}, path_score=score)[schema.names]
+        pdf = pdf.assign(less_=-pdf["worth_"]).sort_values(["gap_no", "source_frame", "less_", "candidate_no"], kind="stable").reset_index(drop=True)
+        out, scores = [], []
+        for gap in portions(pdf["gap_no"].to_numpy()):
+            path = best_bridge(pdf, gap, step, fps, speed, acceleration, rule)
+            if path is not None:
+                out += path[1]
+                scores += [path[0]] * len(path[1])
+        return pdf.loc[out].assign(path_score=np.array(scores, float))[schema.names]
 
-    return rows.groupBy(*keys, "gap_no").applyInPandas(bridge, schema)
+    return rows.groupBy(*keys).applyInPandas(bridge, schema)
 
 
-def best_bridge(pdf: pd.DataFrame, step: int, fps: float, speed: float, acceleration: float, rule: Bridge) -> tuple[float, list] | None:
-    """Score and rows of the winning path of one gap."""
-    head = pdf.iloc[0]
+def portions(numbers: np.ndarray) -> list[slice]:
+    """Where equal numbers stand, in a sorted array."""
+    cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+    return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+
+
+def best_bridge(pdf: pd.DataFrame, gap: slice, step: int, fps: float, speed: float, acceleration: float, rule: Bridge) -> tuple[float, list] | None:
+    """Score and rows of the winning path of one gap, whose candidates stand in pdf by frame and falling worth."""
+    head = {c: pdf[c].iat[gap.start] for c in ("a_source_frame", "a_x", "a_y", "a_box_diagonal", "b_source_frame", "b_x", "b_y", "b_box_diagonal")}
     missing = np.arange(head["a_source_frame"] + step, head["b_source_frame"], step)
     if len(missing) < rule.least_points:
         return None
     sizes = [d for d in (head["a_box_diagonal"], head["b_box_diagonal"]) if d > 0]
     apart = rule.apart * (float(np.median(sizes)) if sizes else 1.0)
+    frames, places = pdf["source_frame"].to_numpy()[gap], np.stack([pdf[c].to_numpy(float)[gap] for c in "xy"], axis=1)
+    modes, worth = pdf["mode"].to_numpy()[gap], pdf["worth_"].to_numpy(float)[gap]
     layers = [[(None, np.array([head["a_x"], head["a_y"]]), None, 0.0)]]
-    for frame in missing:
-        own = pdf[pdf["source_frame"] == frame].sort_values(["worth_", "candidate_no"], ascending=[False, True], kind="stable")
+    for first, end in zip(np.searchsorted(frames, missing, "left"), np.searchsorted(frames, missing, "right"), strict=True):
         kept: list = []
-        for k, r in own.iterrows():
-            xy = np.array([r["x"], r["y"]], float)
-            if len(kept) < rule.options and all(np.hypot(*(xy - other[1])) > apart for other in kept):
-                kept.append((k, xy, r["mode"], r["worth_"]))
+        for k in range(first, end):
+            if len(kept) == rule.options:
+                break
+            if all(np.hypot(*(places[k] - other[1])) > apart for other in kept):
+                kept.append((gap.start + k, places[k], modes[k], worth[k]))
         if not kept:
             return None
         layers.append(kept)
     layers.append([(None, np.array([head["b_x"], head["b_y"]]), None, 0.0)])
-    took = step / fps
-    last = (head["b_source_frame"] - missing[-1]) / fps
-    times = [took] * len(missing) + [last]
+    times = [step / fps] * len(missing) + [(head["b_source_frame"] - missing[-1]) / fps]
+    xy = [np.array([n[1] for n in layer]) for layer in layers]
     # The two best paths (score, rows) to each pair of the last two nodes; the first pair has no velocity before it.
     states: dict[tuple[int, int], list] = {(-1, 0): [(0.0, ())]}
+    before = None
     for depth in range(1, len(layers)):
         t, grown = times[depth - 1], {}
+        v = (xy[depth][None] - xy[depth - 1][:, None]) / t
+        slow = np.hypot(v[..., 0], v[..., 1]) <= speed
+        if before is None:
+            may = slow[None]
+        else:
+            turn = v[None] - before[:, :, None]
+            may = slow[None] & ~(np.hypot(turn[..., 0], turn[..., 1]) / ((times[depth - 2] + t) / 2) > acceleration)
+        before = v
         for (i, j), paths in states.items():
             here = layers[depth - 1][j]
-            came = None if depth == 1 else (here[1] - layers[depth - 2][i][1]) / times[depth - 2]
-            for k, node in enumerate(layers[depth]):
-                v = (node[1] - here[1]) / t
-                if np.hypot(*v) > speed or came is not None and np.hypot(*(v - came)) / ((times[depth - 2] + t) / 2) > acceleration:
-                    continue
+            for k in np.flatnonzero(may[max(i, 0), j]).tolist():
+                node = layers[depth][k]
                 cost = rule.switch if 1 < depth < len(layers) - 1 and node[2] != here[2] else 0.0
                 grown.setdefault((j, k), []).extend((s + node[3] - cost, (*rows, node[0])) for s, rows in paths)
         states = {pair: sorted(paths, key=lambda p: -p[0])[:2] for pair, paths in grown.items()}
@@ -388,15 +405,27 @@ class Beam:
 
 
 class Paths:
-    """The paths in use, as arrays: their last candidate, its velocity (NaN at first) and the score; what came before is a chain of parents."""
+    """The paths in use, as arrays: the number of their last node, its candidate, velocity (NaN at first) and score, their first candidate and length; what came before is a chain of parents."""
 
-    def __init__(self) -> None:
-        self.node, self.score, self.velocity = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 2))
+    FIELDS = ("node", "last", "first", "length", "score", "velocity")
+
+    def __init__(self, node: np.ndarray, last: np.ndarray, first: np.ndarray, length: np.ndarray, score: np.ndarray, velocity: np.ndarray) -> None:
+        self.node, self.last, self.first, self.length, self.score, self.velocity = node, last, first, length, score, velocity
 
     def of(self, at: np.ndarray) -> Paths:
-        out = Paths()
-        out.node, out.score, out.velocity = self.node[at], self.score[at], self.velocity[at]
-        return out
+        return Paths(*(getattr(self, c)[at] for c in self.FIELDS))
+
+
+def distinct_rows(cells: np.ndarray) -> np.ndarray:
+    """Places of the first of equal rows of integers, in order; rows are numbers of mixed radix where 62 bits hold them."""
+    low = cells.min(axis=0)
+    wide = [int(n) + 1 for n in cells.max(axis=0) - low]
+    if np.prod([float(n) for n in wide]) >= 2**62:
+        return np.sort(np.unique(cells, axis=0, return_index=True)[1])
+    code = np.zeros(len(cells), np.int64)
+    for c, n in enumerate(wide):
+        code = code * n + (cells[:, c] - low[c])
+    return np.sort(np.unique(code, return_index=True)[1])
 
 
 def beam(frames: np.ndarray, xy: np.ndarray, visual: np.ndarray, prior: tuple[np.ndarray, np.ndarray, np.ndarray], seed: np.ndarray, seed_frame: int, fps: float, diameter: float, speed: float, rule: Beam) -> tuple[list[list[int]], np.ndarray]:
@@ -405,20 +434,21 @@ def beam(frames: np.ndarray, xy: np.ndarray, visual: np.ndarray, prior: tuple[np
     launched = np.hypot(*(xy - seed).T)
     off = np.hypot(*(xy - expected).T)
     starts = (frames <= seed_frame + round(rule.wait * fps)) & (launched >= rule.launch * diameter) & (off <= radius) & (launched <= speed * elapsed)
-    candidate, parent = [int(k) for k in np.flatnonzero(starts)], [-1] * int(starts.sum())
-    use = Paths()
-    use.node = np.arange(len(candidate))
-    use.score = visual[starts] - 0.03 * (frames[starts] - seed_frame - 1) - off[starts] / np.maximum(1.0, radius[starts])
-    use.velocity = np.full((len(candidate), 2), np.nan)
-    done = Paths()
+    begun = np.flatnonzero(starts)
+    candidate, parent, nodes = [begun], [np.full(len(begun), -1)], len(begun)
+    score = visual[starts] - 0.03 * (frames[starts] - seed_frame - 1) - off[starts] / np.maximum(1.0, radius[starts])
+    use = Paths(np.arange(nodes), begun, begun, np.ones(nodes, np.int64), score, np.full((nodes, 2), np.nan))
+    done = [use.of(begun[:0])]
     longest = max(1, round(rule.pause * fps))
     for frame in np.unique(frames):
-        own = np.flatnonzero(frames == frame)
-        last = np.array(candidate, np.int64)[use.node]
-        gap = frame - frames[last]
+        gap = frame - frames[use.last]
         over = gap > longest
-        done = joined(done, use.of(over))
-        use, last, gap = use.of(~over), last[~over], gap[~over]
+        if over.any():
+            done.append(use.of(over))
+            use, gap = use.of(~over), gap[~over]
+        if not len(use.node):
+            break  # no path starts later
+        own, last = np.arange(np.searchsorted(frames, frame, "left"), np.searchsorted(frames, frame, "right")), use.last
         # Every path stays as it is, too; candidates follow those paths whose last one is earlier.
         to = xy[own][None] - xy[last][:, None]
         far, wide = np.hypot(to[..., 0], to[..., 1]), np.maximum(gap, 1)[:, None]
@@ -431,44 +461,41 @@ def beam(frames: np.ndarray, xy: np.ndarray, visual: np.ndarray, prior: tuple[np
         may = (gap > 0)[:, None] & (far <= reach) & ~(known & ((change > rule.acceleration / fps**2) | back))
         score = use.score[:, None] + visual[own][None] - 0.8 * far / np.maximum(1.0, reach) - 0.25 * (wide - 1)
         i, k = np.nonzero(may)
-        first = len(candidate)
-        candidate += [int(c) for c in own[k]]
-        parent += [int(n) for n in use.node[i]]
-        grown = Paths()
-        grown.node, grown.score, grown.velocity = first + np.arange(len(i)), score[i, k], v[i, k]
+        candidate.append(own[k])
+        parent.append(use.node[i])
+        grown = Paths(nodes + np.arange(len(i)), own[k], use.first[i], use.length[i] + 1, score[i, k], v[i, k])
+        nodes += len(i)
         # A path stands before those that it grew into, where scores are equal.
         place = np.concatenate([np.arange(len(use.node)) * (len(own) + 1.0), i * (len(own) + 1.0) + 1 + k])
         every = joined(use, grown)
-        last = np.array(candidate, np.int64)[every.node]
-        cells = np.stack([frames[last], *np.round(xy[last] / rule.cell).T, *np.round(np.nan_to_num(every.velocity) / rule.cell).T], axis=1).astype(np.int64)
+        cells = np.stack([frames[every.last], *np.round(xy[every.last] / rule.cell).T, *np.round(np.nan_to_num(every.velocity) / rule.cell).T], axis=1).astype(np.int64)
         order = np.lexsort((place, -every.score))
-        different = np.sort(np.unique(cells[order], axis=0, return_index=True)[1])[: rule.paths]
-        use = every.of(order[different])
-    done = joined(done, use)
+        use = every.of(order[distinct_rows(cells[order])[: rule.paths]])
+    ended = joined(*done, use)
+    candidate, parent = np.concatenate(candidate), np.concatenate(parent)
 
     def chain(node: int) -> list[int]:
         out = []
         while node >= 0:
-            out.append(candidate[node])
-            node = parent[node]
+            out.append(int(candidate[node]))
+            node = int(parent[node])
         return out[::-1]
 
     least = max(3, round(rule.flight * fps))
-    whole = [(chain(int(n)), s) for n, s in zip(done.node, done.score, strict=True)]
-    whole = [(p, s) for p, s in whole if len(p) >= least and (took := frames[p[-1]] - frames[p[0]]) >= least - 1 and np.hypot(*(xy[p[-1]] - xy[p[0]])) / (took / fps) >= diameter * rule.progress]
-    if not whole:
+    took = frames[ended.last] - frames[ended.first]
+    far = np.hypot(*(xy[ended.last] - xy[ended.first]).T)
+    whole = ended.of((ended.length >= least) & (took >= least - 1) & (far / (np.maximum(took, 1) / fps) >= diameter * rule.progress))
+    if not len(whole.node):
         return [], np.zeros(0)
-    latest = max(frames[p[-1]] for p, _ in whole)
-    mean = [(p, s / len(p)) for p, s in whole if frames[p[-1]] == latest]
-    best = max(s for _, s in mean)
-    near = sorted((x for x in mean if x[1] >= best - rule.near), key=lambda x: -x[1])[: rule.judges]
-    return [p for p, _ in near], np.array([s for _, s in near])
+    whole = whole.of(frames[whole.last] == frames[whole.last].max())
+    mean = whole.score / whole.length
+    near = np.flatnonzero(mean >= mean.max() - rule.near)
+    near = near[np.argsort(-mean[near], kind="stable")][: rule.judges]
+    return [chain(int(n)) for n in whole.node[near]], mean[near]
 
 
-def joined(a: Paths, b: Paths) -> Paths:
-    out = Paths()
-    out.node, out.score, out.velocity = np.concatenate([a.node, b.node]), np.concatenate([a.score, b.score]), np.concatenate([a.velocity, b.velocity])
-    return out
+def joined(*some: Paths) -> Paths:
+    return Paths(*(np.concatenate([getattr(p, c) for p in some]) for c in Paths.FIELDS))
 
 
 def search_prior(history: np.ndarray, frames: np.ndarray, fps: float, diameter: float, speed: float, rule: Beam) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -489,7 +516,7 @@ def beam_consensus(candidates: DataFrame, points: DataFrame, keys: Sequence[str]
     all score near the best agree on a place.
 
     Paths start near where the last points lead and grow frame by frame within limits of speed, acceleration and reversal; the best 400 in different cells go on. Of those that last longest
-    the mean scores near the best count, and a sampled frame is published only where all of them have a candidate within a radius. Gaps are groups of their own, with their
+    the mean scores near the best count, and a sampled frame is published only where all of them have a candidate within a radius. A clip is a group, its gaps each with their
     candidates and the points of the last 0.8 seconds before them; paths of a gap are arrays of numpy.
     """
     found = gaps(points, keys, step)
@@ -504,27 +531,30 @@ def beam_consensus(candidates: DataFrame, points: DataFrame, keys: Sequence[str]
 
     def agree(both: pd.DataFrame) -> pd.DataFrame:
         old = both["at_"].notna()
-        pdf, history = both[~old], both[old]
-        if not len(pdf):
-            return pd.DataFrame(columns=schema.names)
-        pdf = pdf.sort_values(["source_frame", "x", "y"], kind="stable").reset_index(drop=True)
-        history = history.sort_values("at_")[["at_", "px_", "py_"]].to_numpy(float)
-        frames, xy, visual = pdf["source_frame"].to_numpy(np.int64), pdf[["x", "y"]].to_numpy(float), pdf["visual_score"].to_numpy(float)
-        diameter = max(1.0, float(pdf["size_"].iloc[0]))
-        prior = search_prior(history, frames, fps, diameter, speed, rule)
-        paths, means = beam(frames, xy, visual, prior, history[-1, 1:], int(history[-1, 0]), fps, diameter, speed, rule)
-        rows = []
-        by_frame = [{int(frames[k]): k for k in p} for p in paths]
-        for frame in sorted(set.intersection(*map(set, by_frame))) if by_frame else ():
-            own = [p[frame] for p in by_frame]
-            if frame % step or visual[own[0]] < rule.visual or (np.hypot(*(xy[own] - xy[own[0]]).T) > rule.agree * diameter).any():
-                continue
-            k = own[0]
-            rows.append((frame, *xy[k], round(visual[k], 6), float(np.hypot(pdf["width"][k], pdf["height"][k])), round(float(means.max()), 6)))
-        out = pd.DataFrame(rows, columns=schema.names[len(keys) + 1 :])
-        return out.assign(**{k: pdf[k].iloc[0] for k in (*keys, "gap_no")})[schema.names]
-
-    return asked.unionByName(past, allowMissingColumns=True).groupBy(*keys, "gap_no").applyInPandas(agree, schema)
+        pdf = both[~old].sort_values(["gap_no", "source_frame", "x", "y"], kind="stable").reset_index(drop=True)
+        past = both[old].sort_values(["gap_no", "at_"], kind="stable")
+        ends = past["gap_no"].to_numpy()
+        past = past[["at_", "px_", "py_"]].to_numpy(float)
+        numbers, everywhere, place = pdf["gap_no"].to_numpy(), pdf["source_frame"].to_numpy(np.int64), pdf[["x", "y"]].to_numpy(float)
+        score, size, box = pdf["visual_score"].to_numpy(float), pdf["size_"].to_numpy(float), np.hypot(pdf["width"].to_numpy(float), pdf["height"].to_numpy(float))
+        at, rows = [], []
+        for gap in portions(numbers):
+            history = past[np.searchsorted(ends, numbers[gap.start], "left") : np.searchsorted(ends, numbers[gap.start], "right")]
+            frames, xy, visual, diameter = everywhere[gap], place[gap], score[gap], max(1.0, float(size[gap.start]))
+            prior = search_prior(history, frames, fps, diameter, speed, rule)
+            paths, means = beam(frames, xy, visual, prior, history[-1, 1:], int(history[-1, 0]), fps, diameter, speed, rule)
+            by_frame = [{int(frames[k]): k for k in p} for p in paths]
+            for frame in sorted(set.intersection(*map(set, by_frame))) if by_frame else ():
+                own = [p[frame] for p in by_frame]
+                k = own[0]
+                if frame % step or visual[k] < rule.visual or (np.hypot(*(xy[own] - xy[k]).T) > rule.agree * diameter).any():
+                    continue
+                at.append(gap.start + k)
+                rows.append((*xy[k], round(visual[k], 6), float(box[gap][k]), round(float(means.max()), 6)))
+        out = pdf.loc[at, [*keys, "gap_no", "source_frame"]].reset_index(drop=True)
+        return pd.concat([out, pd.DataFrame(rows, columns=schema.names[len(keys) + 2 :], dtype=float)], axis=1)[schema.names]
+
+    return asked.unionByName(past, allowMissingColumns=True).groupBy(*keys).applyInPandas(agree, schema)
 
 
 #: Fixed values of direction cones: half angle in degrees, reach in player heights and pixels; by how many cones and how much score a candidate must lead.

@@ -15,3 +15,21 @@ def test_exploded_rows_are_not_broadcast(spark, name):
     """Fifteen rows an event, whose size Spark estimates as that of the event: the driver ran out of memory."""
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_candidates_are_not_broadcast(spark):
+    plan = catalog.QUERIES["short_bridges"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_gaps_of_a_clip_are_one_group(spark):
+    """A group a gap cost more than its paths."""
+    for name in ("short_bridges", "beam_consensus"):
+        plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroupsInPandas [clip_id" in plan and not any("gap_no" in x.split("],")[0] for x in plan.splitlines() if "FlatMapGroupsInPandas" in x)
+
+
+def test_labels_of_a_clip_are_one_loop(spark):
+    """The fold in the JVM evaluated its nested conditions anew for each use."""
+    plan = catalog.QUERIES["causal_labels"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
