@@ -1,9 +1,10 @@
-"""Tables that several later steps read: computed once, and kept where a lost executor cannot take them."""
+"""Tables that several later steps read: computed once, and kept where a lost executor cannot take them; and how work is dealt to tasks."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,12 @@ def once(df: DataFrame) -> DataFrame:
     """df, computed now and read from its checkpoint by all that follows; a plan that uses it twice does not compute it twice."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df, dealt by its keys to as many tasks as there are shuffle partitions, or cores if these are more.
+
+    Spark joins partitions of few bytes to one task, however long each row takes there and however much it grows in sorts and lists; where the number is given, it does not.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
+from fieldtrace.functions.storage import spread
 from fieldtrace.operators import joins
 from fieldtrace.operators.tracks import ordered
 
@@ -195,54 +196,66 @@ def associated(points: DataFrame, keys: Sequence[str], pause: float, speed: floa
     """I2 (and, with heights and overlap 0 and least 35, I3): boxes of frames as tracks. A track goes on where its velocity takes its foot; boxes within a gate (least, or `heights` of
     its height and what `speed` allows) are taken in order of distance over the gate (plain distance if heights is 0) less `overlap` times the IoU; others start tracks; a track ends after `pause` seconds unseen.
 
-    The tracks in use depend on all frames before, so that each clip is one group, frames in order; a frame's pairs are matrices of numpy. The order of
-    a frame's boxes is that of point_no. Clips are bounded and run in parallel.
+    The tracks in use depend on all frames before, so that each clip is one group, frames in order; a frame's pairs are a matrix of numpy, of which those within their gates go on. The order of
+    a frame's boxes is that of point_no, then of their corners. Clips are bounded and run in parallel.
     """
 
     fields = points.columns
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["source_frame", "point_no"], kind="stable").reset_index(drop=True)
-        box = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        foot = np.stack([(box[:, 0] + box[:, 2]) / 2, box[:, 3]], axis=1)
-        seconds = pdf["clip_seconds"].to_numpy(float)
-        track = np.zeros(len(pdf), np.int64)
-        last, before = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each track in use: its last two points
-        number, made = np.zeros(0, np.int64), 0
-        cuts = np.flatnonzero(np.diff(pdf["source_frame"].to_numpy(), prepend=-1, append=-1))
+        pdf = pdf.iloc[np.lexsort([pdf[c].to_numpy() for c in ("y2", "x2", "y1", "x1", "point_no", "source_frame")])].reset_index(drop=True)
+        x1, y1, x2, y2 = (pdf[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
+        seconds, area = pdf["clip_seconds"].to_numpy(float), np.maximum(0, x2 - x1) * np.maximum(0, y2 - y1)
+        here = np.stack([(x1 + x2) / 2, y2], axis=1)
+        # Of each point as the last one of its track: foot, velocity, seconds and share of the gate. A track is a row that its next point replaces.
+        state = np.column_stack([here, np.zeros((len(pdf), 2)), seconds, np.maximum(1.0, y2 - y1) * heights])
+        boxes, times = list(zip(x1.tolist(), y1.tolist(), x2.tolist(), y2.tolist(), area.tolist(), strict=True)), seconds.tolist()
+        track, last, now, made = [0] * len(pdf), [], state[:0], 0
+        cuts = np.flatnonzero(np.diff(pdf["source_frame"].to_numpy(), prepend=-1, append=-1)).tolist()
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            now, own = seconds[lo], np.arange(lo, hi)
-            alive = now - seconds[last] <= pause
-            last, before, number = last[alive], before[alive], number[alive]
-            took = now - seconds[last]
-            step = np.where(before >= 0, seconds[last] - seconds[np.maximum(before, 0)], 0.0)
-            speed_ = np.where((step > 0)[:, None], (foot[last] - foot[np.maximum(before, 0)]) / np.where(step > 0, step, 1.0)[:, None], 0.0)
-            expected = foot[last] + speed_ * took[:, None]
-            gate = np.maximum(least, np.maximum(1.0, box[last, 3] - box[last, 1]) * heights + speed * took)
-            far = np.hypot(*(foot[own][None] - expected[:, None]).transpose(2, 0, 1))
-            cost = far / gate[:, None] if heights else far
-            if overlap:
-                a, b = box[last][:, None], box[own][None]
-                both = np.maximum(0, np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2])).prod(axis=-1)
-                area = lambda x: np.maximum(0, x[..., 2:] - x[..., :2]).prod(axis=-1)
-                union = area(a) + area(b) - both
-                cost = cost - overlap * np.divide(both, union, out=np.zeros_like(both), where=union > 0)
-            rows, columns = np.nonzero(far <= gate[:, None])
-            free_track, free_point = np.ones(len(last), bool), np.ones(len(own), bool)
-            for k in np.lexsort((columns, rows, cost[rows, columns])):
-                i, j = rows[k], columns[k]
-                if free_track[i] and free_point[j]:
-                    free_track[i] = free_point[j] = False
-                    track[own[j]] = number[i]
-                    before[i], last[i] = last[i], own[j]
-            new = own[free_point]
-            track[new] = made + 1 + np.arange(len(new))
-            last, before, number = np.append(last, new), np.append(before, np.full(len(new), -1)), np.append(number, track[new])
-            made += len(new)
+            took = times[lo] - now[:, 4]
+            found = {}
+            if len(last):
+                expected = now[:, :2] + now[:, 2:4] * took[:, None]
+                gate = np.maximum(least, now[:, 5] + speed * took)
+                apart = here[lo:hi] - expected[:, None]
+                far = np.hypot(apart[..., 0], apart[..., 1])
+                fits = far <= gate[:, None]
+                rows, columns = fits.nonzero()
+                # Only pairs within their gates are looked at further; they come by track and point, so that ties stay in that order.
+                cost = (far / gate[:, None] if heights else far)[fits].tolist()
+                pairs = []
+                for c, i, j in zip(cost, rows.tolist(), columns.tolist(), strict=True):
+                    if overlap:
+                        a, b = boxes[last[i]], boxes[lo + j]
+                        wide, tall = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+                        both = wide * tall if wide > 0 and tall > 0 else 0.0
+                        union = a[4] + b[4] - both
+                        c -= overlap * (both / union if union > 0 else 0.0)
+                    pairs.append((c, i, j))
+                taken = set()
+                for _, i, j in sorted(pairs):
+                    if i not in taken and j not in found:
+                        taken.add(i)
+                        found[j] = i
+            for j, i in found.items():
+                p, q = lo + j, last[i]
+                step = times[p] - times[q]
+                track[p], last[i] = track[q], p
+                if step > 0:
+                    state[p, 2:4] = (here[p] - here[q]) / step
+            for p in range(lo, hi):
+                if p - lo not in found:
+                    made += 1
+                    track[p] = made
+                    last.append(p)
+            if hi < len(track):
+                last = [p for p in last if times[hi] - times[p] <= pause]
+                now = state[last]
         return pdf.assign(track_id=track)[[*fields, "track_id"]]
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-    return points.groupBy(*keys).applyInPandas(follow, f"{kinds}, track_id long")
+    return spread(points, keys).groupBy(*keys).applyInPandas(follow, f"{kinds}, track_id long")
 
 
 def temporal_neighbours(candidates: DataFrame, keys: Sequence[str], step: int, speed: float, fps: float) -> DataFrame:

@@ -33,3 +33,18 @@ def test_labels_of_a_clip_are_one_loop(spark):
     """The fold in the JVM evaluated its nested conditions anew for each use."""
     plan = catalog.QUERIES["causal_labels"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_association_does_not_depend_on_order_of_arrival(spark):
+    """Boxes of one point_no stood in the order in which they came; and each task gets its share of clips, whatever their bytes."""
+    from fieldtrace.operators import points
+
+    rows = [(1, f, f / 25.0, 7, float(x), 0.0, x + 10.0, 40.0) for f in range(6) for x in (0, 12, 24)]
+    schema = "clip_id long, source_frame long, clip_seconds double, point_no long, x1 double, y1 double, x2 double, y2 double"
+    got = [sorted(map(tuple, points.associated(spark.createDataFrame(r, schema), ["clip_id"], 0.4, 300.0).collect())) for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 18
+    assert "RepartitionByExpression" in planned(catalog.QUERIES["player_tracks"](spark, DATA))
