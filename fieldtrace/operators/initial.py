@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtrace.functions.storage import once
+from fieldtrace.functions.storage import once, spread
 from fieldtrace.operators.rules import lab, nearest_name
 
 #: Fixed values of kit clusters: samples and seconds of a track, tracks of a clip and of a side, least separation of seeds in L*a*b*, bounds of the trim, its multiple of the median, least confidence.
@@ -45,15 +45,16 @@ def best_split(colors: np.ndarray, weights: np.ndarray) -> np.ndarray | None:
     """For each track 0 or 1, or -1 for those trimmed off: the best of all pairs of seeds, each track going to the nearer one; None without two clear sides."""
     n = len(colors)
     distance = np.sqrt(((colors[:, None] - colors[None]) ** 2).sum(axis=2))
-    best, sides = 0.0, None
+    best, sides, seen = 0.0, None, set()
     for i in range(n):
-        for j in range(i + 1, n):
-            if distance[i, j] < SEPARATION:
+        seeds = i + 1 + np.flatnonzero(~(distance[i, i + 1 :] < SEPARATION))
+        splits = distance[:, i] > distance[seeds]
+        few = np.minimum(splits.sum(axis=1), n - splits.sum(axis=1))
+        for second in splits[few >= SIDE]:
+            if second.tobytes() in seen:  # other seeds split the tracks in the same way
                 continue
-            second = distance[:, i] > distance[:, j]
+            seen |= {second.tobytes(), (~second).tobytes()}
             count = np.array([(~second).sum(), second.sum()])
-            if count.min() < SIDE:
-                continue
             centers = np.stack([np.average(colors[second == s], axis=0, weights=weights[second == s]) for s in (False, True)])
             within = np.sqrt(((colors - centers[second.astype(int)]) ** 2).sum(axis=1)).sum() / n
             score = np.sqrt(((centers[0] - centers[1]) ** 2).sum()) * (count.min() / count.max()) / (1.0 + within)
@@ -72,7 +73,7 @@ def best_split(colors: np.ndarray, weights: np.ndarray) -> np.ndarray | None:
 def kits(tracks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, track_id, team, color (b, g, r of the team), confidence) for the outfield tracks of clips with two clear kits.
 
-    All pairs of a clip's tracks are tried as seeds, which are a few dozen, so a clip is one group of numpy; centres, names and confidence are columns.
+    All pairs of a clip's tracks are tried as seeds, which are a few dozen, so a clip is one group of numpy, whose sides, which several steps read, are kept; centres, names and confidence are columns.
     """
     weight = F.least(F.lit(20.0), F.greatest(F.lit(1.0), F.col("duration_seconds")))
     some = tracks.where((F.col("sample_count") >= SAMPLES) & (F.col("duration_seconds") >= SECONDS)).withColumn("weight", weight.cast("double")).withColumn("lab", as_lab(F.col("b"), F.col("g"), F.col("r")))
@@ -84,7 +85,7 @@ def kits(tracks: DataFrame, keys: Sequence[str]) -> DataFrame:
         out = pdf[[*keys, "track_id"]].assign(side=-1 if sides is None else sides)
         return out[out["side"] >= 0]
 
-    sides = some.select(*keys, "track_id", "weight", "lab.*").groupBy(*keys).applyInPandas(split, f"{kinds}, side int")
+    sides = once(spread(some.select(*keys, "track_id", "weight", "lab.*"), keys).groupBy(*keys).applyInPandas(split, f"{kinds}, side int"))
     rows = some.select(*keys, "track_id", "weight", "lab", F.col("b").alias("blue"), F.col("g").alias("green"), F.col("r").alias("red")).join(sides, [*keys, "track_id"])
     center = F.struct(*[F.bround(F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).cast("int").alias(n) for n, c in (("b", "blue"), ("g", "green"), ("r", "red"))])
     teams = rows.groupBy(*keys, "side").agg(center.alias("color"), F.count(F.lit(1)).alias("n"))

@@ -3,8 +3,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from fieldtrace.plans import catalog, paths, play  # noqa: F401
+from fieldtrace.plans import catalog, measures, paths, play  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
@@ -48,3 +49,28 @@ def test_association_does_not_depend_on_order_of_arrival(spark):
     got = [sorted(map(tuple, points.associated(spark.createDataFrame(r, schema), ["clip_id"], 0.4, 300.0).collect())) for r in (rows, rows[::-1])]
     assert got[0] == got[1] and len(got[0]) == 18
     assert "RepartitionByExpression" in planned(catalog.QUERIES["player_tracks"](spark, DATA))
+
+
+def test_kits_are_found_once(spark):
+    """Two steps read the sides, and each ran numpy over all clips, in one task."""
+    from fieldtrace.operators import initial
+
+    assert "FlatMapGroupsInPandas" not in planned(initial.kits(paths.opening_tracks(spark, DATA), ["clip_id"]))
+
+
+def test_seeds_that_split_alike_count_once():
+    """The best of all pairs, as by trying each."""
+    import numpy as np
+
+    from fieldtrace.operators import initial
+
+    colors = np.array([[50.0, 60, 60], [52, 61, 60], [49, 58, 63], [50, -40, 30], [51, -42, 30], [48, -41, 33], [90, 0, 0]])
+    assert initial.best_split(colors, np.ones(7)).tolist() == [0, 0, 0, 1, 1, 1, -1]
+    calls = []
+    average = np.average
+    np.average = lambda *a, **k: calls.append(1) or average(*a, **k)
+    try:
+        initial.best_split(colors, np.ones(7))
+    finally:
+        np.average = average
+    assert len(calls) < 12  # 14 pairs of seeds and more, three ways to split
