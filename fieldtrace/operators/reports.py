@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtrace.functions.storage import once
+from fieldtrace.functions.storage import once, spread
 from fieldtrace.operators import joins
 
 
@@ -58,41 +58,48 @@ def aligned(manual: DataFrame, predicted: DataFrame, keys: Sequence[str], tolera
     columns = [*keys, "event_no", "seconds", "event_type", "team"]
     both = manual.select(*columns, F.lit(0).alias("side")).unionByName(predicted.select(*columns, F.lit(1).alias("side")))
 
-    # Stretches of a clip that are farther apart than the tolerance share no match: each is a group, and a small dynamic program.
-    w = Window.partitionBy(*keys).orderBy("seconds", "side", "event_no")
-    far = F.coalesce(F.col("seconds") - F.lag("seconds").over(w) > tolerance, F.lit(True))
-    both = both.withColumn("stretch", F.sum(far.cast("int")).over(w))
-
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Stretches of a clip that are farther apart than the tolerance share no match, and each is a small dynamic program."""
         pdf = pdf.sort_values(["seconds", "event_no"])
-        a, b = (pdf[pdf["side"] == k].reset_index(drop=True) for k in (0, 1))
-        gap = np.abs(a["seconds"].to_numpy()[:, None] - b["seconds"].to_numpy()[None, :])
-        fits = (gap <= tolerance) & (a["event_type"].to_numpy()[:, None] == b["event_type"].to_numpy()[None, :]) & (a["team"].to_numpy()[:, None] == b["team"].to_numpy()[None, :])
-        # best[i][j] of what follows: matches first, then the least total difference. Cells of an antidiagonal depend on the next two only.
-        n, m = fits.shape
-        count, cost = np.zeros((n + 1, m + 1), np.int64), np.zeros((n + 1, m + 1))
-        for d in range(n + m - 2, -1, -1):
-            i = np.arange(max(0, d - m + 1), min(n, d + 1))
-            j = d - i
-            best, price = count[i + 1, j], cost[i + 1, j]
-            for c, p, ok in ((count[i, j + 1], cost[i, j + 1], True), (count[i + 1, j + 1] + 1, cost[i + 1, j + 1] + gap[i, j], fits[i, j])):
-                better = ok & ((c > best) | ((c == best) & (p < price)))
-                best, price = np.where(better, c, best), np.where(better, p, price)
-            count[i, j], cost[i, j] = best, price
-        out, i, j = [], 0, 0
-        while i < n and j < m:
-            if fits[i, j] and (count[i, j], cost[i, j]) == (count[i + 1, j + 1] + 1, cost[i + 1, j + 1] + gap[i, j]):
-                out.append((a["event_no"][i], b["event_no"][j], gap[i, j]))
-                i, j = i + 1, j + 1
-            elif (count[i, j + 1], cost[i, j + 1]) == (count[i, j], cost[i, j]):
-                j += 1
-            else:
-                i += 1
+        seconds, side, no = (pdf[c].to_numpy() for c in ("seconds", "side", "event_no"))
+        kind = pdf.groupby(["event_type", "team"], sort=False).ngroup().to_numpy()  # -1 where one is null, which equals nothing
+        out = []
+        for part in np.split(np.arange(len(pdf)), np.flatnonzero(~(np.diff(seconds) <= tolerance)) + 1):
+            a, b = part[side[part] == 0], part[side[part] == 1]
+            fits = (kind[a][:, None] == kind[b]) & (kind[a] >= 0)[:, None]
+            if fits.any():
+                gap = np.abs(seconds[a][:, None] - seconds[b])
+                out += [(no[a[i]], no[b[j]], gap[i, j]) for i, j in paired(gap, fits & (gap <= tolerance))]
         found = pd.DataFrame(out, columns=["manual_no", "predicted_no", "difference"])
         return found.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "manual_no", "predicted_no", "difference"]]
 
     kinds = ", ".join(f"{k} {manual.schema[k].dataType.simpleString()}" for k in keys)
-    return both.groupBy(*keys, "stretch").applyInPandas(match, f"{kinds}, manual_no long, predicted_no long, difference double")
+    return spread(both, keys).groupBy(*keys).applyInPandas(match, f"{kinds}, manual_no long, predicted_no long, difference double")
+
+
+def paired(gap: np.ndarray, fits: np.ndarray) -> list[tuple[int, int]]:
+    """Rows and columns in order, matched where they fit: as many as possible, then with the least total gap, then with the smallest places."""
+    # best[i][j] of what follows: matches first, then the least total difference. Cells of an antidiagonal depend on the next two only.
+    n, m = fits.shape
+    count, cost = np.zeros((n + 1, m + 1), np.int64), np.zeros((n + 1, m + 1))
+    for d in range(n + m - 2, -1, -1):
+        i = np.arange(max(0, d - m + 1), min(n, d + 1))
+        j = d - i
+        best, price = count[i + 1, j], cost[i + 1, j]
+        for c, p, ok in ((count[i, j + 1], cost[i, j + 1], True), (count[i + 1, j + 1] + 1, cost[i + 1, j + 1] + gap[i, j], fits[i, j])):
+            better = ok & ((c > best) | ((c == best) & (p < price)))
+            best, price = np.where(better, c, best), np.where(better, p, price)
+        count[i, j], cost[i, j] = best, price
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if fits[i, j] and (count[i, j], cost[i, j]) == (count[i + 1, j + 1] + 1, cost[i + 1, j + 1] + gap[i, j]):
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif (count[i, j + 1], cost[i, j + 1]) == (count[i, j], cost[i, j]):
+            j += 1
+        else:
+            i += 1
+    return out
 
 
 def event_comparison(manual: DataFrame, predicted: DataFrame, keys: Sequence[str], strict: float, review: float, teams: Sequence[str], types: Sequence[str]) -> DataFrame:

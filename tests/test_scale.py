@@ -74,3 +74,12 @@ def test_seeds_that_split_alike_count_once():
     finally:
         np.average = average
     assert len(calls) < 12  # 14 pairs of seeds and more, three ways to split
+
+
+def test_stretches_of_a_clip_are_one_group(spark):
+    from fieldtrace.operators import reports
+
+    rows = spark.createDataFrame([(1, 1, 1.0, "pass", "red"), (1, 2, 9.0, "pass", "red"), (1, 3, 10.5, None, "red")], "clip_id long, event_no long, seconds double, event_type string, team string")
+    found = reports.aligned(rows, rows.withColumn("seconds", F.col("seconds") + 0.25), ["clip_id"], 0.5)
+    assert "stretch" not in planned(found) and "RepartitionByExpression" in planned(found)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1, 0.25), (1, 2, 2, 0.25)]
