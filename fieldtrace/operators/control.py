@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
+from fieldtrace.functions.storage import spread
 from fieldtrace.operators import joins, tracks
 
 #: An observation of control, a spell of such, and what a fold over a clip carries.
@@ -92,6 +93,7 @@ def spell_numbers(observations: DataFrame, keys: Sequence[str], gap: float, radi
     a track that takes turns with the spell's first one within `apart` seconds each way (0: no such rule), which tells two players apart."""
     if apart < 0:
         raise ValueError("seconds are not negative")
+    observations = spread(observations, keys)  # windows, lists and folds follow in one task
     w = Window.partitionBy(*keys).orderBy("clip_seconds")
     back = lambda c, k=1: F.lag(c, k).over(w)
     t = F.col("clip_seconds")

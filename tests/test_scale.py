@@ -83,3 +83,9 @@ def test_stretches_of_a_clip_are_one_group(spark):
     found = reports.aligned(rows, rows.withColumn("seconds", F.col("seconds") + 0.25), ["clip_id"], 0.5)
     assert "stretch" not in planned(found) and "RepartitionByExpression" in planned(found)
     assert sorted(map(tuple, found.collect())) == [(1, 1, 1, 0.25), (1, 2, 2, 0.25)]
+
+
+def test_folds_of_a_clip_are_dealt_evenly(spark):
+    """Spark joined partitions of few bytes to one task, whose sorts and lists then took gigabytes."""
+    for name in ("control_spells", "aerial_crossings", "shot_events"):
+        assert "RepartitionByExpression [clip_id" in planned(catalog.QUERIES[name](spark, DATA))
