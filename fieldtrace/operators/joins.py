@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
+from fieldtrace.functions.storage import spread
 
 
 def nearest_player(boxes: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
@@ -76,8 +77,8 @@ def exists_within(left: DataFrame, right: DataFrame, keys: Sequence[str], at: st
 
 
 def covisible_pairs(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Unordered pairs of tracks seen in one frame, with the number of frames. A frame's tracks are few."""
-    per = points.groupBy(*keys, "source_frame").agg(F.array_sort(F.collect_set("track_id")).alias("t"))
+    """Unordered pairs of tracks seen in one frame, with the number of frames. A frame's tracks are few; a clip's frames and pairs are counted in one task."""
+    per = spread(points.select(*keys, "source_frame", "track_id"), keys).groupBy(*keys, "source_frame").agg(F.array_sort(F.collect_set("track_id")).alias("t"))
     pairs = F.flatten(F.transform("t", lambda a: F.transform(F.filter("t", lambda b: b > a), lambda b: F.struct(a.alias("first_track"), b.alias("second_track")))))
     return per.withColumn("p", F.explode(pairs)).groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("frames")).select(*keys, "p.*", "frames")
 

@@ -89,3 +89,7 @@ def test_folds_of_a_clip_are_dealt_evenly(spark):
     """Spark joined partitions of few bytes to one task, whose sorts and lists then took gigabytes."""
     for name in ("control_spells", "aerial_crossings", "shot_events"):
         assert "RepartitionByExpression [clip_id" in planned(catalog.QUERIES[name](spark, DATA))
+
+
+def test_frames_and_pairs_are_counted_in_one_place(spark):
+    assert "RepartitionByExpression [clip_id" in planned(catalog.QUERIES["covisible_tracks"](spark, DATA))
