@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
+from fieldtrace.functions.storage import once
 from fieldtrace.operators import joins
 from fieldtrace.operators.control import EVENT, NAMES
 
@@ -101,7 +102,8 @@ def without_startup(events: DataFrame, keys: Sequence[str], low: float = 0.55, g
 
 def without_handoffs(events: DataFrame, boxes: DataFrame, keys: Sequence[str], before: float = 0.41, overlap: float = 0.9) -> DataFrame:
     """Events without passes between two tracks of one player: in a frame from `before` seconds before the pass to its completion the boxes (track_id, source_frame, clip_seconds, team, x1 .. y2) of sender and receiver cover each other (by `overlap` of the
-    smaller), and the sender's track ends where the receiver's begins, or the receiver wears another team there."""
+    smaller), and the sender's track ends where the receiver's begins, or the receiver wears another team there. Events and boxes, which several steps read, are computed once."""
+    events, boxes = once(events), once(boxes.select(*keys, "track_id", "source_frame", "clip_seconds", "team", "x1", "y1", "x2", "y2"))
     passes = events.where("event_type = 'pass_candidate' AND team IS NOT NULL AND completion_seconds IS NOT NULL AND from_track IS NOT NULL AND to_track IS NOT NULL").distinct()
     spans = passes.withColumn("event_", F.struct(*events.columns)).select(*keys, "from_track", "to_track", F.col("team").alias("event_team"), "event_", (F.col("clip_seconds") - before).alias("lo_"), (F.col("completion_seconds") + 1e-9).alias("hi_")).withColumn("until_", F.col("hi_") + 1e-9)
     bounds = boxes.groupBy(*keys, "track_id").agg(F.min("source_frame").alias("first_"), F.max("source_frame").alias("last_"))

@@ -93,3 +93,7 @@ def test_folds_of_a_clip_are_dealt_evenly(spark):
 
 def test_frames_and_pairs_are_counted_in_one_place(spark):
     assert "RepartitionByExpression [clip_id" in planned(catalog.QUERIES["covisible_tracks"](spark, DATA))
+
+
+def test_handoffs_read_their_inputs_once(spark):
+    assert "lineitem" not in planned(catalog.QUERIES["handoff_free_passes"](spark, DATA)) and "Relation" not in planned(catalog.QUERIES["handoff_free_passes"](spark, DATA))
