@@ -341,14 +341,17 @@ def ball_predictions(spark, d):
 def saved_states(spark, d):
     """A review state for each conversation: user's turns as proposals (every third without a key of its own), others as predictions and verdicts."""
     rows = spark.read.parquet(f"{d}/conversations.parquet").withColumn("n", F.expr("concat(CASE WHEN turn % 3 = 2 THEN 'x' WHEN role = 'user' THEN 'C' ELSE 'E' END, turn + 1)"))
-    user = F.col("role") == "user"
-    at = lambda some, what: F.transform(F.array_sort(F.collect_list(F.when(some, F.struct("turn", what.alias("v"))))), lambda x: x["v"])
-    named = lambda some, what: F.map_from_entries(F.array_sort(F.collect_list(F.when(some, F.struct(F.col("turn").cast("string").alias("k"), what.alias("v"))))))
+    mine, others = lambda x: x["role"] == "user", lambda x: x["role"] != "user"
+    listed = lambda some, what: F.array_sort(F.transform(F.filter("turns", some), what))
+    at = lambda some, what: F.transform(listed(some, lambda x: F.struct(x["turn"].alias("turn"), what(x).alias("v"))), lambda x: x["v"])
+    named = lambda some, what: F.map_from_entries(listed(some, lambda x: F.struct(x["turn"].cast("string").alias("k"), what(x).alias("v"))))
     parts = {
-        "additionalProposals": at(user, F.struct(F.col("n").alias("id"), "text")), "engineAfter": F.struct(at(~user, F.struct(F.col("n").alias("eventKey"), F.length("text").alias("length"))).alias("predictions")),
-        "decisions": named(user, F.struct(F.when(F.col("turn") % 2 == 0, "accepted").alias("status"))), "engineEventReviews": named(~user, F.struct(F.lit("seen").alias("status"), "text")), "conversation": at(F.lit(True), F.struct("role", "text")),
+        "additionalProposals": at(mine, lambda x: F.struct(x["n"].alias("id"), x["text"].alias("text"))), "engineAfter": F.struct(at(others, lambda x: F.struct(x["n"].alias("eventKey"), F.length(x["text"]).alias("length"))).alias("predictions")),
+        "decisions": named(mine, lambda x: F.struct(F.when(x["turn"] % 2 == 0, "accepted").alias("status"))), "engineEventReviews": named(others, lambda x: F.struct(F.lit("seen").alias("status"), x["text"].alias("text"))),
+        "conversation": at(lambda x: F.lit(True), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))),
     }
-    per = rows.groupBy("conv_id").agg(*[v.alias(k) for k, v in parts.items()])
+    # Turns are listed once, for a list of its own for each part would send every text twice.
+    per = rows.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "n", "role", "text")).alias("turns")).select("conv_id", *[v.alias(k) for k, v in parts.items()])
     return per.select("conv_id", F.parse_json(F.to_json(F.struct(*parts))).alias("state"))
 
 

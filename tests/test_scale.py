@@ -97,3 +97,7 @@ def test_frames_and_pairs_are_counted_in_one_place(spark):
 
 def test_handoffs_read_their_inputs_once(spark):
     assert "lineitem" not in planned(catalog.QUERIES["handoff_free_passes"](spark, DATA)) and "Relation" not in planned(catalog.QUERIES["handoff_free_passes"](spark, DATA))
+
+
+def test_turns_are_listed_once(spark):
+    assert planned(measures.saved_states(spark, DATA)).count("collect_list(") == 1
