@@ -32,7 +32,7 @@ class Rule:
 
 
 def run(events: DataFrame, groups: Sequence[Sequence[Rule]], inputs: Inputs) -> DataFrame:
-    """The events after all rules, in order. Within a group the plans grow together; after it the events, few rows a clip, are stored, so that no plan holds the whole chain.
+    """The events after all rules, in order. Within a group the plans grow together; before it and after it the events, few rows a clip, are stored, so that no plan holds the whole chain, and rules that read them twice don't compute them twice.
 
     Rules that stand before one that they need are an error, and so are two rules of one name.
     """
@@ -42,6 +42,7 @@ def run(events: DataFrame, groups: Sequence[Sequence[Rule]], inputs: Inputs) ->
     for k, rule in enumerate(r for g in groups for r in g):
         if late := [a for a in rule.after if a not in names[:k]]:
             raise ValueError(f"{rule.name} needs {', '.join(late)} before it")
+    events = once(events)
     for group in groups:
         for rule in group:
             events = rule.work(events, inputs)

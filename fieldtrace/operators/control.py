@@ -5,7 +5,7 @@ What depends on the row before is a fold in the JVM over a clip's rows; all else
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -303,6 +303,11 @@ EVENT = "struct<clip_seconds:double,completion_seconds:double,event_type:string,
 NAMES = ["clip_seconds", "completion_seconds", "event_type", "team", "from_track", "to_track", "confidence"]
 
 
+def looked_up(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) where the value is worked out once: within a fold every mention of it, in a lambda for each element, would work it out anew."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def deduplicated(events: DataFrame, keys: Sequence[str], same: float = 0.25, other: float = 0.04) -> DataFrame:
     """Of receptions of one type, team and receiver that complete within `same` seconds of an earlier one (`other` if another track sends) the first stays;
     where the sender is the same, the later takes its place. The receptions kept are carried through a fold over the clip's events in order."""
@@ -313,10 +318,12 @@ def deduplicated(events: DataFrame, keys: Sequence[str], same: float = 0.25, oth
             limit = F.when(p["from_track"].eqNullSafe(e["from_track"]), same).otherwise(other)
             return F.coalesce((p["event_type"] == e["event_type"]) & (p["team"] == e["team"]) & p["to_track"].eqNullSafe(e["to_track"]) & (F.abs(p["completion_seconds"] - e["completion_seconds"]) <= limit), F.lit(False))
 
-        at = F.array_position(F.transform(acc, twin), F.lit(True))
-        found = F.try_element_at(acc, F.when(at > 0, at).otherwise(1).cast("int"))
-        replaced = F.transform(acc, lambda p, k: F.when(k == at - 1, e).otherwise(p))
-        return F.when(at == 0, F.concat(acc, F.array(e))).when(found["from_track"].eqNullSafe(e["from_track"]), replaced).otherwise(acc)
+        def kept(at: Column) -> Column:
+            found = F.try_element_at(acc, F.when(at > 0, at).otherwise(1).cast("int"))
+            replaced = F.transform(acc, lambda p, k: F.when(k == at - 1, e).otherwise(p))
+            return F.when(at == 0, F.concat(acc, F.array(e))).when(found["from_track"].eqNullSafe(e["from_track"]), replaced).otherwise(acc).cast(f"array<{EVENT}>")
+
+        return looked_up(F.array_position(F.transform(acc, twin), F.lit(True)), kept)
 
     return listed.select(*keys, F.explode(F.aggregate("all_", F.array().cast(f"array<{EVENT}>"), step)).alias("e")).select(*keys, "e.*")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import geometry as g
-from fieldtrace.operators import joins
+from fieldtrace.operators import control, joins
 
 #: Longest step, how near in time a ball must be to a player's step, seconds around a release, least steps of players, confidences.
 STEP, NEAR, AROUND, LEAST, SURE, RELEASED = 0.3, 0.11, 0.4, 8, 0.75, 0.85
@@ -158,7 +158,9 @@ def identity_switches(events: DataFrame, labels: DataFrame, keys: Sequence[str],
 
     def step(acc: Column, e: Column) -> Column:
         leads = F.filter(acc["anchors"], lambda a: (a["track"] == e["from_track"]) & (e["clip_seconds"] - a["at"]).between(0, chain))
-        lead = F.try_element_at(leads, F.lit(-1))
+        return control.looked_up(F.try_element_at(leads, F.lit(-1)), lambda lead: after(acc, e, lead))
+
+    def after(acc: Column, e: Column, lead: Column) -> Column:
         sender = F.when(lead.isNotNull(), F.when(lead["pass"], lead["team"]).otherwise(other(lead["team"]))).otherwise(e["team"])
         same = e["local_team"] == sender
         usable = e["local_team"].isNotNull() & sender.isin(*teams)
@@ -171,7 +173,7 @@ def identity_switches(events: DataFrame, labels: DataFrame, keys: Sequence[str],
         mine = F.struct(sender.alias("team"), same.alias("pass"), e["to_track"].alias("track"), e["completion_seconds"].alias("at"))
         kept = F.struct(acc["anchors"].alias("anchors"), out(e["event_type"], e["team"], F.lit(None).cast("string")).alias("out"))
         new = F.struct(F.concat(acc["anchors"], F.array(mine)).cast(anchor).alias("anchors"), out(kind, sender, F.when(lead.isNotNull(), "continuity").otherwise("identity")).alias("out"))
-        return F.when(F.coalesce(changes, F.lit(False)), new).otherwise(kept)
+        return F.when(F.coalesce(changes, F.lit(False)), new).otherwise(kept).cast(f"struct<anchors:{anchor},out:{made}>")
 
     start = F.struct(F.array().cast(anchor).alias("anchors"), F.array().cast(made).alias("out"))
     found = listed.select(*keys, F.explode(F.aggregate("all_", start, step, lambda acc: acc["out"])).alias("e")).select(*keys, "e.*")

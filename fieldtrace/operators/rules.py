@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldtrace.functions import geometry as g
 from fieldtrace.functions.storage import once
 from fieldtrace.operators import joins
-from fieldtrace.operators.control import EVENT, NAMES
+from fieldtrace.operators.control import EVENT, NAMES, looked_up
 
 
 def comparison_type(kind: Column, shots: bool = False) -> Column:
@@ -74,9 +74,8 @@ def one_reception(events: DataFrame, keys: Sequence[str], seconds: float = 0.5)
     def step(acc: Column, x: Column) -> Column:
         e = x["e"]
         rival = lambda p: F.coalesce((e["event_type"] == "pass_candidate") & (p["event_type"] == "pass_candidate") & (e["team"] == p["team"]) & (e["from_track"] == p["from_track"]) & (F.abs(e["completion_seconds"] - p["completion_seconds"]) <= seconds), F.lit(False))
-        at = F.array_position(F.transform(acc, rival), F.lit(True))
-        better = F.transform(acc, lambda p, k: F.when((k == at - 1) & (e["confidence"] > p["confidence"]), e).otherwise(p))
-        return F.when(at == 0, F.concat(acc, F.array(e))).otherwise(better)
+        better = lambda at: F.transform(acc, lambda p, k: F.when((k == at - 1) & (e["confidence"] > p["confidence"]), e).otherwise(p))
+        return looked_up(F.array_position(F.transform(acc, rival), F.lit(True)), lambda at: F.when(at == 0, F.concat(acc, F.array(e))).otherwise(better(at)).cast(f"array<{EVENT}>"))
 
     return listed.select(*keys, F.explode(F.aggregate("all_", F.array().cast(f"array<{EVENT}>"), step)).alias("e")).select(*keys, "e.*")
 

@@ -38,9 +38,9 @@ def restart_releases(intervals: DataFrame, steps: DataFrame, keys: Sequence[str]
     w = Window.partitionBy(*keys).orderBy("start_seconds")
     rows = intervals.withColumn("search_end_", F.lead("start_seconds").over(w))
     fast = steps.where(F.col("speed") >= speed).select(*keys, F.col("clip_seconds").alias("release_"), F.col("next_seconds").alias("ends_"))
-    back = joins.as_of(rows.where("resumed_seconds IS NOT NULL"), fast, keys, "resumed_seconds", "release_", ["ends_"], forward=True)
-    back = back.withColumn("play_resumed_seconds", F.when(F.col("search_end_").isNull() | (F.col("ends_") <= F.col("search_end_")), F.round("release_", 3))).drop("release_", "ends_")
-    return back.unionByName(rows.where("resumed_seconds IS NULL"), allowMissingColumns=True).drop("search_end_")
+    back = joins.as_of(rows, fast, keys, "resumed_seconds", "release_", ["ends_"], forward=True)
+    known = F.col("resumed_seconds").isNotNull() & (F.col("search_end_").isNull() | (F.col("ends_") <= F.col("search_end_")))
+    return back.withColumn("play_resumed_seconds", F.when(known, F.round("release_", 3))).drop("release_", "ends_", "search_end_")
 
 
 def without_aerial_crossings(intervals: DataFrame, spell_rows: DataFrame, keys: Sequence[str], before: float = 1.0, after: float = 1.2, span: float = 4.0) -> DataFrame:

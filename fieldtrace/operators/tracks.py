@@ -51,7 +51,9 @@ def boundary_intervals(points: DataFrame, keys: Sequence[str], polygon: Sequence
     w = ordered(keys)
     points = points.withColumn("signed", g.signed_distance(F.col("x"), F.col("y"), polygon))
     outside = F.col("signed") < -margin
-    points = points.withColumn("row_", F.row_number().over(w)).withColumn("resumed_", F.first(F.when(~outside, F.col("clip_seconds")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # What follows is looked up backwards: a frame up to the end of the clip would be read anew for each row.
+    back = Window.partitionBy(*keys).orderBy(F.desc("source_frame")).rowsBetween(Window.unboundedPreceding, 0)
+    points = points.withColumn("resumed_", F.last(F.when(~outside, F.col("clip_seconds")), ignorenulls=True).over(back)).withColumn("row_", F.row_number().over(w))
     starts = outside & F.coalesce(F.lag("signed").over(w) >= -margin, F.lit(True))
     points = points.withColumn("run_", F.sum(starts.cast("int")).over(w)).where(outside)
     out = points.groupBy(*keys, "run_").agg(

@@ -101,3 +101,26 @@ def test_handoffs_read_their_inputs_once(spark):
 
 def test_turns_are_listed_once(spark):
     assert planned(measures.saved_states(spark, DATA)).count("collect_list(") == 1
+
+
+def test_restarts_read_stoppages_once(spark):
+    """The ball's path: once for the stoppages, once for its steps."""
+    assert planned(play.restarts(spark, DATA)).count("Relation") == 2
+
+
+def test_events_of_a_chain_are_stored_before_its_rules(spark):
+    from fieldtrace.operators import chain
+
+    seen = []
+    rule = chain.Rule("look", lambda e, t: seen.append(planned(e)) or e)
+    chain.run(spark.range(3).withColumn("k", F.col("id") + 1), [[rule]], chain.Inputs({}))
+    assert "Project" not in seen[0]
+
+
+def test_what_a_fold_looks_up_is_worked_out_once(spark):
+    """Within a lambda every mention is worked out anew."""
+    from fieldtrace.operators import control, rules
+
+    events = play.control_transfers(spark, DATA)
+    for df in (control.deduplicated(events, ["clip_id"]), rules.one_reception(events, ["clip_id"])):
+        assert planned(df).count("array_position(") == 1
