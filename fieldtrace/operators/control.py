@@ -39,7 +39,7 @@ def control_observations(players: DataFrame, balls: DataFrame, keys: Sequence[st
     A ball higher than `ground` heights counts only where it turns (cosine at most aerial_turn) within half a height sideways of the player. A frame whose nearest
     player a fast ball flies past (speed at least flyby_speed, or flyby_heights of that player a second, cosine at least flyby_turn) has no
     observation. If confirm > 0, neither holds for a player of the team that controlled before whose track is within half a height of a low ball at
-    most `confirm` seconds later. Ties in distance go to the smaller track_id, then to the taller box. There is one ball a frame.
+    most `confirm` seconds later. Ties in distance go to the smaller track_id, then to the taller box, then to the one farther left. There is one ball a frame.
 
     Only the last rule depends on the row before, and only through its team: each frame has at most one outcome for each team, and a fold chooses.
     """

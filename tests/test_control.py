@@ -352,3 +352,24 @@ def test_predictions(spark):
             state, cov = state + gain @ (np.array([x, y]) - see @ state), (np.eye(4) - gain @ see) @ cov
     got = [tuple(r)[1:] for r in measures.ball_predictions(spark, DATA).where("clip_id = 0").orderBy("source_frame").collect()]
     assert len(got) > 50 and np.allclose(np.array(got), np.array(expected), atol=1e-6)
+
+
+def test_boxes_that_the_order_leaves_open(spark, tmp_path):
+    """Two boxes of one track, as near and as tall: the SQL's ORDER BY leaves open which counts, and spells hang on it. The query takes the one farther left, in whatever order they come."""
+    duckdb = pytest.importorskip("duckdb")
+    from fieldtrace.plans import catalog
+
+    sql, order = catalog.SQL["control_spells"], "ORDER BY dist, track_id, dist / height"
+    assert sql.count(order) == 1
+    boxes = [(424, 207, 223, 4), (424, 177, 43, 4), (425, 160, 1, 4)]
+    for k, rows in enumerate((boxes, boxes[::-1])):
+        d = str(tmp_path / str(k))
+        spark.createDataFrame([(424, 26, "view", 1.0), (425, 0, "view", 1.0)], "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{d}/events.parquet")
+        spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").coalesce(1).write.parquet(f"{d}/lineitem.parquet")
+        con = duckdb.connect()
+        for t in ("events", "lineitem"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+        left, right = (sorted(con.execute(sql.replace(order, f"{order}, player_x {way}")).fetchall()) for way in ("ASC", "DESC"))
+        assert [len(left), len(right)] == [1, 2]
+        columns = ["clip_id", "spell_no", "team", "track_id", "start_seconds", "end_seconds", "observations", "close", "first_ball_x", "last_ball_x"]
+        assert sorted(map(tuple, play.control_spells(spark, d).select(*columns).collect())) == left
