@@ -18,6 +18,20 @@ def test_exploded_rows_are_not_broadcast(spark, name):
     assert "Join" in plan and "Broadcast" not in plan
 
 
+def test_exploded_rows_are_not_broadcast_at_run_time(spark):
+    """Spark plans anew when it has measured what was shuffled, and then broadcasts what lies below its threshold; here all does."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1g")
+    try:
+        df = catalog.QUERIES["weighted_consensus"](spark, DATA)
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_candidates_are_not_broadcast(spark):
     plan = catalog.QUERIES["short_bridges"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
