@@ -373,3 +373,26 @@ def test_boxes_that_the_order_leaves_open(spark, tmp_path):
         assert [len(left), len(right)] == [1, 2]
         columns = ["clip_id", "spell_no", "team", "track_id", "start_seconds", "end_seconds", "observations", "close", "first_ball_x", "last_ball_x"]
         assert sorted(map(tuple, play.control_spells(spark, d).select(*columns).collect())) == left
+
+
+@pytest.mark.parametrize("name, left, right", [
+    ("single_touch_senders", [(0, 1, "black", 7, 2)], []),
+])
+def test_rows_that_hang_on_an_open_order(spark, tmp_path, name, left, right):
+    """The same two boxes: the rows of the SQL hang on the one it takes, which its ORDER BY leaves open. The query's are those for the one farther left, in whatever order boxes come and however they are dealt to tasks."""
+    duckdb = pytest.importorskip("duckdb")
+    from fieldtrace.plans import catalog
+
+    sql, order = catalog.SQL[name], "ORDER BY dist, track_id, dist / height"
+    assert sql.count(order) == 1
+    boxes = [(424, 207, 223, 4), (424, 177, 43, 4), (425, 160, 1, 4)]
+    for k, rows in enumerate((boxes, boxes[::-1])):
+        d = str(tmp_path / str(k))
+        spark.createDataFrame([(424, 26, "view", 1.0), (425, 0, "view", 1.0)], "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{d}/events.parquet")
+        spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").repartition(1 + 2 * k).write.parquet(f"{d}/lineitem.parquet")
+        con = duckdb.connect()
+        for t in ("events", "lineitem"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+        assert [sorted(con.execute(sql.replace(order, f"{order}, player_x {way}")).fetchall()) for way in ("ASC", "DESC")] == [left, right]
+        assert sorted(con.execute(sql).fetchall()) in (left, right)
+        assert sorted(map(tuple, catalog.QUERIES[name](spark, d).select("clip_id", "spell_no", "team", "track_id", "observations").collect())) == left
