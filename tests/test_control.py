@@ -377,6 +377,7 @@ def test_boxes_that_the_order_leaves_open(spark, tmp_path):
 
 @pytest.mark.parametrize("name, left, right", [
     ("single_touch_senders", [(0, 1, "black", 7, 2)], []),
+    ("stable_spells", [(0, 1, "black", 7, 2)], [(0, 2, "black", 1, 1)]),
 ])
 def test_rows_that_hang_on_an_open_order(spark, tmp_path, name, left, right):
     """The same two boxes: the rows of the SQL hang on the one it takes, which its ORDER BY leaves open. The query's are those for the one farther left, in whatever order boxes come and however they are dealt to tasks."""
