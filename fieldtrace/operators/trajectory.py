@@ -5,7 +5,7 @@ Points are rows (keys, track_id, source_frame, clip_seconds, x, y, confidence, b
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from fieldtrace.functions import geometry as g
+from fieldtrace.functions.storage import spread
 from fieldtrace.operators.points import median_of
 
 #: Fixed value: the largest change of velocity, in pixels a second and second.
@@ -404,111 +405,218 @@ class Beam:
     cell: float = 8.0
 
 
+#: Candidates that a task searches at once, and pairs of paths and candidates of one step; no gap is cut, so that a larger one stands alone.
+ROWS, PAIRS = 1 << 18, 1 << 20
+
+
 class Paths:
-    """The paths in use, as arrays: the number of their last node, its candidate, velocity (NaN at first) and score, their first candidate and length; what came before is a chain of parents."""
+    """The paths in use, as arrays: the number of their last node, its candidate, velocity (x, y; NaN at first) and score, their first candidate and length; what came before is a chain of parents."""
 
-    FIELDS = ("node", "last", "first", "length", "score", "velocity")
+    FIELDS = ("node", "last", "first", "length", "score", "u", "v")
 
-    def __init__(self, node: np.ndarray, last: np.ndarray, first: np.ndarray, length: np.ndarray, score: np.ndarray, velocity: np.ndarray) -> None:
-        self.node, self.last, self.first, self.length, self.score, self.velocity = node, last, first, length, score, velocity
+    def __init__(self, node: np.ndarray, last: np.ndarray, first: np.ndarray, length: np.ndarray, score: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+        self.node, self.last, self.first, self.length, self.score, self.u, self.v = node, last, first, length, score, u, v
 
     def of(self, at: np.ndarray) -> Paths:
         return Paths(*(getattr(self, c)[at] for c in self.FIELDS))
 
 
-def distinct_rows(cells: np.ndarray) -> np.ndarray:
-    """Places of the first of equal rows of integers, in order; rows are numbers of mixed radix where 62 bits hold them."""
-    low = cells.min(axis=0)
-    wide = [int(n) + 1 for n in cells.max(axis=0) - low]
+def distinct_rows(*columns: np.ndarray) -> np.ndarray:
+    """Places of the first of equal rows of integers, one array a column; rows are numbers of mixed radix where 62 bits hold them."""
+    low = [int(c.min()) for c in columns]
+    wide = [int(c.max()) - n + 1 for c, n in zip(columns, low, strict=True)]
     if np.prod([float(n) for n in wide]) >= 2**62:
-        return np.sort(np.unique(cells, axis=0, return_index=True)[1])
-    code = np.zeros(len(cells), np.int64)
-    for c, n in enumerate(wide):
-        code = code * n + (cells[:, c] - low[c])
-    return np.sort(np.unique(code, return_index=True)[1])
+        return np.unique(np.stack(columns, axis=1), axis=0, return_index=True)[1]
+    code = np.zeros(len(columns[0]), np.int64)
+    for c, first, n in zip(columns, low, wide, strict=True):
+        code = code * n + (c - first)
+    order = np.argsort(code, kind="stable")
+    return order[begins(code[order])]
+
+
+def begins(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the one before them, the first among them; rows are sorted."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
 
+def ranks(numbers: np.ndarray) -> np.ndarray:
+    """The place of each number among those equal to it; equal ones stand together."""
+    first = begins(numbers)
+    return np.arange(len(numbers)) - np.repeat(first, np.diff(np.append(first, len(numbers))))
 
-def beam(frames: np.ndarray, xy: np.ndarray, visual: np.ndarray, prior: tuple[np.ndarray, np.ndarray, np.ndarray], seed: np.ndarray, seed_frame: int, fps: float, diameter: float, speed: float, rule: Beam) -> tuple[list[list[int]], np.ndarray]:
-    """Paths (lists of candidates) that last longest and score near the best, best first, with their mean scores. Candidates are sorted by frame; prior has each one's expected place and search radius."""
-    expected, radius, elapsed = prior
+
+def beams(gap: np.ndarray, frames: np.ndarray, xy: np.ndarray, visual: np.ndarray, lead: dict[str, np.ndarray], fps: float, speed: float, rule: Beam) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each gap the paths that last longest and score near the best: the gap and mean score of each path, a gap's best first; and (path, candidate) for all their candidates. Candidates are sorted by gap (from 0, without holes) and
+    frame; lead has each one's diameter and where its gap starts (frame, x, y, velocity).
+
+    All gaps take their step to the next frame together, as gaps are many and the paths of one are few.
+    """
+    first, diameter = np.trunc(lead["start_"]).astype(np.int64), lead["diameter_"]
+    seed, expected, radius, elapsed = search_prior(lead, frames, fps, speed, rule)
     launched = np.hypot(*(xy - seed).T)
     off = np.hypot(*(xy - expected).T)
-    starts = (frames <= seed_frame + round(rule.wait * fps)) & (launched >= rule.launch * diameter) & (off <= radius) & (launched <= speed * elapsed)
+    starts = (frames <= first + round(rule.wait * fps)) & (launched >= rule.launch * diameter) & (off <= radius) & (launched <= speed * elapsed)
     begun = np.flatnonzero(starts)
     candidate, parent, nodes = [begun], [np.full(len(begun), -1)], len(begun)
-    score = visual[starts] - 0.03 * (frames[starts] - seed_frame - 1) - off[starts] / np.maximum(1.0, radius[starts])
-    use = Paths(np.arange(nodes), begun, begun, np.ones(nodes, np.int64), score, np.full((nodes, 2), np.nan))
+    score = visual[starts] - 0.03 * (frames[starts] - first[starts] - 1) - off[starts] / np.maximum(1.0, radius[starts])
+    use = Paths(np.arange(nodes), begun, begun, np.ones(nodes, np.int64), score, np.full(nodes, np.nan), np.full(nodes, np.nan))
     done = [use.of(begun[:0])]
     longest = max(1, round(rule.pause * fps))
-    for frame in np.unique(frames):
-        gap = frame - frames[use.last]
-        over = gap > longest
+    # The frames of gaps that have candidates, one after the other.
+    layer = begins(gap, frames)
+    sizes = np.diff(np.append(layer, len(gap)))
+    own_layer = np.repeat(np.arange(len(layer)), sizes)
+    opening = begins(gap[layer])
+    closing = np.append(opening[1:], len(layer))
+    x, y = np.ascontiguousarray(xy[:, 0]), np.ascontiguousarray(xy[:, 1])
+    cells = [own_layer, *(np.unique(np.round(c / rule.cell), return_inverse=True)[1] for c in (x, y))]
+    short = gap.astype(np.min_scalar_type(len(opening)))  # few bytes sort fast
+    step = 0
+    while True:
+        own = gap[use.last]
+        now = opening[own] + step
+        past = now >= closing[own]
+        since = frames[layer[np.where(past, 0, now)]] - frames[use.last]
+        over = past | (since > longest)
         if over.any():
-            done.append(use.of(over))
-            use, gap = use.of(~over), gap[~over]
+            done.append(use.of(np.flatnonzero(over)))
+            on = np.flatnonzero(~over)
+            use, now, since = use.of(on), now[on], since[on]
         if not len(use.node):
             break  # no path starts later
-        own, last = np.arange(np.searchsorted(frames, frame, "left"), np.searchsorted(frames, frame, "right")), use.last
         # Every path stays as it is, too; candidates follow those paths whose last one is earlier.
-        to = xy[own][None] - xy[last][:, None]
-        far, wide = np.hypot(to[..., 0], to[..., 1]), np.maximum(gap, 1)[:, None]
-        reach = speed * wide / fps
-        v = to / wide[..., None]
-        before = use.velocity[:, None]
-        known = ~np.isnan(before[..., 0])
-        change = np.hypot(*(v - before).transpose(2, 0, 1)) / wide
-        back = (np.hypot(v[..., 0], v[..., 1]) > rule.moving) & (np.hypot(before[..., 0], before[..., 1]) > rule.moving) & ((v * before).sum(axis=2) < 0)
-        may = (gap > 0)[:, None] & (far <= reach) & ~(known & ((change > rule.acceleration / fps**2) | back))
-        score = use.score[:, None] + visual[own][None] - 0.8 * far / np.maximum(1.0, reach) - 0.25 * (wide - 1)
-        i, k = np.nonzero(may)
-        candidate.append(own[k])
-        parent.append(use.node[i])
-        grown = Paths(nodes + np.arange(len(i)), own[k], use.first[i], use.length[i] + 1, score[i, k], v[i, k])
-        nodes += len(i)
+        ready = np.flatnonzero(since > 0)
+        start = layer[now[ready]]
+        many = sizes[now[ready]]
+        i = np.repeat(ready, many)
+        k = np.arange(len(i)) + np.repeat(start - (np.cumsum(many) - many), many)
+        u, v, wide = x[k] - x[use.last[i]], y[k] - y[use.last[i]], since[i]
+        far, reach = np.hypot(u, v), speed * wide / fps
+        may = np.flatnonzero(far <= reach)
+        i, k, u, v, wide, far, reach = (c[may] for c in (i, k, u, v, wide, far, reach))
+        u, v, before_u, before_v = u / wide, v / wide, use.u[i], use.v[i]
+        may = ~(np.hypot(u - before_u, v - before_v) / wide > rule.acceleration / fps**2)
+        back = np.flatnonzero(may & (u * before_u + v * before_v < 0))
+        may[back] = ~((np.hypot(u[back], v[back]) > rule.moving) & (np.hypot(before_u[back], before_v[back]) > rule.moving))
+        may = np.flatnonzero(may)
+        i, k, u, v, wide, far, reach = (c[may] for c in (i, k, u, v, wide, far, reach))
+        score = use.score[i] + visual[k] - 0.8 * far / np.maximum(1.0, reach) - 0.25 * (wide - 1)
         # A path stands before those that it grew into, where scores are equal.
-        place = np.concatenate([np.arange(len(use.node)) * (len(own) + 1.0), i * (len(own) + 1.0) + 1 + k])
-        every = joined(use, grown)
-        cells = np.stack([frames[every.last], *np.round(xy[every.last] / rule.cell).T, *np.round(np.nan_to_num(every.velocity) / rule.cell).T], axis=1).astype(np.int64)
-        order = np.lexsort((place, -every.score))
-        use = every.of(order[distinct_rows(cells[order])[: rule.paths]])
-    ended = joined(*done, use)
+        place = np.empty(len(use.node) + len(i), np.int64)
+        children = np.bincount(i, minlength=len(use.node))
+        place[np.arange(len(use.node)) + np.cumsum(children) - children] = np.arange(len(use.node))
+        place[np.arange(len(i)) + i + 1] = np.arange(len(use.node), len(place))
+        every = joined(use, Paths(use.node[i], k, use.first[i], use.length[i] + 1, score, u, v))
+        order = place[np.argsort(-every.score[place], kind="stable")]
+        order = order[np.argsort(short[every.last[order]], kind="stable")]
+        new, every = order >= len(use.node), every.of(order)
+        # Paths of earlier frames are in different cells already.
+        fresh = np.flatnonzero(own_layer[every.last] >= opening[gap[every.last]] + step)
+        stays = np.ones(len(order), bool)
+        if len(fresh):
+            at = every.last[fresh]
+            stays[fresh] = False
+            stays[fresh[distinct_rows(*(c[at] for c in cells), *(np.round(np.nan_to_num(c[fresh]) / rule.cell).astype(np.int64) for c in (every.u, every.v)))]] = True
+        stays = np.flatnonzero(stays)
+        if len(stays) > rule.paths:
+            stays = stays[ranks(gap[every.last[stays]]) < rule.paths]
+        use, new = every.of(stays), np.flatnonzero(new[stays])
+        candidate.append(use.last[new])
+        parent.append(use.node[new])
+        use.node[new] = nodes + np.arange(len(new))
+        nodes += len(new)
+        step += 1
+    ended = joined(*done)
     candidate, parent = np.concatenate(candidate), np.concatenate(parent)
-
-    def chain(node: int) -> list[int]:
-        out = []
-        while node >= 0:
-            out.append(int(candidate[node]))
-            node = int(parent[node])
-        return out[::-1]
-
     least = max(3, round(rule.flight * fps))
     took = frames[ended.last] - frames[ended.first]
     far = np.hypot(*(xy[ended.last] - xy[ended.first]).T)
-    whole = ended.of((ended.length >= least) & (took >= least - 1) & (far / (np.maximum(took, 1) / fps) >= diameter * rule.progress))
-    if not len(whole.node):
-        return [], np.zeros(0)
-    whole = whole.of(frames[whole.last] == frames[whole.last].max())
-    mean = whole.score / whole.length
-    near = np.flatnonzero(mean >= mean.max() - rule.near)
-    near = near[np.argsort(-mean[near], kind="stable")][: rule.judges]
-    return [chain(int(n)) for n in whole.node[near]], mean[near]
+    whole = ended.of((ended.length >= least) & (took >= least - 1) & (far / (np.maximum(took, 1) / fps) >= diameter[ended.last] * rule.progress))
+    most = np.full(len(opening), -1)
+    np.maximum.at(most, gap[whole.last], own_layer[whole.last])
+    whole = whole.of(own_layer[whole.last] == most[gap[whole.last]])
+    mean, best = whole.score / whole.length, np.full(len(opening), -np.inf)
+    np.maximum.at(best, gap[whole.last], mean)
+    near = np.flatnonzero(mean >= best[gap[whole.last]] - rule.near)
+    near = near[np.lexsort((-mean[near], gap[whole.last[near]]))]
+    near = near[ranks(gap[whole.last[near]]) < rule.judges]
+    path, node, chains = np.arange(len(near)), whole.node[near], []
+    while len(node):
+        chains.append((path, candidate[node]))
+        node = parent[node]
+        path, node = path[node >= 0], node[node >= 0]
+    chains = [np.concatenate(c) for c in zip(*chains, strict=True)] if chains else [path, node]
+    return gap[whole.last[near]], mean[near], *chains
 
 
 def joined(*some: Paths) -> Paths:
     return Paths(*(np.concatenate([getattr(p, c) for p in some]) for c in Paths.FIELDS))
 
 
-def search_prior(history: np.ndarray, frames: np.ndarray, fps: float, diameter: float, speed: float, rule: Beam) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the ball is expected in frames after the last point of a history (frame, x, y), how far from there to look, and the seconds passed."""
+def lead_velocity(history: np.ndarray, fps: float, speed: float, rule: Beam) -> np.ndarray:
+    """How the ball moves at the end of a history (frame, x, y), in pixels a second."""
     recent = history[history[-1, 0] - history[:, 0] <= round(rule.history * fps)]
     took = np.diff(recent[:, 0])
     steps = np.diff(recent[:, 1:], axis=0)[took > 0] * fps / took[took > 0][:, None]
     v = np.median(steps, axis=0) if len(steps) else np.zeros(2)
     fast = np.hypot(*v)
-    v = v * (speed / fast) if fast > speed else v
-    elapsed = np.maximum(0.0, (frames - history[-1, 0]) / fps)
+    return v * (speed / fast) if fast > speed else v
+
+
+def search_prior(lead: dict[str, np.ndarray], frames: np.ndarray, fps: float, speed: float, rule: Beam) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each candidate: where its gap starts, where the ball is expected in its frame, how far from there to look, and the seconds passed."""
+    seed, v, diameter = (np.stack([lead[a], lead[b]], axis=1) for a, b in (("seed_x", "seed_y"), ("lead_x", "lead_y"), ("diameter_", "diameter_")))
+    elapsed, diameter = np.maximum(0.0, (frames - lead["start_"]) / fps), diameter[:, 0]
     radius = np.maximum(diameter * rule.radius, 0.5 * diameter * rule.kick * elapsed**2)
-    return history[-1, 1:] + v * elapsed[:, None], np.minimum(radius, speed * elapsed + diameter * rule.radius), elapsed
+    return seed, seed + v * elapsed[:, None], np.minimum(radius, speed * elapsed + diameter * rule.radius), elapsed
+
+
+#: What is known of a gap before it begins.
+LEAD = ("start_", "end_", "diameter_", "seed_x", "seed_y", "lead_x", "lead_y")
+
+
+def leads(points: DataFrame, keys: Sequence[str], step: int, fps: float, speed: float, rule: Beam) -> DataFrame:
+    """The gaps of a trajectory, as `gaps` numbers them: (keys, gap_no, start_, end_: frames of the points at their ends, diameter_, seed: the point before, lead: the velocity there). A clip, with its points, is a group."""
+    back = max(1, round(rule.history * fps))
+    rows = points.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("source_frame", "x", "y", "box_diagonal")]).dropna(subset=[*keys, "source_frame"])
+    schema = StructType([*[f for f in rows.schema if f.name in keys], StructField("gap_no", LongType()), *[StructField(c, DoubleType()) for c in LEAD]])
+
+    def of_clip(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf[["source_frame", "x", "y", "box_diagonal"]].to_numpy(float)
+        known = known[np.argsort(known[:, 0], kind="stable")]
+        frame, found = known[:, 0], []
+        for k in np.flatnonzero(np.diff(frame) > step):
+            v = lead_velocity(known[np.searchsorted(frame, frame[k] - back) : k + 1, :3], fps, speed, rule)
+            found.append((frame[k], frame[k + 1], np.fmax(1.0, known[k, 3]), *known[k, 1:3], *v))
+        out = pd.DataFrame(found, columns=LEAD, dtype=float)
+        return out.assign(gap_no=np.arange(1, len(out) + 1), **{k: pdf[k].iat[0] for k in keys})[schema.names]
+
+    return spread(rows, keys).groupBy(*keys).applyInPandas(of_clip, schema)
+
+
+def agreed(pdf: pd.DataFrame, gap: np.ndarray, step: int, fps: float, speed: float, rule: Beam) -> tuple[np.ndarray, np.ndarray]:
+    """Places in pdf of candidates on which the paths of their gap agree, and the best mean score there; gap numbers the gaps of pdf from 0."""
+    frames, xy, visual = pdf["source_frame"].to_numpy(np.int64), pdf[["x", "y"]].to_numpy(float), pdf["visual_score"].to_numpy(float)
+    lead = {c: pdf[c].to_numpy(float) for c in LEAD}
+    of_gap, means, path, at = beams(gap, frames, xy, visual, lead, fps, speed, rule)
+    sampled = np.flatnonzero(frames[at] % step == 0)
+    path, at = path[sampled], at[sampled]
+    order = np.lexsort((path, frames[at], gap[at]))
+    path, at = path[order], at[order]
+    if not len(at):
+        return at, means[:0]
+    # The candidates of the paths in one frame, that of the best path first.
+    first = begins(gap[at], frames[at])
+    many = np.diff(np.append(first, len(at)))
+    chosen = np.repeat(at[first], many)
+    apart = np.logical_or.reduceat(np.hypot(*(xy[at] - xy[chosen]).T) > rule.agree * lead["diameter_"][at], first)
+    best, at = begins(of_gap), at[first]
+    everyone = np.diff(np.append(best, len(of_gap)))
+    which = np.searchsorted(of_gap[best], gap[at])
+    good = (many == everyone[which]) & ~apart & ~(visual[at] < rule.visual)
+    return at[good], means[best[which[good]]]
 
 
 def beam_consensus(candidates: DataFrame, points: DataFrame, keys: Sequence[str], step: int, fps: float, speed: float, rule: Beam = Beam()) -> DataFrame:  # noqa: B008
@@ -516,45 +624,55 @@ def beam_consensus(candidates: DataFrame, points: DataFrame, keys: Sequence[str]
     all score near the best agree on a place.
 
     Paths start near where the last points lead and grow frame by frame within limits of speed, acceleration and reversal; the best 400 in different cells go on. Of those that last longest
-    the mean scores near the best count, and a sampled frame is published only where all of them have a candidate within a radius. A clip is a group, its gaps each with their
-    candidates and the points of the last 0.8 seconds before them; paths of a gap are arrays of numpy.
+    the mean scores near the best count, and a sampled frame is published only where all of them have a candidate within a radius. Candidates find their gap by one union and one window of their
+    clip, whose order is that of the search; a task takes some hundred gaps at once, whose paths are arrays of numpy.
     """
-    found = gaps(points, keys, step)
-    asked = in_gaps(candidates, found, keys, max(1, round(rule.wait * fps))).select(*keys, "gap_no", "source_frame", "x", "y", "width", "height", "visual_score", F.col("a.source_frame").alias("seed_"), F.col("a.box_diagonal").alias("size_"))
-    back = max(1, round(rule.history * fps))
-    before = found.withColumn("bucket_", F.explode(F.sequence(F.floor((F.col("a.source_frame") - back) / back), F.floor(F.col("a.source_frame") / back))))
-    past = points.select(*keys, F.col("source_frame").alias("at_"), F.col("x").alias("px_"), F.col("y").alias("py_")).withColumn("bucket_", F.floor(F.col("at_") / back)).join(before, [*keys, "bucket_"])
-    past = past.where((F.col("at_") <= F.col("a.source_frame")) & (F.col("at_") >= F.col("a.source_frame") - back)).select(*keys, "gap_no", "at_", "px_", "py_")
-    kinds = {f.name: f for f in asked.schema}
+    found = leads(points, keys, step, fps, speed, rule)
+    order = ["source_frame", "x", "y", "visual_score", "width", "height"]
+    kinds = {f.name: f for f in candidates.schema}
+    heads = found.select(*[F.col(k).cast(kinds[k].dataType).alias(k) for k in keys], F.col("start_").cast("long").alias("source_frame"), F.struct("gap_no", *LEAD).alias("gap_"))
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = spread(candidates.select(*keys, *order).unionByName(heads, allowMissingColumns=True), keys)
+    rows = rows.withColumn("head_", F.col("gap_").isNotNull()).withColumn("gap_", F.last("gap_", ignorenulls=True).over(w))
+    rows = rows.where(~F.col("head_") & (F.col("source_frame") > F.col("gap_.start_")) & (F.col("source_frame") < F.col("gap_.end_")))
+    rows = rows.select(*keys, *order, "gap_.*").sortWithinPartitions(*keys, *order)
     numbers = [StructField(c, DoubleType()) for c in ("x", "y", "confidence", "box_diagonal", "temporal_score")]
-    schema = StructType([*[kinds[k] for k in keys], kinds["gap_no"], kinds["source_frame"], *numbers])
-
-    def agree(both: pd.DataFrame) -> pd.DataFrame:
-        old = both["at_"].notna()
-        pdf = both[~old].sort_values(["gap_no", "source_frame", "x", "y"], kind="stable").reset_index(drop=True)
-        past = both[old].sort_values(["gap_no", "at_"], kind="stable")
-        ends = past["gap_no"].to_numpy()
-        past = past[["at_", "px_", "py_"]].to_numpy(float)
-        numbers, everywhere, place = pdf["gap_no"].to_numpy(), pdf["source_frame"].to_numpy(np.int64), pdf[["x", "y"]].to_numpy(float)
-        score, size, box = pdf["visual_score"].to_numpy(float), pdf["size_"].to_numpy(float), np.hypot(pdf["width"].to_numpy(float), pdf["height"].to_numpy(float))
-        at, rows = [], []
-        for gap in portions(numbers):
-            history = past[np.searchsorted(ends, numbers[gap.start], "left") : np.searchsorted(ends, numbers[gap.start], "right")]
-            frames, xy, visual, diameter = everywhere[gap], place[gap], score[gap], max(1.0, float(size[gap.start]))
-            prior = search_prior(history, frames, fps, diameter, speed, rule)
-            paths, means = beam(frames, xy, visual, prior, history[-1, 1:], int(history[-1, 0]), fps, diameter, speed, rule)
-            by_frame = [{int(frames[k]): k for k in p} for p in paths]
-            for frame in sorted(set.intersection(*map(set, by_frame))) if by_frame else ():
-                own = [p[frame] for p in by_frame]
-                k = own[0]
-                if frame % step or visual[k] < rule.visual or (np.hypot(*(xy[own] - xy[k]).T) > rule.agree * diameter).any():
-                    continue
-                at.append(gap.start + k)
-                rows.append((*xy[k], round(visual[k], 6), float(box[gap][k]), round(float(means.max()), 6)))
-        out = pdf.loc[at, [*keys, "gap_no", "source_frame"]].reset_index(drop=True)
-        return pd.concat([out, pd.DataFrame(rows, columns=schema.names[len(keys) + 2 :], dtype=float)], axis=1)[schema.names]
-
-    return asked.unionByName(past, allowMissingColumns=True).groupBy(*keys).applyInPandas(agree, schema)
+    schema = StructType([*[kinds[k] for k in keys], StructField("gap_no", LongType()), kinds["source_frame"], *numbers])
+
+    def agree(pdf: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        many = np.diff(np.append(first, len(pdf)))
+        gap = np.repeat(np.arange(len(first)), many)
+        layer = begins(gap, pdf["source_frame"].to_numpy())
+        densest = np.maximum.reduceat(np.diff(np.append(layer, len(pdf))), begins(gap[layer]))
+        # Gaps whose pairs in a step stay below the limit together.
+        part = np.cumsum(np.minimum(many, rule.paths) * densest) // PAIRS
+        found = []
+        for a, b in [(p.start, p.stop) for p in portions(part)]:
+            rows = slice(first[a], first[b] if b < len(first) else len(pdf))
+            at, best = agreed(pdf.iloc[rows], gap[rows] - a, step, fps, speed, rule)
+            found.append((first[a] + at, best))
+        at, best = (np.concatenate(c) for c in zip(*found, strict=True))
+        out = pdf.iloc[at]
+        box = np.hypot(out["width"].to_numpy(float), out["height"].to_numpy(float))
+        return out.assign(confidence=np.round(out["visual_score"].to_numpy(float), 6), box_diagonal=box, temporal_score=np.round(best, 6))[schema.names]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, rows, enough = [], 0, ROWS
+        for batch in batches:
+            waiting.append(batch)
+            rows += len(batch)
+            if rows >= enough:
+                pdf = pd.concat(waiting, ignore_index=True)
+                first = begins(*[pdf[c].to_numpy() for c in (*keys, "gap_no")])
+                if len(first) > 1:
+                    yield agree(pdf.iloc[: first[-1]], first[:-1])
+                waiting, rows = [pdf.iloc[first[-1] :]], len(pdf) - first[-1]
+                enough = max(ROWS, 2 * rows)
+        if rows:
+            pdf = pd.concat(waiting, ignore_index=True)
+            yield agree(pdf, begins(*[pdf[c].to_numpy() for c in (*keys, "gap_no")]))
+
+    return rows.mapInPandas(search, schema)
 
 
 #: Fixed values of direction cones: half angle in degrees, reach in player heights and pixels; by how many cones and how much score a candidate must lead.

@@ -138,3 +138,44 @@ def test_what_a_fold_looks_up_is_worked_out_once(spark):
     events = play.control_transfers(spark, DATA)
     for df in (control.deduplicated(events, ["clip_id"]), rules.one_reception(events, ["clip_id"])):
         assert planned(df).count("array_position(") == 1
+
+
+def test_candidates_find_their_gaps_in_one_shuffle(spark):
+    """They were dealt by clip and bucket of frames, joined, and dealt again by clip."""
+    plan = planned(catalog.QUERIES["beam_consensus"](spark, DATA))
+    assert "Join" not in plan and "MapInPandas" in plan
+
+
+def test_gaps_take_their_steps_together(monkeypatch):
+    """Each gap went frame by frame by itself, so that the calls of numpy grew with the gaps and took most of the time."""
+    import numpy as np
+    import pandas as pd
+
+    from fieldtrace.operators import trajectory
+
+    one = pd.DataFrame([(f, 300 + 9.0 * f + 20 * k, 300.0, 0.9 - k / 4, 4.0, 5.0, 0.0, 61.0, 6.0, 300.0, 300.0, 225.0, 0.0) for f in range(1, 61) for k in range(2)], columns=["source_frame", "x", "y", "visual_score", "width", "height", *trajectory.LEAD])
+    hypot, counts, found = np.hypot, [], []
+    for n in (1, 40):
+        calls = []
+        monkeypatch.setattr(np, "hypot", lambda *a, calls=calls, **k: calls.append(1) or hypot(*a, **k))
+        at, _ = trajectory.agreed(pd.concat([one] * n, ignore_index=True), np.repeat(np.arange(n), len(one)), 5, 25.0, 900.0, trajectory.Beam())
+        found.append([(at[at // len(one) == g] % len(one)).tolist() for g in range(n)])
+        counts.append(len(calls))
+    assert counts[1] == counts[0] > 60 and len(found[0][0]) > 5 and found[1] == found[0] * 40
+
+
+def test_no_gap_is_cut_by_portions(spark, monkeypatch):
+    """Portions smaller than a gap, of candidates and of pairs, change nothing."""
+    from fieldtrace.operators import trajectory
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    rows = lambda: sorted(map(tuple, catalog.QUERIES["beam_consensus"](spark, DATA).collect()))
+    want = rows()
+    monkeypatch.setattr(trajectory, "ROWS", 100)
+    monkeypatch.setattr(trajectory, "PAIRS", 200)
+    spark.conf.set(key, "7")
+    try:
+        assert rows() == want and len(want) > 200
+    finally:
+        spark.conf.set(key, before)
