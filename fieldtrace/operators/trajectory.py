@@ -567,8 +567,8 @@ def lead_velocity(history: np.ndarray, fps: float, speed: float, rule: Beam) ->
 
 def search_prior(lead: dict[str, np.ndarray], frames: np.ndarray, fps: float, speed: float, rule: Beam) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each candidate: where its gap starts, where the ball is expected in its frame, how far from there to look, and the seconds passed."""
-    seed, v, diameter = (np.stack([lead[a], lead[b]], axis=1) for a, b in (("seed_x", "seed_y"), ("lead_x", "lead_y"), ("diameter_", "diameter_")))
-    elapsed, diameter = np.maximum(0.0, (frames - lead["start_"]) / fps), diameter[:, 0]
+    seed, v = (np.stack([lead[f"{c}_x"], lead[f"{c}_y"]], axis=1) for c in ("seed", "lead"))
+    elapsed, diameter = np.maximum(0.0, (frames - lead["start_"]) / fps), lead["diameter_"]
     radius = np.maximum(diameter * rule.radius, 0.5 * diameter * rule.kick * elapsed**2)
     return seed, seed + v * elapsed[:, None], np.minimum(radius, speed * elapsed + diameter * rule.radius), elapsed
 
